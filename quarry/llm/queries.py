@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, media, minhash, packing, quality, tokens, toxicity
+from quarry.llm import chat, decontaminate, media, minhash, packing, quality, tokens, toxicity
 from quarry.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), "crc32(cast(doc_id as string)) % 3 != 1")
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_media": op2_media,
+        "op3_decontaminate": op3_decontaminate,
         "op4_toxicity": op4_toxicity,
         "op7_packing": op7_packing,
         "op8_chat": op8_chat,
