@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, media, minhash, packing, quality, tokens, toxicity
+from quarry.llm import chat, decontaminate, linededup, media, minhash, packing, quality, tokens, toxicity
 from quarry.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media": op2_media,
         "op3_decontaminate": op3_decontaminate,
         "op4_toxicity": op4_toxicity,
+        "op5_linededup": op5_linededup,
         "op7_packing": op7_packing,
         "op8_chat": op8_chat,
         "op9_tokens": op9_tokens,
@@ -94,5 +99,27 @@ FROM turns GROUP BY conv_id
 """
 
 
+LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(list_zip(range(len(l)), l)) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), words AS (
+  SELECT doc_id, x[1] AS line_no, x[2] AS line, list_filter(regexp_split_to_array(lower(x[2]), '\s+'), lambda w: w <> '') AS w FROM lines
+), runs AS (
+  SELECT DISTINCT doc_id, line_no, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM words WHERE len(w) >= 5
+), sized AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, line_no) AS n FROM runs
+), gone AS (
+  SELECT DISTINCT doc_id, line_no FROM (
+    SELECT a.doc_id, a.line_no, a.n AS n, b.n AS m, count(*) AS c
+    FROM sized a JOIN sized b ON a.run = b.run AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.line_no < a.line_no))
+    GROUP BY a.doc_id, a.line_no, a.n, b.doc_id, b.line_no, b.n)
+  WHERE 100 * c >= 80 * (n + m - c)
+)
+SELECT w.doc_id, count(*) AS n_lines, count(g.line_no) AS n_removed,
+  coalesce(string_agg(w.line, chr(10) ORDER BY w.line_no) FILTER (g.line_no IS NULL), '') AS text
+FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.line_no = g.line_no GROUP BY w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": CHAT_SQL}
+    return {"op5_linededup": LINES_SQL, "op8_chat": CHAT_SQL}
