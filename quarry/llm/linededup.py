@@ -31,11 +31,11 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _documents(docs: DataFrame) -> DataFrame:
+def _documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, doc (never null), tid (a hash of the text: rows with equal both are one document), text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("tid"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("tid"), text.alias("text"), *keep)
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -139,8 +139,8 @@ def removed_lines(documents: DataFrame, percent: int) -> DataFrame:
     return exact.unionByName(matched.select("ref_a.*")).unionByName(_matched(rest, sets, percent).select("ref_a.*"))
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_lines, n_removed and text without the lines that earlier lines match.
+def dedup_lines(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, n_lines, n_removed, text and the columns to keep. The text is without the lines that earlier lines match.
 
     Lines end at line feeds; words are split at white space and compared in
     lower case. Every row stays, if with an empty text; lines of fewer than
@@ -149,7 +149,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     a doc_id with other texts are ordered by a hash of the text. An empty table
     gives no rows; other columns are ignored.
     """
-    documents = _documents(docs)
+    documents = _documents(docs, keep)
     removed = stored(removed_lines(documents, percent).distinct().groupBy("doc", "tid").agg(F.collect_set("line_no").alias("gone")), "removed")
     lines = F.split("text", "\n")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
@@ -159,4 +159,5 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         F.size(lines).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
         F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).alias("text"),
+        *keep,
     )

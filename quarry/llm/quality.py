@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,6 +222,23 @@ def score_quality(docs: DataFrame, net: Net, slice_bytes: int = 1 << 19) -> Data
     return texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def keep_quality(docs: DataFrame, net: Net, threshold: float, slice_bytes: int = 1 << 19) -> DataFrame:
+    """The rows of docs whose whole text scores at least the threshold, with all their columns, in one pass over them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            filled = pa.compute.fill_null(batch.column(at), "")
+            keyed = pa.record_batch([pa.array(np.arange(batch.num_rows)), filled], names=["row", "text"])
+            found = np.empty(batch.num_rows)
+            for part in slices(keyed, "text", slice_bytes):
+                raw, offsets = flat_bytes(part.column("text"))
+                found[part.column("row").to_numpy()] = long_score(net, raw, slice_bytes) if len(raw) > slice_bytes else scores(net, raw, offsets)
+            yield batch.filter(pa.array(found >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def long_score(net: Net, raw: np.ndarray, piece_bytes: int) -> np.ndarray:
     """As scores() of one text, whose chunks are taken piece by piece."""
     unit = GROUP * BLOCK
