@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, linededup, media, minhash, packing, quality, tokens, toxicity
+from quarry.llm import chat, decontaminate, language, linededup, media, minhash, packing, quality, tokens, toxicity
 from quarry.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), language.fit_languages(table(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": op3_decontaminate,
         "op4_toxicity": op4_toxicity,
         "op5_linededup": op5_linededup,
+        "op6_language": op6_language,
         "op7_packing": op7_packing,
         "op8_chat": op8_chat,
         "op9_tokens": op9_tokens,
