@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("catalog",)
 
 
 def _gather(kind: str) -> dict:
