@@ -94,12 +94,12 @@ def measurements(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_partkey").alias("model"), F.col("l_linenumber").cast("long").alias("ctx"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("tps"),
         F.when(F.col("l_returnflag") == "R", True).when(F.col("l_returnflag") == "A", False).alias("flagged"), F.col("l_linestatus").alias("label"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
-        F.col("l_shipdate").alias("at"), F.col("l_orderkey").alias("run"), F.col("l_suppkey").alias("host"),
+        F.col("l_shipdate").alias("seen"), F.col("l_orderkey").alias("run"), F.col("l_suppkey").alias("host"),
     )
 
 
 MEASUREMENTS = """measurements AS (
   SELECT l_partkey AS model, CAST(l_linenumber AS bigint) AS ctx, l_extendedprice / l_quantity AS tps,
     CASE l_returnflag WHEN 'R' THEN true WHEN 'A' THEN false END AS flagged, l_linestatus AS label,
-    l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, l_shipdate AS at, l_orderkey AS run, l_suppkey AS host
+    l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax, l_shipdate AS seen, l_orderkey AS run, l_suppkey AS host
   FROM lineitem)"""
