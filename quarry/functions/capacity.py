@@ -84,9 +84,10 @@ def size_prior(active: Column, params: Column, quant: Column) -> Column:
     return clip((F.log10(size) - 8) / 3) * 0.72 + lookup(quant, tables.QUANT_QUALITY, tables.QUANT_QUALITY_DEFAULT) * 0.28
 
 
-def quant_factor(quant: Column, table: dict[str, float] = tables.QUANT_FACTORS, default: float = tables.QUANT_FACTOR_DEFAULT) -> Column:
-    """Exact key, else the longest key that the name continues after an underscore, else the default."""
-    out = F.lit(default)
+def quant_factor(quant: Column, table: dict[str, float] = tables.QUANT_FACTORS, default: float | None = None) -> Column:
+    """Exact key, else the longest key whose part before the underscore begins the name, else the default."""
+    name = F.upper(F.coalesce(F.nullif(quant, F.lit("")), F.lit("UNKNOWN")))
+    out = F.lit(table.get("Q4_K_M", tables.QUANT_FACTOR_DEFAULT) if default is None else default)
     for key in sorted(table, key=len):
-        out = F.when(F.startswith(quant, F.lit(key + "_")), F.lit(table[key])).otherwise(out)
-    return F.coalesce(lookup(quant, table), out)
+        out = F.when(F.startswith(name, F.lit(key.split("_")[0])), F.lit(table[key])).otherwise(out)
+    return F.coalesce(lookup(name, table), out)

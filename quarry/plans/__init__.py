@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("catalog",)
+MODULES = ("catalog", "links", "fits", "texts")
 
 
 def _gather(kind: str) -> dict:

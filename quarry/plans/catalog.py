@@ -216,7 +216,7 @@ def piecewise_growth(spark, d):
 PREFIXES = {"EC": 0.5, "ECON": 0.7, "ECONOMY": 0.8, "S": 0.3, "STAND": 0.6}
 
 
-@R.add("SELECT p_partkey, CASE WHEN k = 'ECONOMY' THEN 0.8 WHEN starts_with(k, 'ECONOMY_') THEN 0.8 WHEN starts_with(k, 'STAND_') THEN 0.6 WHEN starts_with(k, 'ECON_') THEN 0.7 WHEN starts_with(k, 'EC_') THEN 0.5 WHEN starts_with(k, 'S_') THEN 0.3 ELSE CAST(0.9 AS double) END AS factor FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE left(p_type, CAST(p_partkey % 7 AS integer)) || '_' || p_name END AS k FROM part)")
+@R.add("SELECT p_partkey, CAST(CASE WHEN starts_with(k, 'ECONOMY') THEN 0.8 WHEN starts_with(k, 'STAND') THEN 0.6 WHEN starts_with(k, 'ECON') THEN 0.7 WHEN starts_with(k, 'EC') THEN 0.5 WHEN starts_with(k, 'S') THEN 0.3 ELSE 0.9 END AS double) AS factor FROM (SELECT p_partkey, upper(CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE left(p_type, CAST(p_partkey % 7 AS integer)) || '_' || p_name END) AS k FROM part)")
 def prefix_lookup(spark, d):
     key = F.col("p_partkey")
     name = F.when(key % 3 == 0, F.col("p_type")).otherwise(F.concat(F.expr("left(p_type, cast(p_partkey % 7 as int))"), F.lit("_"), F.col("p_name")))
