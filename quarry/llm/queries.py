@@ -126,5 +126,26 @@ FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.line_no = g.line_no G
 """
 
 
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), e AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), links AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), reach(doc, root) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.root FROM reach r JOIN links l ON r.doc = l.a
+)
+SELECT s.doc_id, CAST(len(s) AS bigint) AS n_shingles, min(root) AS component_id, s.doc_id = min(root) AS kept
+FROM s JOIN reach ON reach.doc = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_linededup": LINES_SQL, "op8_chat": CHAT_SQL}
+    return {"op5_linededup": LINES_SQL, "op8_chat": CHAT_SQL, "op10_minhash": NEAR_SQL}
