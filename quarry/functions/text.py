@@ -91,20 +91,88 @@ def features(text: Column) -> dict[str, Column]:
 
 
 def format_params(n: Column) -> Column:
-    """8.03B, 270M, 1.2T: two, none and one digits, cut rather than rounded; a dash for none."""
-    def digits(unit: int, d: int) -> Column:
-        whole = F.floor(n / unit)
-        part = F.floor(n / (unit // 10**d)) % (10**d)
-        return whole.cast("string") if not d else F.concat(whole.cast("string"), F.lit("."), F.lpad(part.cast("string"), d, "0"))
+    """8B, 1.5B, 70B, 270M, 1.2T: tenths below ten units, whole units above; a dash for none."""
+    def tenths(unit: int) -> Column:
+        k = F.floor((n + unit // 20) / (unit // 10))
+        return F.concat(F.floor(k / 10).cast("string"), F.lit("."), (k % 10).cast("string"))
 
+    def whole(unit: int) -> Column:
+        return F.floor((n + unit // 2) / unit).cast("string")
+
+    tera, giga, mega = 10**12, 10**9, 10**6
     return (
-        F.when(n.isNull() | (n <= 0), F.lit("—"))
-        .when(n >= 10**12, F.concat(digits(10**12, 1), F.lit("T")))
-        .when(n >= 10**9, F.concat(digits(10**9, 2), F.lit("B")))
-        .otherwise(F.concat(digits(10**6, 0), F.lit("M")))
+        F.when(n.isNull() | (n == 0), F.lit("—"))
+        .when(n >= 10 * tera, F.concat(whole(tera), F.lit("T")))
+        .when(n >= tera, F.concat(tenths(tera), F.lit("T")))
+        .when(n >= 10 * giga, F.concat(whole(giga), F.lit("B")))
+        .when(n >= giga, F.concat(F.replace(tenths(giga), F.lit(".0"), F.lit("")), F.lit("B")))
+        .otherwise(F.concat(whole(mega), F.lit("M")))
     )
 
 
+def format_bytes(n: Column) -> Column:
+    """950 MB, 4.37 GB, 39.6 GB; a dash for none."""
+    gb = n / 1e9
+    return (
+        F.when(n.isNull(), F.lit("—"))
+        .when(gb < 1, F.concat(F.floor(gb * 1000 + 0.5).cast("string"), F.lit(" MB")))
+        .when(gb >= 10, F.format_string("%.1f GB", gb))
+        .otherwise(F.format_string("%.2f GB", gb))
+    )
+
+
+def format_ctx(n: Column) -> Column:
+    """512, 8k, 1.5k; a dash for none."""
+    return (
+        F.when(n.isNull() | (n == 0), F.lit("—"))
+        .when(n < 1024, n.cast("string"))
+        .when(n % 1024 == 0, F.concat(F.floor(n / 1024).cast("string"), F.lit("k")))
+        .otherwise(F.concat(F.format_string("%.1f", n / 1024), F.lit("k")))
+    )
+
+
+def format_speed(tps: Column) -> Column:
+    return F.when(tps.isNull(), "Not modeled").when(tps >= 100, F.format_string("%.0f tok/s", tps)).otherwise(F.format_string("%.1f tok/s", tps))
+
+
+def attention_label(window: Column, full_layers: Column) -> Column:
+    has = F.coalesce(window, F.lit(0)) > 0
+    return (
+        F.when(has & (F.coalesce(full_layers, F.lit(0)) > 0), F.concat(F.lit("hybrid "), format_ctx(window), F.lit(" SWA + global")))
+        .when(has, F.concat(format_ctx(window), F.lit(" sliding window")))
+        .otherwise("dense attention")
+    )
+
+
+def device_group(vendor: Column, ident: Column) -> Column:
+    consumer = F.startswith(ident, F.lit("rtx")) & ~F.startswith(ident, F.lit("rtxa")) & (ident != "rtx6000ada")
+    return F.when(vendor == "apple", "Apple silicon").when(vendor == "amd", "AMD").when(vendor == "cpu", "CPU only").when(consumer, "GeForce / RTX").otherwise("Datacenter / workstation")
+
+
+def has_token(name: Column, token: str) -> Column:
+    """Whether a device name has this token, not as part of a longer one."""
+    return F.replace(F.upper(name), F.lit("_"), F.lit(" ")).rlike(rf"(^|[^A-Z0-9]){token}([^A-Z0-9]|$)")
+
+
+def unescape_html(x: Column) -> Column:
+    """The entities that pages use in texts; the ampersand last, so nothing is read twice."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(entity), F.lit(char))
+    return x
+
+
+def textarea(html: Column, ident: str) -> Column:
+    return F.trim(unescape_html(F.regexp_extract(html, rf"(?is)<textarea\b[^>]*\bid=[\"']{ident}[\"'][^>]*>(.*?)</textarea\s*>", 1)))
+
+
+def page_copy(html: Column, site: str, description_chars: int = 255, readme_chars: int = 100_000) -> tuple[Column, Column]:
+    """Description (meta tag, else summary field) and readme of a page; addresses within the site become whole."""
+    meta = F.trim(unescape_html(F.regexp_extract(html, r"(?is)<meta\s[^>]*name=[\"']description[\"'][^>]*content=\"([^\"]*)\"", 1)))
+    description = F.when(meta != "", meta).otherwise(textarea(html, "summary-textarea"))
+    readme = F.regexp_replace(F.regexp_replace(textarea(html, "editor"), r"(\]\()(/assets/)", rf"$1{site}/assets/"), r"(src=[\"'])(/assets/)", rf"$1{site}/assets/")
+    return F.rtrim(F.substring(description, 1, description_chars)), F.rtrim(F.substring(readme, 1, readme_chars))
+
+
 def size_class(params: Column) -> Column:
     """Class of a parameter count; 0 and null are unknown."""
     out = F.when(params.isNull() | (params == 0), F.lit("unknown"))

@@ -160,14 +160,15 @@ def facets(spark, d):
     return catalog(spark, d).select(F.inline(pairs)).distinct()
 
 
-@R.add("""SELECT p_partkey, CASE WHEN n IS NULL OR n <= 0 THEN '—'
-  WHEN n >= 1000000000000 THEN CAST(n // 1000000000000 AS varchar) || '.' || CAST((n // 100000000000) % 10 AS varchar) || 'T'
-  WHEN n >= 1000000000 THEN CAST(n // 1000000000 AS varchar) || '.' || lpad(CAST((n // 10000000) % 100 AS varchar), 2, '0') || 'B'
-  ELSE CAST(n // 1000000 AS varchar) || 'M' END AS label
-FROM (SELECT p_partkey, CAST(floor(p_retailprice * 1000 + 0.5) AS bigint) * (p_partkey % 11) * (p_partkey % 13) * 1000 AS n FROM part)""")
+@R.add("""SELECT p_partkey, CASE WHEN n = 0 THEN '—' WHEN n >= 10000000000000 THEN CAST((n + 500000000000) // 1000000000000 AS varchar) || 'T'
+  WHEN n >= 1000000000000 THEN CAST(((n + 50000000000) // 100000000000) // 10 AS varchar) || '.' || CAST(((n + 50000000000) // 100000000000) % 10 AS varchar) || 'T'
+  WHEN n >= 10000000000 THEN CAST((n + 500000000) // 1000000000 AS varchar) || 'B'
+  WHEN n >= 1000000000 THEN replace(CAST(((n + 50000000) // 100000000) // 10 AS varchar) || '.' || CAST(((n + 50000000) // 100000000) % 10 AS varchar), '.0', '') || 'B'
+  ELSE CAST((n + 500000) // 1000000 AS varchar) || 'M' END AS label
+FROM (SELECT p_partkey, CAST(floor(p_retailprice * 1000 + 0.5) AS bigint) * (p_partkey % 11) * (p_partkey % 13) * (CASE WHEN p_partkey % 5 = 0 THEN 100000 ELSE 1000 END) AS n FROM part)""")
 def format_params(spark, d):
     key = F.col("p_partkey")
-    n = F.floor(F.col("p_retailprice") * 1000 + 0.5) * (key % 11) * (key % 13) * 1000
+    n = F.floor(F.col("p_retailprice") * 1000 + 0.5) * (key % 11) * (key % 13) * F.when(key % 5 == 0, 100000).otherwise(1000)
     return table(spark, d, "part").select(key, text.format_params(n).alias("label"))
 
 

@@ -146,12 +146,20 @@ def tensor_sizes(headers: DataFrame) -> DataFrame:
 
 def tensor_group(name: Column) -> Column:
     """Group of a tensor by its name, in the order of the rules."""
+    def starts(*parts: str) -> Column:
+        out = F.lit(False)
+        for p in parts:
+            out = out | F.startswith(name, F.lit(p))
+        return out
+
     return (
-        F.when(F.startswith(name, F.lit("token_embd")), "embedding")
-        .when(F.startswith(name, F.lit("output")), "output")
-        .when(F.contains(name, F.lit("_exps")), "experts")
-        .when(F.contains(name, F.lit("attn")), "attention")
-        .when(F.contains(name, F.lit("ffn")), "feed_forward")
+        F.when(starts("per_layer_token_embd"), "ple")
+        .when(starts("token_embd"), "token_embd")
+        .when(starts("v.", "mm.", "a."), "vision")
+        .when(starts("output"), "output")
+        .when(F.contains(name, F.lit("_exps.")), "ffn_expert")
+        .when(F.contains(name, F.lit(".attn_")), "attn")
+        .when(F.contains(name, F.lit(".ffn_")), "ffn_dense")
         .otherwise("other")
     )
 
@@ -161,6 +169,77 @@ def group_bytes(tensors: DataFrame) -> DataFrame:
     return tensors.groupBy("path", tensor_group(F.col("name")).alias("group")).agg(F.sum("bytes").alias("bytes"), F.sum("params").alias("params"), F.count("*").alias("n"))
 
 
+def header_facts(headers: DataFrame) -> DataFrame:
+    """What the catalog takes from a header: layers, heads, lengths, cache bytes a token, bytes and parameters by use.
+
+    A value a layer may be a list, which its last value fills up; a list that
+    was too long to keep counts as missing. Layers that share a cache at the
+    end add nothing; layers in the window pattern grow with the window only.
+    """
+    h = headers.where("error IS NULL").withColumn("arch", F.coalesce(F.trim(F.try_element_at("metadata", F.lit("general.architecture")), F.lit('"')), F.lit("unknown")))
+
+    def raw(key: str) -> Column:
+        return F.try_element_at(F.col("metadata"), F.concat(F.col("arch"), F.lit("." + key)))
+
+    def number(key: str) -> Column:
+        return F.coalesce(raw(key).try_cast("double").cast("long"), F.lit(0))
+
+    def filled(items: Column) -> Column:
+        last = F.element_at(items, -1)
+        return F.slice(F.concat(items, F.array_repeat(last, F.greatest(F.lit(0), F.col("n_layer") - F.size(items)).cast("int"))), F.lit(1), F.col("n_layer").cast("int"))
+
+    def per_layer(key: str, kind: str) -> Column:
+        items = F.from_json(F.when(F.startswith(raw(key), F.lit("[")), raw(key)), f"array<{kind}>")
+        return F.when(F.size(items) > 0, items)
+
+    names = {
+        "n_layer": "block_count", "n_embd": "embedding_length", "context_length": "context_length", "expert_count": "expert_count", "expert_used_count": "expert_used_count",
+        "sliding_window": "attention.sliding_window", "shared_kv_layers": "attention.shared_kv_layers", "key_swa": "attention.key_length_swa", "value_swa": "attention.value_length_swa",
+        "key_own": "attention.key_length", "value_own": "attention.value_length",
+    }
+    h = h.withColumns({k: number(v) for k, v in names.items()})
+    heads = F.coalesce(F.array_max(per_layer("attention.head_count", "bigint")), number("attention.head_count"))
+    own_kv = per_layer("attention.head_count_kv", "bigint")
+    h = h.withColumn("n_head", heads)
+    scalar_kv = F.when(raw("attention.head_count_kv").isNull(), F.col("n_head")).otherwise(number("attention.head_count_kv"))
+    h = h.withColumn("kv", F.coalesce(filled(own_kv), F.array_repeat(scalar_kv, F.col("n_layer").cast("int"))))
+    default = F.coalesce(F.expr("n_embd div nullif(n_head, 0)"), F.lit(0))
+    h = h.withColumns({f"{k}_length": F.when(F.col(f"{k}_own") == 0, default).otherwise(F.col(f"{k}_own")) for k in ("key", "value")})
+    h = h.withColumn("pattern", filled(per_layer("attention.sliding_window_pattern", "boolean")))
+    alloc = F.when((F.col("shared_kv_layers") > 0) & (F.col("shared_kv_layers") < F.col("n_layer")), F.col("n_layer") - F.col("shared_kv_layers")).otherwise(F.col("n_layer"))
+    h = h.withColumn("n_kv_alloc_layers", alloc)
+    used = F.slice("kv", F.lit(1), F.col("n_kv_alloc_layers").cast("int"))
+    windowed = F.coalesce(F.slice("pattern", F.lit(1), F.col("n_kv_alloc_layers").cast("int")), F.transform(used, lambda x: F.lit(False)))
+    total = lambda items: F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x)
+    local_heads = total(F.zip_with(used, windowed, lambda n, w: F.when(w, n).otherwise(F.lit(0).cast("long"))))
+    mixed = F.col("pattern").isNotNull()
+    swa = lambda k: F.when(F.col(f"{k}_swa") == 0, F.col(f"{k}_length")).otherwise(F.col(f"{k}_swa"))
+    full = (F.col("key_length") + F.col("value_length")) * 2
+    h = h.withColumns({"kv_heads_sum": total(used), "local_heads": local_heads})
+    dense = F.col("kv_heads_sum") * full
+    local = F.when(mixed, F.col("local_heads") * (swa("key") + swa("value")) * 2).when(F.col("sliding_window") > 0, dense).otherwise(F.lit(0))
+    glob = F.when(mixed, (F.col("kv_heads_sum") - F.col("local_heads")) * full).when(F.col("sliding_window") > 0, F.lit(0)).otherwise(dense)
+    n_swa = F.when(mixed, F.size(F.filter("pattern", lambda w: w))).otherwise(0).cast("long")
+    h = h.withColumns({"kv_local_bytes_per_token": local, "kv_global_bytes_per_token": glob, "n_swa_layers": n_swa, "n_global_layers": F.when(mixed, F.col("n_layer") - n_swa).otherwise(F.lit(0))})
+    t = tensor_sizes(headers.where("error IS NULL")).withColumn("group", tensor_group(F.col("name")))
+    part = lambda value, group: F.coalesce(F.sum(F.when(F.col("group") == group, F.col(value))), F.lit(0))
+    sums = t.groupBy("path").agg(
+        F.sum("params").alias("params"), F.count("*").alias("tensor_count"), F.count_if(~F.col("group").isin("ple", "vision")).alias("gpu_tensor_count"),
+        part("bytes", "ffn_expert").alias("expert_bytes"), part("bytes", "ple").alias("ple_bytes"), part("params", "ffn_expert").alias("expert_params"), part("params", "ple").alias("ple_params"),
+    )
+    f = h.join(sums, "path", "left").withColumn("gpu_weight_bytes", F.greatest(F.lit(0), F.col("length") - F.coalesce("ple_bytes", F.lit(0))))
+
+    def active(whole: Column, experts: Column) -> Column:
+        routed = (F.col("expert_count") > 0) & (F.col("expert_used_count") > 0) & (experts > 0)
+        return F.when(routed, whole - experts + experts * F.col("expert_used_count") / F.col("expert_count")).otherwise(whole).cast("long")
+
+    return f.select(
+        "path", "arch", "n_layer", "n_head", "key_length", "value_length", "context_length", "sliding_window", "kv_heads_sum", "n_kv_alloc_layers", "n_swa_layers", "n_global_layers",
+        "kv_local_bytes_per_token", "kv_global_bytes_per_token", "params", "tensor_count", "gpu_tensor_count", F.col("length").alias("weight_bytes"), "gpu_weight_bytes", "ple_bytes", "expert_bytes",
+        active(F.col("gpu_weight_bytes"), F.col("expert_bytes")).alias("active_weight_bytes"), active(F.col("params") - F.col("ple_params"), F.col("expert_params")).alias("active_params"),
+    )
+
+
 def publish_json(rows: DataFrame, path: str, limit: int = 100_000) -> None:
     """One small JSON document of a small table, sorted by its first column, compact and alike each time; refuses larger ones.
 

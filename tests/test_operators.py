@@ -210,7 +210,7 @@ def test_binary_headers(spark, tmp_path):
     assert rows["bad.bin"]["error"] and rows["cut.bin"]["error"] and ok["error"] is None
     sizes = files.tensor_sizes(files.read_headers(spark, f"file://{tmp_path}").where("error IS NULL"))
     assert {r["name"]: (r["params"], r["bytes"]) for r in sizes.collect()} == {"token_embd.weight": (32, 128), "blk.0.attn_q.weight": (8, 32), "output.weight": (16, 140)}
-    assert {r["group"]: r["bytes"] for r in files.group_bytes(sizes).collect()} == {"embedding": 128, "attention": 32, "output": 140}
+    assert {r["group"]: r["bytes"] for r in files.group_bytes(sizes).collect()} == {"token_embd": 128, "attn": 32, "output": 140}
 
 
 def test_files(spark, tmp_path):
@@ -231,3 +231,38 @@ def test_files(spark, tmp_path):
     cache = spark.sql("SELECT 1 AS id, timestamp'2024-01-01 00:00:00' AS at UNION ALL SELECT 2, timestamp'2024-01-02 00:00:00' UNION ALL SELECT 3, null")
     fresh, stale = files.split_fresh(cache, "at", 3600, F.lit("2024-01-02 00:30:00").cast("timestamp"))
     assert [r["id"] for r in fresh.collect()] == [2] and sorted(r["id"] for r in stale.collect()) == [1, 3]
+
+
+def test_header_facts(spark, tmp_path):
+    meta = [
+        ("general.architecture", 8, "g"), ("g.block_count", 4, 6), ("g.embedding_length", 4, 64), ("g.attention.head_count", 4, 8), ("g.attention.head_count_kv", 9, (4, [2, 4])), ("g.attention.key_length", 4, 16),
+        ("g.attention.sliding_window", 4, 512), ("g.attention.sliding_window_pattern", 9, (7, [True, True, False])), ("g.attention.shared_kv_layers", 4, 2), ("g.attention.key_length_swa", 4, 4),
+        ("g.expert_count", 4, 8), ("g.expert_used_count", 4, 2), ("g.context_length", 4, 8192),
+    ]
+    tensors = [("per_layer_token_embd.weight", [10], 0, 0), ("blk.0.ffn_up_exps.weight", [2, 100], 0, 64), ("blk.0.attn_q.weight", [50], 0, 864), ("v.enc", [7], 0, 1064)]
+    (tmp_path / "h.bin").write_bytes(header_bytes(meta, tensors) + bytes(1100))
+    r = files.header_facts(files.read_headers(spark, f"file://{tmp_path}")).first()
+    # Heads 2 4 4 4 4 4; four layers hold a cache; windows in layers 1 and 2, then the last value, no window.
+    assert (r["n_layer"], r["n_kv_alloc_layers"], r["kv_heads_sum"], r["n_swa_layers"], r["n_global_layers"]) == (6, 4, 14, 2, 4)
+    assert r["kv_local_bytes_per_token"] == (2 + 4) * (4 + 8) * 2 and r["kv_global_bytes_per_token"] == (4 + 4) * (16 + 8) * 2
+    assert (r["params"], r["tensor_count"], r["gpu_tensor_count"], r["ple_bytes"], r["expert_bytes"]) == (267, 4, 2, 64, 800)
+    assert r["active_params"] == 257 - 200 + 50 and r["active_weight_bytes"] == r["weight_bytes"] - 64 - 800 + 200
+
+
+def test_formats(spark):
+    show = lambda f, *v: [one(spark, f(F.lit(x))) for x in v]
+    assert show(text.format_params, 8_030_000_000, 1_540_000_000, 70_600_000_000, 270_400_000, 1_250_000_000_000, 12 * 10**12, 0) == ["8B", "1.5B", "71B", "270M", "1.3T", "12T", "—"]
+    assert show(text.format_bytes, 950_400_000, 4_370_000_000, 39_600_000_000) == ["950 MB", "4.37 GB", "39.6 GB"]
+    assert show(text.format_ctx, 512, 8192, 1536, 0) == ["512", "8k", "1.5k", "—"]
+    assert show(text.format_speed, 6.24, 164.6) == ["6.2 tok/s", "165 tok/s"]
+    assert one(spark, text.attention_label(F.lit(1024), F.lit(5))) == "hybrid 1k SWA + global" and one(spark, text.attention_label(F.lit(0), F.lit(5))) == "dense attention"
+    assert one(spark, text.has_token(F.lit("NVIDIA_L4"), "L4")) and not one(spark, text.has_token(F.lit("NVIDIA L40S"), "L4"))
+    assert one(spark, text.device_group(F.lit("nvidia"), F.lit("rtx4090"))) == "GeForce / RTX"
+
+
+def test_page_copy(spark):
+    html = """<meta name="description" content="A &amp; B"><textarea id="editor" rows=2># T &lt;x&gt;\n![i](/assets/a.png)</textarea>"""
+    description, readme = text.page_copy(F.lit(html), "https://site.example")
+    assert one(spark, description) == "A & B" and one(spark, readme) == "# T <x>\n![i](https://site.example/assets/a.png)"
+    other, _ = text.page_copy(F.lit("<textarea id='summary-textarea'>" + "x" * 300 + "</textarea>"), "s")
+    assert one(spark, other) == "x" * 255
