@@ -39,104 +39,125 @@ def _documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """A row for each line of at least WORDS words: doc, tid, line_no, words."""
+    """A row for each line long enough for WORDS words: doc, tid, line_no, line."""
     lines = documents.select("doc", "tid", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
-    return lines.where(F.length("line") >= 2 * WORDS - 1).select(*REF, F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ").alias("words")).where(F.size("words") >= WORDS)
+    return lines.where(F.length("line") >= 2 * WORDS - 1)
 
 
-def _tokens(lines: DataFrame) -> DataFrame:
-    """tokens: sorted distinct hashes of the runs of WORDS words."""
+def _tokens(lines: DataFrame, *keys: str) -> DataFrame:
+    """tokens: sorted distinct hashes of the runs of WORDS words; none where a line has fewer words."""
+    words = lines.select(*keys, F.array_remove(F.split("line", r"\s+"), "").alias("words"))
     runs = F.transform(F.sequence(F.lit(1), F.size("words") - (WORDS - 1)), lambda i: F.xxhash64(F.slice("words", i, WORDS)))
-    return lines.select(*REF, F.sort_array(F.array_distinct(runs)).alias("tokens"))
+    return words.select(*keys, F.when(F.size("words") >= WORDS, F.sort_array(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>")).alias("tokens"))
 
 
 def _prefix_size(n: Column, percent: int) -> Column:
     return (n - F.floor((percent * n + 99) / 100) + 1).cast("int")
 
 
-def _differing(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def _described(tokens: DataFrame, percent: int) -> DataFrame:
-    """What the join needs of each line: size, digests of its set, a parity sketch, and its prefix in hash order."""
+    """What each line brings to the join: size, digests of its set, and its prefix in hash order."""
     n = F.size("tokens")
-    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
     return tokens.select(
-        *REF, n.alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64("tokens", F.lit(1)).alias("k2"), parity.alias("sketch"),
-        F.slice("tokens", F.lit(1), _prefix_size(n, percent)).alias("prefix"),
-    )
-
-
-def _entries(described: DataFrame) -> DataFrame:
-    return described.select(*REF, "n", "sketch", F.posexplode("prefix").alias("place", "token"))
+        *REF, n.alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64("tokens", F.lit(1)).alias("k2"), F.slice("tokens", F.lit(1), _prefix_size(n, percent)).alias("prefix")
+    )
 
 
 def _full_tokens(documents: DataFrame, refs: DataFrame) -> DataFrame:
-    """Tokens of the lines in refs, from their texts."""
+    """id, tokens, n and sketch (the parity, by bit, of the tokens that fall on it) of the lines in refs, from their texts."""
     of = small(stored(refs.select("doc", "tid").distinct(), "docs"))
-    lines = _lines(documents.join(of, ["doc", "tid"], "left_semi")).dropDuplicates(REF)
-    return _tokens(lines.join(small(refs), REF, "left_semi"))
+    lines = _lines(documents.join(of, ["doc", "tid"], "left_semi")).join(small(refs), REF)
+    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    return _tokens(lines, "id").select("id", "tokens", F.size("tokens").alias("n"), parity.alias("sketch"))
 
 
-def _side(entries: DataFrame, s: str) -> DataFrame:
-    return entries.select("token", F.struct(*REF).alias(f"ref_{s}"), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"), F.col("place").alias(f"place_{s}"))
+def _numbered(refs: DataFrame, floor: int = 0) -> DataFrame:
+    """refs with an id whose order is theirs: rows are range-partitioned and sorted, and ids grow within and over partitions."""
+    return stored(refs.orderBy(*REF).withColumn("id", F.monotonically_increasing_id() + floor), "refs")
 
 
-def _may_match(percent: int) -> Column:
-    """The second side is earlier, and no bound rules the pair out. place counts from 0."""
+def _may_match(percent: int, overlap: Column | None = None) -> Column:
+    """Line b is earlier, and neither the sizes nor the symmetric difference rule the pair out; nor the overlap that can still come."""
     n, m = F.col("n_a"), F.col("n_b")
-    overlap = F.least(n - F.col("place_a"), m - F.col("place_b"))  # this token and all behind it
-    return (
-        (F.col("ref_b") < F.col("ref_a"))
-        & (100 * n >= percent * m)
-        & (100 * m >= percent * n)
-        & ((100 + percent) * overlap >= percent * (n + m))
-        & ((100 + percent) * _differing(F.col("sketch_a"), F.col("sketch_b")) <= (100 - percent) * (n + m))
-    )
+    differing = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
+    out = (F.col("b") < F.col("a")) & (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differing <= (100 - percent) * (n + m))
+    return out if overlap is None else out & ((100 + percent) * overlap >= percent * (n + m))
+
+
+def _named(df: DataFrame, s: str) -> DataFrame:
+    return df.select(*[F.col(c).alias({"id": s}.get(c, c if c in ("token", "tokens") else f"{c}_{s}")) for c in df.columns])
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Later lines of pairs whose full sets reach the threshold."""
-    sides = {s: sets.select(F.struct(*REF).alias(f"ref_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"}
-    both = pairs.join(sides["a"], "ref_a").join(sides["b"], "ref_b")
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    union = F.size("tokens_a") + F.size("tokens_b") - common
-    return both.where(100 * common >= percent * union).select("ref_a").distinct()
+    """Later lines (a) of pairs whose full sets reach the threshold."""
+    pairs = stored(pairs, "pairs")
+    earlier = small(stored(pairs.select("b").distinct(), "earlier"))
+    x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")).join(small(pairs), "a")
+    y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")).join(earlier, "b", "left_semi")
+    both = x.join(y, "b").select("a", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
+    return both.where(100 * F.col("common") >= percent * (F.col("all") - F.col("common"))).select("a").distinct()
 
 
 def removed_lines(documents: DataFrame, percent: int) -> DataFrame:
     """doc, tid, line_no of every line that some earlier line matches."""
-    lines = stored(_described(_tokens(_lines(documents)), percent), "lines")
+    lines = stored(_described(_tokens(_lines(documents), *REF), percent), "lines").where("n > 0")
     # Equal sets: all but the first go.
     repeated = small(stored(lines.groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").select("k1", "k2"), "repeated"))
     members = lines.select(*REF, "k1", "k2").join(repeated, ["k1", "k2"])
     firsts = members.groupBy("k1", "k2").agg(F.min(F.struct(*REF)).alias("first"))
     exact = stored(members.join(firsts, ["k1", "k2"]).where(F.struct(*REF) != F.col("first")).select(*REF).distinct(), "exact")
-    distinct = lines.join(small(exact), REF, "left_anti")
-    # Prefixes in hash order, then frequent tokens placed last.
-    entries = _entries(distinct)
-    shared = stored(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    distinct = lines.select(*REF, "n", "prefix").join(small(exact), REF, "left_anti")
+    # Prefixes in hash order: only tokens that two prefixes share matter, and only their lines.
+    shared = stored(distinct.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+    entries = distinct.select(*REF, F.posexplode("prefix").alias("place", "token"))
+    entries = stored(entries.join(small(shared), "token", "left_semi"), "entries")
+    refs = _numbered(entries.select(*REF).distinct())
+    sets = stored(_full_tokens(documents, refs), "sets")
+    entries = entries.join(small(refs), REF).select("id", "token", "place")
     frequent = [r["token"] for r in shared.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "token").limit(FREQUENT_TOKENS).collect()]
-    met = shared.select("token")
     if frequent:
-        listed = ", ".join(f"{t}L" if t != -(1 << 63) else "bigint('-9223372036854775808')" for t in frequent)
-        has = F.expr(f"exists(prefix, t -> t IN ({listed}))")
-        affected = stored(distinct.where(has).select(*REF, "n", "sketch"), "affected")
-        ranked = _full_tokens(documents, affected.select(*REF)).withColumn("tokens", F.expr(f"concat(filter(tokens, t -> t NOT IN ({listed})), filter(tokens, t -> t IN ({listed})))"))
-        anew = ranked.join(small(affected), REF).select(*REF, "n", "sketch", F.slice("tokens", F.lit(1), _prefix_size(F.col("n"), percent)).alias("prefix"))
-        anew = stored(_entries(anew), "anew")
-        met = met.unionByName(anew.select("token")).distinct()
-        entries = _entries(distinct.where(~has)).unionByName(anew)
-    entries = stored(entries.join(small(stored(met, "met")), "token", "left_semi"), "entries")
-    refs = stored(entries.select(*REF).distinct(), "refs")
-    sets = stored(_full_tokens(documents, refs), "sets")
-    earliest = entries.groupBy("token").agg(F.min(F.struct(*REF, "n", "sketch", "place")).alias("x")).select("token", "x.*")
-    near = _side(entries, "a").join(_side(earliest, "b"), "token").where(_may_match(percent)).select("ref_a", "ref_b").distinct()
+        entries, sets, refs = _rarest_first(documents, distinct, entries, sets, refs, frequent, percent)
+    facts = small(stored(sets.select("id", "n", "sketch"), "facts"))
+    entries = stored(entries.join(facts, "id"), "entries")
+    # Each line meets the earliest line of its tokens.
+    first = entries.groupBy("token").agg(F.min("id").alias("b"))
+    met = entries.select("token", F.col("id").alias("a")).join(first, "token").where("a <> b").select("a", "b").distinct()
+    near = met.join(_named(sets.select("id", "n", "sketch"), "a"), "a").join(_named(sets.select("id", "n", "sketch"), "b"), "b").where(_may_match(percent)).select("a", "b")
     matched = stored(_matched(near, sets, percent), "matched")
-    open_lines = entries.join(small(matched.select("ref_a.*")), REF, "left_anti")
-    rest = _side(open_lines, "a").join(_side(entries, "b"), "token").where(_may_match(percent)).select("ref_a", "ref_b").distinct()
-    return exact.unionByName(matched.select("ref_a.*")).unionByName(_matched(rest, sets, percent).select("ref_a.*"))
+    # Lines that found no match there meet all earlier lines.
+    x = _named(entries.join(small(matched.withColumnRenamed("a", "id")), "id", "left_anti"), "a")
+    overlap = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # this token and all behind it
+    rest = x.join(_named(entries, "b"), "token").where(_may_match(percent, overlap)).select("a", "b").distinct()
+    found = matched.unionByName(_matched(rest, sets, percent)).select(F.col("a").alias("id"))
+    return exact.unionByName(refs.join(found, "id").select(*REF))
+
+
+def _rarest_first(documents, distinct, entries, sets, refs, frequent: list[int], percent: int):
+    """New prefixes for lines whose prefix holds a frequent token: frequent tokens come last.
+
+    Prefixes without one stay as they are. A token that only a new prefix
+    shares brings in the lines that it meets.
+    """
+    listed = ", ".join(f"{t}L" if t != -(1 << 63) else "bigint('-9223372036854775808')" for t in frequent)
+    affected = stored(entries.where(F.expr(f"token IN ({listed})")).select("id").distinct(), "affected")
+    ranked = sets.join(small(affected), "id").select("id", "n", F.expr(f"concat(filter(tokens, t -> t NOT IN ({listed})), filter(tokens, t -> t IN ({listed})))").alias("tokens"))
+    anew = stored(ranked.select("id", F.posexplode(F.slice("tokens", F.lit(1), _prefix_size(F.col("n"), percent))).alias("place", "token")).select("id", "token", "place"), "anew")
+    # Other lines' prefixes stay; those of their tokens that a new prefix has count again.
+    changed = small(stored(refs.join(small(affected), "id").select(*REF), "changed"))
+    others = distinct.select(*REF, F.posexplode("prefix").alias("place", "token")).join(small(stored(anew.select("token").distinct(), "tokens")), "token", "left_semi")
+    others = stored(others.join(changed, REF, "left_anti"), "others")
+    entries = entries.join(small(affected), "id", "left_anti").unionByName(anew)
+    late = stored(others.select(*REF).distinct().join(small(refs), REF, "left_anti"), "late")
+    if late.limit(1).count():
+        # Ids of these lines must keep the order of all, so all are numbered again.
+        old = refs.withColumnRenamed("id", "old")
+        refs = _numbered(refs.select(*REF).unionByName(late))
+        moved = small(stored(old.join(refs, REF).select("old", "id"), "moved"))
+        entries = entries.withColumnRenamed("id", "old").join(moved, "old").select("id", "token", "place")
+        more = stored(refs.join(small(late), REF, "left_semi"), "more")
+        sets = sets.withColumnRenamed("id", "old").join(moved, "old").select("id", "tokens", "n", "sketch").unionByName(stored(_full_tokens(documents, more), "sets"))
+    entries = entries.unionByName(others.join(small(refs), REF).select("id", "token", "place")).distinct()
+    return entries, sets, refs
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
