@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import shuffle_partitions, slices, texts, work_path
 
 END_ID = 2
-#: Pieces whose ids a worker remembers; others are encoded again, with the same ids.
-MEMO_PIECES = 400_000
-_RUNS = re.compile(r"\s\s|\x00")
+#: Pieces whose ids a worker remembers, those met lately and those met again; others are encoded anew, with the same ids.
+RECENT_PIECES, OFTEN_PIECES = 150_000, 450_000
+_RUNS = re.compile(r"\s\s")
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -42,7 +42,13 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo: dict[str, bytes] = {}
+        # Ids whose token begins with a space or a line feed, as only the first token of a piece does.
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.begins[i] = token[:1] in ("\u0120", "\u010a")
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.often: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
@@ -50,41 +56,63 @@ class PieceEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _encode(self, strings: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
-
-    @staticmethod
-    def _source(piece: str) -> str:
-        """A piece's own text: \\0 marks the first of a text, a line feed stands for itself, others follow a space."""
-        if piece[:1] == "\x00":
-            return piece[1:]
-        return piece if piece[:1] == "\n" else " " + piece
+    def _whole(self, strings: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """ids of pieces from one call: their places in the ids of the joined string show by their first tokens."""
+        sources = [p if p[:1] == "\n" else " " + p for p in pieces]
+        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(sources)], add_special_tokens=False)[0].ids, dtype="<u4")
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(sources) or (len(starts) and starts[0]):
+            return self._whole(sources)
+        raw, ends = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """ids of pieces that now lacks; what comes back from the generation before is kept for good."""
+        found = {p: self.before[p] for p in new if p in self.before}
+        if len(self.often) < OFTEN_PIECES:
+            self.often.update(found)
+        fresh = [p for p in new if p not in found]
+        if fresh:
+            found.update(zip(fresh, self._pieces(fresh), strict=True))
+        if len(self.now) + len(found) > len(self.often) + RECENT_PIECES:
+            self.before, self.now = self.now, self.often.copy()
+        self.now.update(found)
+        return found
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        memo = self.memo
-        pieces: list[list[str] | None] = []
-        seen: set[str] = set()
+        rows: list[tuple[list[str], list[bytes | None], bool] | None] = []
+        missing: set[str] = set()
+        get = self.now.get
         for text in batch:
-            if _RUNS.search(text):
-                pieces.append(None)
+            if _RUNS.search(text) or text[:1].isspace() or text[-1:].isspace():
+                rows.append(None)
+                continue
+            # A line feed before the text makes its first piece one like any other; its token goes again below.
+            parts = ("\n" + text).replace("\n", " \n").split(" ")
+            del parts[0]
+            known = list(map(get, parts))
+            lack = [p for p, ids in zip(parts, known, strict=True) if ids is None]
+            missing.update(lack)
+            rows.append((parts, known, bool(lack)))
+        learnt = self._learn(missing)
+        whole = iter(self._whole([t for t, row in zip(batch, rows, strict=True) if row is None]))
+        out = []
+        for row in rows:
+            if row is None:
+                out.append(next(whole))
                 continue
-            parts = ("\x00" + text).replace("\n", " \n").split(" ")
-            seen.update(parts)
-            pieces.append(parts)
-        new = list(seen.difference(memo))
-        if len(memo) + len(new) > MEMO_PIECES:
-            memo.clear()
-            new = list(seen)
-        if new:
-            memo.update(zip(new, self._encode([self._source(p) for p in new]), strict=True))
-        whole = iter(self._encode([t for t, p in zip(batch, pieces, strict=True) if p is None]))
-        get = memo.__getitem__
-        return [next(whole) if parts is None else b"".join(map(get, parts)) for parts in pieces]
+            parts, known, lacks = row
+            if lacks:
+                known = [learnt[p] if ids is None else ids for p, ids in zip(parts, known, strict=True)]
+            out.append(b"".join(known)[4:])
+        return out
 
 
 def encoded(
-    batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = 4 << 20
+    batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = 1 << 20
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches of (doc_id, text) with the ids of each text, the end id included."""
     encoder, end = PieceEncoder.of(path), np.asarray([END_ID], "<u4").tobytes()
