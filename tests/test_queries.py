@@ -52,7 +52,7 @@ def test_find_models_stays_in_the_engine(spark, testdata):
 def test_scans_read_only_what_queries_need(spark, testdata):
     plan = executed(QUERIES["status_counts"](spark, str(testdata / "sf0.001")))
     assert re.search(r"ReadSchema: struct<o_orderstatus:string>", plan)
-    assert "PushedFilters: [IsNotNull(o_orderstatus), EqualTo(o_orderstatus,P)]" in executed(QUERIES["semi_join_families"](spark, str(testdata / "sf0.001")))
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(o_orderstatus,P\)", executed(QUERIES["semi_join_families"](spark, str(testdata / "sf0.001"))))
 
 
 def test_entry(spark):
