@@ -113,7 +113,3 @@ def merge_maps(base: DataFrame, override: DataFrame, key: str, items: str, sourc
     merged = F.map_zip_with(F.coalesce("_a", empty), F.coalesce("_b", empty), lambda k, x, y: F.coalesce(y, x))
     return a.join(b, key, "full_outer").select(key, merged.alias(items), F.coalesce("_sb", "_sa").alias(source))
 
-
-def fan_out(df: DataFrame, key: str, compute) -> DataFrame:
-    """compute(one row for each key) joined back to all rows: the work is done once a key."""
-    return df.join(compute(df.select(key).distinct() if isinstance(key, str) else df), key)
