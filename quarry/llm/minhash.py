@@ -25,7 +25,7 @@ from quarry.llm.graph import components
 from quarry.llm.words import SPACED, mix, prefix_sums, shingle_hashes, span_hashes, word_spans
 
 ROWS = 4
-MISS = 1e-5
+MISS = 1e-7
 SKETCH_BITS = 512
 #: Bits of the table by which the second scan skips documents without a candidate; others that it lets through fall in a join.
 SKIP_BITS = 23
@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     bands = bands or bands_for(percent)
     rows = stored(signatures(docs, size, bands), "signatures")
     some = rows.where("n_shingles > 0")
-    digests = some.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    digests = stored(some.groupBy("digest").agg(F.min("doc_id").alias("node")), "digests")
     first = some.join(digests, "digest").where("doc_id = node").dropDuplicates(["node", "digest"]).select("node", "digest", "n_shingles", "sketch", "bands")
     nodes = stored(first, "nodes")
     entries = nodes.select("node", F.explode("bands").alias("bucket"))
