@@ -64,11 +64,21 @@ def _described(tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_tokens(documents: DataFrame, refs: DataFrame) -> DataFrame:
-    """id, tokens, n and sketch (the parity, by bit, of the tokens that fall on it) of the lines in refs, from their texts."""
+    """id, tokens, n and sketch of the lines in refs, from their texts.
+
+    The sketch has 256 bits, each the parity of the tokens that fall on it, in
+    four numbers: two sets differ in at least as many tokens as sketches in bits.
+    """
     of = small(stored(refs.select("doc", "tid").distinct(), "docs"))
     lines = _lines(documents.join(of, ["doc", "tid"], "left_semi")).join(small(refs), REF)
-    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    return _tokens(lines, "id").select("id", "tokens", F.size("tokens").alias("n"), parity.alias("sketch"))
+    one = F.lit(1).cast("long")
+    bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
+
+    def lane(k: int):
+        return lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(3)) == k
+
+    parts = [F.aggregate(F.filter("tokens", lane(k)), F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(bit(t))).alias(f"s{k}") for k in range(4)]
+    return _tokens(lines, "id").select("id", "tokens", F.size("tokens").alias("n"), F.struct(*parts).alias("sketch"))
 
 
 def _numbered(refs: DataFrame, floor: int = 0) -> DataFrame:
@@ -79,7 +89,7 @@ def _numbered(refs: DataFrame, floor: int = 0) -> DataFrame:
 def _may_match(percent: int, overlap: Column | None = None) -> Column:
     """Line b is earlier, and neither the sizes nor the symmetric difference rule the pair out; nor the overlap that can still come."""
     n, m = F.col("n_a"), F.col("n_b")
-    differing = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
+    differing = sum((F.bit_count(F.col(f"sketch_a.s{k}").bitwiseXOR(F.col(f"sketch_b.s{k}"))) for k in range(4)), F.lit(0))
     out = (F.col("b") < F.col("a")) & (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differing <= (100 - percent) * (n + m))
     return out if overlap is None else out & ((100 + percent) * overlap >= percent * (n + m))
 
@@ -173,11 +183,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ())
     documents = _documents(docs, keep)
     removed = stored(removed_lines(documents, percent).distinct().groupBy("doc", "tid").agg(F.collect_set("line_no").alias("gone")), "removed")
     lines = F.split("text", "\n")
+    n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1  # most texts needn't be split
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     return documents.join(small(removed), ["doc", "tid"], "left").select(
         "doc_id",
-        F.size(lines).cast("long").alias("n_lines"),
+        n_lines.cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
         F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).alias("text"),
         *keep,
