@@ -46,9 +46,9 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 def _tokens(lines: DataFrame, *keys: str) -> DataFrame:
     """tokens: sorted distinct hashes of the runs of WORDS words; none where a line has fewer words."""
-    words = lines.select(*keys, F.array_remove(F.split("line", r"\s+"), "").alias("words"))
-    runs = F.transform(F.sequence(F.lit(1), F.size("words") - (WORDS - 1)), lambda i: F.xxhash64(F.slice("words", i, WORDS)))
-    return words.select(*keys, F.when(F.size("words") >= WORDS, F.sort_array(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>")).alias("tokens"))
+    hashes = lines.select(*keys, F.transform(F.array_remove(F.split("line", r"\s+"), ""), lambda w: F.xxhash64(w)).alias("words"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("words") - WORDS), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WORDS)]))
+    return hashes.select(*keys, F.when(F.size("words") >= WORDS, F.sort_array(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>")).alias("tokens"))
 
 
 def _prefix_size(n: Column, percent: int) -> Column:
