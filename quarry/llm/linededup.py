@@ -150,11 +150,25 @@ def _rarest_first(documents, distinct, entries, sets, refs, frequent: list[int],
     """
     listed = ", ".join(f"{t}L" if t != -(1 << 63) else "bigint('-9223372036854775808')" for t in frequent)
     affected = stored(entries.where(F.expr(f"token IN ({listed})")).select("id").distinct(), "affected")
-    ranked = sets.join(small(affected), "id").select("id", "n", F.expr(f"concat(filter(tokens, t -> t NOT IN ({listed})), filter(tokens, t -> t IN ({listed})))").alias("tokens"))
-    anew = stored(ranked.select("id", F.posexplode(F.slice("tokens", F.lit(1), _prefix_size(F.col("n"), percent))).alias("place", "token")).select("id", "token", "place"), "anew")
-    # Other lines' prefixes stay; those of their tokens that a new prefix has count again.
+    size = _prefix_size(F.col("n"), percent)
+    ranked = sets.join(small(affected), "id").select(
+        "id",
+        F.get("tokens", size - 1).alias("last"),
+        size.alias("size"),
+        F.expr(f"concat(filter(tokens, t -> t NOT IN ({listed})), filter(tokens, t -> t IN ({listed})))").alias("tokens"),
+    )
+    anew = ranked.select("id", F.posexplode(F.slice("tokens", F.lit(1), F.col("size"))).alias("place", "token"), "last")
+    anew = stored(anew.select("id", "token", "place", (F.col("token") > F.col("last")).alias("added")), "anew")
+    # Other lines' prefixes stay. A token counts once for each line whose old or new prefix has it; those in new prefixes that two lines have matter.
     changed = small(stored(refs.join(small(affected), "id").select(*REF), "changed"))
-    others = distinct.select(*REF, F.posexplode("prefix").alias("place", "token")).join(small(stored(anew.select("token").distinct(), "tokens")), "token", "left_semi")
+    before, added, stayed = (F.lit(k).cast("byte") for k in (1, 2, 4))
+    sides = distinct.select(F.explode("prefix").alias("token"), before.alias("side")).unionByName(anew.select("token", F.when(F.col("added"), added).otherwise(stayed).alias("side")))
+    counts = sides.groupBy("token").agg(F.count_if(F.col("side") < 4).alias("c"), F.bit_or("side").alias("sides")).where("c > 1 AND sides > 1")
+    counts = stored(counts.select("token", "sides"), "tokens")
+    anew = anew.join(small(counts.select("token")), "token", "left_semi").select("id", "token", "place")
+    # Tokens that stayed in a prefix were shared already, so only added ones bring in further lines.
+    met = small(counts.where("sides = 3").select("token"))
+    others = distinct.select(*REF, F.posexplode("prefix").alias("place", "token")).join(met, "token", "left_semi")
     others = stored(others.join(changed, REF, "left_anti"), "others")
     entries = entries.join(small(affected), "id", "left_anti").unionByName(anew)
     late = stored(others.select(*REF).distinct().join(small(refs), REF, "left_anti"), "late")
