@@ -46,7 +46,8 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 def _tokens(lines: DataFrame, *keys: str) -> DataFrame:
     """tokens: sorted distinct hashes of the runs of WORDS words; none where a line has fewer words."""
-    hashes = lines.select(*keys, F.transform(F.array_remove(F.split("line", r"\s+"), ""), lambda w: F.xxhash64(w)).alias("words"))
+    line = F.when(F.col("line").rlike(r"[\t\x0B\f\r]"), F.regexp_replace("line", r"\s", " ")).otherwise(F.col("line"))  # a plain character splits faster
+    hashes = lines.select(*keys, F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)).alias("words"))
     runs = F.transform(F.sequence(F.lit(0), F.size("words") - WORDS), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WORDS)]))
     return hashes.select(*keys, F.when(F.size("words") >= WORDS, F.sort_array(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>")).alias("tokens"))
 
@@ -64,21 +65,23 @@ def _described(tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_tokens(documents: DataFrame, refs: DataFrame) -> DataFrame:
-    """id, tokens, n and sketch of the lines in refs, from their texts.
-
-    The sketch has 256 bits, each the parity of the tokens that fall on it, in
-    four numbers: two sets differ in at least as many tokens as sketches in bits.
-    """
+    """id, tokens and n of the lines in refs, from their texts."""
     of = small(stored(refs.select("doc", "tid").distinct(), "docs"))
     lines = _lines(documents.join(of, ["doc", "tid"], "left_semi")).join(small(refs), REF)
-    one = F.lit(1).cast("long")
-    bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
+    return _tokens(lines, "id").select("id", "tokens", F.size("tokens").alias("n"))
 
-    def lane(k: int):
-        return lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(3)) == k
 
-    parts = [F.aggregate(F.filter("tokens", lane(k)), F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(bit(t))).alias(f"s{k}") for k in range(4)]
-    return _tokens(lines, "id").select("id", "tokens", F.size("tokens").alias("n"), F.struct(*parts).alias("sketch"))
+def _facts(sets: DataFrame) -> DataFrame:
+    """id, n and sketch of each set.
+
+    The sketch has 256 bits, each the parity of the tokens that fall on it, in
+    four numbers: two sets differ in at least as many tokens as sketches in bits.
+    """
+    tokens = sets.select("id", "n", F.explode("tokens").alias("t"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t").bitwiseAND(F.lit(63)).cast("int"))
+    lane = F.shiftright("t", 6).bitwiseAND(F.lit(3))
+    parts = [F.bit_xor(F.when(lane == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(4)]
+    return tokens.groupBy("id", "n").agg(*parts).select("id", "n", F.struct(*[f"s{k}" for k in range(4)]).alias("sketch"))
 
 
 def _numbered(refs: DataFrame, floor: int = 0) -> DataFrame:
@@ -127,12 +130,12 @@ def removed_lines(documents: DataFrame, percent: int) -> DataFrame:
     frequent = [r["token"] for r in shared.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "token").limit(FREQUENT_TOKENS).collect()]
     if frequent:
         entries, sets, refs = _rarest_first(documents, distinct, entries, sets, refs, frequent, percent)
-    facts = small(stored(sets.select("id", "n", "sketch"), "facts"))
-    entries = stored(entries.join(facts, "id"), "entries")
+    facts = stored(_facts(sets), "facts")
+    entries = stored(entries.join(facts.hint("merge"), "id"), "entries")
     # Each line meets the earliest line of its tokens.
     first = entries.groupBy("token").agg(F.min("id").alias("b"))
     met = entries.select("token", F.col("id").alias("a")).join(first, "token").where("a <> b").select("a", "b").distinct()
-    near = met.join(_named(sets.select("id", "n", "sketch"), "a"), "a").join(_named(sets.select("id", "n", "sketch"), "b"), "b").where(_may_match(percent)).select("a", "b")
+    near = met.join(_named(facts, "a"), "a").join(_named(facts, "b"), "b").where(_may_match(percent)).select("a", "b")
     matched = stored(_matched(near, sets, percent), "matched")
     # Lines that found no match there meet all earlier lines.
     x = _named(entries.join(small(matched.withColumnRenamed("a", "id")), "id", "left_anti"), "a")
@@ -179,7 +182,7 @@ def _rarest_first(documents, distinct, entries, sets, refs, frequent: list[int],
         moved = small(stored(old.join(refs, REF).select("old", "id"), "moved"))
         entries = entries.withColumnRenamed("id", "old").join(moved, "old").select("id", "token", "place")
         more = stored(refs.join(small(late), REF, "left_semi"), "more")
-        sets = sets.withColumnRenamed("id", "old").join(moved, "old").select("id", "tokens", "n", "sketch").unionByName(stored(_full_tokens(documents, more), "sets"))
+        sets = sets.withColumnRenamed("id", "old").join(moved, "old").select("id", "tokens", "n").unionByName(stored(_full_tokens(documents, more), "sets"))
     entries = entries.unionByName(others.join(small(refs), REF).select("id", "token", "place")).distinct()
     return entries, sets, refs
 
