@@ -199,14 +199,14 @@ def dedup_lines(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ())
     """
     documents = _documents(docs, keep)
     removed = stored(removed_lines(documents, percent).distinct().groupBy("doc", "tid").agg(F.collect_set("line_no").alias("gone")), "removed")
-    lines = F.split("text", "\n")
     n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1  # most texts needn't be split
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return documents.join(small(removed), ["doc", "tid"], "left").select(
+    rows = documents.join(small(removed), ["doc", "tid"], "left").select("doc_id", "text", *keep, F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    rows = rows.withColumn("lines", F.when(F.size("gone") > 0, F.split("text", "\n")))  # a column of its own: split once, not at each use
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    return rows.select(
         "doc_id",
         n_lines.cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_removed"),
-        F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).alias("text"),
+        F.size("gone").cast("long").alias("n_removed"),
+        F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")).alias("text"),
         *keep,
     )
