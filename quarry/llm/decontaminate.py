@@ -1,13 +1,15 @@
-"""Benchmark decontamination by CGK embeddings and bit-sampling LSH over item-sized windows.
+"""Benchmark decontamination by CGK embeddings and bit-sampling LSH over walks through characters.
 
 The embedding of Chakraborty, Goldenberg and Koucky (2016) walks over a string:
-step j emits the current word and advances by a random bit that depends on j
-and on the word. Two strings at a small edit distance soon walk in step again
-after each edit, so their embeddings differ in few places (Hamming distance).
-Sampling a few places, several times over, finds such pairs by equal keys. The
-walk runs on hashed words, from every word of every document, over a length
-that fits the items of a size class; hits are verified by the exact edit
-distance between the item and the best-matching passage, in characters.
+step j emits the current character and advances by a random bit that depends on
+j and on the character. Two strings at a small edit distance soon walk in step
+again after each edit, so their embeddings differ in few places (Hamming
+distance). Sampling some places of a walk gives a key; keys of several walks
+with coins of their own find such pairs. Short walks begin at every word of
+items and documents; an item of a size class gets as many walks as find the
+target share of copies with edits up to the bound. Hits are verified by the
+exact edit distance between the item and the best-matching passage, in
+characters, over all text that a passage within the bound can reach.
 """
 
 from __future__ import annotations
@@ -21,127 +23,235 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import flat_bytes, slices, texts
-from quarry.llm.words import prefix_sums, span_hashes, word_spans
+from quarry.llm.words import ALNUM, word_spans
 
-#: Most places in a key, and keys by size class. Every window of an item is indexed, so a passage has many chances to share a key.
-PLACES, KEYS = 6, 6
-#: Largest size class in words.
-LONGEST = 64
+#: Steps of a walk by size class (bytes of the item, down to a power of two); a walk covers about half as many bytes.
+STEPS = {1: 1, 2: 2, 4: 3, 8: 6, 16: 12, 32: 20, 64: 24, 128: 32}
+#: Share of edited copies at the bound that the keys of a size class find, the copies it is measured on, and most walks.
+TARGET, COPIES, MOST_KEYS = 0.995, 400, 24
 FILTER_BITS = 20
+#: Characters of an item compared at once, a bit each.
+BLOCK = 60
 
 
 @dataclass
-class Index:
-    """Item windows of one size class: steps of the walk, sampled places by key, and sorted keys of the items."""
+class Key:
+    """One walk with its coins and sampled places, and the sorted keys of the items that use it."""
 
-    steps: int
-    places: np.ndarray  # KEYS x PLACES
-    masks: np.ndarray  # KEYS x 2^FILTER_BITS: whether some item key has these leading bits
-    keys: list[np.ndarray]
-    owners: list[np.ndarray]  # (item, offset of the window in words)
+    coins: list[np.ndarray]  # by step: 0 or 1 for each byte
+    names: list[np.ndarray | None]  # by step: a number for each byte at sampled places
+    mask: np.ndarray  # 2^FILTER_BITS: whether some item key has these leading bits
+    keys: np.ndarray
+    owners: np.ndarray  # (item, characters of the item before the start)
 
 
 @dataclass
 class Items:
     ids: list[int]
-    words: list[list[str]]
     joined: list[str]
-    classes: list[Index]
+    codes: list[np.ndarray]  # by item: a number under 64 for each character
+    keys: list[Key]
 
 
-def split_words(text: str) -> list[str]:
-    """The words of a text as the scan sees them: letters, digits and bytes from 128 on, A-Z in lower case."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    begin, end, _ = word_spans(raw, np.asarray([0, len(raw)]))
-    data = raw.tobytes()
-    return [data[a:b].lower().decode(errors="replace") for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+def normalized(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words in lower case with a space after each, then spaces that walks can run into; and where each word starts."""
+    size = end - begin
+    letters = ALNUM[raw]
+    letters = letters[letters != 0]
+    first = np.cumsum(size + 1) - size - 1
+    out = np.full(int(size.sum()) + len(size) + max(STEPS.values()) + 1, 32, np.uint8)
+    out[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
+    return out, first
 
 
-def _hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _joined(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Normalized texts one after the other, where each begins and the last ends, and each without its last space."""
     raw = np.frombuffer(b"".join(data), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
-    begin, end, n = word_spans(raw, offsets)
-    return span_hashes(prefix_sums(raw), begin, end), n
-
-
-def walk(word: np.ndarray, start: np.ndarray, steps: int, wanted: set[int]) -> dict[int, np.ndarray]:
-    """32-bit hashes of the words emitted at the wanted steps by the walks from each start. word ends in enough padding."""
-    coins = [word.astype(np.uint32), (word >> np.uint64(32)).astype(np.uint32)]
-    coins += [mixed for half in coins for mixed in [(half * np.uint32(0x85EBCA6B)) ^ (half >> np.uint32(15))]]
-    name, at, out = coins[0] ^ coins[1], start.astype(np.int64), {}
-    for j in range(steps):
-        if j in wanted:
-            out[j] = name.take(at, mode="clip")
-        if j + 1 < steps:
-            coin = (coins[j // 32 % 4] >> np.uint32(j % 32)).astype(np.uint8) & np.uint8(1)
-            at += coin.take(at, mode="clip")
-    return out
-
-
-def _keys(emitted: dict[int, np.ndarray], places: np.ndarray) -> list[np.ndarray]:
-    out = []
-    for k, row in enumerate(places.tolist()):
-        h = emitted[row[0]] + np.uint32(k + 1)
-        for j in row[1:]:
+    begin, end, n = word_spans(raw, np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64))
+    flat, first = normalized(raw, begin, end)
+    edges = np.append(first, int((end - begin).sum()) + len(begin))[np.concatenate([[0], np.cumsum(n)])]
+    whole = flat.tobytes()
+    return flat, edges, [whole[a : max(a, b - 1)].decode(errors="replace") for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+
+
+def _codes(flat: np.ndarray) -> np.ndarray:
+    """A number under 64 for each character."""
+    lead = np.flatnonzero((flat & 0xC0) != 0x80)
+    out = flat[lead]
+    for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        long = np.flatnonzero(flat[lead] >= least)
+        out[long] ^= flat.take(lead[long] + k, mode="clip") * np.uint8(2 * k - 1)
+    return out & np.uint8(63)
+
+
+def _starts(flat: np.ndarray, length: int) -> np.ndarray:
+    """Where walks begin: at words, and at each character of scripts that write without spaces."""
+    here = flat[:length] >= 0xE0
+    here[:1] = True
+    here[1:] |= flat[: max(length - 1, 0)] == 32
+    return np.flatnonzero(here)
+
+
+def walk(flat: np.ndarray, start: np.ndarray, coins: list[np.ndarray], names: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of what the walks from each start emit at the sampled places, and where the walks end."""
+    at, h = start.astype(np.int64), np.zeros(len(start), np.uint32)
+    for coin, name in zip(coins, names, strict=True):
+        c = flat.take(at, mode="clip")
+        if name is not None:
+            h += name.take(c)
             h *= np.uint32(0x9E3779B1)
             h ^= h >> np.uint32(15)
-            h += emitted[j]
-        h *= np.uint32(0x85EBCA6B)
-        out.append(h)
-    return out
+        at += coin.take(c)
+    h *= np.uint32(0x85EBCA6B)
+    return h, at
+
+
+def _random_walk(steps: int, k: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+    rng = np.random.default_rng((seed, steps, k))
+    edges = np.linspace(0, steps, max(1, (steps + 1) // 2) + 1).astype(int)
+    # One place in each stretch: neighbouring steps often emit the same character.
+    places = {int(rng.integers(a, b)) for a, b in zip(edges, edges[1:], strict=False)}
+    coins = [rng.integers(0, 2, 256) for _ in range(steps)]
+    return coins, [rng.integers(0, 1 << 32, 256, np.uint32) if j in places else None for j in range(steps)]
+
+
+def edited(text: str, edits: int, rng: np.random.Generator, alphabet: str) -> str:
+    """A copy with so many characters replaced, put in or taken out, at random."""
+    out = list(text)
+    for kind, c in zip(rng.integers(0, 3, edits).tolist(), rng.integers(0, len(alphabet), edits).tolist(), strict=True):
+        at = int(rng.integers(0, len(out) + (kind == 1))) if out else 0
+        out[at : at + (kind != 1)] = [alphabet[c]] if kind < 2 else []
+    return "".join(out)
+
+
+def _owned(flat: np.ndarray, edges: np.ndarray, steps: list[np.ndarray], names: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the walks that end within their text (or on the space after it), the text of each, and its start."""
+    start = _starts(flat, int(edges[-1]))
+    owner = np.searchsorted(edges, start, "right") - 1
+    h, at = walk(flat, start, steps, names)
+    inside = at <= edges[owner + 1]
+    return h[inside], owner[inside], start[inside]
 
 
-def build(rows: list[tuple[int, str]], seed: int = 5) -> Items:
+def build(rows: list[tuple[int, str]], percent: int = 20, seed: int = 5) -> Items:
     """The index of a block of items; items without words match nothing."""
-    rng = np.random.default_rng(seed)
-    words = [split_words(text) for _, text in rows]
+    _, _, joined = _joined([text.encode() for _, text in rows])
     by_class: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        if w:
-            by_class.setdefault(min(LONGEST, 1 << max(0, (3 * len(w) // 4).bit_length() - 1)), []).append(i)
-    classes = []
+    for i, text in enumerate(joined):
+        if text:
+            by_class.setdefault(min(max(STEPS), 1 << (len(text.encode()).bit_length() - 1)), []).append(i)
+    alphabet = "".join(sorted({c for text in joined for c in text}))
+    found: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
     for size, members in sorted(by_class.items()):
-        steps = max(1, size * 3 // 2)
-        edges = np.linspace(0, steps, min(PLACES, max(1, steps // 3)) + 1).astype(int)
-        # One place in each stretch: neighbouring steps often emit the same word.
-        places = np.stack([[rng.integers(a, b) for a, b in zip(edges, edges[1:], strict=False)] for _ in range(KEYS)])
-        hashed, n = _hashes([rows[i][1].encode() for i in members])
-        hashed = np.append(hashed, np.zeros(steps + 1, np.uint64))
-        first = np.cumsum(n) - n
-        starts, owners = [], []
-        for i, f, m in zip(members, first.tolist(), n.tolist(), strict=True):
-            for offset in range(m - size + 1):
-                starts.append(f + offset)
-                owners.append((i, offset))
-        emitted = walk(hashed, np.asarray(starts), steps, set(places.ravel().tolist()))
-        keys, sorted_owners, masks = [], [], np.zeros((KEYS, 1 << FILTER_BITS), bool)
-        for k, h in enumerate(_keys(emitted, places)):
-            order = np.argsort(h, kind="stable")
-            keys.append(h[order])
-            sorted_owners.append(np.asarray(owners, np.int64)[order])
-            masks[k][h >> np.uint32(32 - FILTER_BITS)] = True
-        classes.append(Index(steps, places, masks, keys, sorted_owners))
-    return Items([i for i, _ in rows], words, [" ".join(w) for w in words], classes)
-
-
-def _candidates(items: Items, word: np.ndarray, n: np.ndarray) -> set[tuple[int, int]]:
-    """(item, word at which it would begin) for all windows that share a key with an item."""
-    if not items.classes or not len(word):
-        return set()
-    longest = max(c.steps for c in items.classes)
-    padded = np.append(word, np.zeros(longest + 1, np.uint64))
-    start = np.arange(len(word))
-    wanted = {j for c in items.classes for j in c.places.ravel().tolist()}
-    emitted = walk(padded, start, longest, wanted)
-    found: set[tuple[int, int]] = set()
-    for c in items.classes:
-        for k, h in enumerate(_keys(emitted, c.places)):
-            at = np.flatnonzero(c.masks[k].take(h >> np.uint32(32 - FILTER_BITS), mode="clip"))
-            low, high = np.searchsorted(c.keys[k], h[at], "left"), np.searchsorted(c.keys[k], h[at], "right")
-            for p, a, b in zip(at[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist(), strict=True):
-                for item, offset in c.owners[k][a:b].tolist():
-                    found.add((item, p - offset))
-    return found
+        rng = np.random.default_rng((seed, size))
+        flat, edges, _ = _joined([joined[i].encode() for i in members])
+        chars = np.cumsum((flat & 0xC0) != 0x80)
+        sample = rng.permutation(len(members))[np.arange(COPIES) % len(members)]
+        copies = [edited(joined[members[i]], len(joined[members[i]]) * percent // 100, rng, alphabet) for i in sample.tolist()]
+        copy_flat, copy_edges, _ = _joined([c.encode() for c in copies])
+        copy_start = _starts(copy_flat, int(copy_edges[-1]))
+        copy = np.searchsorted(copy_edges, copy_start, "right") - 1
+        caught = np.zeros(len(copies), bool)
+        for k in range(MOST_KEYS):
+            coins, names = _random_walk(STEPS[size], k, seed)
+            h, owner, start = _owned(flat, edges, coins, names)
+            offset = chars[start] - chars[edges[owner]]
+            found.setdefault((STEPS[size], k), []).append((h, np.stack([np.asarray(members)[owner], offset], axis=1)))
+            other, _ = walk(copy_flat, copy_start, coins, names)
+            same = np.isin(sample[copy].astype(np.uint64) << np.uint64(32) | other, owner.astype(np.uint64) << np.uint64(32) | h)
+            caught[copy[same]] = True
+            if caught.mean() >= TARGET:
+                break
+    keys = []
+    for (steps, k), parts in sorted(found.items()):
+        h, owners = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order, mask = np.argsort(h, kind="stable"), np.zeros(1 << FILTER_BITS, bool)
+        mask[h >> np.uint32(32 - FILTER_BITS)] = True
+        keys.append(Key(*_random_walk(steps, k, seed), mask, h[order], owners[order]))
+    return Items([i for i, _ in rows], joined, [_codes(np.frombuffer(text.encode(), np.uint8)) for text in joined], keys)
+
+
+def _candidates(items: Items, flat: np.ndarray, length: int, edges: np.ndarray, percent: int) -> dict[int, list[tuple[int, int]]]:
+    """By document: (item, stretch of as many characters as the item may have edits, in which it would begin) for all shared keys."""
+    start = _starts(flat, length)
+    chars = np.cumsum((flat & 0xC0) != 0x80)
+    width = np.asarray([max(1, len(text) * percent // 100) for text in items.joined], np.int64)
+    found = []
+    for key in items.keys:
+        h, _ = walk(flat, start, key.coins, key.names)
+        at = np.flatnonzero(key.mask.take(h >> np.uint32(32 - FILTER_BITS)))
+        low, high = np.searchsorted(key.keys, h[at], "left"), np.searchsorted(key.keys, h[at], "right")
+        n = high - low
+        p = start[np.repeat(at, n)]
+        item, offset = key.owners[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)].T
+        doc = np.searchsorted(edges, p, "right") - 1
+        found.append(np.stack([doc, item, (chars[p] - chars[edges[doc]] - offset) // width[item]], axis=1))
+    out: dict[int, list[tuple[int, int]]] = {}
+    if found:
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort(rows.T[::-1])]
+        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))[: len(rows)]]
+        base = chars[edges[rows[:, 0]]] - 1
+        for doc, item, place in rows[_near(items, _codes(flat), rows[:, 1], base + rows[:, 2] * width[rows[:, 1]], percent)].tolist():
+            out.setdefault(doc, []).append((item, place))
+    return out
+
+
+def least_distances(patterns: list[np.ndarray], pattern: np.ndarray, codes: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """By row: the smallest edit distance between a pattern of at most 64 codes and any part of codes[low : low + size]."""
+    table = np.zeros((len(patterns), 64), np.uint64)
+    lengths = np.asarray([len(x) for x in patterns], np.int64)
+    owner = np.repeat(np.arange(len(patterns)), lengths)
+    bit = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    np.bitwise_or.at(table, (owner, np.concatenate(patterns)), np.uint64(1) << bit.astype(np.uint64))
+    order = np.argsort(-size, kind="stable")
+    row, at, length = pattern[order] * 64, low[order], lengths[pattern[order]]
+    active = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
+    top, one, table = (length - 1).astype(np.uint64), np.uint64(1), table.ravel()
+    up, down = np.full(len(row), ~np.uint64(0)), np.zeros(len(row), np.uint64)
+    score, best = length.copy(), length.copy()
+    for t, n in enumerate(active.tolist()):
+        u, d = up[:n], down[:n]
+        same = table.take(row[:n] + codes.take(at[:n] + t, mode="clip"))
+        vertical = same | d
+        horizontal = (((same & u) + u) ^ u) | same
+        plus, minus = d | ~(horizontal | u), u & horizontal
+        score[:n] += (plus >> top[:n] & one).astype(np.int64) - (minus >> top[:n] & one).astype(np.int64)
+        np.minimum(best[:n], score[:n], out=best[:n])
+        plus, minus = plus << one, minus << one
+        up[:n], down[:n] = minus | ~(vertical | plus), plus & vertical
+    out = np.empty_like(best)
+    out[order] = best
+    return out
+
+
+def _near(items: Items, codes: np.ndarray, item: np.ndarray, begin: np.ndarray, percent: int) -> np.ndarray:
+    """Which candidates may be within the bound: the distances of an item's blocks, each where it can lie, add up to no more.
+
+    Different characters may have equal codes and text beyond the document is
+    compared too; both make the sum smaller only, so no match is lost.
+    """
+    left = np.arange(len(item))
+    total = np.zeros(len(item), np.int64)
+    length = np.asarray([len(x) for x in items.codes], np.int64)
+    edits, blocks = length * percent // 100, -(-length // BLOCK)
+    done = []
+    for j in range(int(blocks[item].max(initial=0))):
+        last = blocks[item[left]] <= j
+        done.append(left[last])
+        left = left[~last]
+        if not len(left):
+            break
+        used, pattern = np.unique(item[left], return_inverse=True)
+        a, b = length[used] * j // blocks[used], length[used] * (j + 1) // blocks[used]
+        patterns = [items.codes[i][x:y] for i, x, y in zip(used.tolist(), a.tolist(), b.tolist(), strict=True)]
+        k = edits[item[left]]
+        low = begin[left] + a[pattern] - k
+        size = (b - a)[pattern] + 2 * k + np.maximum(1, k)
+        size += np.minimum(low, 0)
+        total[left] += least_distances(patterns, pattern, codes, np.maximum(low, 0), np.maximum(size, 0))
+        left = left[total[left] <= k]
+    return np.sort(np.concatenate([*done, left]))
 
 
 def best_passage(item: str, text: str) -> tuple[int, int, int]:
@@ -192,30 +302,27 @@ def least_distance(item: str, text: str) -> int:
     return best
 
 
-def _verify(items: Items, found: set[tuple[int, int]], words: list[str], percent: int) -> dict[int, tuple[int, int, int]]:
+def _verify(items: Items, found: list[tuple[int, int]], text: str, percent: int) -> dict[int, tuple[int, int, int]]:
     """{item: (distance, first word, last word)} of one document's passages within the bound; the closest, then the first."""
     out: dict[int, tuple[int, int, int]] = {}
-    done: set[tuple[int, int]] = set()
-    for item, p in sorted(found):
-        m, joined = len(items.words[item]), items.joined[item]
-        slack = max(2, m // 4)
-        best = out.get(item)
+    for item, place in found:
+        joined = items.joined[item]
+        edits = len(joined) * percent // 100
+        width, best = max(1, edits), out.get(item)
         if best and best[0] == 0:
             continue
-        if words[max(p, 0) : p + m] == items.words[item] and p >= 0:
-            out[item] = (0, p, p + m)
-            continue
-        if (item, p // slack) in done:
-            continue  # the passage around was compared, a slack to either side
-        done.add((item, p // slack))
-        low = max(0, p // slack * slack - slack)
-        segment = words[low : p // slack * slack + m + 2 * slack]
-        if 100 * least_distance(joined, " ".join(segment)) > percent * len(joined):
-            continue
-        distance, begin, end = best_passage(joined, " ".join(segment))
-        if best is None or distance < best[0]:
-            ends = np.cumsum([len(w) + 1 for w in segment])
-            out[item] = (distance, low + int(np.searchsorted(ends, begin, "right")), low + 1 + int(np.searchsorted(ends, max(begin, end - 1), "right")))
+        # The item begins in this stretch if it has no edits before the shared key, else up to its edits to either side.
+        low = max(0, place * width - edits)
+        segment = text[low : max(0, (place + 1) * width + len(joined) + edits)]
+        at = segment.find(joined)
+        if at >= 0:
+            distance, begin, end = 0, at, at + len(joined)
+        else:
+            least = least_distance(joined, segment) if edits else 1
+            if least > edits or best and least >= best[0]:
+                continue
+            distance, begin, end = best_passage(joined, segment)
+        out[item] = (distance, text.count(" ", 0, low + begin), 1 + text.count(" ", 0, low + max(begin, end - 1)))
     return out
 
 
@@ -228,22 +335,16 @@ def _matches_of_block(docs: DataFrame, items: Items, percent: int, slice_bytes:
             for part in slices(batch, "text", slice_bytes):
                 raw, offsets = flat_bytes(part.column("text"))
                 begin, end, n = word_spans(raw, offsets)
-                word = span_hashes(prefix_sums(raw), begin, end)
-                first = np.cumsum(n) - n
-                by_doc: dict[int, set[tuple[int, int]]] = {}
-                for item, p in _candidates(items, word, n):
-                    # The window may begin before its document does, where the item's start is missing.
-                    doc = int(np.searchsorted(first, max(p, 0), "right")) - 1
-                    for d in (doc, doc + 1):
-                        if 0 <= d < len(n) and n[d] and p - first[d] > -len(items.words[item]) and p < first[d] + n[d]:
-                            by_doc.setdefault(d, set()).add((item, int(p - first[d])))
-                data, rows = raw.tobytes(), []
-                for d, found in sorted(by_doc.items()):
-                    a, k = int(first[d]), int(n[d])
-                    words = [data[x:y].lower().decode(errors="replace") for x, y in zip(begin[a : a + k].tolist(), end[a : a + k].tolist(), strict=True)]
+                flat, first = normalized(raw, begin, end)
+                length = int((end - begin).sum()) + len(begin)
+                word = np.cumsum(n) - n
+                edges = np.append(first, length)[np.append(word, len(begin))]
+                rows = []
+                for d, found in _candidates(items, flat, length, edges, percent).items():
+                    a, low = int(word[d]), int(offsets[d])
+                    text = flat[edges[d] : edges[d + 1] - 1].tobytes().decode(errors="replace")
                     doc_id = part.column("doc_id")[d].as_py()
-                    for item, (distance, b, e) in sorted(_verify(items, found, words, percent).items()):
-                        low = int(offsets[d])
+                    for item, (distance, b, e) in sorted(_verify(items, found, text, percent).items()):
                         rows.append((doc_id, items.ids[item], distance, len(items.joined[item]), int(begin[a + b]) - low, int(end[a + e - 1]) - low))
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "item_chars", "start", "end"])
@@ -266,6 +367,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 20, block
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        part = _matches_of_block(docs, build(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows)), percent, slice_bytes)
+        part = _matches_of_block(docs, build(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows), percent), percent, slice_bytes)
         out = part if out is None else out.unionByName(part)
     return out

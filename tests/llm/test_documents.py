@@ -295,6 +295,44 @@ def test_least_distance_is_the_edit_distance():
             assert decontaminate.best_passage(a, b)[0] == min(row)
 
 
+def mistyped(rng, text, edits):
+    out = list(text)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(out)), rng.randrange(3)
+        out[at : at + (kind != 1)] = [rng.choice("abcdefghijklmnopqrstuvwxyz")] if kind < 2 else []
+    return "".join(out)
+
+
+def test_decontamination_finds_character_edits_up_to_the_bound(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    plain = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, plain(rng.choice((12, 18, 30, 55)))) for k in range(80)]
+    for percent, least in ((5, 80), (10, 80), (15, 80), (20, 76)):
+        rows = [(k, f"{plain(40)} {mistyped(rng, t, len(t) * percent // 100)} {plain(40)}") for k, t in items]
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, rows), benchmark(spark, items)).collect()}
+        want = {(d, i) for d, text in rows for i, t in items if d == i and 100 * decontaminate.least_distance(t, text) <= 20 * len(t)}
+        assert len(want) >= 79 and got <= want and len(got) >= least, (percent, len(got), len(want))
+
+
+def test_decontamination_finds_short_items_and_texts_without_spaces(spark):
+    rng = random.Random(9)
+    signs = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(400))
+    items = [(0, "ab"), (1, "quokka jumps"), (2, signs[100:160]), (3, "zebra")]
+    rows = [(0, "x ab y"), (1, "the quokka jumqs high"), (2, signs[:120] + "\u3042\u3044" + signs[122:]), (3, "one zebra"), (4, "nothing else here"), (5, "")]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, rows), benchmark(spark, items)).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3)}
+
+
+def test_least_distances_equal_those_of_single_pairs():
+    rng = np.random.default_rng(10)
+    patterns = [rng.integers(0, 4, n).astype(np.uint8) for n in (1, 7, 60, 64)]
+    text = rng.integers(0, 4, 500).astype(np.uint8)
+    low, size, pattern = rng.integers(0, 400, 50), rng.integers(0, 100, 50), rng.integers(0, 4, 50)
+    got = decontaminate.least_distances(patterns, pattern, text, low, size)
+    assert got.tolist() == [decontaminate.least_distance(bytes(patterns[p]).decode(), bytes(text[a : a + n]).decode()) for p, a, n in zip(pattern, low, size, strict=True)]
+
+
 def labelled(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
