@@ -17,9 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quarry.llm.common import flat_bytes, slices, texts
+from quarry.llm.common import flat_bytes, slices, stored, texts
 
 UNIT = 192
 #: Frames are at most this many blocks wide and high (65,535 pixels by the format); longer payloads take several frames.
@@ -374,5 +373,5 @@ def media_features(media: DataFrame, slice_bytes: int = 3 << 20) -> DataFrame:
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """The stored form and features of each document's text."""
-    return media_features(with_media(docs).select(F.col("doc_id"), "n_bytes", "media"))
+    """The stored form and features of each document's text: images are written as a table, features come from what is read back."""
+    return media_features(stored(with_media(docs), "media"))

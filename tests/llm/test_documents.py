@@ -243,6 +243,13 @@ def test_line_dedup_of_odd_rows(spark, odd):
     assert texts[(1, "")] == 1 and texts[(7, "two words")] == 2 and texts[(3, "")] == 1 and texts[(None, "no id here")] == 1
 
 
+def test_media_features_come_from_stored_images(spark):
+    df = media.media_digest(frame(spark, [(1, "some text"), (2, None), (3, "more " * 300)]))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and re.search(r"parquet.*media", plan)
+    assert {r["doc_id"]: r["payload_bytes"] >= r["n_bytes"] for r in df.collect()} == {1: True, 2: True, 3: True}
+
+
 def benchmark(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string")
 
