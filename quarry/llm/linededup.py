@@ -1,34 +1,47 @@
 """Line deduplication as an exact set-similarity join, in DataFrame expressions alone.
 
 A line's tokens are its runs of five words; lines of fewer words are left
-alone. Tokens have one order over all lines, rare before frequent: tokens that
-many prefixes share come last, others follow their hash. Two sets whose Jaccard
-similarity reaches the threshold share a token within their prefixes, so only
-such lines meet, behind the length, positional and symmetric-difference
-bounds, and are verified on full sets. A line goes if any earlier line (by
-doc_id, then place) is as similar. Lines with equal sets are settled by
-grouping; of the others, each meets the earliest line of its tokens first, and
-only lines that found no match meet the rest.
+alone. A line goes if any earlier line (by doc_id, then place) reaches the
+Jaccard threshold. Two such sets share a token within their prefixes, whatever
+order of all tokens the prefixes follow, and that is used twice:
+
+1. Lines with equal sets are settled by grouping.
+2. Prefixes in hash order need no statistics. A token that two lines' prefixes
+   share gives a pair; of one that more share, each line meets the earliest
+   line. Lines without a match that share such a token with more lines remain.
+3. Remaining lines meet all lines of the tokens that fewer than FREQUENT
+   prefixes share.
+4. Lines whose prefix holds a token that more share: all their tokens are
+   counted and put in order, rare before frequent, and the prefixes in that
+   order meet. So a passage that very many lines hold costs its count, not its
+   square.
+
+Pairs meet behind length, positional and symmetric-difference bounds and are
+verified on full sets.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import stored
 
 WORDS = 5
-#: Rows up to which a table of a few numbers a row is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
-#: Tokens of this many prefixes count as frequent; the most frequent ones, at most so many, are placed last.
-FREQUENT, FREQUENT_TOKENS = 64, 4096
+#: Bytes up to which a stored table of fixed-width columns is broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
+#: A token of so many prefixes is frequent: its lines meet by prefixes in order of rarity instead.
+FREQUENT = 64
+FACTS = ["n", "s0", "s1"]
 REF = ["doc", "tid", "line_no"]
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast a stored table if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast a stored table of numbers and arrays of numbers if its bytes, counted at 8 a value and 16 a row, allow it."""
+    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    values = F.lit(2 + len(df.columns)) + sum((F.size(c) for c in arrays), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(8 * values)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -52,139 +65,139 @@ def _tokens(lines: DataFrame, *keys: str) -> DataFrame:
     return hashes.select(*keys, F.when(F.size("words") >= WORDS, F.sort_array(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>")).alias("tokens"))
 
 
+def _overlap(a: Column, b: Column, percent: int) -> Column:
+    """Tokens that sets of these sizes must share at least."""
+    return F.floor((percent * (a + b) + 99 + percent) / (100 + percent)).cast("int")
+
+
 def _prefix_size(n: Column, percent: int) -> Column:
+    """Tokens of a set of which one is shared with every smaller set that reaches the threshold."""
     return (n - F.floor((percent * n + 99) / 100) + 1).cast("int")
 
 
+def _short_size(n: Column, percent: int) -> Column:
+    """The same for larger sets, which must share more."""
+    return (n - _overlap(n, n, percent) + 1).cast("int")
+
+
+def _parity(lane: int) -> Column:
+    """One of two numbers whose bits are the parities of the tokens that fall on them: sets differ in at least as many tokens as bits."""
+    zero = F.lit(0).cast("long")
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate("tokens", zero, lambda acc, t: acc.bitwiseXOR(F.when((t < 0) == F.lit(lane == 0), bit(t)).otherwise(zero)))
+
+
 def _described(tokens: DataFrame, percent: int) -> DataFrame:
-    """What each line brings to the join: size, digests of its set, and its prefix in hash order."""
+    """What each line brings to the join: an id, size, digests and sketch of its set, and its prefix in hash order."""
     n = F.size("tokens")
-    return tokens.select(
-        *REF, n.alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64("tokens", F.lit(1)).alias("k2"), F.slice("tokens", F.lit(1), _prefix_size(n, percent)).alias("prefix")
-    )
+    prefix = F.slice("tokens", F.lit(1), _prefix_size(n, percent))
+    digests = F.xxhash64("tokens").alias("k1"), F.xxhash64("tokens", F.lit(1)).alias("k2")
+    return tokens.select(F.monotonically_increasing_id().alias("id"), *REF, n.alias("n"), *digests, _parity(0).alias("s0"), _parity(1).alias("s1"), prefix.alias("prefix"))
+
+
+def _heads(lines: DataFrame) -> DataFrame:
+    """k1, k2 and the first line (h_doc, h_tid, h_line) of each group of equal sets. A large group is combined before the shuffle."""
+    groups = lines.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c > 1").select("k1", "k2", "doc")
+    firsts = lines.join(small(stored(groups, "groups")), ["k1", "k2", "doc"]).groupBy("k1", "k2", "doc").agg(F.min(F.struct("tid", "line_no")).alias("at"))
+    return stored(firsts.select("k1", "k2", F.col("doc").alias("h_doc"), F.col("at.tid").alias("h_tid"), F.col("at.line_no").alias("h_line")), "heads")
 
 
-def _full_tokens(documents: DataFrame, refs: DataFrame) -> DataFrame:
-    """id, tokens and n of the lines in refs, from their texts."""
+def _sets(documents: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and tokens of the lines in ids (repeats count once), from their texts."""
+    refs = stored(lines.select("id", *REF).join(small(stored(ids.distinct(), "ids")), "id", "left_semi"), "refs")
     of = small(stored(refs.select("doc", "tid").distinct(), "docs"))
-    lines = _lines(documents.join(of, ["doc", "tid"], "left_semi")).join(small(refs), REF)
-    return _tokens(lines, "id").select("id", "tokens", F.size("tokens").alias("n"))
+    wanted = _lines(documents.join(of, ["doc", "tid"], "left_semi")).join(small(refs), REF)
+    return stored(_tokens(wanted, "id").select("id", "tokens"), "sets")
 
 
-def _facts(sets: DataFrame) -> DataFrame:
-    """id, n and sketch of each set.
+def _side(df: DataFrame, s: str) -> DataFrame:
+    return df.select(*[F.col(c).alias({"id": s}.get(c, c if c == "token" else f"{c}_{s}")) for c in df.columns])
 
-    The sketch has 256 bits, each the parity of the tokens that fall on it, in
-    four numbers: two sets differ in at least as many tokens as sketches in bits.
-    """
-    tokens = sets.select("id", "n", F.explode("tokens").alias("t"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t").bitwiseAND(F.lit(63)).cast("int"))
-    lane = F.shiftright("t", 6).bitwiseAND(F.lit(3))
-    parts = [F.bit_xor(F.when(lane == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(4)]
-    return tokens.groupBy("id", "n").agg(*parts).select("id", "n", F.struct(*[f"s{k}" for k in range(4)]).alias("sketch"))
 
+def _may_match(percent: int) -> Column:
+    """Line b is earlier than a, and neither the sizes nor the symmetric difference rule the pair out."""
+    n, m = F.col("n_a"), F.col("n_b")
+    earlier = F.struct(*[f"{c}_b" for c in REF]) < F.struct(*[f"{c}_a" for c in REF])
+    differing = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(2)), F.lit(0))
+    return (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differing <= (100 - percent) * (n + m)) & earlier
 
-def _numbered(refs: DataFrame, floor: int = 0) -> DataFrame:
-    """refs with an id whose order is theirs: rows are range-partitioned and sorted, and ids grow within and over partitions."""
-    return stored(refs.orderBy(*REF).withColumn("id", F.monotonically_increasing_id() + floor), "refs")
 
+def _meet(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of lines of x and earlier ones of y that share a token of their prefixes and may match. Both have id, REF, FACTS, place, token.
 
-def _may_match(percent: int, overlap: Column | None = None) -> Column:
-    """Line b is earlier, and neither the sizes nor the symmetric difference rule the pair out; nor the overlap that can still come."""
-    n, m = F.col("n_a"), F.col("n_b")
-    differing = sum((F.bit_count(F.col(f"sketch_a.s{k}").bitwiseXOR(F.col(f"sketch_b.s{k}"))) for k in range(4)), F.lit(0))
-    out = (F.col("b") < F.col("a")) & (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differing <= (100 - percent) * (n + m))
-    return out if overlap is None else out & ((100 + percent) * overlap >= percent * (n + m))
+    The overlap that can still come is this token and all behind it; in the
+    smaller set the token lies in the part of the prefix that larger sets need.
+    """
+    still = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    reach = F.when(F.col("n_a") < F.col("n_b"), F.col("place_a") < _short_size(F.col("n_a"), percent)).otherwise(F.col("place_b") < _short_size(F.col("n_b"), percent))
+    near = (still >= _overlap(F.col("n_a"), F.col("n_b"), percent)) & reach & _may_match(percent)
+    return stored(_side(x, "a").join(_side(y, "b"), "token").where(near).select("a", "b").distinct(), "pairs")
 
 
-def _named(df: DataFrame, s: str) -> DataFrame:
-    return df.select(*[F.col(c).alias({"id": s}.get(c, c if c in ("token", "tokens") else f"{c}_{s}")) for c in df.columns])
+def _ordered(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ids, in any order, as (later, earlier), if they may match."""
+    both = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    facts = lines.select("id", *REF, *FACTS)
+    a = stored(_side(facts, "a").join(small(both), "a"), "met")
+    return stored(_side(facts, "b").join(small(a), "b").where(_may_match(percent)).select("a", "b").distinct(), "pairs")
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Later lines (a) of pairs whose full sets reach the threshold."""
-    pairs = stored(pairs, "pairs")
-    earlier = small(stored(pairs.select("b").distinct(), "earlier"))
-    x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")).join(small(pairs), "a")
-    y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")).join(earlier, "b", "left_semi")
-    both = x.join(y, "b").select("a", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
-    return both.where(100 * F.col("common") >= percent * (F.col("all") - F.col("common"))).select("a").distinct()
+    """id of the later lines (a) of pairs whose full sets reach the threshold."""
+    x, y = (sets.select(F.col("id").alias(s), F.col("tokens").alias(f"t_{s}")) for s in "ab")
+    both = x.join(small(pairs), "a").join(y, "b").select("a", F.size(F.array_intersect("t_a", "t_b")).alias("common"), (F.size("t_a") + F.size("t_b")).alias("all"))
+    return both.where(100 * F.col("common") >= percent * (F.col("all") - F.col("common"))).select(F.col("a").alias("id")).distinct()
+
+
+def _rarest_first(sets: DataFrame, percent: int) -> DataFrame:
+    """id, place and token of each set's prefix, its tokens in the order of their counts over these sets.
+
+    A token that one set alone has comes first and meets nothing, so only its
+    place counts.
+    """
+    each = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = stored(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    ranked = each.join(small(counts), "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("tokens"))
+    alone = F.col("n") - F.size("tokens")
+    left = F.greatest(F.lit(0), _prefix_size(F.col("n"), percent) - alone)
+    prefix = ranked.select("id", alone.alias("alone"), F.slice("tokens", F.lit(1), left).alias("prefix"))
+    return prefix.select("id", "alone", F.posexplode("prefix").alias("k", "x")).select("id", (F.col("alone") + F.col("k")).alias("place"), F.col("x.token").alias("token"))
 
 
 def removed_lines(documents: DataFrame, percent: int) -> DataFrame:
     """doc, tid, line_no of every line that some earlier line matches."""
     lines = stored(_described(_tokens(_lines(documents), *REF), percent), "lines").where("n > 0")
-    # Equal sets: all but the first go.
-    repeated = small(stored(lines.groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").select("k1", "k2"), "repeated"))
-    members = lines.select(*REF, "k1", "k2").join(repeated, ["k1", "k2"])
-    firsts = members.groupBy("k1", "k2").agg(F.min(F.struct(*REF)).alias("first"))
-    exact = stored(members.join(firsts, ["k1", "k2"]).where(F.struct(*REF) != F.col("first")).select(*REF).distinct(), "exact")
-    distinct = lines.select(*REF, "n", "prefix").join(small(exact), REF, "left_anti")
-    # Prefixes in hash order: only tokens that two prefixes share matter, and only their lines.
-    shared = stored(distinct.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "shared")
-    entries = distinct.select(*REF, F.posexplode("prefix").alias("place", "token"))
-    entries = stored(entries.join(small(shared), "token", "left_semi"), "entries")
-    refs = _numbered(entries.select(*REF).distinct())
-    sets = stored(_full_tokens(documents, refs), "sets")
-    entries = entries.join(small(refs), REF).select("id", "token", "place")
-    frequent = [r["token"] for r in shared.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "token").limit(FREQUENT_TOKENS).collect()]
-    if frequent:
-        entries, sets, refs = _rarest_first(documents, distinct, entries, sets, refs, frequent, percent)
-    facts = stored(_facts(sets), "facts")
-    entries = stored(entries.join(facts.hint("merge"), "id"), "entries")
-    # Each line meets the earliest line of its tokens.
-    first = entries.groupBy("token").agg(F.min("id").alias("b"))
-    met = entries.select("token", F.col("id").alias("a")).join(first, "token").where("a <> b").select("a", "b").distinct()
-    near = met.join(_named(facts, "a"), "a").join(_named(facts, "b"), "b").where(_may_match(percent)).select("a", "b")
-    matched = stored(_matched(near, sets, percent), "matched")
-    # Lines that found no match there meet all earlier lines.
-    x = _named(entries.join(small(matched.withColumnRenamed("a", "id")), "id", "left_anti"), "a")
-    overlap = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))  # this token and all behind it
-    rest = x.join(_named(entries, "b"), "token").where(_may_match(percent, overlap)).select("a", "b").distinct()
-    found = matched.unionByName(_matched(rest, sets, percent)).select(F.col("a").alias("id"))
-    return exact.unionByName(refs.join(found, "id").select(*REF))
-
-
-def _rarest_first(documents, distinct, entries, sets, refs, frequent: list[int], percent: int):
-    """New prefixes for lines whose prefix holds a frequent token: frequent tokens come last.
-
-    Prefixes without one stay as they are. A token that only a new prefix
-    shares brings in the lines that it meets.
-    """
-    listed = ", ".join(f"{t}L" if t != -(1 << 63) else "bigint('-9223372036854775808')" for t in frequent)
-    affected = stored(entries.where(F.expr(f"token IN ({listed})")).select("id").distinct(), "affected")
-    size = _prefix_size(F.col("n"), percent)
-    ranked = sets.join(small(affected), "id").select(
-        "id",
-        F.get("tokens", size - 1).alias("last"),
-        size.alias("size"),
-        F.expr(f"concat(filter(tokens, t -> t NOT IN ({listed})), filter(tokens, t -> t IN ({listed})))").alias("tokens"),
+    # Equal sets: all but the first line go.
+    with_head = lines.join(small(_heads(lines)), ["k1", "k2"], "left")
+    first = F.col("h_doc").isNull() | (F.struct(*REF) == F.struct("h_doc", "h_tid", "h_line"))
+    exact = with_head.where(~first).select(*REF)
+    # Tokens that two prefixes share, in one of them where it would do for the smaller set.
+    prefixes = with_head.where(first).select("id", "doc", "n", F.posexplode("prefix").alias("place", "token"))
+    shared = prefixes.groupBy("token").agg(
+        F.count("*").alias("c"), F.min_by("id", "doc").alias("lo"), F.max_by("id", "doc").alias("hi"), F.max(F.col("place") < _short_size(F.col("n"), percent)).alias("short")
     )
-    anew = ranked.select("id", F.posexplode(F.slice("tokens", F.lit(1), F.col("size"))).alias("place", "token"), "last")
-    anew = stored(anew.select("id", "token", "place", (F.col("token") > F.col("last")).alias("added")), "anew")
-    # Other lines' prefixes stay. A token counts once for each line whose old or new prefix has it; those in new prefixes that two lines have matter.
-    changed = small(stored(refs.join(small(affected), "id").select(*REF), "changed"))
-    before, added, stayed = (F.lit(k).cast("byte") for k in (1, 2, 4))
-    sides = distinct.select(F.explode("prefix").alias("token"), before.alias("side")).unionByName(anew.select("token", F.when(F.col("added"), added).otherwise(stayed).alias("side")))
-    counts = sides.groupBy("token").agg(F.count_if(F.col("side") < 4).alias("c"), F.bit_or("side").alias("sides")).where("c > 1 AND sides > 1")
-    counts = stored(counts.select("token", "sides"), "tokens")
-    anew = anew.join(small(counts.select("token")), "token", "left_semi").select("id", "token", "place")
-    # Tokens that stayed in a prefix were shared already, so only added ones bring in further lines.
-    met = small(counts.where("sides = 3").select("token"))
-    others = distinct.select(*REF, F.posexplode("prefix").alias("place", "token")).join(met, "token", "left_semi")
-    others = stored(others.join(changed, REF, "left_anti"), "others")
-    entries = entries.join(small(affected), "id", "left_anti").unionByName(anew)
-    late = stored(others.select(*REF).distinct().join(small(refs), REF, "left_anti"), "late")
-    if late.limit(1).count():
-        # Ids of these lines must keep the order of all, so all are numbered again.
-        old = refs.withColumnRenamed("id", "old")
-        refs = _numbered(refs.select(*REF).unionByName(late))
-        moved = small(stored(old.join(refs, REF).select("old", "id"), "moved"))
-        entries = entries.withColumnRenamed("id", "old").join(moved, "old").select("id", "token", "place")
-        more = stored(refs.join(small(late), REF, "left_semi"), "more")
-        sets = sets.withColumnRenamed("id", "old").join(moved, "old").select("id", "tokens", "n").unionByName(stored(_full_tokens(documents, more), "sets"))
-    entries = entries.unionByName(others.join(small(refs), REF).select("id", "token", "place")).distinct()
-    return entries, sets, refs
+    shared = stored(shared.where("c > 1 AND short").select("token", "c", "lo", "hi"), "shared")
+    two = shared.where("c = 2 AND lo <> hi").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
+    many = stored(shared.where("c > 2 OR lo = hi").select("token", (F.col("c") >= FREQUENT).alias("frequent"), F.col("lo").alias("b")), "many")
+    entries = stored(prefixes.select("id", "place", "token").join(small(many), "token"), "entries")
+    met = entries.where("id <> b").select(F.col("id").alias("a"), "b")
+    pairs = _ordered(two.unionByName(met).distinct(), lines, percent)
+    among = entries.where("frequent").select("id").distinct()
+    sets = _sets(documents, lines, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(among))
+    matched = stored(_matched(pairs, sets, percent), "matched")
+    # Lines without a match that share a token with several lines, not as its earliest, meet all of its lines.
+    open_ = stored(met.select(F.col("a").alias("id")).distinct().join(small(matched), "id", "left_anti"), "open")
+    if open_.limit(1).count():
+        facts = stored(lines.select("id", *REF, *FACTS).join(small(stored(entries.select("id").distinct(), "members")), "id", "left_semi"), "facts")
+        rare = entries.where("NOT frequent").select("id", "place", "token").join(small(facts), "id")
+        rest = _meet(rare.join(small(open_), "id", "left_semi"), rare, percent)
+        order = stored(_rarest_first(sets.join(small(stored(among, "among")), "id", "left_semi"), percent), "order").join(small(facts), "id")
+        rest = stored(rest.unionByName(_meet(order.join(small(open_), "id", "left_semi"), order, percent)).distinct(), "pairs")
+        ids = rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))).distinct()
+        more = _sets(documents, lines, ids.join(sets.select("id"), "id", "left_anti"))
+        matched = matched.unionByName(_matched(rest, sets.unionByName(more), percent)).distinct()
+    found = small(stored(matched, "found"))
+    return exact.unionByName(lines.select("id", *REF).join(found, "id").select(*REF))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
