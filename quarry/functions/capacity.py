@@ -45,8 +45,8 @@ def baseline_bytes(tensors: Column, output_bytes: Column, offset: Column, coeffs
 
 
 def predict_vram(weights: Column, projector: Column, kv: Column, graph: Column, baseline: Column) -> Column:
-    """Sum of the parts, at least 0, rounded half to even."""
-    return round_even(F.greatest(F.lit(0.0), weights + projector + kv + graph + baseline))
+    """Sum of the parts, rounded half to even; null where a part is unknown, but for a projector, which counts as none."""
+    return round_even(weights + F.coalesce(projector, F.lit(0.0)) + kv + graph + baseline)
 
 
 def decode_tps(weight_bytes: Column, layers: Column, bw_gbs: Column, per_layer: Column, fixed: Column, factor: Column) -> Column:
@@ -55,6 +55,11 @@ def decode_tps(weight_bytes: Column, layers: Column, bw_gbs: Column, per_layer:
     return F.when(t > 0, factor / t)
 
 
+def prefill_tps(tflops: Column, derate: Column, active_params: Column) -> Column:
+    """Prompt tokens a second: two operations a parameter; null without arithmetic figures or parameters."""
+    return F.try_divide(falsy(tflops) * derate * 1e12, 2 * falsy(active_params))
+
+
 def ceiling_tps(bw_gbs: Column, weight_bytes: Column) -> Column:
     return F.try_divide(bw_gbs * 1e9, weight_bytes)
 
@@ -79,11 +84,16 @@ def context_score(ctx: Column) -> Column:
 
 
 def size_prior(active: Column, params: Column, quant: Column) -> Column:
-    """Capability to expect of a size and a format."""
+    """Capability to expect of a size and a format; an unknown size counts as the least."""
     size = F.greatest(F.lit(1e8), F.coalesce(falsy(active), params).cast("double"))
     return clip((F.log10(size) - 8) / 3) * 0.72 + lookup(quant, tables.QUANT_QUALITY, tables.QUANT_QUALITY_DEFAULT) * 0.28
 
 
+def speed_factor(quant: Column, factors: Column) -> Column:
+    """A device's factor of exactly this format; 1 where it has none."""
+    return F.coalesce(F.try_element_at(factors, quant), F.lit(1.0))
+
+
 def quant_factor(quant: Column, table: dict[str, float] = tables.QUANT_FACTORS, default: float | None = None) -> Column:
     """Exact key, else the longest key whose part before the underscore begins the name, else the default."""
     name = F.upper(F.coalesce(F.nullif(quant, F.lit("")), F.lit("UNKNOWN")))

@@ -23,7 +23,13 @@ def falsy(x: Column) -> Column:
 
 
 def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """Null stays null: greatest and least alone would skip it."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
+def at_least(low, x: Column) -> Column:
+    """x, but not under low; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), x))
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
@@ -34,13 +40,6 @@ def lookup(key: Column, table: dict, default=None) -> Column:
     return out
 
 
-def first_match(text: Column, rules: list[tuple[str, tuple[str, ...]]]) -> Column:
-    """Name of the first rule with a substring of text; null where none has."""
-    out = F.lit(None).cast("string")
-    for name, parts in reversed(rules):
-        out = F.when(_any(text, parts), F.lit(name)).otherwise(out)
-    return out
-
 
 def _any(text: Column, parts: tuple[str, ...]) -> Column:
     out = F.lit(False)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarry import tables
-from quarry.functions.numeric import any_substring
+from quarry.functions.numeric import any_substring, lookup
 
 
 def squeeze(x: Column) -> Column:
@@ -64,6 +68,22 @@ def normalize_code(code: Column, aliases: dict[str, str], placeholders: tuple[st
     return F.when(~plain.isin(*placeholders), out)
 
 
+def normalize_quant(value: Column, tag: Column) -> Column:
+    """Name of a stored format: a type number's, else the value's, else that of the format token within the tag, else null."""
+    text = F.trim(F.coalesce(value.cast("string"), F.lit("")))
+    numbered = lookup(text, {str(k): v for k, v in tables.FILE_TYPES.items()})
+    named = normalize_code(text, {"FP16": "F16", "FLOAT16": "F16", "FP32": "F32", "FLOAT32": "F32"}, tuple(w.upper() for w in tables.NO_FORMAT))
+    token = F.nullif(F.regexp_extract(F.coalesce(tag, F.lit("")), tables.TAG_FORMAT, 1), F.lit(""))
+    return F.coalesce(numbered, named, F.when(F.lower(token) == "fp16", "F16").otherwise(F.upper(token)))
+
+
+def plain_number(x: Column) -> Column:
+    """Six significant digits without trailing zeros: 7, 0.5, 1.55."""
+    digits = F.when(x == 0, F.lit(0)).otherwise(F.least(F.lit(12), F.greatest(F.lit(0), 5 - F.floor(F.log10(F.abs(x)))))).cast("int")
+    text = F.format_string("%.12f", F.round(x * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits))
+    return F.when(x.isNotNull(), F.regexp_replace(F.regexp_replace(text, r"0+$", ""), r"\.$", ""))
+
+
 def clean_repo(url: Column, host: str = "huggingface.co") -> Column:
     """owner/name of an http(s) address on exactly this host; null otherwise."""
     path = F.trim(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
@@ -154,22 +174,66 @@ def has_token(name: Column, token: str) -> Column:
     return F.replace(F.upper(name), F.lit("_"), F.lit(" ")).rlike(rf"(^|[^A-Z0-9]){token}([^A-Z0-9]|$)")
 
 
-def unescape_html(x: Column) -> Column:
-    """The entities that pages use in texts; the ampersand last, so nothing is read twice."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(entity), F.lit(char))
-    return x
+@F.pandas_udf(StringType())
+def unescape_html(x: pd.Series) -> pd.Series:
+    """All named and numbered entities, once each; the table is the standard library's."""
+    return x.map(html.unescape, na_action="ignore")
+
+
+def format_duration(seconds: Column) -> Column:
+    """2h05m09s, 5m09s or 9s; a question mark for less than nothing or no number."""
+    s = F.bround(seconds, 0).cast("long")
+    h, m, r = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
+    return (
+        F.when(seconds.isNull() | F.isnan(seconds) | (seconds < 0), "?").when(h > 0, F.format_string("%dh%02dm%02ds", h, m, r)).when(m > 0, F.format_string("%dm%02ds", m, r)).otherwise(F.format_string("%ds", r))
+    )
+
+
+def format_date(at: Column) -> Column:
+    """Mar 4, 2025; a dash for none."""
+    return F.coalesce(F.date_format(at, "MMM d, yyyy"), F.lit("—"))
+
+
+def params_headline(params: Column, active: Column, outside: Column) -> Column:
+    """Active and all parameters where embeddings outside the device make a difference of a tenth, else all."""
+    split = (F.coalesce(outside, F.lit(0)) != 0) & (params > F.coalesce(active, F.lit(0)) * 1.1)
+    return F.when(split, F.concat(format_params(active), F.lit(" effective · "), format_params(params), F.lit(" with embeddings"))).otherwise(F.concat(format_params(params), F.lit(" parameters")))
 
 
-def textarea(html: Column, ident: str) -> Column:
-    return F.trim(unescape_html(F.regexp_extract(html, rf"(?is)<textarea\b[^>]*\bid=[\"']{ident}[\"'][^>]*>(.*?)</textarea\s*>", 1)))
+def signal_label(signal: Column) -> Column:
+    return F.coalesce(lookup(signal, tables.SIGNAL_LABELS), signal)
 
 
-def page_copy(html: Column, site: str, description_chars: int = 255, readme_chars: int = 100_000) -> tuple[Column, Column]:
+def fit_label(fit: Column) -> Column:
+    return lookup(fit, tables.FIT_LABELS)
+
+
+def short_device(name: Column) -> Column:
+    """A device's name without its maker's."""
+    return F.regexp_replace(name, "NVIDIA GeForce |NVIDIA |Apple ", "")
+
+
+def safe_url(url: Column, site: str) -> Column:
+    """The address if it is http(s), whole if it is one of the site's own pages or files; else null."""
+    plain = F.replace(F.trim(F.coalesce(url, F.lit(""))), F.lit("&amp;"), F.lit("&"))
+    own = F.startswith(plain, F.lit("/assets/")) | F.startswith(plain, F.lit("/library/"))
+    return F.when(plain.rlike("(?i)^https?://"), plain).when(own, F.concat(F.lit(site), plain))
+
+
+def parse_timestamp(x: Column) -> Column:
+    """2025-01-31T09:05:00Z or with +00:00 at its end; null for anything else."""
+    return F.try_to_timestamp(F.regexp_replace(x, r"(Z|\+00:00)$", ""), F.when(x.rlike(r"(Z|\+00:00)$"), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+
+
+def textarea(page: Column, ident: str) -> Column:
+    return F.trim(unescape_html(F.regexp_extract(page, rf"(?is)<textarea\b[^>]*\bid=[\"']{ident}[\"'][^>]*>(.*?)</textarea\s*>", 1)))
+
+
+def page_copy(page: Column, site: str, description_chars: int = 255, readme_chars: int = 100_000) -> tuple[Column, Column]:
     """Description (meta tag, else summary field) and readme of a page; addresses within the site become whole."""
-    meta = F.trim(unescape_html(F.regexp_extract(html, r"(?is)<meta\s[^>]*name=[\"']description[\"'][^>]*content=\"([^\"]*)\"", 1)))
-    description = F.when(meta != "", meta).otherwise(textarea(html, "summary-textarea"))
-    readme = F.regexp_replace(F.regexp_replace(textarea(html, "editor"), r"(\]\()(/assets/)", rf"$1{site}/assets/"), r"(src=[\"'])(/assets/)", rf"$1{site}/assets/")
+    meta = F.trim(unescape_html(F.regexp_extract(page, r"(?is)<meta\s[^>]*name=[\"']description[\"'][^>]*content=\"([^\"]*)\"", 1)))
+    description = F.when(meta != "", meta).otherwise(textarea(page, "summary-textarea"))
+    readme = F.regexp_replace(F.regexp_replace(textarea(page, "editor"), r"(\]\()(/assets/)", rf"$1{site}/assets/"), r"(src=[\"'])(/assets/)", rf"$1{site}/assets/")
     return F.rtrim(F.substring(description, 1, description_chars)), F.rtrim(F.substring(readme, 1, readme_chars))
 
 
@@ -179,3 +243,10 @@ def size_class(params: Column) -> Column:
     for name, below in tables.SIZE_CLASSES:
         out = out.when(params < below, F.lit(name))
     return out.otherwise(F.lit("frontier"))
+
+
+def page_links(pages, key: str, html_column: str, prefix: str):
+    """Distinct last parts of links on a page to prefix/name: names of a library, or tags of a model with its name and a colon as prefix."""
+    literal = "".join(c if c.isalnum() or c in "/_-:" else "\\" + c for c in prefix)
+    found = F.regexp_extract_all(html_column, F.lit(f'href="{literal}([^"/]+)"'), F.lit(1))
+    return pages.select(key, F.explode(found).alias("link")).distinct()

@@ -128,3 +128,31 @@ def exact_matches(responses: DataFrame, host: str = "huggingface.co") -> DataFra
     m = responses.select("digest", F.explode("matches").alias("m")).where("m.source = 'hf'")
     repo = clean_repo(F.concat(F.lit(f"https://{host}/"), F.coalesce("m.org", F.lit("")), F.lit("/"), F.coalesce("m.name", F.lit(""))), host)
     return m.select("digest", repo.alias("repo"), F.col("m.commit_sha").alias("commit_sha"), F.col("m.path").alias("path")).where("repo IS NOT NULL").distinct()
+
+
+def verify_plan(decisions: DataFrame, references: DataFrame, limit: int | None = None) -> DataFrame:
+    """Likely decisions that no verdict has settled, those of most artifacts first: decision_key, repo, family, artifacts.
+
+    decisions: decision_key (unique), repo, status, method; references: digest,
+    family, decision_key.
+    """
+    waiting = decisions.where("status = 'likely' AND repo <> '' AND coalesce(method, '') <> 'semantic_verified'").select("decision_key", "repo")
+    impact = references.groupBy("decision_key").agg(F.count("*").alias("artifacts"), F.min("family").alias("family"))
+    out = waiting.join(impact, "decision_key", "left").withColumns({"artifacts": F.coalesce("artifacts", F.lit(0)), "family": F.coalesce("family", F.lit(""))})
+    out = out.select("decision_key", "repo", "family", "artifacts").orderBy(F.desc("artifacts"), "decision_key")
+    return out if limit is None else out.limit(limit)
+
+
+def search_plan(queue: DataFrame, decisions: DataFrame, limit: int | None = None) -> DataFrame:
+    """What to search for: unresolved decisions under review, those of most digests first: family, decision_key, query, digests.
+
+    queue: work_queue's rows; decisions: decision_key (unique), status, sizes,
+    modes, qualifiers. Ambiguous decisions need a review, not a search.
+    """
+    from quarry.operators.identity import search_query
+
+    d = decisions.where("status = 'unresolved'").select("decision_key", *[F.array_join(c, " ").alias(c) for c in ("sizes", "modes", "qualifiers")])
+    rows = queue.where("action = 'review_or_search'").select("family", "decision_key", "digests").join(d, "decision_key")
+    query = F.concat(F.lit("site:huggingface.co "), search_query(*[F.coalesce(c, F.lit("")) for c in ("family", "sizes", "modes", "qualifiers")]))
+    out = rows.select("family", "decision_key", query.alias("query"), "digests").orderBy(F.desc("digests"), "family", "query")
+    return out if limit is None else out.limit(limit)

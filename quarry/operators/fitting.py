@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.stats import medians
+
 
 def _centred(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
     means = df.groupBy(*by).agg(*[F.avg(c).alias(f"_m_{c}") for c in (*xs, y)])
@@ -18,18 +20,42 @@ def _centred(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str) -> Dat
     return joined.select("*", *[(F.col(c) - F.col(f"_m_{c}")).alias(f"_c_{c}") for c in (*xs, y)])
 
 
+def _plane(m: dict[str, Column]) -> tuple[Column, Column, Column]:
+    """b0, b1 and b2 from means (m1, m2, my) and centred moments (s11, s12, s22, s1y, s2y).
+
+    Where the regressors don't span a plane, of all planes that fit best the
+    one with the smallest b0^2 + b1^2 + b2^2.
+    """
+    m1, m2, my, s11, s12, s22, s1y, s2y = (m[k] for k in ("m1", "m2", "my", "s11", "s12", "s22", "s1y", "s2y"))
+    det = s11 * s22 - s12 * s12
+    full = det > 1e-12 * s11 * s22
+    f1, f2 = F.try_divide(s1y * s22 - s2y * s12, det), F.try_divide(s2y * s11 - s1y * s12, det)
+    # One direction (d1, d2) with the slope k along it, or none: the least solution of b0 + b1 m1 + b2 m2 = my and b1 d1 + b2 d2 = k.
+    line = (s11 > 0) | (s22 > 0)
+    d1, d2 = F.when(s11 > 0, 1.0).otherwise(0.0), F.when(s11 > 0, F.try_divide(s12, s11)).when(s22 > 0, 1.0).otherwise(0.0)
+    k = F.when(s11 > 0, F.try_divide(s1y, s11)).otherwise(F.coalesce(F.try_divide(s2y, s22), F.lit(0.0)))
+    p, q, r = 1 + m1 * m1 + m2 * m2, m1 * d1 + m2 * d2, d1 * d1 + d2 * d2
+    u, v = F.try_divide(my * r - k * q, p * r - q * q), F.try_divide(k * p - my * q, p * r - q * q)
+    u, v = F.when(line, u).otherwise(my / p), F.when(line, v).otherwise(F.lit(0.0))
+    least = (u, u * m1 + v * d1, u * m2 + v * d2)
+    whole = (my - f1 * m1 - f2 * m2, f1, f2)
+    return tuple(F.when(full, a).otherwise(b) for a, b in zip(whole, least, strict=True))
+
+
 def ols2(df: DataFrame, by: Sequence[str], x1: str, x2: str, y: str) -> DataFrame:
-    """y = b0 + b1 x1 + b2 x2 by group, with R2 and n; null coefficients where x1 and x2 don't span a plane."""
+    """y = b0 + b1 x1 + b2 x2 by group, with R2 (null where y is constant) and n; see _plane for regressors that span less than a plane."""
     c = _centred(df.where(F.col(x1).isNotNull() & F.col(x2).isNotNull() & F.col(y).isNotNull()), by, [x1, x2], y)
     s = {(p, q): F.sum(F.col(f"_c_{p}") * F.col(f"_c_{q}")) for p, q in ((x1, x1), (x1, x2), (x2, x2), (x1, y), (x2, y), (y, y))}
     m = c.groupBy(*by).agg(
         F.count("*").alias("n"), *[F.first(f"_m_{v}").alias(f"m_{v}") for v in (x1, x2, y)], *[v.alias(f"s{i}") for i, v in enumerate(s.values())]
-    )
-    s11, s12, s22, s1y, s2y, syy = (F.col(f"s{i}") for i in range(6))
-    det = s11 * s22 - s12 * s12
-    b1, b2 = F.try_divide(s1y * s22 - s2y * s12, det), F.try_divide(s2y * s11 - s1y * s12, det)
-    b0 = F.col(f"m_{y}") - b1 * F.col(f"m_{x1}") - b2 * F.col(f"m_{x2}")
-    return m.select(*by, "n", b0.alias("b0"), b1.alias("b1"), b2.alias("b2"), F.try_divide(b1 * s1y + b2 * s2y, syy).alias("r2"))
+    ).where("n > 0")
+    names = ("s11", "s12", "s22", "s1y", "s2y", "syy")
+    moments = {k: F.col(f"s{i}") for i, k in enumerate(names)} | {"m1": F.col(f"m_{x1}"), "m2": F.col(f"m_{x2}"), "my": F.col(f"m_{y}")}
+    b0, b1, b2 = _plane(moments)
+    rest = moments["syy"] - 2 * (F.col("b1") * moments["s1y"] + F.col("b2") * moments["s2y"])
+    rest = rest + F.col("b1") * F.col("b1") * moments["s11"] + 2 * F.col("b1") * F.col("b2") * moments["s12"] + F.col("b2") * F.col("b2") * moments["s22"]
+    fitted = m.select("*", b0.alias("b0"), b1.alias("b1"), b2.alias("b2"))
+    return fitted.select(*by, "n", "b0", "b1", "b2", (1 - F.try_divide(rest, moments["syy"])).alias("r2"))
 
 
 def ols1(df: DataFrame, by: Sequence[str], x: str, y: Column) -> DataFrame:
@@ -45,22 +71,42 @@ def anchored(df: DataFrame, by: Sequence[str], fixed: Column, x: str, y: str) ->
     return ols1(df, by, x, F.col(y) - fixed)
 
 
-def group_holdout(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """For each group the line fitted on all other groups: their moments are the total less the group's own.
+def _others(df: DataFrame, group: str, xs: Sequence[str], y: str) -> DataFrame:
+    """By group, the moments of all other groups' rows: n, means, and moments centred on those means.
 
-    One pass over the data and a window over one row a group.
+    One pass over the data; a group's moments, centred on the means of all
+    rows, are taken from the total, and then moved to the others' own means.
     """
-    means = df.agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    c = df.crossJoin(F.broadcast(means)).select(group, (F.col(x) - F.col("_mx")).alias("u"), (F.col(y) - F.col("_my")).alias("v"), "_mx", "_my")
+    names = [*xs, y]
+    means = df.agg(*[F.avg(c).alias(f"_g_{c}") for c in names])
+    c = df.crossJoin(F.broadcast(means)).select(group, *[(F.col(v) - F.col(f"_g_{v}")).alias(f"_d_{v}") for v in names], *[f"_g_{v}" for v in names])
+    products = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     own = c.groupBy(group).agg(
-        F.count("*").alias("n"), F.sum("u").alias("su"), F.sum("v").alias("sv"), F.sum(F.col("u") * F.col("u")).alias("suu"),
-        F.sum(F.col("u") * F.col("v")).alias("suv"), F.first("_mx").alias("mx"), F.first("_my").alias("my"),
+        F.count("*").alias("n"), *[F.sum(f"_d_{v}").alias(f"s_{v}") for v in names],
+        *[F.sum(F.col(f"_d_{a}") * F.col(f"_d_{b}")).alias(f"s_{a}_{b}") for a, b in products], *[F.first(f"_g_{v}").alias(f"g_{v}") for v in names],
     )
-    total = own.agg(*[F.sum(k).alias(f"t_{k}") for k in ("n", "su", "sv", "suu", "suv")])
-    r = own.crossJoin(F.broadcast(total))
-    n, su, sv, suu, suv = (F.col(f"t_{k}") - F.col(k) for k in ("n", "su", "sv", "suu", "suv"))
-    slope = F.try_divide(n * suv - su * sv, n * suu - su * su)
-    return r.select(group, n.alias("n_train"), slope.alias("slope"), (F.try_divide(sv - slope * su, n) + F.col("my") - slope * F.col("mx")).alias("intercept"))
+    sums = ["n", *[f"s_{v}" for v in names], *[f"s_{a}_{b}" for a, b in products]]
+    r = own.crossJoin(F.broadcast(own.agg(*[F.sum(k).alias(f"t_{k}") for k in sums])))
+    n = F.col("t_n") - F.col("n")
+    left = {k: F.col(f"t_{k}") - F.col(k) for k in sums}
+    mean = {v: F.try_divide(left[f"s_{v}"], n) for v in names}
+    centred = [(left[f"s_{a}_{b}"] - mean[a] * left[f"s_{b}"]).alias(f"c_{a}_{b}") for a, b in products]
+    return r.select(group, n.alias("n_train"), *[(mean[v] + F.col(f"g_{v}")).alias(f"m_{v}") for v in names], *centred)
+
+
+def group_holdout(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """For each group the line fitted on all other groups."""
+    o = _others(df, group, [x], y)
+    slope = F.try_divide(F.col(f"c_{x}_{y}"), F.col(f"c_{x}_{x}"))
+    return o.select(group, "n_train", slope.alias("slope"), (F.col(f"m_{y}") - slope * F.col(f"m_{x}")).alias("intercept"))
+
+
+def group_holdout2(df: DataFrame, group: str, x1: str, x2: str, y: str) -> DataFrame:
+    """For each group the plane fitted on all other groups; groups whose others have fewer than 3 rows go."""
+    o = _others(df, group, [x1, x2], y)
+    moments = {"m1": f"m_{x1}", "m2": f"m_{x2}", "my": f"m_{y}", "s11": f"c_{x1}_{x1}", "s12": f"c_{x1}_{x2}", "s22": f"c_{x2}_{x2}", "s1y": f"c_{x1}_{y}", "s2y": f"c_{x2}_{y}"}
+    b0, b1, b2 = _plane({k: F.col(v) for k, v in moments.items()})
+    return o.where("n_train >= 3").select(group, "n_train", b0.alias("b0"), b1.alias("b1"), b2.alias("b2"))
 
 
 def forward_offsets(df: DataFrame, by: str, order: Sequence[str], residual: str) -> DataFrame:
@@ -70,5 +116,7 @@ def forward_offsets(df: DataFrame, by: str, order: Sequence[str], residual: str)
 
 
 def median_offsets(df: DataFrame, by: str, residual: Column) -> DataFrame:
-    """Median residual of each group; a null group goes."""
-    return df.where(F.col(by).isNotNull()).groupBy(by).agg(F.coalesce(F.median(residual), F.lit(0.0)).alias("offset"), F.count("*").alias("n"))
+    """Median residual of each group (0 where it has no residual), and its rows; a null group goes."""
+    some = df.where(F.col(by).isNotNull()).select(by, residual.alias("_r"))
+    counts = some.groupBy(by).agg(F.count("*").alias("n"))
+    return counts.join(medians(some, [by], "_r", "offset").drop("n"), by, "left").select(by, F.coalesce("offset", F.lit(0.0)).alias("offset"), "n")

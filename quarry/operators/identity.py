@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import tables
-from quarry.functions.numeric import lookup
+from quarry.functions.numeric import at_least, lookup
 from quarry.functions.text import clean_repo, features, squeeze
 
-REJECTED_ENDINGS = (".md", ".py", ".json", ".png", ".svg", ".yaml", ".sh")
-
 
 def _same(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
@@ -62,22 +60,104 @@ def resolve(checks: DataFrame, keys: tuple[str, ...] = ("family", "tag"), repo:
     return groups.select(*keys, status.alias("status"), F.when(status == "likely", F.col("first")).alias("repo"))
 
 
-def candidates(df: DataFrame, key: str, text: str, host: str = "huggingface.co") -> DataFrame:
+def _no_file(repo: Column) -> Column:
+    bad = F.lit(False)
+    for e in tables.REJECTED_ENDINGS:
+        bad = bad | F.endswith(F.lower(repo), F.lit(e))
+    return ~bad
+
+
+def candidates(df: DataFrame, key: str, text: str, host: str = tables.REPO_HOST) -> DataFrame:
     """Distinct repositories that a text links to; links to files go."""
-    urls = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"(?i)(https?://[^\s<>\])\"']+)"), F.lit(1))).alias("url"))
+    urls = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(URL), F.lit(1))).alias("url"))
     repos = urls.select(key, clean_repo(F.col("url"), host).alias("repo")).where("repo IS NOT NULL")
-    bad = F.lit(False)
-    for e in REJECTED_ENDINGS:
-        bad = bad | F.endswith(F.lower("repo"), F.lit(e))
-    return repos.where(~bad).distinct()
+    return repos.where(_no_file(F.col("repo"))).distinct()
+
+
+URL = r"(?i)(https?://[^\s<>\])\"']+)"
+#: Letters, digits, dots and hyphens around one slash, with nothing of that kind beside it.
+BARE = r"(?<![\w/.-])([\w.-]+/[\w.-]+)(?![\w/.-])"
+
+
+def mentions(df: DataFrame, family: str, text: str, source: str, kind: str, host: str = tables.REPO_HOST, around: int = 160) -> DataFrame:
+    """Repositories that a text links to, or names as owner/name if the name holds the family's: family, repo, source, kind, excerpt.
+
+    Each repository once a text, at its first link, else its first mention,
+    with the characters around it. Links to files go.
+    """
+    def found(pattern: str) -> Column:
+        # Pieces between the matches tell where each match begins.
+        hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.split(text, pattern)
+        at = lambda i: F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
+        return F.transform(hits, lambda x, i: F.struct(x.alias("token"), at(i).alias("at")))
+
+    each = df.select(family, text, source, kind, F.posexplode(F.concat(
+        F.transform(found(URL), lambda x: F.struct(x["token"].alias("token"), x["at"].alias("at"), F.lit(False).alias("bare"))),
+        F.transform(found(BARE), lambda x: F.struct(x["token"].alias("token"), x["at"].alias("at"), F.lit(True).alias("bare"))),
+    )).alias("place", "m"))
+    like = F.contains(squeeze(F.element_at(F.split("m.token", "/"), -1)), squeeze(F.col(family)))
+    repo = F.when(~F.col("m.bare"), clean_repo(F.col("m.token"), host)).when(like, clean_repo(F.concat(F.lit(f"https://{host}/"), "m.token"), host))
+    low = F.greatest(F.lit(0), F.col("m.at") - around)
+    excerpt = F.substring(F.col(text), low + 1, F.col("m.at") + F.length("m.token") + around - low)
+    rows = each.select(family, source, kind, "place", repo.alias("repo"), excerpt.alias("excerpt")).where("repo IS NOT NULL").where(_no_file(F.col("repo")))
+    first = rows.groupBy(family, source, kind, "repo").agg(F.min_by("excerpt", "place").alias("excerpt"))
+    return first.select(family, "repo", source, kind, "excerpt")
+
+
+def fingerprint(*parts: Column) -> Column:
+    """SHA-256 of the parts as JSON, maps and structs in the order of their keys: equal contents, equal marks."""
+    return F.sha2(F.to_json(F.struct(*[p.alias(f"p{i:02d}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}), 256)
+
+
+def group_marks(df: DataFrame, by: str, order: str, mark: str, width: int = 1024) -> DataFrame:
+    """One SHA-256 a group over its rows' marks in order: first of each range of the order, then of the ranges, so no task has a group's rows as a whole."""
+    block = F.floor(F.col(order) / width).alias("_b")
+    ranges = df.groupBy(by, block).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, mark))), lambda x: x[mark]), ""), 256).alias("_h"))
+    return ranges.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]), ""), 256).alias("mark"))
+
+
+def decision_keys(targets: DataFrame, found: DataFrame, cards: DataFrame, version: str = "1") -> DataFrame:
+    """targets (family, tag) with decision_key: it changes with the rules' version, the target, its candidates or one of their cards.
+
+    found: family, repo, source, kind, excerpt (repeats and order don't count);
+    cards: repo, text. Candidates are marked one by one and their marks
+    combined in order, so a key needs no long text in one place.
+    """
+    marked = cards.select("repo", F.sha2(F.coalesce("text", F.lit("")), 256).alias("card"))
+    each = found.select("family", "repo", "source", "kind", "excerpt").distinct().join(marked, "repo", "left")
+    marks = each.select("family", fingerprint(F.col("repo"), F.col("source"), F.col("kind"), F.col("excerpt"), F.col("card")).alias("mark"))
+    groups = marks.groupBy("family", F.substring("mark", 1, 2).alias("bin")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("mark")), ""), 256).alias("mark"))
+    of = groups.groupBy("family").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "mark"))), lambda x: x["mark"]), ""), 256).alias("_all"))
+    f = features(F.col("tag"))
+    key = fingerprint(F.lit(version), F.col("family"), F.col("tag"), F.struct(*[v.alias(k) for k, v in f.items()]), F.coalesce("_all", F.lit("")))
+    return targets.join(of, "family", "left").withColumn("decision_key", key).drop("_all")
+
+
+def once_per_key(df: DataFrame, keys: tuple[str, ...], evaluate) -> DataFrame:
+    """evaluate (DataFrame -> DataFrame that keeps keys) runs on distinct keys only; its columns are joined to all rows."""
+    return df.join(evaluate(df.select(*keys).distinct()), list(keys))
+
 
+def outcome(code: Column, text: Column, content_type: Column, too_large: Column, redirects: Column | None = None, location: Column | None = None, url: Column | None = None) -> Column:
+    """State of a fetch, in the order of the rules.
 
-def outcome(code: Column, text: Column, content_type: Column, too_large: Column) -> Column:
-    """State of a fetch, in the order of the rules."""
+    With redirects (followed before), location (of a further one) and url,
+    redirects without an address, after three others or off the host's https
+    pages are errors, and one that can be followed is deferred.
+    """
     low = F.lower(F.ltrim(F.coalesce(text, F.lit(""))))
     html = F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("text/html")) | F.startswith(low, F.lit("<!doctype html")) | F.startswith(low, F.lit("<html"))
+    moved = code.isin(301, 302, 303, 307, 308)
+    first = F.when(F.lit(False), "")
+    if url is not None:
+        parts = {k: F.try_parse_url(url, F.lit(k)) for k in ("PROTOCOL", "HOST", "USERINFO", "AUTHORITY")}
+        port = F.regexp_extract(F.coalesce(parts["AUTHORITY"], F.lit("")), r":(\d+)$", 1)
+        safe = (F.lower(parts["PROTOCOL"]) == "https") & (F.lower(parts["HOST"]) == tables.REPO_HOST) & parts["USERINFO"].isNull() & port.isin("", "443")
+        first = first.when(~F.coalesce(safe, F.lit(False)), "redirect_error")
+    if location is not None:
+        first = first.when(moved & ((F.coalesce(location, F.lit("")) == "") | (redirects >= 3)), "redirect_error").when(moved, "deferred")
     return (
-        F.when(code.isNull() | (code == 408) | (code >= 500), "transient_error")
+        first.when(code.isNull() | (code == 408) | (code >= 500), "transient_error")
         .when(code == 429, "rate_limited")
         .when(code.isin(401, 403), "denied")
         .when(code == 404, "not_found")
@@ -89,9 +169,15 @@ def outcome(code: Column, text: Column, content_type: Column, too_large: Column)
     )
 
 
-def retry_seconds(state: Column, retry_after: Column) -> Column:
-    """Seconds until the next try; a server's own wish counts for rate limits, with a floor."""
-    wish = F.greatest(F.lit(float(tables.RETRY_FLOOR)), retry_after.try_cast("double"))
+def retry_seconds(state: Column, retry_after: Column, now: Column | None = None) -> Column:
+    """Seconds until the next try; a server's own wish counts for rate limits, with a floor.
+
+    The wish is a number of seconds or an HTTP date, measured from now (seconds
+    since 1970); what is neither leaves the table's value.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.trim(retry_after), r"^[A-Za-z]+,\s*", ""), r"\s*GMT$", "")
+    date = F.unix_timestamp(F.try_to_timestamp(plain, F.lit("dd MMM yyyy HH:mm:ss"))) - (F.unix_timestamp() if now is None else now)
+    wish = at_least(float(tables.RETRY_FLOOR), F.coalesce(retry_after.try_cast("double"), date.cast("double")))
     table = lookup(state, {k: float(v) for k, v in tables.RETRY_SECONDS.items()})
     return F.when(state == "rate_limited", F.coalesce(wish, table)).otherwise(table)
 
@@ -100,3 +186,10 @@ def search_query(*terms: Column) -> Column:
     """Distinct terms in order, joined by spaces."""
     parts = F.flatten(F.array(*[F.split(F.trim(t), r"\s+") for t in terms]))
     return F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), " ")
+
+
+def prompt(family: Column, constraints: Column, repo: Column, excerpts: Column, card: Column) -> Column:
+    """What a judge of a repository's identity is asked: six excerpts of 300 characters, 7,000 characters of the card."""
+    some = F.transform(F.slice(F.filter(excerpts, lambda x: x != ""), 1, 6), lambda x: F.substring(x, 1, 300))
+    parts = {"Family hint: ": family, "\nTarget constraints: ": F.to_json(constraints), "\nCandidate repo: ": repo, "\nSource excerpts: ": F.to_json(some), "\n\nCandidate model card:\n": F.substring(card, 1, 7000)}
+    return F.concat(F.lit(tables.JUDGE_TASK + "\n\n"), *[x for k, v in parts.items() for x in (F.lit(k), F.coalesce(v, F.lit("")))])

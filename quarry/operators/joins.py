@@ -51,29 +51,60 @@ def precedence(df: DataFrame, sources: Sequence[tuple[str, DataFrame, str, str]]
     return df.drop(*[f"_{c}{i}" for c in "kv" for i in range(len(sources))])
 
 
-def longest_match(df: DataFrame, name: str, table: DataFrame, key: str, value: str, limit: int = 10_000) -> DataFrame:
-    """The entry of a small table whose squeezed name equals, holds or is held by df's; equal first, then the longest.
+def longest_match(df: DataFrame, name: str, table: DataFrame, key: str, value: str, broadcast_names: int = 10_000) -> DataFrame:
+    """The entry of a table whose squeezed name equals, holds or is held by df's; equal first, then the longest.
 
-    The table is a literal dictionary: more than limit rows are refused.
+    The table is a dictionary, broadcast up to so many names; with more, its
+    parts are paired by shuffle. Names without letters or digits match nothing.
     """
-    if table.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} names")
     names = df.select(name).distinct()
     meets = F.contains(F.col(name), F.col(key)) | F.contains(F.col(key), F.col(name))
-    pairs = names.join(F.broadcast(table.where(F.length(key) > 0)), meets)
+    entries = table.where(F.length(key) > 0)
+    pairs = names.where(F.length(name) > 0).join(F.broadcast(entries) if entries.limit(broadcast_names + 1).count() <= broadcast_names else entries, meets)
     rank = F.struct((F.col(name) == F.col(key)).alias("same"), F.length(key).alias("length"), F.col(key).alias("key"))
     best = pairs.groupBy(name).agg(F.max_by(F.col(value), rank).alias(value))
     return df.join(best, name, "left")
 
 
 def nearest(left: DataFrame, right: DataFrame, block: str, ident: str, penalty: Sequence[Column], keep: Sequence[str], cutoff: Column | None = None) -> DataFrame:
-    """Within a block, the row of right with the least penalty tuple (its last part must be unique); cutoff filters after."""
-    best = F.min_by(F.struct(*keep), F.struct(*[p.alias(f"p{i}") for i, p in enumerate(penalty)]))
-    out = left.join(right, block).groupBy(ident).agg(best.alias("hit"), F.min(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(penalty)])).alias("p"))
-    out = out.select(ident, "hit.*", F.col("p.p0").alias("distance"))
+    """Within a block, the row of right with the least penalty tuple (its last part must be unique); cutoff filters after.
+
+    A row of right whose first penalty is null is no candidate. Rows of left
+    that look alike to the penalties are compared once.
+    """
+    used = [c for c in left.columns if c != ident]
+    kinds = left.select(*used).distinct().withColumn("_kind", F.struct(*used))
+    order = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(penalty)])
+    pairs = kinds.join(right, block).where(penalty[0].isNotNull())
+    best = pairs.groupBy("_kind").agg(F.min_by(F.struct(*keep), order).alias("_hit"), F.min(order).alias("_least"))
+    out = left.withColumn("_own", F.struct(*used)).join(best, F.col("_own").eqNullSafe(F.col("_kind")))
+    out = out.select(ident, "_hit.*", F.col("_least.p0").alias("distance"))
     return out if cutoff is None else out.where(cutoff)
 
 
+def fan_out(rows: DataFrame, once: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns that were worked out once for their key."""
+    return rows.join(once, key)
+
+
+def main_rows(df: DataFrame, by: Sequence[str], main: Column, measures: dict[str, Column]) -> DataFrame:
+    """Aggregates over the main rows of each group, or over all its rows where it has no main one: both are taken in one pass, with n."""
+    inside = F.coalesce(main, F.lit(False))
+    counts = [F.count_if(inside).alias("_n_main"), F.count("*").alias("_n_all")]
+    both = [m.alias(f"_all_{k}") for k, m in measures.items()]
+    # The same aggregates over rows that are null unless they are main.
+    only = df.select(*by, *[F.when(inside, F.col(c)).alias(c) for c in df.columns if c not in by]).groupBy(*by).agg(*[m.alias(f"_main_{k}") for k, m in measures.items()])
+    every = df.groupBy(*by).agg(*counts, *both).join(only, list(by))
+    has = F.col("_n_main") > 0
+    return every.select(*by, F.when(has, F.col("_n_main")).otherwise(F.col("_n_all")).alias("n"), *[F.when(has, F.col(f"_main_{k}")).otherwise(F.col(f"_all_{k}")).alias(k) for k in measures])
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "place") -> DataFrame:
+    """The first k rows of each key with their place; the planner limits each group before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+
+
 def present_in(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(other.select(*keys), list(keys), "left_semi")
 

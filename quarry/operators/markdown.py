@@ -35,11 +35,11 @@ def _clean(c: Column) -> Column:
 
 
 def benchmark_tables(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each model column of each table: key, block, header, map of canonical metric to value; the last row of a metric wins."""
+    """One row for each model column of each table: key, block, columns of the table, header, map of canonical metric to value; the last row of a metric wins."""
     t = markdown_tables(df, key, text)
-    header = t.where("row = 0").select(key, "block", F.posexplode("cells").alias("col", "header")).where("col > 0")
+    header = t.where("row = 0").select(key, "block", F.size("cells").alias("columns"), F.posexplode("cells").alias("col", "header")).where("col > 0")
     body = t.where("row > 0").select(key, "block", "row", canonical_metric(F.get("cells", F.lit(0))).alias("metric"), F.posexplode("cells").alias("col", "cell"))
     values = body.where("metric IS NOT NULL AND col > 0").withColumn("value", parse_number(F.col("cell"))).where("value IS NOT NULL")
     last = values.groupBy(key, "block", "col", "metric").agg(F.max_by("value", "row").alias("value"))
     maps = last.groupBy(key, "block", "col").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("benchmarks"))
-    return maps.join(header, [key, "block", "col"]).select(key, "block", "header", "benchmarks")
+    return maps.join(header, [key, "block", "col"]).select(key, "block", "columns", "header", "benchmarks")

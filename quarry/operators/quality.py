@@ -9,9 +9,6 @@ from quarry import tables
 from quarry.functions.numeric import clip
 from quarry.operators.stats import population
 
-#: Metrics that stand in for each other where one is missing.
-STAND_INS = {"gpqa_diamond": "gpqa", "gpqa": "gpqa_diamond", "mmlu_pro": "mmlu", "mmlu": "mmlu_pro", "math500": "math"}
-
 
 def bench_population(evals: DataFrame, benches: str = "benchmarks") -> DataFrame:
     """Statistics of each metric over all rows of (…, map metric -> value)."""
@@ -27,7 +24,7 @@ def resolved(benches: str, metric: Column) -> Column:
     """A row's value of a metric, else that of its stand-in."""
     own = F.try_element_at(F.col(benches), metric)
     other = F.lit(None).cast("double")
-    for a, b in STAND_INS.items():
+    for a, b in tables.STAND_INS.items():
         other = F.when(metric == a, F.try_element_at(F.col(benches), F.lit(b))).otherwise(other)
     return F.coalesce(own, other)
 
@@ -49,18 +46,6 @@ def suite_scores(evals: DataFrame, key: str, suites: dict[str, dict[str, float]]
     return scored.where(~F.col("suite").isin(strict) | F.col("met") if strict else F.lit(True)).drop("met")
 
 
-def base_quality(evals: DataFrame, key: str, benches: str = "benchmarks") -> DataFrame:
-    """q_base of each row: its general suite's score, 50 where it has no metric."""
-    scores = suite_scores(evals, key, {"general": tables.INTELLIGENCE_SUITE}, {}, benches)
-    return evals.select(key).join(scores.select(key, "score"), key, "left").select(key, F.coalesce("score", F.lit(50.0)).alias("q_base"), F.coalesce("score", F.lit(0.0)).alias("mix"))
-
-
-def file_score(q_base: Column, quant_factor: Column, ctx_score: Column) -> tuple[Column, Column]:
-    """Quality of a stored file, and the partial score of it with its context."""
-    q_file = q_base * quant_factor
-    return q_file, q_file * 0.50 + ctx_score * 26
-
-
 def canonical_metric(name: Column) -> Column:
     """Canonical name of a metric by containment, in the order of the alias table."""
     key = F.regexp_replace(F.lower(F.trim(name)), r"\s+", " ")

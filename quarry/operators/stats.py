@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import percent_of, round_even
@@ -17,21 +17,45 @@ def population(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(v).alias("mean"), std.alias("pop_std"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.count(v).alias("n"))
 
 
-def error_stats(df: DataFrame, by: Sequence[str], error: str) -> DataFrame:
-    """max, p95 by the rounded index into the sorted values, mean and n.
+def at_ranks(df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, Column], bins: int = 1024) -> DataFrame:
+    """Exact order statistics by group: one column for each rank (from 0, a column of _n, the group's number of values), and n.
 
-    The values of a group are ranked by window rather than gathered in an array.
+    No group is sorted as a whole: equal values are counted before the
+    shuffle, a histogram of so many bins finds the bin of each rank, and only
+    the values of that bin are put in order. Nulls don't count.
     """
-    from pyspark.sql import Window
+    keys = [*by, "_all"]
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")).withColumn("_all", F.lit(0))
+    facts = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    width = F.col("_high") - F.col("_low")
+    bin_ = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_low")) / width * bins))).otherwise(F.lit(0)).cast("int")
+    placed = counted.join(facts, keys).select(*keys, "_v", "_c", "_n", bin_.alias("_bin"))
+    heights = placed.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_h"), F.first("_n").alias("_n"))
+    run = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    heights = heights.withColumn("_before", F.coalesce(F.sum("_h").over(run), F.lit(0)))
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])).alias("_w")
+    bins_ = heights.select(*keys, "_bin", "_h", "_before", wanted).where("_w.rank >= _before AND _w.rank < _before + _h")
+    near = placed.select(*keys, "_bin", "_v", "_c").join(bins_, [*keys, "_bin"])
+    run = Window.partitionBy(*keys, "_bin", "_w").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    hit = near.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(run), F.lit(0))).where("_w.rank >= _at AND _w.rank < _at + _c")
+    values = hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_w.name") == k, F.col("_v"))).alias(k) for k in ranks])
+    return values.join(facts.select(*keys, F.col("_n").alias("n")), keys).drop("_all")
+
+
+def medians(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """Exact median of each group, the mean of the middle pair for even numbers, and n."""
+    n = F.col("_n")
+    pair = at_ranks(df, by, value, {"_a": F.floor((n - 1) / 2), "_b": F.floor(n / 2)})
+    return pair.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(out), "n")
 
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(error).isNotNull()).select(
-        *by, F.col(error).alias("_e"), (F.row_number().over(w.orderBy(error)) - 1).alias("_i"), F.count("*").over(w).alias("_n")
-    )
-    at = round_even(F.col("_n").cast("double") * 0.95 - 0.95)
-    return ranked.groupBy(*by).agg(
-        F.max("_e").alias("max_error"), F.max(F.when(F.col("_i") == at, F.col("_e"))).alias("p95_error"), F.avg("_e").alias("mean_error"), F.count("*").alias("n")
-    )
+
+def error_stats(df: DataFrame, by: Sequence[str], error: str) -> DataFrame:
+    """max, p95 by the rounded index into the sorted values, mean and n; no group (or one, with n 0, without by) where there are no errors."""
+    p95 = at_ranks(df, by, error, {"p95_error": round_even(F.col("_n").cast("double") * 0.95 - 0.95)}).drop("n")
+    known = df.where(F.col(error).isNotNull())
+    rest = known.groupBy(*by).agg(F.max(error).alias("max_error"), F.avg(error).alias("mean_error"), F.count("*").alias("n"))
+    joined = rest.join(p95, list(by)) if by else rest.join(p95, F.lit(True), "left")
+    return joined.select(*by, "max_error", "p95_error", "mean_error", "n")
 
 
 def share(df: DataFrame, by: Sequence[str], condition: Column) -> DataFrame:

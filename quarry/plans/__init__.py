@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-MODULES = ("catalog", "links", "fits", "texts")
+MODULES = ("catalog", "links", "fits", "texts", "publish", "reports", "collect")
 
 
 def _gather(kind: str) -> dict:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.functions import capacity, text
 from quarry.functions.numeric import round_even
 from quarry.operators import catalog as ops
-from quarry.operators import joins, stats
+from quarry.operators import joins, publish, stats
 from quarry.plans.roles import CATALOG, GPUS, Registry, catalog, gpus, r4, s4, table
 
 R = Registry()
@@ -23,14 +24,14 @@ INDEX = f"""sized AS (
 indexed AS (
   SELECT ref, gpu_id, ctx, vram,
     CASE WHEN vram <= memory * usable THEN 'full' WHEN weight_bytes <= memory * usable + 32e9 THEN 'partial' ELSE 'none' END AS fit,
-    0.90 / (weight_bytes / (bandwidth * 1e9) + layers * per_layer + fixed) AS tps,
-    bandwidth * 1e9 / weight_bytes AS ceiling
+    1.0 / (weight_bytes / (bandwidth * 1e9) + layers * per_layer + fixed) AS tps,
+    bandwidth * 1e9 / weight_bytes AS ceiling, fp16_tflops * derate * 1e12 / (2 * params) AS prefill
   FROM sized CROSS JOIN gpus)"""
 
 
-@R.add(f"WITH {CATALOG}, {GPUS}, {INDEX} SELECT ref, gpu_id, ctx, vram, fit, {s4('tps')} AS tps, {s4('ceiling')} AS ceiling FROM indexed")
+@R.add(f"WITH {CATALOG}, {GPUS}, {INDEX} SELECT ref, gpu_id, ctx, vram, fit, {s4('tps')} AS tps, {s4('ceiling')} AS ceiling, {s4('prefill')} AS prefill FROM indexed")
 def index_cross_fit(spark, d):
-    return ops.index(catalog(spark, d), gpus(spark, d)).withColumns({"tps": r4("tps"), "ceiling": r4("ceiling")})
+    return ops.index(catalog(spark, d), gpus(spark, d)).withColumns({c: r4(c) for c in ("tps", "ceiling", "prefill")})
 
 
 CTX_COLUMNS = ", ".join(f"max(CASE WHEN ctx = {p} THEN vram END) AS ctx_{p}" for p in tables.CTX_POINTS)
@@ -72,18 +73,19 @@ def _role_signals(column: str):
 ROLE_SIGNALS = "list_filter([" + ", ".join(f"CASE WHEN {_hints(v, 'lower(label)')} THEN '{k}' END" for k, v in ROLE_HINTS.items()) + "], lambda x: x IS NOT NULL)"
 
 QUERY = ops.FindQuery(ctx=4096, usecase="chat", allow_partial=True, as_of="2026-01-01", limit=18)
+#: Scores that weren't measured (null) give way to the prior; without a date there is no decay and no recency.
 VIEW = f"""g AS (SELECT * FROM gpus WHERE gpu_id = 7),
 base AS (SELECT c.*, {ROLE_SIGNALS} AS signals, CASE WHEN CAST(ref AS bigint) % 3 = 0 THEN CAST(layers AS double) * 2 END AS q FROM catalog c),
 a AS (SELECT b.*, CASE WHEN ctx_max >= 4096 THEN weight_bytes + kv_per_token * 4096 END AS vram, memory * usable AS usable_bytes,
-  0.90 / (weight_bytes / (bandwidth * 1e9) + layers * per_layer + fixed) AS raw_speed,
-  greatest(0, DATE '2026-01-01' - pushed_at) AS days FROM base b CROSS JOIN g),
+  1.0 / (weight_bytes / (bandwidth * 1e9) + layers * per_layer + fixed) AS raw_speed,
+  CASE WHEN pushed_at IS NOT NULL THEN greatest(0, DATE '2026-01-01' - pushed_at) END AS days FROM base b CROSS JOIN g),
 b AS (SELECT *, (greatest(0, least(1, (log10(greatest(1e8, CAST(params AS double))) - 8) / 3)) * 0.72 + 0.67 * 0.28)
-  * exp(-0.6931471805599453 * (days / 365.25) / 1.1) * 0.45 AS prior,
+  * coalesce(exp(-0.6931471805599453 * (days / 365.25) / 1.1), 1) * 0.45 AS prior,
   CASE WHEN vram IS NULL THEN 'context' WHEN vram <= usable_bytes THEN 'full' WHEN weight_bytes <= usable_bytes + 32e9 THEN 'partial' ELSE 'none' END AS fit FROM a),
-c AS (SELECT *, coalesce(greatest(0, least(1, q / 100.0)), prior) AS capability, greatest(0, least(1, log10(raw_speed + 1) / 2.4)) AS speed_score,
-  exp(-days / 365.0) AS recency FROM b),
+c AS (SELECT *, CASE WHEN q IS NULL THEN prior WHEN q > 100 THEN 1 WHEN q < 0 THEN 0 ELSE q / 100.0 END AS capability, greatest(0, least(1, log10(raw_speed + 1) / 2.4)) AS speed_score,
+  coalesce(exp(-days / 365.0), 0) AS recency FROM b),
 v AS (SELECT *, capability * 50 + speed_score * 14 + capability * 26 + CASE fit WHEN 'full' THEN 1 WHEN 'partial' THEN 0.3 ELSE 0 END * 18 + recency * 12
-  - CASE WHEN fit = 'partial' THEN 16 WHEN fit IN ('none', 'context') THEN 100 ELSE 0 END AS score FROM c)"""
+  - CASE WHEN fit = 'partial' THEN 16 WHEN fit IN ('none', 'context') THEN 100 ELSE 0 END AS score, coalesce(CAST(pushed_at AS varchar), '') AS pushed FROM c)"""
 
 
 def _role_view(spark, d):
@@ -95,36 +97,40 @@ def _role_view(spark, d):
 
 
 @R.add(f"""WITH {CATALOG}, {GPUS}, {VIEW}, w AS (
-  SELECT *, row_number() OVER (PARTITION BY family ORDER BY score DESC, CAST(pushed_at AS varchar) DESC, lower(ref), ref) AS n FROM v
+  SELECT *, row_number() OVER (PARTITION BY family ORDER BY score DESC, pushed DESC, lower(ref), ref) AS n FROM v
   WHERE NOT list_contains(signals, 'embedding') AND fit IN ('full', 'partial'))
-SELECT ref, family, fit, {s4('score')} AS score FROM w WHERE n = 1 ORDER BY w.score DESC, CAST(pushed_at AS varchar) DESC, lower(ref), ref LIMIT 18""")
+SELECT row_number() OVER (ORDER BY w.score DESC, pushed DESC, lower(ref), ref) AS rank, ref, family, fit, {s4('score')} AS score FROM w WHERE n = 1 ORDER BY w.score DESC, pushed DESC, lower(ref), ref LIMIT 18""")
 def find_models(spark, d):
     base, g = _role_view(spark, d)
-    return ops.find_models(base, g, QUERY).select("ref", "family", "fit", r4("score").alias("score"))
+    return ops.find_models(base, g, QUERY).select("rank", "ref", "family", "fit", r4("score").alias("score"))
+
+
+@R.add(f"""WITH {CATALOG}, {GPUS}, {VIEW}, w AS (
+  SELECT *, row_number() OVER (ORDER BY raw_speed DESC, lower(ref), ref) AS rank FROM v WHERE fit IN ('full', 'partial'))
+SELECT rank, ref, {s4('raw_speed')} AS speed FROM w WHERE rank BETWEEN 41 AND 80""")
+def second_page(spark, d):
+    """Explore mode: no family limit, the second 40 rows by speed."""
+    base, g = _role_view(spark, d)
+    q = replace(QUERY, mode="explore", sort="speed", limit=40, offset=40)
+    return ops.find_models(base, g, q).select("rank", "ref", r4("raw_speed").alias("speed"))
 
 
 SORT_SQL = {
-    "recommended": "score DESC, CAST(pushed_at AS varchar) DESC,", "newest": "CAST(pushed_at AS varchar) DESC,", "name": "", "speed": "raw_speed DESC,",
+    "recommended": "score DESC, pushed DESC,", "newest": "pushed DESC,", "name": "", "speed": "raw_speed DESC,",
     "vram": "vram ASC NULLS LAST,", "context": "ctx_max DESC,", "capability": "capability DESC,",
 }
+PAGES = " UNION ALL ".join(f"SELECT '{k}' AS sort, row_number() OVER (ORDER BY {o} lower(ref), ref) AS place, ref FROM v QUALIFY place <= 40" for k, o in SORT_SQL.items())
 
 
-@R.add(f"WITH {CATALOG}, {GPUS}, {VIEW}, r AS (SELECT ref, " + ", ".join(f"row_number() OVER (ORDER BY {o} lower(ref), ref) AS by_{k}" for k, o in SORT_SQL.items())
-       + " FROM v) SELECT * FROM r WHERE " + " OR ".join(f"by_{k} <= 40" for k in SORT_SQL))
+@R.add(f"WITH {CATALOG}, {GPUS}, {VIEW} {PAGES}")
 def sort_modes(spark, d):
-    """First page of each order: top rows by each key, then their places."""
+    """First page of each order: only its 40 rows are numbered."""
     base, g = _role_view(spark, d)
     rows = ops.view(base, g, QUERY)
-    tops = None
-    for k in SORT_SQL:
-        top = rows.orderBy(*ops.ordering(k)).limit(40).select("ref")
-        tops = top if tops is None else tops.unionByName(top)
-    picked = tops.distinct()
-    out = picked
+    out = None
     for k in SORT_SQL:
-        # The place of a row is one more than the rows before it: counted by a range of the whole order.
-        ranked = rows.select("ref", F.row_number().over(Window.orderBy(*ops.ordering(k))).cast("long").alias(f"by_{k}"))
-        out = out.join(ranked, "ref")
+        page = ops.first_page(rows, k).select("sort", "place", "ref")
+        out = page if out is None else out.unionByName(page)
     return out
 
 
@@ -144,11 +150,12 @@ def size_class(spark, d):
 
 
 @R.add(f"""WITH {CATALOG}, x AS (SELECT ref, {ROLE_SIGNALS} AS signals FROM catalog)
-SELECT ref, list_contains(signals, 'embedding') AS for_embedding, NOT list_contains(signals, 'embedding') AS for_chat, array_to_string(signals, ',') AS tags FROM x""")
+SELECT ref, list_contains(signals, 'embedding') AS for_embedding, NOT list_contains(signals, 'embedding') AS for_chat, NOT list_contains(signals, 'embedding') AND CAST(ref AS bigint) % 2 = 0 AS for_vision, array_to_string(signals, ',') AS tags FROM x""")
 def usecase_filter(spark, d):
     x = catalog(spark, d).select("ref", _role_signals("label").alias("signals"))
+    vision = F.when(F.col("ref").cast("long") % 2 == 0, F.array_append("signals", F.lit("vision"))).otherwise(F.col("signals"))
     return x.select(
-        "ref", ops.usecase_candidate("embedding", F.col("signals")).alias("for_embedding"), ops.usecase_candidate("chat", F.col("signals")).alias("for_chat"),
+        "ref", ops.usecase_candidate("embedding", F.col("signals")).alias("for_embedding"), ops.usecase_candidate("chat", F.col("signals")).alias("for_chat"), ops.usecase_candidate("vision", vision).alias("for_vision"),
         F.array_join("signals", ",").alias("tags"),
     )
 
@@ -178,17 +185,26 @@ def age_decay(spark, d):
     return table(spark, d, "orders").select("o_orderkey", r4(capacity.age_decay(years)).alias("decay"))
 
 
-@R.add("""WITH x AS (SELECT *, sha256(coalesce(text, '')) AS digest FROM documents),
-k AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY CASE WHEN lang = 'en' THEN 0 ELSE 1 END, n_chars, lower(source), doc_id) AS n FROM x)
-SELECT k.digest, k.doc_id, k.source, a.aliases, a.newest FROM k JOIN (
-  SELECT digest, string_agg(CAST(doc_id AS varchar), ',' ORDER BY doc_id) AS aliases, max(doc_id) AS newest FROM x GROUP BY digest) a USING (digest) WHERE n = 1""")
+DOC_ORDER = "CASE WHEN lang = 'en' THEN 0 ELSE 1 END, n_chars, lower(source), doc_id"
+HASHED = "x AS (SELECT *, sha256(coalesce(text, '')) AS digest FROM documents)"
+
+
+def _hashed(spark, d):
+    x = table(spark, d, "documents").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
+    return x.withColumn("newest", F.col("doc_id")), F.struct(F.when(F.col("lang") == "en", 0).otherwise(1), "n_chars", F.lower("source"), "doc_id")
+
+
+@R.add(f"""WITH {HASHED}, k AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY {DOC_ORDER}) AS n, max(doc_id) OVER (PARTITION BY digest) AS newest, count(*) OVER (PARTITION BY digest) AS n_names FROM x)
+SELECT digest, doc_id, source, newest, n_names FROM k WHERE n = 1""")
 def dedup_canonical(spark, d):
-    x = table(spark, d, "documents").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rank = F.struct(F.when(F.col("lang") == "en", 0).otherwise(1), "n_chars", F.lower("source"), "doc_id")
-    out = x.groupBy("digest").agg(
-        F.min_by(F.struct("doc_id", "source"), rank).alias("row"), F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("aliases"), F.max("doc_id").alias("newest")
-    )
-    return out.select("digest", "row.*", "aliases", "newest")
+    x, rank = _hashed(spark, d)
+    return publish.canonical_rows(x, "digest", rank, "newest").select("digest", "doc_id", "source", "newest", "n_names")
+
+
+@R.add(f"WITH {HASHED}, k AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY {DOC_ORDER}) AS n FROM x) SELECT digest, doc_id FROM k WHERE n > 1")
+def alias_rows(spark, d):
+    x, rank = _hashed(spark, d)
+    return publish.alias_rows(x, "digest", "doc_id", rank)
 
 
 @R.add("""WITH x AS (SELECT doc_id, sha256(coalesce(text, '')) AS digest, text FROM documents)
@@ -196,8 +212,7 @@ SELECT x.doc_id, y.size FROM x JOIN (SELECT digest, max(length(coalesce(text, ''
 def digest_fanout(spark, d):
     """The costly part runs once a digest, on any one of its rows, and its result is joined to all."""
     x = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    once = x.groupBy("digest").agg(F.max("size").alias("size"))
-    return x.select("doc_id", "digest").join(once, "digest").select("doc_id", "size")
+    return joins.fan_out(x.select("doc_id", "digest"), x.groupBy("digest").agg(F.max("size").alias("size")), "digest").select("doc_id", "size")
 
 
 @R.add("SELECT p_partkey, " + s4("CASE WHEN p_size % 9 = 0 THEN 0 ELSE greatest(0, least(1, log2(greatest(c, 2048) / 2048.0) / 6)) END") + " AS score FROM (SELECT *, p_size * 4000 AS c FROM part)")

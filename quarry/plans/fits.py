@@ -6,20 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import fitting, joins, stats
+from quarry.sources import files
 from quarry.plans.roles import MEASUREMENTS, Registry, measurements, r4, s4, table
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
 
 
-@R.add(f"WITH {MEASUREMENTS} SELECT model, count(*) AS n, max(tps) AS best FROM (SELECT *, max(CASE WHEN label = 'O' AND ctx > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY model) AS main FROM measurements WHERE model % 5 > 0 OR label = 'F') WHERE (label = 'O' AND ctx > 3) OR main = 0 GROUP BY 1")
+@R.add(f"WITH {MEASUREMENTS} SELECT model, count(*) AS n, max(tps) AS best FROM (SELECT *, max(CASE WHEN label = 'O' AND ctx > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY model) AS main FROM measurements) WHERE (label = 'O' AND ctx > 3) OR main = 0 GROUP BY 1")
 def label_fallback(spark, d):
-    """Main rows of each model, or all its rows where it has none: one aggregate, both kept side by side."""
-    m = measurements(spark, d).where("model % 5 > 0 OR label = 'F'")
-    main = (F.col("label") == "O") & (F.col("ctx") > 3)
-    agg = m.groupBy("model").agg(F.count_if(main).alias("n_main"), F.count("*").alias("n_all"), F.max(F.when(main, F.col("tps"))).alias("best_main"), F.max("tps").alias("best_all"))
-    has = F.col("n_main") > 0
-    return agg.select("model", F.when(has, F.col("n_main")).otherwise(F.col("n_all")).alias("n"), F.when(has, F.col("best_main")).otherwise(F.col("best_all")).alias("best"))
+    m = measurements(spark, d).select("model", "label", "ctx", "tps")
+    return joins.main_rows(m, ["model"], (F.col("label") == "O") & (F.col("ctx") > 3), {"best": F.max("tps")})
 
 
 @R.add(f"""WITH {MEASUREMENTS}, x AS (SELECT m.* FROM measurements m LEFT JOIN (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN false WHEN p_size % 3 = 1 THEN true END AS on_gpu FROM part) p ON p.p_partkey = m.model
@@ -63,20 +60,23 @@ def clock_summary(spark, d):
 
 @R.add(f"SELECT l_partkey, {s4('median(l_extendedprice / l_quantity)')} AS prefill, {s4('median(l_discount / nullif(l_tax, 0))')} AS decode, count(*) AS n FROM lineitem GROUP BY 1")
 def run_medians(spark, d):
-    ratio = F.try_divide(F.col("l_discount"), F.nullif(F.col("l_tax"), F.lit(0.0)))
-    x = table(spark, d, "lineitem").groupBy("l_partkey")
-    return x.agg(r4(F.median(F.try_divide("l_extendedprice", "l_quantity"))).alias("prefill"), r4(F.median(ratio)).alias("decode"), F.count("*").alias("n"))
+    x = table(spark, d, "lineitem").select("l_partkey", F.try_divide("l_extendedprice", "l_quantity").alias("p"), F.try_divide(F.col("l_discount"), F.nullif(F.col("l_tax"), F.lit(0.0))).alias("d"))
+    n = x.groupBy("l_partkey").agg(F.count("*").alias("n"))
+    out = n.join(stats.medians(x, ["l_partkey"], "p", "prefill").drop("n"), "l_partkey", "left").join(stats.medians(x, ["l_partkey"], "d", "decode").drop("n"), "l_partkey", "left")
+    return out.select("l_partkey", r4("prefill").alias("prefill"), r4("decode").alias("decode"), "n")
 
 
 @R.add(f"SELECT p_type, {s4('median(l_extendedprice / (l_quantity * p_retailprice))')} AS factor FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def quant_factor_median(spark, d):
     x = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_type", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
-    return x.groupBy("p_type").agg(r4(F.median(F.col("l_extendedprice") / (F.col("l_quantity") * F.col("p_retailprice")))).alias("factor"))
+    x = x.select("p_type", (F.col("l_extendedprice") / (F.col("l_quantity") * F.col("p_retailprice"))).alias("ratio"))
+    return stats.medians(x, ["p_type"], "ratio", "factor").select("p_type", r4("factor").alias("factor"))
 
 
-@R.add("SELECT digest, coalesce(median(n_chars - 500.0), 0) AS offset, count(*) AS n FROM (SELECT CASE WHEN doc_id % 17 > 0 THEN sha256(coalesce(text, '')) END AS digest, n_chars FROM documents) WHERE digest IS NOT NULL GROUP BY 1".replace("500.0", "CAST(500 AS double)"))
+@R.add("SELECT digest, coalesce(median(n_chars - CAST(500 AS double)), 0) AS offset, count(*) AS n FROM (SELECT CASE WHEN length(text) > 0 THEN sha256(text) END AS digest, n_chars FROM documents) WHERE digest IS NOT NULL GROUP BY 1")
 def digest_offsets(spark, d):
-    x = table(spark, d, "documents").select(F.when(F.col("doc_id") % 17 > 0, F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"), "n_chars")
+    """Texts that are null or empty have no digest."""
+    x = table(spark, d, "documents").select(F.when(F.length("text") > 0, F.sha2("text", 256)).alias("digest"), "n_chars")
     return fitting.median_offsets(x, "digest", F.col("n_chars") - 500.0)
 
 
@@ -153,23 +153,37 @@ def progress_running(spark, d):
     return table(spark, d, "orders").select("o_orderkey", done.alias("done"), F.count("*").over(w).alias("total")).withColumn("pct", percent_of(F.col("done"), F.col("total")))
 
 
-@R.add("""WITH s AS (SELECT conv_id, turn, role, length(coalesce(text, '')) AS n FROM conversations)
-SELECT conv_id, CAST(sum(n) FILTER (role = 'user') AS bigint) AS user_bytes, CAST(sum(n) FILTER (role = 'assistant') AS bigint) AS model_bytes, count(*) FILTER (n > 200) AS large, CAST(sum(n * (turn + 1)) AS bigint) AS weighted FROM s GROUP BY 1""")
-def conditional_sums(spark, d):
-    n = F.length(F.coalesce("text", F.lit(""))).cast("long")
-    role = F.col("role")
-    return table(spark, d, "conversations").groupBy("conv_id").agg(
-        F.sum(F.when(role == "user", n)).alias("user_bytes"), F.sum(F.when(role == "assistant", n)).alias("model_bytes"), F.count_if(n > 200).alias("large"), F.sum(n * (F.col("turn") + 1)).alias("weighted")
-    )
+GROUP_NAMES = ["per_layer_token_embd.w", "token_embd.w", "v.blk", "mm.0", "output.w", "blk.1.ffn_up_exps.w", "blk.1.attn_q.w", "blk.1.ffn_up.w", "rope"]
+NAMED = f"[{', '.join(map(repr, GROUP_NAMES))}][CAST(turn % {len(GROUP_NAMES)} AS integer) + 1]"
+GROUP_CASE = "CASE turn % 9 WHEN 0 THEN 'ple' WHEN 1 THEN 'token_embd' WHEN 2 THEN 'vision' WHEN 3 THEN 'vision' WHEN 4 THEN 'output' WHEN 5 THEN 'ffn_expert' WHEN 6 THEN 'attn' WHEN 7 THEN 'ffn_dense' ELSE 'other' END"
 
 
-@R.add("""WITH s AS (SELECT conv_id, turn, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(coalesce(text, '')) AS pos, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id) AS total FROM conversations)
-SELECT conv_id, turn, CAST(greatest(0, lead(pos, 1, total) OVER (PARTITION BY conv_id ORDER BY pos, turn) - pos) AS bigint) AS size FROM s""")
-def lead_diff(spark, d):
+def _tensors(spark, d):
+    """Conversations as files: a turn is a tensor that begins where the turns before it end; 10 bytes of header."""
     n = F.length(F.coalesce("text", F.lit(""))).cast("long")
     w = Window.partitionBy("conv_id")
-    s = table(spark, d, "conversations").select("conv_id", "turn", (F.sum(n).over(w.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)) - n).alias("at"), F.sum(n).over(w).alias("total"))
-    return s.select("conv_id", "turn", F.greatest(F.lit(0), F.coalesce(F.lead("at").over(w.orderBy("at", "turn")), F.col("total")) - F.col("at")).alias("size"))
+    at = F.sum(n).over(w.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)) - n
+    name = F.element_at(F.array(*map(F.lit, GROUP_NAMES)), (F.col("turn") % len(GROUP_NAMES) + 1).cast("int"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", at.alias("at"), F.sum(n).over(w).alias("total"), name.alias("name"))
+    dims = F.array(F.lit(2).cast("long"), F.col("turn").cast("long") + 1)
+    each = F.struct(F.col("turn"), F.concat("name", F.lit("#"), F.col("turn").cast("string")).alias("name"), dims.alias("dims"), F.lit(0).alias("kind"), F.col("at").alias("offset"))
+    g = t.groupBy("conv_id", "total").agg(F.array_sort(F.collect_list(each)).alias("x"))
+    tensors = F.transform("x", lambda x: F.struct(x["name"].alias("name"), x["dims"].alias("dims"), x["kind"].alias("kind"), x["offset"].alias("offset")))
+    return g.select(F.col("conv_id").cast("string").alias("path"), (F.col("total") + 10).alias("length"), F.lit(10).cast("long").alias("data_start"), tensors.alias("tensors"))
+
+
+SIZED = """s AS (SELECT conv_id, turn, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(coalesce(text, '')) AS pos, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id) AS total FROM conversations),
+z AS (SELECT conv_id, turn, CAST(greatest(0, lead(pos, 1, total) OVER (PARTITION BY conv_id ORDER BY pos, turn) - pos) AS bigint) AS bytes FROM s)"""
+
+
+@R.add(f"WITH {SIZED} SELECT CAST(conv_id AS varchar) AS path, {GROUP_CASE} AS \"group\", CAST(sum(bytes) AS bigint) AS bytes, CAST(sum(2 * (turn + 1)) AS bigint) AS params, count(*) AS n FROM z GROUP BY 1, 2")
+def conditional_sums(spark, d):
+    return files.group_bytes(files.tensor_sizes(_tensors(spark, d)))
+
+
+@R.add(f"WITH {SIZED} SELECT CAST(conv_id AS varchar) AS path, {NAMED} || '#' || CAST(turn AS varchar) AS name, bytes FROM z")
+def lead_diff(spark, d):
+    return files.tensor_sizes(_tensors(spark, d)).select("path", "name", "bytes")
 
 
 @R.add("""SELECT user_id, event_type, CASE WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'error' THEN 'error' WHEN age > 172800 THEN 'dead' WHEN age > 43200 THEN 'stall' ELSE 'running' END AS status

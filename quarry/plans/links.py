@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.text import squeeze
-from quarry.operators import joins, stats
+from quarry.operators import evidence, identity, joins, stats
+from quarry.sources import files, manifests
 from quarry.plans.roles import MEASUREMENTS, Registry, measurements, r4, s4, table
 
 R = Registry()
@@ -67,7 +68,7 @@ def missing_families_anti(spark, d):
 SELECT blob, conflict, size FROM u WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = blob)""")
 def missing_blobs_anti(spark, d):
     blobs = table(spark, d, "part").select("p_partkey", "p_size", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")).select(((F.col("p_partkey") * 3 + F.col("k")) % 5000).alias("blob"), "p_size")
-    unique = blobs.groupBy("blob").agg((F.min("p_size") != F.max("p_size")).alias("conflict"), F.max("p_size").alias("size"))
+    unique = manifests.blobs(blobs.withColumnRenamed("p_size", "size"), "blob", "size")
     return joins.missing_from(unique, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("blob")), ["blob"])
 
 
@@ -128,7 +129,7 @@ def priority_union(spark, d):
     return joins.priority_union(parts, "k", "v")
 
 
-@R.add("""WITH a AS (SELECT source AS k, max(n_chars) FILTER (lang = 'en') AS en, max(n_chars) FILTER (lang = 'fr') AS fr, max(n_chars) FILTER (lang = 'de') AS de FROM documents WHERE doc_id % 2 = 0 GROUP BY 1),
+@R.add("""WITH a AS (SELECT source AS k, max(n_chars) FILTER (lang = 'en') AS en, max(n_chars) FILTER (lang = 'fr') AS fr, max(n_chars) FILTER (lang = 'de') AS de FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY 1),
 b AS (SELECT source AS k, max(n_chars) FILTER (lang = 'fr') AS fr, max(n_chars) FILTER (lang = 'es') AS es FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND lang IN ('fr', 'es') AND source <> 'src1' GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, a.en, coalesce(b.fr, a.fr) AS fr, a.de, b.es, CASE WHEN b.k IS NULL THEN 'base' ELSE 'curated' END AS origin FROM a FULL JOIN b ON a.k = b.k""")
 def merge_evals(spark, d):
@@ -138,31 +139,32 @@ def merge_evals(spark, d):
         by = df.groupBy("source", "lang").agg(F.max("n_chars").cast("double").alias("v"))
         return by.groupBy(F.col("source").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "v"))).alias("items"))
 
-    base = maps(docs.where("doc_id % 2 = 0 AND lang IN ('en', 'fr', 'de')")).withColumn("origin", F.lit("base"))
+    base = maps(docs.where("lang IN ('en', 'fr', 'de')")).withColumn("origin", F.lit("base"))
     good = docs.join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").where("lang IN ('fr', 'es') AND source <> 'src1'")
     out = joins.merge_maps(base, maps(good).withColumn("origin", F.lit("curated")), "k", "items", "origin")
     return out.select("k", *[F.element_at("items", x).cast("long").alias(x) for x in ("en", "fr", "de", "es")], "origin")
 
 
-@R.add("SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-20 00:00:00' THEN 'hit' ELSE 'miss' END AS cache FROM (SELECT *, ts + INTERVAL 7 DAY AS until FROM events)")
+@R.add("SELECT event_id, CASE WHEN ts > TIMESTAMP '2024-01-20 00:00:00' THEN 'hit' ELSE 'miss' END AS cache FROM (SELECT *, ts + INTERVAL 7 DAY AS until FROM events)")
 def ttl_cache_split(spark, d):
     """fetched_at + 7 days against a fixed now: hits keep their copy, misses are fetched."""
-    until = F.col("ts") + F.expr("INTERVAL 7 DAYS")
-    return table(spark, d, "events").select("event_id", F.when(until >= F.lit("2024-01-27 00:00:00").cast("timestamp_ntz"), "hit").otherwise("miss").alias("cache"))
+    hits, misses = files.split_fresh(table(spark, d, "events").select("event_id", "ts"), "ts", 7 * 86400, F.lit("2024-01-27 00:00:00").cast("timestamp_ntz"))
+    return hits.select("event_id", F.lit("hit").alias("cache")).unionByName(misses.select("event_id", F.lit("miss").alias("cache")))
 
 
-@R.add("SELECT l_partkey, count(DISTINCT l_suppkey) AS digests, min(l_suppkey) AS first FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 ORDER BY digests DESC, l_partkey LIMIT 100")
+@R.add("""WITH q AS (SELECT l_partkey AS k, count(DISTINCT l_suppkey) AS digests, list_sort(list(DISTINCT 'r' || CAST(l_suppkey % 40 AS varchar))) AS repos FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+e AS (SELECT unnest(repos) AS repo, digests FROM q) SELECT repo, CAST(sum(digests) AS bigint) AS digests FROM e GROUP BY 1 ORDER BY digests DESC, repo LIMIT 25""")
 def fetch_plan(spark, d):
-    x = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("digests"), F.min("l_suppkey").alias("first"))
-    return x.orderBy(F.desc("digests"), "l_partkey").limit(100)
+    x = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey")
+    repo = F.concat(F.lit("r"), (F.col("l_suppkey") % 40).cast("string"))
+    queue = x.agg(F.count_distinct("l_suppkey").alias("digests"), F.array_sort(F.collect_set(repo)).alias("repos")).withColumn("action", F.lit("fetch_cards"))
+    return evidence.fetch_plan(queue, 25)
 
 
 @R.add("SELECT o_custkey, o_orderkey, CAST(n AS integer) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 3")
 def topk_per_group(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("place")).where("place <= 3")
+    x = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return joins.first_rows(x, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).drop("o_totalprice")
 
 
 @R.add("""SELECT source, string_agg(DISTINCT lang, '|' ORDER BY lang) AS langs, string_agg(DISTINCT CAST(n_chars % 7 AS varchar), '|' ORDER BY CAST(n_chars % 7 AS varchar)) AS kinds, count(*) AS n FROM documents GROUP BY 1""")
@@ -170,8 +172,8 @@ def inventory_sets(spark, d):
     return stats.inventory(table(spark, d, "documents").withColumn("kind", F.col("n_chars") % 7), "source", {"lang": "langs", "kind": "kinds"})
 
 
-@R.add("SELECT source, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY doc_id)) AS mark FROM documents GROUP BY 1")
+@R.add("""WITH x AS (SELECT source, doc_id // 1024 AS block, sha256(coalesce(text, '')) AS h, doc_id FROM documents), b AS (SELECT source, block, sha256(string_agg(h, '' ORDER BY doc_id, h)) AS h FROM x GROUP BY 1, 2)
+SELECT source, sha256(string_agg(h, '' ORDER BY block)) AS mark FROM b GROUP BY 1""")
 def evidence_fingerprint(spark, d):
-    each = F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    parts = F.array_sort(F.collect_list(each))
-    return table(spark, d, "documents").groupBy("source").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["h"]), ""), 256).alias("mark"))
+    docs = table(spark, d, "documents").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    return identity.group_marks(docs, "source", "doc_id", "h", 1024)

@@ -59,7 +59,7 @@ def catalog(spark: SparkSession, d: str) -> DataFrame:
         (2048 * (1 + key % 7)).alias("ctx_max"),
         (F.lit(64) * (1 + key % 5)).alias("kv_per_token"),
         F.sha2(F.concat("p_brand", F.lit("|"), "p_name"), 256).alias("digest"),
-        F.date_add(F.lit("2023-01-01").cast("date"), (key % 900).cast("int")).alias("pushed_at"),
+        F.when(key % 97 != 0, F.date_add(F.lit("2023-01-01").cast("date"), (key % 900).cast("int"))).alias("pushed_at"),
         F.concat("p_name", F.lit(" "), "p_type").alias("label"),
     )
 
@@ -69,7 +69,7 @@ CATALOG = """catalog AS (
     CAST(floor(p_retailprice * 1000000 + 0.5) AS bigint) AS params, CAST(p_size AS bigint) AS layers,
     CAST(floor(p_retailprice * 2000 + 0.5) AS bigint) * 1000 AS weight_bytes, 2048 * (1 + p_partkey % 7) AS ctx_max,
     64 * (1 + p_partkey % 5) AS kv_per_token, sha256(p_brand || '|' || p_name) AS digest,
-    DATE '2023-01-01' + CAST(p_partkey % 900 AS integer) AS pushed_at, p_name || ' ' || p_type AS label
+    CASE WHEN p_partkey % 97 <> 0 THEN DATE '2023-01-01' + CAST(p_partkey % 900 AS integer) END AS pushed_at, p_name || ' ' || p_type AS label
   FROM part)"""
 
 
@@ -78,14 +78,14 @@ def gpus(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("n_nationkey")
     return table(spark, d, "nation").select(
         k.cast("long").alias("gpu_id"), ((1 + k % 8) * 1.0e6).alias("memory"), F.lit(0.9).alias("usable"), (100.0 + 20 * k).alias("bandwidth"),
-        F.lit(0.00001).alias("per_layer"), F.lit(0.0001).alias("fixed"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"),
+        F.lit(0.00001).alias("per_layer"), F.lit(0.0001).alias("fixed"), F.when(k % 5 > 0, 10.0 + k).alias("fp16_tflops"), F.lit(0.3).alias("derate"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"),
     )
 
 
 GPUS = """gpus AS (
   SELECT CAST(n_nationkey AS bigint) AS gpu_id, (1 + n_nationkey % 8) * CAST(1000000 AS double) AS memory, CAST(0.9 AS double) AS usable,
     CAST(100 AS double) + 20 * n_nationkey AS bandwidth, CAST(0.00001 AS double) AS per_layer, CAST(0.0001 AS double) AS fixed,
-    n_name AS name, n_regionkey AS region FROM nation)"""
+    CASE WHEN n_nationkey % 5 > 0 THEN CAST(10 AS double) + n_nationkey END AS fp16_tflops, CAST(0.3 AS double) AS derate, n_name AS name, n_regionkey AS region FROM nation)"""
 
 
 def measurements(spark: SparkSession, d: str) -> DataFrame:

@@ -103,13 +103,7 @@ def epoch_to_iso(spark, d):
 
 @R.add("SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"/]+)\"', 1)) AS link FROM pages")
 def page_links(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"/]+)"'), F.lit(1))).alias("link")).distinct()
-
-
-@R.add("SELECT page_id, left(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), 40) AS title, regexp_extract(html, '(?i)<html[^>]*lang=\"([a-z]+)\"', 1) AS lang FROM pages")
-def page_extract(spark, d):
-    title = F.substring(F.trim(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)), 1, 40)
-    return table(spark, d, "pages").select("page_id", title.alias("title"), F.regexp_extract("html", '(?i)<html[^>]*lang="([a-z]+)"', 1).alias("lang"))
+    return text.page_links(table(spark, d, "pages"), "page_id", "html", "/").select("page_id", F.concat(F.lit("/"), "link").alias("link"))
 
 
 @R.add("""SELECT page_id, CASE WHEN h = 'www.example.org' AND regexp_matches(o, '^[A-Za-z0-9][A-Za-z0-9_.-]*$') AND regexp_matches(n, '^[A-Za-z0-9][A-Za-z0-9_.-]*$') AND lower(o) NOT IN ('docs', 'api', 'blog') THEN o || '/' || n END AS repo
@@ -202,7 +196,7 @@ def search_query_build(spark, d):
   CASE event_id % 5 WHEN 0 THEN '7' WHEN 1 THEN '900' ELSE 'soon' END AS wish FROM events),
 s AS (SELECT *, CASE WHEN code IS NULL OR code = 408 OR code >= 500 THEN 'transient_error' WHEN code = 429 THEN 'rate_limited' WHEN code IN (401, 403) THEN 'denied' WHEN code = 404 THEN 'not_found' WHEN code <> 200 THEN 'http_error'
   WHEN large THEN 'too_large' WHEN trim(body) = '' THEN 'empty' WHEN lower(trim(body)) LIKE '<html%' THEN 'invalid_content' ELSE 'ok' END AS state FROM x)
-SELECT event_id, state, CAST(CASE state WHEN 'ok' THEN 2592000 WHEN 'not_found' THEN 604800 WHEN 'transient_error' THEN 300 WHEN 'rate_limited' THEN coalesce(greatest(60, TRY_CAST(wish AS double)), 300) ELSE 86400 END AS double) AS seconds FROM s""")
+SELECT event_id, state, CAST(CASE state WHEN 'ok' THEN 2592000 WHEN 'not_found' THEN 604800 WHEN 'transient_error' THEN 300 WHEN 'rate_limited' THEN CASE WHEN TRY_CAST(wish AS double) IS NULL THEN 300 WHEN TRY_CAST(wish AS double) < 60 THEN 60 ELSE TRY_CAST(wish AS double) END ELSE 86400 END AS double) AS seconds FROM s""")
 def retry_policy(spark, d):
     k = F.col("event_id")
     code = F.element_at(F.array(*map(F.lit, (200, 404, 429, 403, 500, 418, None, 408))), (k % 8 + 1).cast("int"))
@@ -235,12 +229,12 @@ def minmax_norm(spark, d):
 
 
 EVALS = {"en": "mmlu", "fr": "gpqa", "de": "livecodebench", "es": "mteb"}
-EVALS_SQL = """e AS (SELECT source, lang, CAST(avg(n_chars) AS double) AS v FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND doc_id % 3 > 0 GROUP BY 1, 2),
+EVALS_SQL = """e AS (SELECT source, lang, CAST(avg(n_chars) AS double) AS v FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1, 2),
 p AS (SELECT lang, min(v) AS lo, max(v) AS hi FROM e GROUP BY 1)"""
 
 
 def _evals(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 3 > 0").join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     names = F.create_map(*[F.lit(x) for kv in EVALS.items() for x in kv])
     by = docs.groupBy("source", "lang").agg(F.avg("n_chars").alias("v"))
     return by.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(names[F.col("lang")], "v"))).alias("benchmarks"))

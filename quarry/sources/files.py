@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry import tables
 from quarry.operators.joins import last_write_wins
 
 GPU_SCHEMA = T.StructType(
@@ -27,9 +28,23 @@ def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: T.Struct
     return reader.json(list(paths) if not isinstance(paths, str) else paths)
 
 
-def read_store(spark: SparkSession, path: str, schema: T.StructType | str, key: str, order: Sequence[str]) -> DataFrame:
-    """An append-only store: the last row of each key by the order columns."""
-    return last_write_wins(read_jsonl(spark, path, schema).where(F.col(key).isNotNull()), [key], order)
+def read_models(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """Catalog rows from JSON lines, or from a document {"models": [...]}; broken ones fail."""
+    if path.endswith(".jsonl"):
+        return read_jsonl(spark, path, schema, strict=True)
+    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    document = spark.read.schema(T.StructType([T.StructField("models", T.ArrayType(fields))])).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return document.select(F.inline("models"))
+
+
+def read_store(spark: SparkSession, path: str, schema: T.StructType | str, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """An append-only store: the last row of each key by the order columns, else by its place in the files (by their names)."""
+    rows = read_jsonl(spark, path, schema)
+    columns = rows.columns
+    # Rows of a piece of a file are read in order, so a growing number orders them; pieces are ordered by file and offset.
+    place = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    kept = place.where(F.col(key).isNotNull())
+    return last_write_wins(kept, [key], [*order] if order else ["_file", "_block", "_row"]).select(*columns)
 
 
 def read_gpus(spark: SparkSession, path: str) -> DataFrame:
@@ -55,10 +70,8 @@ def read_hashed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"), "content")
 
 
-# Widths and codes of scalar values in a binary header, by type number.
-SCALARS = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}
-STRING, ARRAY = 8, 9
-LONGEST_ARRAY = 64
+class CutOff(ValueError):
+    """The bytes end before the header does."""
 
 
 class _Bytes:
@@ -66,28 +79,27 @@ class _Bytes:
         self.data, self.at = data, 0
 
     def take(self, code: str):
-        value = struct.unpack_from("<" + code, self.data, self.at)[0]
-        self.at += struct.calcsize("<" + code)
-        return value
+        size = struct.calcsize("<" + code)
+        if self.at + size > len(self.data):
+            raise CutOff("header is cut off")
+        self.at += size
+        return struct.unpack_from("<" + code, self.data, self.at - size)[0]
 
     def text(self) -> str:
         n = self.take("Q")
         if self.at + n > len(self.data):
-            raise ValueError("header is cut off")
+            raise CutOff("header is cut off")
         self.at += n
         return self.data[self.at - n : self.at].decode(errors="replace")
 
     def value(self, kind: int, keep: bool):
-        if kind == STRING:
+        if kind == tables.HEADER_STRING:
             return self.text()
-        if kind == ARRAY:
+        if kind == tables.HEADER_ARRAY:
             inner, n = self.take("I"), self.take("Q")
             items = [self.value(inner, keep) for _ in range(n)]
-            return items if keep or n <= LONGEST_ARRAY else {"length": n}
-        return self.take(SCALARS[kind])
-
-
-KEEP_ENDINGS = ("head_count_kv", "sliding_window_pattern", "head_count")
+            return items if keep or n <= tables.LONGEST_ARRAY else {"length": n}
+        return self.take(tables.HEADER_SCALARS[kind])
 
 
 def decode_header(data: bytes) -> dict:
@@ -100,7 +112,7 @@ def decode_header(data: bytes) -> dict:
     meta = {}
     for _ in range(n_meta):
         key = r.text()
-        meta[key] = r.value(r.take("I"), key.endswith(KEEP_ENDINGS))
+        meta[key] = r.value(r.take("I"), key.endswith(tables.KEEP_ENDINGS))
     tensors = []
     for _ in range(n_tensors):
         name, n = r.text(), r.take("I")
@@ -118,22 +130,44 @@ _ARROW = pa.schema(
 )
 
 
+#: Bytes of a file that are read first; four times as many where the header is longer, up to the last figure.
+FIRST_BYTES, MOST_BYTES = 8 << 20, 512 << 20
+
+
+def _header_of(path: str, length: int) -> dict:
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    size = FIRST_BYTES
+    with system.open_input_file(place) as f:
+        while True:
+            try:
+                return decode_header(f.read_at(min(size, length), 0))
+            except CutOff:
+                if size >= min(length, MOST_BYTES):
+                    raise
+                size *= 4
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """Binary headers under a path, decoded where they lie; a broken one keeps its row with an error."""
+    """Binary headers under a path, decoded where they lie; a broken one keeps its row with an error.
+
+    Only the beginning of a file is read, in growing ranges, so its size
+    doesn't matter. The paths must be such as the executors' file systems know.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for p, n, content in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "content")), strict=True):
+            for p, n in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
                 row = {"path": p, "length": n}
                 try:
-                    row |= decode_header(content)
-                except (ValueError, KeyError, struct.error) as e:
+                    row |= _header_of(p, n)
+                except (ValueError, KeyError, OSError) as e:
                     row["error"] = str(e) or type(e).__name__
-                rows.append({**row, "metadata": list(row["metadata"].items()) if "metadata" in row else None})
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                row["metadata"] = list(row["metadata"].items()) if "metadata" in row else None
+                yield pa.RecordBatch.from_pylist([row], _ARROW)
 
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content").mapInArrow(run, HEADER)
+    return spark.read.format("binaryFile").load(path).select("path", "length").mapInArrow(run, HEADER)
 
 
 def tensor_sizes(headers: DataFrame) -> DataFrame:
@@ -240,26 +274,51 @@ def header_facts(headers: DataFrame) -> DataFrame:
     )
 
 
-def publish_json(rows: DataFrame, path: str, limit: int = 100_000) -> None:
-    """One small JSON document of a small table, sorted by its first column, compact and alike each time; refuses larger ones.
+def publish_json(rows: DataFrame, path: str, limit: int = 100_000, indent: int | None = None) -> None:
+    """One small JSON document of a small table, sorted by its first column, compact or indented, and alike each time.
 
-    It is written beside its place and moved, so readers see the old or the new one.
+    It is written beside its place and moved over what is there, so readers
+    see the old or the new one. Larger tables are refused: they are written as
+    JSON lines, see write_jsonl.
     """
     found = rows.orderBy(rows.columns[0]).limit(limit + 1).toJSON().collect()
     if len(found) > limit:
-        raise ValueError(f"more than {limit} rows")
-    text = json.dumps([json.loads(x) for x in found], sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n"
+        raise ValueError(f"more than {limit} rows; use write_jsonl")
+    text = json.dumps([json.loads(x) for x in found], sort_keys=True, separators=(",", ":") if indent is None else None, indent=indent, ensure_ascii=False) + "\n"
     spark = rows.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
-    part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    part = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
     out = fs.create(part)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"could not move to {path}")
+    over = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(over, 1)
+    options[0] = over.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(part, target, options)
+
+
+def write_jsonl(rows: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """JSON lines with nulls, in files whose names follow the order."""
+    (rows.orderBy(*order) if order else rows).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV files with a header; nulls are empty."""
+    rows.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def write_once(rows: DataFrame, path: str, key: str) -> DataFrame:
+    """Appends rows whose key the table at path lacks; what is there stays as it is. Returns the rows that were missing."""
+    spark = rows.sparkSession
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    rows = rows.dropDuplicates([key])
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        rows = rows.join(spark.read.schema(rows.schema).parquet(path).select(key), key, "left_anti")
+    rows.write.mode("append").parquet(path)
+    return rows
 
 
 def split_fresh(cache: DataFrame, fetched_at: str, ttl_seconds: int | None, now) -> tuple[DataFrame, DataFrame]:
