@@ -22,13 +22,26 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: Stands for a null doc_id where rows are told apart: one id, below all others.
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id (NO_ID for null), tid (a hash of the text), text (empty for null) and the columns to keep."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"), *keep)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a temporary folder is used.
+    Only a local session may name none: then a temporary folder is used. On a
+    cluster each executor would write to its own disk, so the job fails.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()

@@ -22,24 +22,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import flat_bytes, slices, texts
+from quarry.llm.common import NO_ID, flat_bytes, slices, stored
 from quarry.llm.words import ALNUM, word_spans
 
 #: Steps of a walk by size class (bytes of the item, down to a power of two); a walk covers about half as many bytes.
-STEPS = {1: 1, 2: 2, 4: 3, 8: 6, 16: 12, 32: 20, 64: 24, 128: 32}
+STEPS = {1: 1, 2: 2, 4: 3, 8: 6, 16: 12, 32: 18, 64: 21, 128: 24}
+#: Steps that are looked up at once, by as many bytes; walks that start together stay in the processor's cache.
+LEAP, STARTS = 3, 1 << 15
+#: Walks see a byte as one of 32 letters: a-z apart, others by their last bits. Equal texts walk alike all the same.
+LETTER = np.where(np.arange(256) == 32, 0, np.arange(256) & 31).astype(np.uint16)
 #: Share of edited copies at the bound that the keys of a size class find, the copies it is measured on, and most walks.
 TARGET, COPIES, MOST_KEYS = 0.995, 400, 24
 FILTER_BITS = 20
-#: Characters of an item compared at once, a bit each.
-BLOCK = 60
+#: Characters of an item compared at once, a bit each; candidates compared at once.
+BLOCK, AT_ONCE = 60, 1 << 18
 
 
 @dataclass
 class Key:
     """One walk with its coins and sampled places, and the sorted keys of the items that use it."""
 
-    coins: list[np.ndarray]  # by step: 0 or 1 for each byte
-    names: list[np.ndarray | None]  # by step: a number for each byte at sampled places
+    leaps: list[np.ndarray]  # by LEAP steps and the letters at hand: a number for what is emitted, its last two bits the advance
     mask: np.ndarray  # 2^FILTER_BITS: whether some item key has these leading bits
     keys: np.ndarray
     owners: np.ndarray  # (item, characters of the item before the start)
@@ -47,7 +50,7 @@ class Key:
 
 @dataclass
 class Items:
-    ids: list[int]
+    ids: list[list[int]]  # by text: the items that have it
     joined: list[str]
     codes: list[np.ndarray]  # by item: a number under 64 for each character
     keys: list[Key]
@@ -92,27 +95,47 @@ def _starts(flat: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(here)
 
 
-def walk(flat: np.ndarray, start: np.ndarray, coins: list[np.ndarray], names: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of what the walks from each start emit at the sampled places, and where the walks end."""
+def triples(flat: np.ndarray) -> np.ndarray:
+    """At each byte, the letters of it and the two behind it, in one number."""
+    x = LETTER[flat]
+    out = x << 10
+    out[:-1] |= x[1:] << 5
+    out[:-2] |= x[2:]
+    return out
+
+
+def walk(letters: np.ndarray, start: np.ndarray, leaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of what the walks from each start emit at the sampled places, and where the walks end. letters: see triples."""
     at, h = start.astype(np.int64), np.zeros(len(start), np.uint32)
-    for coin, name in zip(coins, names, strict=True):
-        c = flat.take(at, mode="clip")
-        if name is not None:
-            h += name.take(c)
-            h *= np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-        at += coin.take(c)
+    for leap in leaps:
+        v = leap.take(letters.take(at, mode="clip"))
+        at += v & np.uint32(3)
+        h += v
+        h *= np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
     return h, at
 
 
-def _random_walk(steps: int, k: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+def _random_walk(steps: int, k: int, seed: int) -> list[np.ndarray]:
+    """Coins and sampled places of a walk, composed to leaps."""
     rng = np.random.default_rng((seed, steps, k))
     edges = np.linspace(0, steps, max(1, (steps + 1) // 2) + 1).astype(int)
     # One place in each stretch: neighbouring steps often emit the same character.
     places = {int(rng.integers(a, b)) for a, b in zip(edges, edges[1:], strict=False)}
-    coins = [rng.integers(0, 2, 256) for _ in range(steps)]
-    return coins, [rng.integers(0, 1 << 32, 256, np.uint32) if j in places else None for j in range(steps)]
+    coins, names = rng.integers(0, 2, (steps, 32)), rng.integers(0, 1 << 32, (steps, 32), np.uint32)
+    seen = np.arange(1 << 15)
+    ahead = np.stack([seen >> 10, seen >> 5 & 31, seen & 31])
+    leaps = []
+    for first in range(0, steps, LEAP):
+        at, h = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.uint32)
+        for j in range(first, min(first + LEAP, steps)):
+            letter = ahead[at, seen]
+            if j in places:
+                h = (h ^ names[j, letter]) * np.uint32(0x85EBCA6B)
+            at += coins[j, letter]
+        leaps.append(h & ~np.uint32(3) | at.astype(np.uint32))
+    return leaps
 
 
 def edited(text: str, edits: int, rng: np.random.Generator, alphabet: str) -> str:
@@ -124,18 +147,22 @@ def edited(text: str, edits: int, rng: np.random.Generator, alphabet: str) -> st
     return "".join(out)
 
 
-def _owned(flat: np.ndarray, edges: np.ndarray, steps: list[np.ndarray], names: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _owned(flat: np.ndarray, edges: np.ndarray, leaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the walks that end within their text (or on the space after it), the text of each, and its start."""
     start = _starts(flat, int(edges[-1]))
     owner = np.searchsorted(edges, start, "right") - 1
-    h, at = walk(flat, start, steps, names)
+    h, at = walk(triples(flat), start, leaps)
     inside = at <= edges[owner + 1]
     return h[inside], owner[inside], start[inside]
 
 
 def build(rows: list[tuple[int, str]], percent: int = 20, seed: int = 5) -> Items:
-    """The index of a block of items; items without words match nothing."""
-    _, _, joined = _joined([text.encode() for _, text in rows])
+    """The index of a block of items; items without words match nothing, items with equal words are one."""
+    _, _, every = _joined([text.encode() for _, text in rows])
+    same: dict[str, list[int]] = {}
+    for (i, _), text in zip(rows, every, strict=True):
+        same.setdefault(text, []).append(i)
+    joined = list(same)
     by_class: dict[int, list[int]] = {}
     for i, text in enumerate(joined):
         if text:
@@ -149,17 +176,17 @@ def build(rows: list[tuple[int, str]], percent: int = 20, seed: int = 5) -> Item
         sample = rng.permutation(len(members))[np.arange(COPIES) % len(members)]
         copies = [edited(joined[members[i]], len(joined[members[i]]) * percent // 100, rng, alphabet) for i in sample.tolist()]
         copy_flat, copy_edges, _ = _joined([c.encode() for c in copies])
-        copy_start = _starts(copy_flat, int(copy_edges[-1]))
+        copy_start, copy_letters = _starts(copy_flat, int(copy_edges[-1])), triples(copy_flat)
         copy = np.searchsorted(copy_edges, copy_start, "right") - 1
         caught = np.zeros(len(copies), bool)
         for k in range(MOST_KEYS):
-            coins, names = _random_walk(STEPS[size], k, seed)
-            h, owner, start = _owned(flat, edges, coins, names)
+            leaps = _random_walk(STEPS[size], k, seed)
+            h, owner, start = _owned(flat, edges, leaps)
             offset = chars[start] - chars[edges[owner]]
             found.setdefault((STEPS[size], k), []).append((h, np.stack([np.asarray(members)[owner], offset], axis=1)))
-            other, _ = walk(copy_flat, copy_start, coins, names)
-            same = np.isin(sample[copy].astype(np.uint64) << np.uint64(32) | other, owner.astype(np.uint64) << np.uint64(32) | h)
-            caught[copy[same]] = True
+            other, _ = walk(copy_letters, copy_start, leaps)
+            hit = np.isin(sample[copy].astype(np.uint64) << np.uint64(32) | other, owner.astype(np.uint64) << np.uint64(32) | h)
+            caught[copy[hit]] = True
             if caught.mean() >= TARGET:
                 break
     keys = []
@@ -167,33 +194,38 @@ def build(rows: list[tuple[int, str]], percent: int = 20, seed: int = 5) -> Item
         h, owners = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         order, mask = np.argsort(h, kind="stable"), np.zeros(1 << FILTER_BITS, bool)
         mask[h >> np.uint32(32 - FILTER_BITS)] = True
-        keys.append(Key(*_random_walk(steps, k, seed), mask, h[order], owners[order]))
-    return Items([i for i, _ in rows], joined, [_codes(np.frombuffer(text.encode(), np.uint8)) for text in joined], keys)
+        keys.append(Key(_random_walk(steps, k, seed), mask, h[order], owners[order]))
+    return Items(list(same.values()), joined, [_codes(np.frombuffer(text.encode(), np.uint8)) for text in joined], keys)
 
 
 def _candidates(items: Items, flat: np.ndarray, length: int, edges: np.ndarray, percent: int) -> dict[int, list[tuple[int, int]]]:
     """By document: (item, stretch of as many characters as the item may have edits, in which it would begin) for all shared keys."""
-    start = _starts(flat, length)
+    start, letters = _starts(flat, length), triples(flat)
     chars = np.cumsum((flat & 0xC0) != 0x80)
     width = np.asarray([max(1, len(text) * percent // 100) for text in items.joined], np.int64)
     found = []
-    for key in items.keys:
-        h, _ = walk(flat, start, key.coins, key.names)
-        at = np.flatnonzero(key.mask.take(h >> np.uint32(32 - FILTER_BITS)))
-        low, high = np.searchsorted(key.keys, h[at], "left"), np.searchsorted(key.keys, h[at], "right")
-        n = high - low
-        p = start[np.repeat(at, n)]
-        item, offset = key.owners[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)].T
-        doc = np.searchsorted(edges, p, "right") - 1
-        found.append(np.stack([doc, item, (chars[p] - chars[edges[doc]] - offset) // width[item]], axis=1))
+    for first in range(0, len(start), STARTS):
+        here = start[first : first + STARTS]
+        for key in items.keys:
+            h, _ = walk(letters, here, key.leaps)
+            at = np.flatnonzero(key.mask.take(h >> np.uint32(32 - FILTER_BITS)))
+            low, high = np.searchsorted(key.keys, h[at], "left"), np.searchsorted(key.keys, h[at], "right")
+            n = high - low
+            p = here[np.repeat(at, n)]
+            item, offset = key.owners[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)].T
+            doc = np.searchsorted(edges, p, "right") - 1
+            found.append(np.stack([doc, item, (chars[p] - chars[edges[doc]] - offset) // width[item]], axis=1))
     out: dict[int, list[tuple[int, int]]] = {}
     if found:
         rows = np.concatenate(found)
         rows = rows[np.lexsort(rows.T[::-1])]
         rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))[: len(rows)]]
-        base = chars[edges[rows[:, 0]]] - 1
-        for doc, item, place in rows[_near(items, _codes(flat), rows[:, 1], base + rows[:, 2] * width[rows[:, 1]], percent)].tolist():
-            out.setdefault(doc, []).append((item, place))
+        codes = _codes(flat)
+        for a in range(0, len(rows), AT_ONCE):
+            some = rows[a : a + AT_ONCE]
+            base = chars[edges[some[:, 0]]] - 1
+            for doc, item, place in some[_near(items, codes, some[:, 1], base + some[:, 2] * width[some[:, 1]], percent)].tolist():
+                out.setdefault(doc, []).append((item, place))
     return out
 
 
@@ -326,47 +358,66 @@ def _verify(items: Items, found: list[tuple[int, int]], text: str, percent: int)
     return out
 
 
-MATCHES = "doc_id long, item_id long, distance long, item_chars long, start long, end long"
+MATCHES = "doc_id long, tid long, item_id long, distance long, item_chars long, start long, end long"
 
 
 def _matches_of_block(docs: DataFrame, items: Items, percent: int, slice_bytes: int) -> DataFrame:
+    shipped = docs.sparkSession.sparkContext.broadcast(items)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
-                raw, offsets = flat_bytes(part.column("text"))
-                begin, end, n = word_spans(raw, offsets)
-                flat, first = normalized(raw, begin, end)
-                length = int((end - begin).sum()) + len(begin)
-                word = np.cumsum(n) - n
-                edges = np.append(first, length)[np.append(word, len(begin))]
-                rows = []
-                for d, found in _candidates(items, flat, length, edges, percent).items():
-                    a, low = int(word[d]), int(offsets[d])
-                    text = flat[edges[d] : edges[d + 1] - 1].tobytes().decode(errors="replace")
-                    doc_id = part.column("doc_id")[d].as_py()
-                    for item, (distance, b, e) in sorted(_verify(items, found, text, percent).items()):
-                        rows.append((doc_id, items.ids[item], distance, len(items.joined[item]), int(begin[a + b]) - low, int(end[a + e - 1]) - low))
-                columns = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "distance", "item_chars", "start", "end"])
-
-    return texts(docs).mapInArrow(run, MATCHES)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 20, block_items: int = 20_000, slice_bytes: int = 1 << 18) -> DataFrame:
-    """A row for each document and benchmark item that it holds: the closest passage, in bytes of the text.
+                yield _found(shipped.value, part, percent)
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text")).mapInArrow(run, MATCHES)
+
+
+def _found(items: Items, part: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    raw, offsets = flat_bytes(part.column("text"))
+    begin, end, n = word_spans(raw, offsets)
+    flat, first = normalized(raw, begin, end)
+    length = int((end - begin).sum()) + len(begin)
+    word = np.cumsum(n) - n
+    edges = np.append(first, length)[np.append(word, len(begin))]
+    rows = []
+    for d, found in _candidates(items, flat, length, edges, percent).items():
+        a, low = int(word[d]), int(offsets[d])
+        text = flat[edges[d] : edges[d + 1] - 1].tobytes().decode(errors="replace")
+        doc_id, tid = part.column("doc_id")[d].as_py(), part.column("tid")[d].as_py()
+        for item, (distance, b, e) in sorted(_verify(items, found, text, percent).items()):
+            for item_id in items.ids[item]:
+                rows.append((doc_id, tid, item_id, distance, len(items.joined[item]), int(begin[a + b]) - low, int(end[a + e - 1]) - low))
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "tid", "item_id", "distance", "item_chars", "start", "end"])
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, percent: int = 20, block_items: int = 20_000, block_bytes: int = 1 << 24, slice_bytes: int = 1 << 21
+) -> DataFrame:
+    """A row for each document and benchmark item that it holds: the closest passage, in bytes of the text, and tid, a hash of the text.
 
     A passage holds an item if the edit distance of their words, joined by
     spaces, is at most percent of the item's characters. Documents aren't
-    shuffled; items are searched in blocks of about block_items, so what a
-    task holds stays bounded. Null or empty texts and items without words
-    match nothing; items with equal texts are found each; repeated documents
-    give a row each; empty tables give no rows; other columns are ignored.
+    shuffled; items are searched in blocks of about block_items and
+    block_bytes, so what a task holds stays bounded. Null or empty texts and
+    items without words match nothing; items with equal texts are found each;
+    repeated documents give a row each; empty tables give no rows; other
+    columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = max(1, -(-items.count() // block_items))
+    size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // block_items), -(-(size["bytes"] or 0) // block_bytes))
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         part = _matches_of_block(docs, build(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows), percent), percent, slice_bytes)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 20) -> DataFrame:
+    """The rows of docs whose own text holds no benchmark item; see contaminated. Other rows of the same doc_id stay. Columns are those of docs."""
+    hits = stored(contaminated(docs, benchmark, percent).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("tid").alias("_tid")).distinct(), "hits")
+    marked = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_tid": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return marked.join(hits, ["_doc", "_tid"], "left_anti").select(*docs.columns)
