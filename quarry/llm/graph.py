@@ -9,7 +9,10 @@ from quarry.llm.common import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node reachable) for all nodes of edges (a, b; both long).
+    """node, label (the smallest node reachable) for all nodes of edges (a, b; both long, not null).
+
+    Repeated edges, both directions and edges of a node to itself change
+    nothing; no edges give no rows; other columns are ignored.
 
     Labels jump to their label's label in each round, so the rounds grow with
     the logarithm of the longest chain. Minima are combined before the shuffle

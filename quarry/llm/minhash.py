@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import flat_bytes, slices, stored, texts
+from quarry.llm.common import NO_ID, flat_bytes, keyed, slices, stored, texts
 from quarry.llm.graph import components
 from quarry.llm.words import SPACED, mix, prefix_sums, shingle_hashes, span_hashes, word_spans
 
@@ -44,7 +44,7 @@ def _shingles(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int = ROWS, seed: int = 11, slice_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and a parity sketch of the set, by document."""
+    """doc_id, tid, n_shingles, digest of the set, band keys and a parity sketch of the set, by document. docs: see keyed."""
     rng = np.random.default_rng(seed)
     permutations = -(-bands * rows // 2)
     odd = rng.integers(0, 1 << 32, permutations, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -80,11 +80,11 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int = ROWS, seed: i
                         keys[some, b] = key.view(np.int64)
                 lists = lambda flat, w: pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * w), pa.array(flat))
                 yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(sizes), pa.array(digests, pa.binary()), lists(keys.ravel(), bands), lists(np.concatenate(sketches).astype(np.int64), SKETCH_BITS // 64)],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                    [part.column("doc_id"), part.column("tid"), pa.array(sizes), pa.array(digests, pa.binary()), lists(keys.ravel(), bands), lists(np.concatenate(sketches).astype(np.int64), SKETCH_BITS // 64)],
+                    names=["doc_id", "tid", "n_shingles", "digest", "bands", "sketch"],
                 )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "tid", "text").mapInArrow(run, "doc_id long, tid long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _needed_sets(docs: DataFrame, nodes: DataFrame, size: int, slice_bytes: int = 1 << 20) -> DataFrame:
@@ -139,8 +139,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     words. Documents are linked whose sets reach percent of Jaccard
     similarity. Null and empty texts and texts without words are linked with
     nothing and kept. Rows that repeat a doc_id are one node: a link of any is
-    a link of all. An empty table gives no rows; other columns are ignored.
+    a link of all. A null doc_id is one id, below all others. An empty table
+    gives no rows; other columns are ignored.
     """
+    rows = _components(keyed(docs), size, percent, bands)
+    null = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
+    return rows.select(null("doc_id"), "n_shingles", null("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int | None = None) -> DataFrame:
+    """The rows of docs without near copies: of each group one row stays, that of the smallest doc_id.
+
+    Groups are those of near_duplicates. Of a doc_id's rows with several texts
+    in a group the one with the smallest hash stays; of equal rows one. Texts
+    without words stay. Columns are those of docs.
+    """
+    columns = docs.columns
+    marked = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_tid": F.xxhash64(F.coalesce("text", F.lit("")))})
+    rows = stored(_components(keyed(docs), size, percent, bands).where("n_shingles > 0").select("doc_id", "tid", "component_id"), "components")
+    heads = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("tid").alias("head"))
+    same = rows.groupBy(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), "component_id").agg(F.count("*").alias("c"))
+    judged = stored(same.join(heads, "component_id").select("_doc", "_tid", "c", ((F.col("_doc") == F.col("component_id")) & (F.col("_tid") == F.col("head"))).alias("first")), "judged")
+    gone = judged.where("NOT first").select("_doc", "_tid")
+    twice = judged.where("first AND c > 1").select("_doc", "_tid")
+    left = marked.join(gone, ["_doc", "_tid"], "left_anti")
+    if twice.limit(1).count():
+        one = left.join(twice, ["_doc", "_tid"], "left_semi").dropDuplicates(["_doc", "_tid"])
+        left = left.join(twice, ["_doc", "_tid"], "left_anti").unionByName(one)
+    return left.select(*columns)
+
+
+def _components(docs: DataFrame, size: int, percent: int, bands: int | None) -> DataFrame:
+    """Per row of keyed docs: doc_id, tid, n_shingles, component_id."""
     bands = bands or bands_for(percent)
     rows = stored(signatures(docs, size, bands), "signatures")
     some = rows.where("n_shingles > 0")
@@ -158,7 +188,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     pairs = shared.join(pivots, "bucket").where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     candidates = shared.select("node").distinct()
     sets = stored(_needed_sets(docs, nodes.join(candidates, "node", "left_semi"), size), "sets")
-    linked = stored(_linked(pairs, sets, percent), "links")
+    # A doc_id that is repeated with other texts is one node.
+    of = some.select("doc_id", "digest").join(digests, "digest").select("doc_id", "node")
+    several = of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("doc_id", "a")
+    twins = of.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    linked = stored(_linked(pairs, sets, percent).unionByName(twins), "links")
     labels = components(linked)
     # Members of a bucket that its pivot didn't join meet the bucket's other components.
     told = shared.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -175,6 +209,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     if more.limit(1).count():
         labels = components(linked.unionByName(more))
     known = digests.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
-    # A doc_id that is repeated with other texts has one component, the smallest.
     out = rows.join(known, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "tid", "n_shingles", "component_id")
