@@ -1,8 +1,9 @@
 """Chat formatting: field-path fingerprints select declarative mappings to canonical turns.
 
-A record's layout is recognised by the nested field paths it carries. The
-present paths of a declared vocabulary are sorted and hashed; the fingerprint
-picks a mapping that says where roles and texts lie. Canonical turns are then
+A record's layout is recognised by the nested field paths it carries, a
+table's by those of its schema. The present paths of a declared vocabulary are
+sorted and hashed; the fingerprint picks a mapping that says where roles and
+texts lie. Canonical turns are then
 rendered with control markers; any marker or escape character inside a text is
 escaped, so the rendered string can be read back exactly. All of it is
 DataFrame expressions.
@@ -31,16 +32,29 @@ class Turns:
     roles: dict[str, str] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class Rows:
+    """A row for each turn: the fields of conversation, order, role and text, and other names of roles."""
+
+    conversation: str
+    order: str
+    role: str
+    text: str
+    roles: dict[str, str] = field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class Layout:
-    """Paths that a record must carry, and turns by (role, path of text) or by an array. optional paths may be missing."""
+    """Paths that a record must carry, and turns by (role, path of text), by an array or by rows. optional paths may be missing."""
 
     name: str
-    turns: tuple[tuple[str, str], ...] | Turns
+    turns: tuple[tuple[str, str], ...] | Turns | Rows
     optional: tuple[str, ...] = ()
 
     @property
     def paths(self) -> tuple[str, ...]:
+        if isinstance(self.turns, Rows):
+            return (self.turns.conversation, self.turns.order, self.turns.role, self.turns.text)
         if isinstance(self.turns, Turns):
             return (f"{self.turns.array}[].{self.turns.role}", f"{self.turns.array}[].{self.turns.text}")
         return tuple(p for _, p in self.turns)
@@ -53,9 +67,10 @@ LAYOUTS = (
     Layout("instruction", (("system", "system"), ("user", "instruction"), ("user", "input"), ("assistant", "output")), ("system", "input")),
     Layout("prompt", (("system", "system"), ("user", "prompt"), ("assistant", "completion")), ("system",)),
     Layout("question", (("system", "context"), ("user", "question"), ("assistant", "answer")), ("context",)),
-    Layout("rows", (), ()),
+    Layout("rows", Rows("conv_id", "turn", "role", "text")),
+    Layout("posts", Rows("thread_id", "position", "from", "value", {"human": "user", "gpt": "assistant"})),
+    Layout("utterances", Rows("dialogue_id", "index", "speaker", "utterance", {"customer": "user", "agent": "assistant"})),
 )
-ROW_PATHS = ("conv_id", "role", "text", "turn")
 
 
 def path_fingerprint(paths) -> str:
@@ -66,9 +81,6 @@ def fingerprints(layouts=LAYOUTS) -> dict[str, Layout]:
     """Layout by fingerprint, for every choice of its optional paths."""
     out = {}
     for layout in layouts:
-        if layout.name == "rows":
-            out[path_fingerprint(ROW_PATHS)] = layout
-            continue
         need = [p for p in layout.paths if p not in layout.optional]
         for bits in range(1 << len(layout.optional)):
             out[path_fingerprint(need + [p for i, p in enumerate(layout.optional) if bits >> i & 1])] = layout
@@ -122,6 +134,7 @@ def turns_of_records(df: DataFrame, record: str = "record", layouts=LAYOUTS) ->
     null layout and turns null. Absent or null texts and roles are empty.
     Fields outside the vocabulary don't matter.
     """
+    layouts = [x for x in layouts if not isinstance(x.turns, Rows)]
     known = sorted({p for x in layouts for p in x.paths})
     v = F.try_parse_json(F.col(record))
     paths = F.array_compact(F.array(*[F.when(_present(v, p), F.lit(p)) for p in known]))
@@ -129,27 +142,39 @@ def turns_of_records(df: DataFrame, record: str = "record", layouts=LAYOUTS) ->
     table = fingerprints(layouts)
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in layouts:
-        if layout.name == "rows":
-            continue
         mine = F.col("fingerprint").isin([k for k, x in table.items() if x == layout])
         name = F.when(mine, F.lit(layout.name)).otherwise(name)
         turns = F.when(mine, _turns(v, layout)).otherwise(turns)
     return df.withColumn("fingerprint", mark).withColumn("layout", name).withColumn("turns", turns)
 
 
-def turns_of_rows(rows: DataFrame) -> DataFrame:
-    """conv_id and turns of a table with a row per turn, whose schema has the fingerprint of that layout.
+def row_layout(schema: T.StructType, layouts=LAYOUTS) -> Layout:
+    """The layout of a table with a row for each turn, by the fingerprint of those of its fields that row layouts know."""
+    of_rows = [x for x in layouts if isinstance(x.turns, Rows)]
+    known = {p for x in of_rows for p in x.paths}
+    mark = path_fingerprint([p for p in schema_paths(schema) if p in known])
+    found = fingerprints(of_rows).get(mark)
+    if found is None:
+        raise ValueError(f"no layout of rows has the fingerprint {mark} of the fields {sorted(known & set(schema_paths(schema)))}")
+    return found
+
+
+def turns_of_rows(rows: DataFrame, layouts=LAYOUTS) -> DataFrame:
+    """conv_id and turns of a table with a row for each turn; the fingerprint of its fields picks the mapping that is read.
 
-    Turns are in order of turn, then role and text where turns tie; repeated
-    rows are turns of their own. Null roles and texts are empty. Other columns
-    are ignored. One conversation is one output string, so it must fit a row.
+    Turns are in the mapping's order, then role and text where turns tie;
+    repeated rows are turns of their own. Null roles and texts are empty. Other
+    columns are ignored; a table of no known layout is refused. One
+    conversation is one output string, so it must fit a row.
     """
-    rows = rows.select(*ROW_PATHS)
-    if fingerprints()[path_fingerprint(schema_paths(rows.schema))].name != "rows":
-        raise ValueError("not a table of turns")
-    blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    m = row_layout(rows.schema, layouts).turns
+    role = F.coalesce(F.col(m.role).cast("string"), F.lit(""))
+    named = role
+    for old, new in m.roles.items():
+        named = F.when(role == old, F.lit(new)).otherwise(named)
+    canonical = rows.select(F.col(m.conversation).alias("conv_id"), F.col(m.order).alias("turn"), named.alias("role"), F.coalesce(F.col(m.text).cast("string"), F.lit("")).alias("text"))
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    grouped = rows.select("conv_id", "turn", *blank).groupBy("conv_id").agg(ordered.alias("turns"))
+    grouped = canonical.groupBy("conv_id").agg(ordered.alias("turns"))
     return grouped.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
 
 
@@ -163,7 +188,11 @@ def unescape(text: Column) -> Column:
 
 
 def render(df: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """Adds formatted and loss_spans ([start, end) in code points: texts of the learnt roles) to turns."""
+    """Adds formatted and loss_spans ([start, end) in code points: texts of the learnt roles) to turns.
+
+    No turns give an empty string without spans; null turns give nulls. Equal
+    rows are rendered alike; texts may be empty or of any length that a row holds.
+    """
     pieces = F.transform("turns", lambda t: F.concat(F.lit(START), escape(t["role"]), F.lit(SEP), escape(t["text"]), F.lit(END)))
     # Lengths of a turn: what comes before its text, its text; the end marker follows.
     sizes = F.transform(
@@ -185,7 +214,7 @@ def render(df: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
 
 
 def read_back(df: DataFrame) -> DataFrame:
-    """Adds turns and loss_text read from formatted and loss_spans alone."""
+    """Adds turns and loss_text read from formatted and loss_spans alone: exactly what was rendered; nulls stay null."""
     parts = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda p, i: i > 0)
     turn = F.transform(
         parts,
@@ -199,7 +228,7 @@ def read_back(df: DataFrame) -> DataFrame:
 
 
 def chat_digest(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of what formatted and loss_spans hold."""
+    """Counts and digests of what formatted and loss_spans hold, a row for each that comes in; an empty string has no turns."""
     back = read_back(formatted.select("conv_id", "formatted", "loss_spans"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,9 +62,11 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
-    return chat.chat_digest(chat.render(chat.turns_of_rows(rows.unionByName(extra))))
+    """The table's layout and the added record's are each found by fingerprint; their canonical turns are rendered together."""
+    rows = chat.turns_of_rows(table(spark, sf_dir, "conversations"))
+    record = json.dumps({"messages": [{"role": r, "content": CONTROL} for r in ("user", "assistant")]})
+    added = chat.turns_of_records(spark.createDataFrame([(-1, record)], "conv_id long, record string"))
+    return chat.chat_digest(chat.render(rows.unionByName(added.select("conv_id", "turns"))))
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
