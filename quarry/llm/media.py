@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.llm.common import flat_bytes, slices, stored, texts
 
@@ -148,33 +149,63 @@ def encode_images(payload: np.ndarray, units: np.ndarray) -> list[bytes]:
 
 
 class Frame:
-    """What the markers of one frame say, and where its scan lies."""
+    """What the markers of one frame say of its luminance, and where that scan lies."""
 
-    __slots__ = ("width", "height", "step", "restart", "dc", "ac", "begin", "end")
+    __slots__ = ("width", "height", "step", "restart", "tables", "pattern", "across", "down", "begin", "end")
+
+    @property
+    def units(self) -> int:
+        """Coding units of the scan: the blocks that repeat in pattern."""
+        return -(-self.width // (8 * self.across)) * -(-self.height // (8 * self.down))
+
+
+def _marker(image: bytes, at: int) -> int:
+    """Where the marker code at or behind fill bytes stands."""
+    if image[at] != 0xFF:
+        raise ValueError("no marker where one must be")
+    while image[at] == 0xFF:
+        at += 1
+    return at
 
 
 def parse_frames(image: bytes) -> list[Frame]:
-    """Frames of consecutive baseline JPEG images with one component."""
+    """Frames of consecutive baseline JPEG images of 8 bits, with one component or several.
+
+    The first component is the luminance. Several may be interleaved in one
+    scan, or each have its own; other scans are passed over. Broken bytes raise
+    ValueError, IndexError or KeyError.
+    """
     frames, at = [], 0
     while at < len(image):
         if image[at : at + 2] != b"\xff\xd8":
             raise ValueError("no start of image")
         at += 2
-        frame, quant, tables = Frame(), {}, {}
+        frame, quant, tables, found = Frame(), {}, {}, {}
         frame.restart = 0
+        done = False
         while True:
-            marker, size = image[at + 1], int.from_bytes(image[at + 2 : at + 4], "big")
-            body = image[at + 4 : at + 2 + size]
-            at += 2 + size
+            at = _marker(image, at)
+            marker = image[at]
+            if marker == 0xD9:
+                at += 1
+                break
+            size = int.from_bytes(image[at + 1 : at + 3], "big")
+            body = image[at + 3 : at + 1 + size]
+            if size < 2 or len(body) != size - 2:
+                raise ValueError("a segment is cut off")
+            at += 1 + size
             if marker == 0xDB:
                 while body:
                     wide = 2 if body[0] >> 4 else 1
                     quant[body[0] & 15] = int.from_bytes(body[1 : 1 + wide], "big")
                     body = body[1 + 64 * wide :]
             elif marker == 0xC0:
-                if body[0] != 8 or body[5] != 1:
-                    raise ValueError("only 8-bit images with one component")
-                frame.height, frame.width, frame.step = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big"), body[8]
+                if body[0] != 8:
+                    raise ValueError("only images of 8 bits")
+                frame.height, frame.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+                parts = [body[6 + 3 * k : 9 + 3 * k] for k in range(body[5])]
+                found = {c[0]: (c[1] >> 4, c[1] & 15, c[2]) for c in parts}
+                first = parts[0][0]
             elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise ValueError("not a baseline image")
             elif marker == 0xC4:
@@ -185,19 +216,32 @@ def parse_frames(image: bytes) -> list[Frame]:
             elif marker == 0xDD:
                 frame.restart = int.from_bytes(body, "big")
             elif marker == 0xDA:
-                frame.dc, frame.ac = tables[body[2] >> 4], tables[0x10 | body[2] & 15]
-                frame.step = quant[frame.step]
-                break
-        frame.begin = at
-        while True:  # the scan ends at the first marker that isn't a restart or a stuffed byte
-            at = image.index(b"\xff", at)
-            if image[at + 1] == 0 or 0xD0 <= image[at + 1] <= 0xD7:
-                at += 2
-            else:
-                break
-        frame.end = at
+                scan = [(body[1 + 2 * k], body[2 + 2 * k]) for k in range(body[0])]
+                begin = at
+                while True:  # the scan ends at the first marker that isn't a restart or a stuffed byte
+                    at = image.index(b"\xff", at)
+                    if image[at + 1] == 0 or 0xD0 <= image[at + 1] <= 0xD7:
+                        at += 2
+                    else:
+                        break
+                if first not in [c for c, _ in scan]:
+                    continue
+                alone = len(scan) == 1
+                frame.pattern, chosen = [], []
+                for k, (c, t) in enumerate(scan):
+                    across, down, _ = found[c]
+                    frame.pattern += [(k, c == first)] * (1 if alone else across * down)
+                    chosen.append((tables[t >> 4], tables[0x10 | t & 15]))
+                most = (1, 1) if alone else (max(h for h, _, _ in found.values()), max(v for _, v, _ in found.values()))
+                if not alone and found[first][:2] != most:
+                    raise ValueError("luminance that is coarser than another component")
+                frame.across, frame.down = most
+                frame.tables, frame.pattern = tuple(chosen), tuple(frame.pattern)
+                frame.step, frame.begin, frame.end = quant[found[first][2]], begin, at
+                done = True
+        if not done or not frame.width or not frame.height:
+            raise ValueError("no scan of the luminance")
         frames.append(frame)
-        at += 2
     return frames
 
 
@@ -214,10 +258,10 @@ def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def decode_dc(images: list[bytes]) -> list[list[np.ndarray]]:
-    """DC-only luminance thumbnails (height/8 x width/8) of each frame of each image.
+    """DC-only luminance thumbnails (height/8 x width/8) of each frame of each image. Broken bytes raise.
 
-    Restart intervals of all frames with the same tables are decoded in step;
-    AC coefficients are read and passed over.
+    Restart intervals of all frames with the same tables and the same pattern
+    of components are decoded in step; AC coefficients are read and passed over.
     """
     out: list[list] = []
     groups: dict[tuple, list] = {}
@@ -225,9 +269,9 @@ def decode_dc(images: list[bytes]) -> list[list[np.ndarray]]:
         frames = parse_frames(image)
         out.append([None] * len(frames))
         for k, f in enumerate(frames):
-            groups.setdefault((f.dc, f.ac), []).append((i, k, f))
-    for (dc, ac), members in groups.items():
-        lookups = _lookup(dc), _lookup(ac)
+            groups.setdefault((f.tables, f.pattern), []).append((i, k, f))
+    for (tables, pattern), members in groups.items():
+        lookups = [(_lookup(dc), _lookup(ac)) for dc, ac in tables]
         data = np.frombuffer(b"".join(images[i][f.begin : f.end] + b"\xff\xd0" for i, k, f in members) + bytes(8), np.uint8)
         ff = np.flatnonzero(data[:-1] == 0xFF)
         marks = ff[data[ff + 1] != 0]
@@ -238,60 +282,74 @@ def decode_dc(images: list[bytes]) -> list[list[np.ndarray]]:
         clean = np.append(data[~drop], np.zeros(8, np.uint8)).astype(np.uint32)
         window = clean[:-3] << 24 | clean[1:-2] << 16 | clean[2:-1] << 8 | clean[3:]
         begin = np.append(0, kept[marks])[:-1]
-        blocks, tail = [], []
+        units: list[int] = []
         for _, _, f in members:
-            n = -(-f.width // 8) * -(-f.height // 8)
-            each = f.restart or n
-            blocks += [each] * (n // each) + ([n % each] if n % each else [])
-        count = np.asarray(blocks, np.int64)
+            each = f.restart or f.units
+            units += [each] * (f.units // each) + ([f.units % each] if f.units % each else [])
+        count = np.asarray(units, np.int64)
         if len(count) != len(begin):
             raise ValueError("restart markers are missing")
-        values = _decode_intervals(window, begin, count, *lookups)
-        lanes = np.cumsum(count)
-        del tail, kept
-        at = 0
-        flat = values
+        values = _decode_intervals(window, begin, count, pattern, lookups)
+        at, inner = 0, sum(own for _, own in pattern)
         for i, k, f in members:
-            wide, high = -(-f.width // 8), -(-f.height // 8)
-            pixels = flat[at : at + wide * high]
-            at += wide * high
-            mean = np.clip((pixels * f.step + 4) // 8 + 128, 0, 255).astype(np.uint8)
-            out[i][k] = mean.reshape(high, wide)
-        assert at == (int(lanes[-1]) if len(lanes) else 0)
+            n = f.units * inner
+            pixels, at = values[at : at + n], at + n
+            wide, high = -(-f.width // (8 * f.across)), -(-f.height // (8 * f.down))
+            # Blocks of a unit lie in its own rows and columns.
+            raster = pixels.reshape(high, wide, f.down, f.across).transpose(0, 2, 1, 3).reshape(high * f.down, wide * f.across)
+            raster = raster[: -(-f.height // 8), : -(-f.width // 8)]
+            out[i][k] = np.clip((raster * f.step + 4) // 8 + 128, 0, 255).astype(np.uint8)
     return out
 
 
-def _decode_intervals(window: np.ndarray, begin: np.ndarray, count: np.ndarray, dc, ac) -> np.ndarray:
-    """DC coefficients of all intervals, concatenated. window: 32 bits from each byte; count: blocks by interval."""
-    (dc_symbol, dc_length), (ac_symbol, ac_length) = dc, ac
+def thumbnails(images: list[bytes | None]) -> list[list[np.ndarray] | None]:
+    """decode_dc for bytes of any kind: None for those that are null or no image that it reads."""
+    broken = (ValueError, IndexError, KeyError)
+    try:
+        return decode_dc(images)
+    except (*broken, TypeError):
+        out: list[list[np.ndarray] | None] = []
+        for image in images:
+            try:
+                out.append(decode_dc([image])[0] if image else None)
+            except broken:
+                out.append(None)
+        return out
+
+
+def _decode_intervals(window: np.ndarray, begin: np.ndarray, count: np.ndarray, pattern, lookups) -> np.ndarray:
+    """Luminance DC coefficients of all intervals, concatenated. window: 32 bits from each byte; count: units by interval."""
     order = np.argsort(-count, kind="stable")  # lanes that end first come last
     bit = begin[order].astype(np.int64) * 8
     sizes = count[order]
-    first = (np.cumsum(count) - count)[order]
-    dc_now = np.zeros(len(count), np.int32)
-    out = np.empty(int(count.sum()), np.int32)
-    eob_only = bool((ac_symbol[ac_length > 0] == 0).all()) and len(set(ac_length[ac_length > 0].tolist())) == 1
-    eob = int(ac_length.max())
-    for step in range(int(sizes[0]) if len(sizes) else 0):
-        n = int(np.searchsorted(-sizes, -step, side="left"))  # lanes with more than step blocks
-        b = bit[:n]
-        look = window[b >> 3] << (b & 7).astype(np.uint32)
-        head = look >> 16
-        cat, used = dc_symbol[head], dc_length[head]
-        shift = cat.astype(np.uint32)
-        # Up to 16 + 11 bits may follow the byte's first 7; the second look starts behind the code.
-        b = b + used
-        look = window[b >> 3] << (b & 7).astype(np.uint32)
-        raw = ((look >> 1) >> (31 - shift)).astype(np.int32)
-        half = (1 << shift.astype(np.int32)) >> 1
-        diff = np.where(raw < half, raw - (1 << shift.astype(np.int32)) + 1, raw)
-        dc_now[:n] += diff
-        b = b + cat
-        out[first[:n] + step] = dc_now[:n]
-        if eob_only:
-            b = b + eob
-        else:
-            b = _skip_ac(window, b, ac_symbol, ac_length)
+    inner = sum(own for _, own in pattern)
+    first = inner * (np.cumsum(count) - count)[order]
+    dc_now = np.zeros((len(lookups), len(count)), np.int32)
+    out = np.empty(inner * int(count.sum()), np.int32)
+    ends = []
+    for _, (symbol, length) in lookups:
+        used = length > 0
+        alone = bool((symbol[used] == 0).all()) and len(set(length[used].tolist())) == 1
+        ends.append(int(length.max()) if alone else None)
+    for unit in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -unit, side="left"))  # lanes with more units
+        b, place = bit[:n], inner * unit
+        for part, own in pattern:
+            (dc_symbol, dc_length), (ac_symbol, ac_length) = lookups[part]
+            head = (window[b >> 3] << (b & 7).astype(np.uint32)) >> 16
+            cat, used = dc_symbol[head], dc_length[head]
+            shift = cat.astype(np.uint32)
+            # Up to 16 + 11 bits may follow the byte's first 7; the second look starts behind the code.
+            b = b + used
+            look = window[b >> 3] << (b & 7).astype(np.uint32)
+            raw = ((look >> 1) >> (31 - shift)).astype(np.int32)
+            half = (1 << shift.astype(np.int32)) >> 1
+            dc_now[part, :n] += np.where(raw < half, raw - (1 << shift.astype(np.int32)) + 1, raw)
+            b = b + cat
+            if own:
+                out[first[:n] + place] = dc_now[part, :n]
+                place += 1
+            b = b + ends[part] if ends[part] is not None else _skip_ac(window, b, ac_symbol, ac_length)
         bit[:n] = b
     return out
 
@@ -305,6 +363,8 @@ def _skip_ac(window: np.ndarray, bit: np.ndarray, symbol: np.ndarray, length: np
         head = (window[b >> 3] << (b & 7).astype(np.uint32)) >> 16
         s = symbol[head].astype(np.int64)
         bit[live] = b + length[head] + (s & 15)
+        if not length[head].all():
+            raise ValueError("no such code")
         seen[live] += np.where(s == 0xF0, 16, (s >> 4) + 1)
         live = live[(s != 0) & (seen[live] < 64)]
     return bit
@@ -344,34 +404,46 @@ def with_media(docs: DataFrame, slice_bytes: int = 2 << 20) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+FEATURES = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "widths array<int>, heights array<int>, hashes array<string>"
+)
+
+
 def media_features(media: DataFrame, slice_bytes: int = 3 << 20) -> DataFrame:
-    """Decode the stored images: payload digests, dimensions and thumbnail hashes. Reads the media column alone for them."""
+    """Decode the stored images: payload digests, and by frame the dimensions in pixels and the thumbnail's hash. Other columns than media aren't read for them.
+
+    A row for each that comes in. Where media is null, cut, or no baseline
+    JPEG, what would need the picture is null, and of null media the rest too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "media", slice_bytes):
                 images = part.column("media").to_pylist()
-                sizes, shas, crcs, lengths, media_shas, features = [], [], [], [], [], []
-                for image, frames in zip(images, decode_dc(images), strict=True):
+                rows = []
+                for image, frames in zip(images, thumbnails(images), strict=True):
+                    stored_as = (None, None) if image is None else (len(image), hashlib.sha256(image).hexdigest())
+                    if frames is None:
+                        rows.append((None, None, None, *stored_as, None, None, None))
+                        continue
                     payload = b"".join(f.tobytes() for f in frames)
-                    sizes.append(len(payload))
-                    shas.append(hashlib.sha256(payload).hexdigest())
-                    crcs.append(zlib.crc32(payload[-16:]))
-                    lengths.append(len(image))
-                    media_shas.append(hashlib.sha256(image).hexdigest())
-                    features.append(";".join(f"{8 * f.shape[1]}x{8 * f.shape[0]}:{thumbnail_hash(f):016x}" for f in frames))
-                yield pa.record_batch(
-                    [
-                        part.column("doc_id"), part.column("n_bytes"), pa.array(sizes, pa.int64()), pa.array(shas), pa.array(crcs, pa.int64()),
-                        pa.array(lengths, pa.int64()), pa.array(media_shas), pa.array(features),
-                    ],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-                )
-
-    kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(run, kind)
+                    shape = [8 * f.shape[1] for f in frames], [8 * f.shape[0] for f in frames], [f"{thumbnail_hash(f):016x}" for f in frames]
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored_as, *shape))
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
+                columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)]
+                names = [x.split()[0] for x in FEATURES.split(", ")]
+                yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), *columns], names=names)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """The stored form and features of each document's text: images are written as a table, features come from what is read back."""
-    return media_features(stored(with_media(docs), "media"))
+    """The stored form and features of each document's text: images are written as a table, features come from what is read back.
+
+    feature has the dimensions and hashes of all frames as one string; see
+    with_media for null, empty, long and repeated texts.
+    """
+    found = media_features(stored(with_media(docs), "media"))
+    each = F.zip_with(F.arrays_zip("widths", "heights"), F.col("hashes"), lambda d, h: F.concat(d["widths"].cast("string"), F.lit("x"), d["heights"].cast("string"), F.lit(":"), h))
+    return found.withColumn("feature", F.array_join(each, ";"))
