@@ -142,7 +142,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY)
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """sequence_id and offset of stored pieces.
+    """sequence_id and offset of stored pieces (see cut); equal pieces get places of their own, and no pieces give no rows.
 
     The driver gets one row for each length in use (capacity rows at most).
     """
@@ -185,7 +185,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 def sequences(placed: DataFrame, tokens: DataFrame) -> DataFrame:
     """The packed ids: sequence_id, tokens, doc_ids, starts. tokens has doc_id (unique) and its list of ids.
 
-    A group has at most capacity ids.
+    A group has at most capacity ids. Pieces of a doc_id that tokens lacks, or
+    of a null one, are left out; a doc_id that repeats there would repeat its
+    pieces.
     """
     cut_ids = placed.join(tokens.select("doc_id", F.col("tokens").alias("ids")), "doc_id").select(
         "sequence_id", "offset", "doc_id", F.slice("ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("ids")

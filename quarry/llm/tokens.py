@@ -4,7 +4,8 @@ Byte-level BPE splits a text at every single space or line feed between two
 non-space characters before it merges, so the ids of such a piece don't depend
 on its surroundings. Natural text repeats its pieces, hence each worker keeps
 the library's ids by piece and asks the library for new pieces only. A text
-with runs of white space is given to the library as a whole.
+with runs of white space, or with the string of a special token, is given to
+the library as a whole.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import shuffle_partitions, slices, texts, work_path
 
 END_ID = 2
-#: Pieces whose ids a worker remembers, those met lately and those met again; others are encoded anew, with the same ids.
-RECENT_PIECES, OFTEN_PIECES = 150_000, 450_000
+#: Pieces whose ids a worker remembers, those met lately and those met again, and characters of the longest ones, so that
+#: they take a bounded number of bytes; others are encoded anew, with the same ids.
+RECENT_PIECES, OFTEN_PIECES, PIECE_CHARS = 150_000, 450_000, 32
 _RUNS = re.compile(r"\s\s")
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -41,7 +43,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Ids whose token begins with a space or a line feed, as only the first token of a piece does.
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -70,7 +72,7 @@ class PieceEncoder:
         return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """ids of pieces that now lacks; what comes back from the generation before is kept for good."""
+        """ids of pieces that now lacks; what comes back from the generation before is kept for good. Long pieces aren't kept."""
         found = {p: self.before[p] for p in new if p in self.before}
         if len(self.often) < OFTEN_PIECES:
             self.often.update(found)
@@ -79,7 +81,7 @@ class PieceEncoder:
             found.update(zip(fresh, self._pieces(fresh), strict=True))
         if len(self.now) + len(found) > len(self.often) + RECENT_PIECES:
             self.before, self.now = self.now, self.often.copy()
-        self.now.update(found)
+        self.now.update((p, ids) for p, ids in found.items() if len(p) <= PIECE_CHARS)
         return found
 
     def encode(self, batch: list[str]) -> list[bytes]:
@@ -87,7 +89,7 @@ class PieceEncoder:
         missing: set[str] = set()
         get = self.now.get
         for text in batch:
-            if _RUNS.search(text) or text[:1].isspace() or text[-1:].isspace():
+            if _RUNS.search(text) or text[:1].isspace() or text[-1:].isspace() or any(t in text for t in self.special):
                 rows.append(None)
                 continue
             # A line feed before the text makes its first piece one like any other; its token goes again below.
@@ -209,7 +211,7 @@ def read_token_files(spark, path: str) -> DataFrame:
 
 
 def select_tokens(spark, path: str, low: int, high: int) -> DataFrame:
-    """Ids of the documents low <= doc_id < high; row groups and pages outside are skipped by their statistics."""
+    """Ids of the documents low <= doc_id < high; row groups and pages outside are skipped by their statistics. Null doc_ids are in no range; repeated ones each give a row."""
     return spark.read.parquet(path).where((F.col("doc_id") >= low) & (F.col("doc_id") < high)).select("doc_id", "tokens")
 
 
