@@ -17,15 +17,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, texts
+from quarry.llm.common import slices, stored, texts
 
 GRAM, BITS = 4, 16
+MOST_LANGS = 200
 #: Overlapping grams repeat their evidence, so the text's log-likelihood is divided by the gram length.
 TEMPER = 1.0 / GRAM
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>|<[^>]*>", re.S | re.I)
+OPENS = re.compile(r"<(?:(!--)|(script|style|noscript|template)\b)?", re.I)
+CLOSES = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template")}
 SPACE = re.compile(r"\s+")
 
 
@@ -36,7 +38,37 @@ class Model:
 
 
 def visible_text(page: str) -> str:
-    return SPACE.sub(" ", entities.unescape(HIDDEN.sub(" ", page))).strip()
+    """Text outside tags, comments, scripts, styles and templates; one that nothing closes hides no more than its tag. Linear in the page."""
+    out, at, missing = [], 0, set()
+
+    def closed(what: str, begin: int) -> int:
+        """Where the comment or element that begins here ends, or -1. What isn't found once isn't behind that place either."""
+        if what in missing:
+            return -1
+        if what == "-->":
+            end = page.find(what, begin)
+            end = end + 3 if end >= 0 else -1
+        else:
+            found = CLOSES[what].search(page, begin)
+            end = found.end() if found else -1
+        if end < 0:
+            missing.add(what)
+        return end
+
+    while opened := OPENS.search(page, at):
+        out.append(page[at : opened.start()])
+        end = closed("-->", opened.end()) if opened[1] else -1
+        if end < 0:
+            end = page.find(">", opened.end() if not opened[1] else opened.start()) + 1
+            if not end:
+                at = opened.start()
+                break
+            if opened[2]:
+                end = max(end, closed(opened[2].lower(), end))
+        out.append(" ")
+        at = end
+    out.append(page[at:])
+    return SPACE.sub(" ", entities.unescape("".join(out))).strip()
 
 
 def _grams(text: str) -> np.ndarray:
@@ -52,16 +84,20 @@ def _grams(text: str) -> np.ndarray:
 def fit_languages(docs: DataFrame, per_lang: int = 400, max_chars: int = 20_000, lang: str = "lang") -> Model:
     """Gram scores from at most per_lang documents of each language, of at most max_chars characters.
 
-    Documents are drawn by a hash of doc_id; languages are the distinct values of lang.
+    Documents are drawn by a hash of doc_id; languages are the distinct values
+    of lang, of which there may be MOST_LANGS: more are no languages, and fail.
+    Documents without a language don't count, null texts are empty; without
+    any language the model knows none. Repeated rows count as often as drawn.
     """
     known = docs.where(F.col(lang).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang).alias("lang"))
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    drawn = None
-    for x in langs:
-        part = known.where(F.col("lang") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_lang)
-        drawn = part if drawn is None else drawn.unionByName(part)
-    if drawn is None:
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().limit(MOST_LANGS + 1).collect())
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    if not langs:
         return Model([], np.zeros((0, 1 << BITS), np.float32))
+    # Each task keeps its first per_lang rows of a language before the shuffle.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    drawn = known.withColumn("place", place).where(F.col("place") <= per_lang).select("doc_id", "lang")
     index = F.create_map(*[v for i, x in enumerate(langs) for v in (F.lit(x), F.lit(i))])
     # per_lang rows of two values for each language, whatever the input.
     sample = texts(docs).where(F.length("text") <= max_chars).join(F.broadcast(drawn.distinct()), "doc_id").select(index[F.col("lang")].alias("y"), "text")
@@ -81,19 +117,27 @@ def fit_languages(docs: DataFrame, per_lang: int = 400, max_chars: int = 20_000,
     return Model(langs, (share - share.mean(axis=0)).astype(np.float32))
 
 
-def _read(pages: DataFrame, model: Model) -> DataFrame:
+def gram_scores(model: Model, grams: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    """Sum of the grams' scores by language; a long text in parts, so memory doesn't grow with it."""
+    out = np.zeros(len(model.langs))
+    for low in range(0, len(grams), at_once):
+        out += model.scores[:, grams[low : low + at_once]].sum(axis=1, dtype=np.float64)
+    return out
+
+
+def _read(pages: DataFrame, model: Model, slice_bytes: int = 1 << 22) -> DataFrame:
     """page_id, url, declared and the tempered log-likelihoods of the visible text."""
-    declared = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
+    declared = re.compile(r"<html\b[^<>]{0,2000}?\blang\s*=\s*[\"']?([A-Za-z]+)", re.I)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch, "html", slice_bytes)):
             logs, said = [], []
-            for page in batch.column("html").to_pylist():
+            for page in part.column("html").to_pylist():
                 found = declared.search(page)
                 said.append(found[1].lower() if found else "")
-                logs.append((TEMPER * model.scores[:, _grams(visible_text(page))].sum(axis=1, dtype=np.float64)).tolist())
+                logs.append((TEMPER * gram_scores(model, _grams(visible_text(page)))).tolist())
             yield pa.record_batch(
-                [batch.column("page_id"), batch.column("url"), pa.array(said, pa.string()), pa.array(logs, pa.list_(pa.float64()))], names=["page_id", "url", "declared", "text_log"]
+                [part.column("page_id"), part.column("url"), pa.array(said, pa.string()), pa.array(logs, pa.list_(pa.float64()))], names=["page_id", "url", "declared", "text_log"]
             )
 
     blank = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("url", "html")]

@@ -62,13 +62,18 @@ def _layout(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes, blocks
 
 
-def _responses(net: Net, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Groups (n x GROUP*EMBED) and filter responses (n x FILTERS) at each group."""
+def _responses(net: Net, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups (n x GROUP*EMBED) and filter responses (n x FILTERS) at each group.
+
+    ends: blocks before which a text ends. Filters that would reach beyond lie
+    in its padding alone; they don't count, so no text sees the next one.
+    """
     groups = net.embed[codes].reshape(-1, GROUP * EMBED)
     out = groups @ net.conv[0]
     for k in range(1, TAPS):
         out[:-k] += (groups @ net.conv[k])[k:]
     out += net.conv_bias
+    out[(BLOCK * ends[:, None] - np.arange(1, TAPS)).ravel()] = -np.inf
     return groups, out
 
 
@@ -96,7 +101,7 @@ def scores(net: Net, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(offsets) < 2:
         return np.empty(0)
     codes, blocks = _layout(raw, offsets)
-    _, conv = _responses(net, codes)
+    _, conv = _responses(net, codes, np.cumsum(blocks))
     pooled = conv.reshape(-1, BLOCK, FILTERS).max(axis=1)
     begin, end, n = _chunks(blocks)
     z = np.tanh(np.maximum(_pool(pooled, begin, end), 0) @ net.hidden + net.hidden_bias)
@@ -113,7 +118,7 @@ def _combine(net: Net, z: np.ndarray, n: np.ndarray):
 
 def _gradients(net: Net, raw: np.ndarray, offsets: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
     codes, blocks = _layout(raw, offsets)
-    groups, conv = _responses(net, codes)
+    groups, conv = _responses(net, codes, np.cumsum(blocks))
     begin, end, n = _chunks(blocks)
     in_block = conv.reshape(-1, BLOCK, FILTERS)
     arg = in_block.argmax(axis=1)
@@ -195,12 +200,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: str,
     drawn = [ids.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
     short = texts(docs).where(F.length("text") <= max_chars)
     # 2 * per_label rows of two numbers: a bound that doesn't depend on the input.
-    rows = short.join(F.broadcast(drawn[0].unionByName(drawn[1]).distinct()), "doc_id").select("doc_id", "label", "text").collect()
+    joined = short.join(F.broadcast(drawn[0].unionByName(drawn[1]).distinct()), "doc_id").select("doc_id", "label", "text")
+    # Where ids repeat there are more rows; so many and no more reach the driver.
+    rows = joined.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "label").limit(2 * per_label).collect()
     return [(r["text"].encode(), r["label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["label"], r["text"]))]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train: str, per_label: int = 800, max_chars: int = 20_000) -> Net:
-    """A net fitted on a bounded sample of labelled rows (per_label of each label, max_chars each)."""
+    """A net fitted on a bounded sample of labelled rows (per_label of each label, max_chars each).
+
+    Null texts are empty; labels that are neither 0 nor 1, and ids without a
+    document, don't count; without both labels the net answers with the one
+    there is, or a half. Repeated rows count as often as they are drawn.
+    """
     return fit_net(labelled_sample(docs, labels, "quality", train, per_label, max_chars))
 
 
@@ -223,7 +235,11 @@ def score_quality(docs: DataFrame, net: Net, slice_bytes: int = 1 << 19) -> Data
 
 
 def keep_quality(docs: DataFrame, net: Net, threshold: float, slice_bytes: int = 1 << 19) -> DataFrame:
-    """The rows of docs whose whole text scores at least the threshold, with all their columns, in one pass over them."""
+    """The rows of docs whose whole text scores at least the threshold, with all their columns, in one pass over them.
+
+    A null text is scored as an empty one and stays null; repeated rows are
+    judged alike; no rows give none. Long texts as in score_quality.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +269,8 @@ def long_score(net: Net, raw: np.ndarray, piece_bytes: int) -> np.ndarray:
         codes = np.full((n_blocks * BLOCK + TAPS) * GROUP, PAD, np.int16)
         got = raw[low : low + len(codes)]
         codes[: len(got)] = got
-        conv = _responses(net, codes)[1][: n_blocks * BLOCK]
+        last = np.asarray([n_blocks] if c + k == chunks else [], np.int64)
+        conv = _responses(net, codes, last)[1][: n_blocks * BLOCK]
         pooled = conv.reshape(-1, BLOCK, FILTERS).max(axis=1)
         begin = CHUNK_STEP * np.arange(k)
         z = np.tanh(np.maximum(_pool(pooled, begin, np.minimum(begin + CHUNK_BLOCKS, n_blocks)), 0) @ net.hidden + net.hidden_bias)

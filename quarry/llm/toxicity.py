@@ -7,12 +7,14 @@ known stem is still told. A drift is taken off, and the linear-time scan of
 all maximal segments (Ruzzo and Tompa, 1999) finds every passage whose score
 can't be raised by extending or cutting it. Segment scores are calibrated by
 the extreme-value distribution of such maxima (Karlin and Altschul, 1990): a
-text's best passage becomes an expected number of as good passages in clean
-text of that length, and a logistic fit turns it into a probability.
+passage becomes an expected number of as good passages in clean text of that
+length, the sum of a text's r best ones has a tail probability too (1993), the
+least probable r counts, and a logistic fit turns it into a probability.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +28,8 @@ from quarry.llm.words import prefix_sums, span_hashes, word_spans
 
 WORD_BITS, STEM_BITS, STEM_BYTES = 18, 16, 4
 ALPHA, DRIFT = 2.0, 1.0
+#: Best passages of a text that calibration looks at.
+TRIED = 64
 EULER = 0.5772156649
 
 
@@ -89,9 +93,27 @@ def _best(model: Model, raw: np.ndarray, offsets: np.ndarray):
     return n, found, score
 
 
-def evidence(model: Model, n: np.ndarray, best: np.ndarray) -> np.ndarray:
-    """-log of the expected number of segments as good in a clean text of n words."""
-    return model.rate * best - np.log(model.size * np.maximum(n, 1))
+def evidence(model: Model, n: np.ndarray, scores: list[list[float]]) -> np.ndarray:
+    """By text: -log of the chance that a clean text of n words has passages as good, over the r best ones for the r that tells most.
+
+    x = the sum of rate * score - log(size * n) over the r best passages has the
+    tail exp(-x) x^(r-1) / (r! (r-1)!). Without passages the score 0 counts.
+    """
+    floor = np.log(model.size * np.maximum(n, 1))
+    out = -floor
+    for i, own in enumerate(scores):
+        x = fact = 0.0
+        for r, s in enumerate(sorted(own, reverse=True), 1):
+            y = model.rate * s - floor[i]
+            if r == 1:
+                x = out[i] = y
+                continue
+            if y <= 0 or x <= 0:
+                break  # passages that clean text has anyway add nothing
+            x += y
+            fact += math.log(r) + math.log(r - 1)
+            out[i] = max(out[i], x - (r - 1) * math.log(x) + fact)
+    return out
 
 
 def probability(model: Model, x: np.ndarray) -> np.ndarray:
@@ -130,7 +152,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: str, per_label: int
     """A model from at most 2 * per_label labelled rows that meet the SQL condition train, drawn by a hash of doc_id.
 
     Two thirds of them give counts, by Spark, into tables of fixed size; the
-    last third calibrates, a number or two for each row.
+    last third calibrates, a few numbers for each row, 2 * per_label rows at
+    most. Null texts are empty; labels that are neither 0 nor 1, and ids without
+    a document, don't count; without labels, or with one label alone, every
+    text scores a half or so. Whole texts of any length count.
     """
     ids = labels.where(F.expr(train)).where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     drawn = [ids.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
@@ -175,22 +200,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: str, per_label: int
                 flat = np.concatenate(bins)
                 yield pa.record_batch(
                     [
-                        part.column("label"), pa.array(n.astype(np.int64)), pa.array([max((s for _, _, s in f), default=0.0) for f in found], pa.float64()),
+                        part.column("label"), pa.array(n.astype(np.int64)), pa.array([sorted((s for _, _, s in f), reverse=True)[:TRIED] for f in found], pa.list_(pa.float64())),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 256), pa.array(flat)),
                     ],
-                    names=["label", "n", "best", "bins"],
+                    names=["label", "n", "scores", "bins"],
                 )
 
-    tried = sample.where("calibrates").select("label", "text").mapInArrow(trial, "label int, n long, best double, bins array<int>").toPandas()
+    tried = sample.where("calibrates").select("label", "text").mapInArrow(trial, "label int, n long, scores array<double>, bins array<int>")
+    # One row a drawn id; where ids repeat, so many rows and no more reach the driver.
+    tried = tried.orderBy(F.xxhash64("n", "scores"), "label").limit(2 * per_label).toPandas()
     if len(tried):
-        y, n, best = tried["label"].to_numpy(), tried["n"].to_numpy(), tried["best"].to_numpy()
+        y, n, scores = tried["label"].to_numpy(), tried["n"].to_numpy(), [x.tolist() for x in tried["scores"]]
+        best = np.asarray([x[0] if x else 0.0 for x in scores])
         clean = y == 0
         spread = np.sum(np.stack(tried["bins"].to_numpy())[clean], axis=0) if clean.any() else np.zeros(256, int)
         model.rate = solve_rate(np.repeat(np.arange(256) / 8 - 16, np.ceil(spread * min(1, 1e6 / max(1, spread.sum()))).astype(int)))
         if clean.any():
             # The mean of a Gumbel maximum is (log(K n) + Euler's constant) / lambda.
             model.size = float(np.exp(np.clip(np.mean(model.rate * best[clean] - np.log(np.maximum(n[clean], 1))) - EULER, -20, 5)))
-        model.slope, model.intercept = _logistic(evidence(model, n, best), y)
+        model.slope, model.intercept = _logistic(evidence(model, n, scores), y)
         model.slope = max(model.slope, 1e-3)
     return model
 
@@ -199,7 +227,8 @@ def score_toxicity(docs: DataFrame, model: Model, significance: float = 0.05, sl
     """doc_id, score, passages: every significant passage of each whole text as (start, end in UTF-8 bytes, score, expected).
 
     expected is the number of such passages expected in clean text of the same
-    length. Null and empty texts and texts without words have no passage and
+    length; passages where it is at most the significance are significant. The
+    score is of all passages together. Null and empty texts and texts without words have no passage and
     the score of no evidence. An empty table gives no rows; repeated rows are
     scored each; other columns are ignored.
     """
@@ -209,14 +238,12 @@ def score_toxicity(docs: DataFrame, model: Model, significance: float = 0.05, sl
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
                 n, found, _ = _best(model, *flat_bytes(part.column("text")))
-                best = np.asarray([max((s for _, _, s in f), default=0.0) for f in found])
+                told = evidence(model, n, [[s for _, _, s in f] for f in found])
                 passages = []
                 for f, k in zip(found, n.tolist(), strict=True):
                     scale = model.size * max(k, 1)
-                    rows = [{"start": a, "end": b, "score": s, "expected": float(scale * np.exp(-model.rate * s))} for a, b, s in f if model.rate * s > 1]
-                    passages.append([r for r in rows if r["expected"] <= significance])
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(probability(model, evidence(model, n, best))), pa.array(passages, kind)], names=["doc_id", "score", "passages"]
-                )
+                    least = (math.log(scale) - math.log(significance)) / model.rate
+                    passages.append([{"start": a, "end": b, "score": s, "expected": scale * math.exp(-model.rate * s)} for a, b, s in f if s >= least])
+                yield pa.record_batch([part.column("doc_id"), pa.array(probability(model, told)), pa.array(passages, kind)], names=["doc_id", "score", "passages"])
 
     return texts(docs).mapInArrow(run, "doc_id long, score double, passages array<struct<start:long,end:long,score:double,expected:double>>")
