@@ -43,7 +43,6 @@ def encode(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [tokens.END_ID]
 
 
@@ -188,11 +187,33 @@ def test_near_duplicates_match_brute_force(spark):
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):
-    rows = minhash.near_duplicates(frame(spark, [r for r in odd if r[0] is not None])).collect()
+    rows = minhash.near_duplicates(frame(spark, odd)).collect()
     by = collections.defaultdict(set)
     for r in rows:
         by[r["doc_id"]].add((r["n_shingles"], r["component_id"], r["kept"]))
-    assert len(rows) == 14 and by[1] == {(76, 0, False)} and by[3] == {(0, 3, True)} and by[7] == {(1, 7, True)}
+    assert len(rows) == 15 and by[1] == {(76, 0, False)} and by[3] == {(0, 3, True)} and by[7] == {(1, 7, True)} and by[None] == {(1, None, True)}
+
+
+def test_ids_that_are_repeated_or_null(spark):
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(3, a), (7, a), (7, b), (9, b), (9, None), (5, c), (None, c), (5, c), (5, c)]
+    got = collections.Counter(tuple(r) for r in minhash.near_duplicates(frame(spark, rows)).collect())
+    assert got == {(3, 36, 3, True): 1, (7, 36, 3, False): 2, (9, 36, 3, False): 1, (9, 0, 9, True): 1, (5, 36, None, False): 3, (None, 36, None, True): 1}
+    left = collections.Counter((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(frame(spark, rows)).collect())
+    assert left == {(3, a): 1, (9, None): 1, (None, c): 1}
+    rows = [(3, a), (7, a), (7, b), (7, b)]  # b is a copy of nothing but shares its id with a
+    assert collections.Counter((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(frame(spark, rows)).collect()) == {(3, a): 1}
+    rows = [(8, a), (8, a), (9, b)]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in minhash.drop_near_duplicates(frame(spark, rows)).collect()) == {(8, a): 1, (9, b): 1}
+
+
+def test_contaminated_rows_go_and_others_of_their_id_stay(spark):
+    rng = random.Random(13)
+    item = prose(rng, 20)
+    rows = [(1, "x " + item), (1, "clean text"), (None, item), (None, "also clean"), (2, None), (1, "x " + item)]
+    got = decontaminate.drop_contaminated(frame(spark, rows), benchmark(spark, [(0, item)])).select("doc_id", "text").collect()
+    assert collections.Counter(map(tuple, got)) == {(1, "clean text"): 1, (None, "also clean"): 1, (2, None): 1}
 
 
 def brute_lines(rows, percent=80):
@@ -231,6 +252,28 @@ def test_line_dedup_matches_brute_force(spark):
     assert sum(r["n_removed"] for r in got) > 0
 
 
+def test_line_dedup_orders_tokens_of_frequent_passages(spark, monkeypatch):
+    """Few lines share a token here, so each kind of pair occurs with a small bound; repeated, null and equal ids too."""
+    monkeypatch.setattr(linededup, "FREQUENT", 4)
+    rng = random.Random(14)
+    pool, passage = [prose(rng, rng.randint(3, 30)) for _ in range(12)], prose(rng, 14)
+    rows = []
+    for d in range(60):
+        own = []
+        for _ in range(rng.randint(0, 6)):
+            words = rng.choice(pool).split()
+            if rng.random() < 0.5:
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            if rng.random() < 0.4:
+                words += passage.split() + [rng.choice(WORDS)]
+            own.append(" ".join(words).upper() if rng.random() < 0.1 else " ".join(words))
+        rows.append((d, "\n".join(own)))
+    rows += [rows[3], rows[10], (-5, rows[5][1]), (70, None), (71, "")]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in linededup.dedup_lines(frame(spark, rows)).collect())
+    want = brute_lines(set(rows) - {(70, None)})
+    assert got == collections.Counter((i, want.get(i, "")) for i, _ in rows)
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = linededup.dedup_lines(frame(spark, [(0, "a b c d e f\na b c d e f")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
