@@ -24,13 +24,23 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the quality classifier, fitted on the labelled rows, scores under KEEP_QUALITY."""
+    """Rejects documents that the quality classifier, fitted on the labelled rows, scores under KEEP_QUALITY.
+
+    Row by row: repeated rows and doc_ids are judged alike, each by its own
+    text; a null or empty text has the score of an empty one; texts of any
+    length are scored as a whole; without rows there are none.
+    """
     net = quality.fit_quality(docs, table(spark, sf_dir, "labels"), "crc32(cast(doc_id as string)) % 5 != 0")
     return quality.keep_quality(_columns(docs), net, KEEP_QUALITY)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that earlier lines match; n_chars follows. A document that loses all its text goes."""
+    """Takes out lines that earlier lines match; n_chars follows. A document that loses all its text goes.
+
+    Null and empty texts stay as empty ones, as do documents of short lines
+    alone; rows that repeat a doc_id and a text are treated alike; see
+    linededup.dedup_lines for ties. Without rows there are none.
+    """
     rows = linededup.dedup_lines(_columns(docs), keep=("lang", "source", "n_chars"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     emptied = (F.col("n_removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
@@ -38,21 +48,32 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies (five-word shingles, similarity 0.8)."""
-    docs = _columns(docs)
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(stored(gone, "gone"), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near copies, that of the smallest doc_id (five-word shingles, similarity 0.8).
+
+    Texts without words, empty and null ones are in no group and stay. Of a
+    doc_id's several texts in one group, and of equal rows, one stays; a null
+    doc_id counts as one id below all others. Without rows there are none.
+    """
+    return minhash.drop_near_duplicates(_columns(docs))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    docs = _columns(docs)
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(stored(hits, "hits"), "doc_id", "left_anti").select(*COLUMNS)
+    """Drops documents that hold a benchmark item.
+
+    By each row's own text, so other rows of its doc_id stay; null and empty
+    texts hold nothing; equal rows are treated alike. Without rows there are
+    none, and without items all stay.
+    """
+    return decontaminate.drop_contaminated(_columns(docs), table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the ids of what is left into sequences of at most 1024."""
+    """Packs the ids of what is left into sequences of at most 1024.
+
+    A null or empty text is its end id alone; repeated rows are packed as
+    documents of their own; texts of any length are cut; without rows there
+    are none.
+    """
     return packing.pack(docs)
 
 
@@ -64,7 +85,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: A learnt classifier, an embedding and a tokenizer can't be put in SQL; tests hold each stage against plain code.
+#: A learnt classifier, an embedding and a tokenizer can't be put in SQL; tests/llm/test_pipeline.py holds each stage against plain code.
 ORACLE_SQL = None
 
 
