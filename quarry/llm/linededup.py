@@ -33,8 +33,10 @@ WORDS = 5
 BROADCAST_BYTES = 64 << 20
 #: A token of so many prefixes is frequent: its lines meet by prefixes in order of rarity instead.
 FREQUENT = 64
-FACTS = ["n", "s0", "s1"]
 REF = ["doc", "tid", "line_no"]
+FACTS = [*REF, "n", "sketch"]
+#: What lines of equal sets have alike: a digest, and two more facts that other sets hardly share.
+SAME = ["digest", "sketch", "n"]
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -80,66 +82,62 @@ def _short_size(n: Column, percent: int) -> Column:
     return (n - _overlap(n, n, percent) + 1).cast("int")
 
 
-def _parity(lane: int) -> Column:
-    """One of two numbers whose bits are the parities of the tokens that fall on them: sets differ in at least as many tokens as bits."""
-    zero = F.lit(0).cast("long")
+def _parity(tokens: str) -> Column:
+    """A number whose bits are the parities of the tokens that fall on them: two sets differ in at least as many tokens as bits."""
     bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate("tokens", zero, lambda acc, t: acc.bitwiseXOR(F.when((t < 0) == F.lit(lane == 0), bit(t)).otherwise(zero)))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(bit(t)))
 
 
 def _described(tokens: DataFrame, percent: int) -> DataFrame:
-    """What each line brings to the join: an id, size, digests and sketch of its set, and its prefix in hash order."""
+    """What each line brings to the join: an id, size, digest and sketch of its set, and its prefix in hash order."""
     n = F.size("tokens")
     prefix = F.slice("tokens", F.lit(1), _prefix_size(n, percent))
-    digests = F.xxhash64("tokens").alias("k1"), F.xxhash64("tokens", F.lit(1)).alias("k2")
-    return tokens.select(F.monotonically_increasing_id().alias("id"), *REF, n.alias("n"), *digests, _parity(0).alias("s0"), _parity(1).alias("s1"), prefix.alias("prefix"))
+    return tokens.select(F.monotonically_increasing_id().alias("id"), *REF, n.alias("n"), F.xxhash64("tokens").alias("digest"), _parity("tokens").alias("sketch"), prefix.alias("prefix"))
 
 
 def _heads(lines: DataFrame) -> DataFrame:
-    """k1, k2 and the first line (h_doc, h_tid, h_line) of each group of equal sets. A large group is combined before the shuffle."""
-    groups = lines.groupBy("k1", "k2").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c > 1").select("k1", "k2", "doc")
-    firsts = lines.join(small(stored(groups, "groups")), ["k1", "k2", "doc"]).groupBy("k1", "k2", "doc").agg(F.min(F.struct("tid", "line_no")).alias("at"))
-    return stored(firsts.select("k1", "k2", F.col("doc").alias("h_doc"), F.col("at.tid").alias("h_tid"), F.col("at.line_no").alias("h_line")), "heads")
+    """SAME and the first line (h_doc, h_tid, h_line) of each group of equal sets. A large group is combined before the shuffle."""
+    groups = lines.groupBy(*SAME).agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c > 1").select(*SAME, "doc")
+    firsts = lines.join(small(stored(groups, "groups")), [*SAME, "doc"]).groupBy(*SAME, "doc").agg(F.min(F.struct("tid", "line_no")).alias("at"))
+    return stored(firsts.select(*SAME, F.col("doc").alias("h_doc"), F.col("at.tid").alias("h_tid"), F.col("at.line_no").alias("h_line")), "heads")
 
 
-def _sets(documents: DataFrame, lines: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets(documents: DataFrame, entries: DataFrame, ids: DataFrame) -> DataFrame:
     """id and tokens of the lines in ids (repeats count once), from their texts."""
-    refs = stored(lines.select("id", *REF).join(small(stored(ids.distinct(), "ids")), "id", "left_semi"), "refs")
+    refs = stored(entries.select("id", *REF).join(small(stored(ids.distinct(), "ids")), "id", "left_semi").distinct(), "refs")
     of = small(stored(refs.select("doc", "tid").distinct(), "docs"))
     wanted = _lines(documents.join(of, ["doc", "tid"], "left_semi")).join(small(refs), REF)
     return stored(_tokens(wanted, "id").select("id", "tokens"), "sets")
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+
+
 def _side(df: DataFrame, s: str) -> DataFrame:
-    return df.select(*[F.col(c).alias({"id": s}.get(c, c if c == "token" else f"{c}_{s}")) for c in df.columns])
+    return df.select(*[F.col(c).alias(c if c == "token" else f"{c}_{s}") for c in df.columns])
 
 
-def _may_match(percent: int) -> Column:
-    """Line b is earlier than a, and neither the sizes nor the symmetric difference rule the pair out."""
+def _pairs(x: DataFrame, y: DataFrame, percent: int, more: Column | None = None) -> DataFrame:
+    """Pairs (a, b), later and earlier line, of lines of x and y that share a token and that neither sizes nor symmetric difference rule out."""
     n, m = F.col("n_a"), F.col("n_b")
-    earlier = F.struct(*[f"{c}_b" for c in REF]) < F.struct(*[f"{c}_a" for c in REF])
-    differing = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(2)), F.lit(0))
-    return (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differing <= (100 - percent) * (n + m)) & earlier
+    differing = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
+    at = {s: F.struct(*[f"{c}_{s}" for c in REF]) for s in "ab"}
+    near = (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differing <= (100 - percent) * (n + m)) & (at["a"] != at["b"])
+    near = near if more is None else near & more
+    swap = at["a"] < at["b"]
+    later, earlier = F.when(swap, F.col("id_b")).otherwise(F.col("id_a")), F.when(swap, F.col("id_a")).otherwise(F.col("id_b"))
+    return stored(_side(x, "a").join(_side(y, "b"), "token").where(near).select(later.alias("a"), earlier.alias("b")).distinct(), "pairs")
 
 
 def _meet(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of lines of x and earlier ones of y that share a token of their prefixes and may match. Both have id, REF, FACTS, place, token.
+    """_pairs of prefixes in one order (place and token): those whose overlap, this token and all behind it, can still be enough.
 
-    The overlap that can still come is this token and all behind it; in the
-    smaller set the token lies in the part of the prefix that larger sets need.
+    In the smaller set the token lies in the part of the prefix that larger sets need.
     """
     still = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     reach = F.when(F.col("n_a") < F.col("n_b"), F.col("place_a") < _short_size(F.col("n_a"), percent)).otherwise(F.col("place_b") < _short_size(F.col("n_b"), percent))
-    near = (still >= _overlap(F.col("n_a"), F.col("n_b"), percent)) & reach & _may_match(percent)
-    return stored(_side(x, "a").join(_side(y, "b"), "token").where(near).select("a", "b").distinct(), "pairs")
-
-
-def _ordered(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ids, in any order, as (later, earlier), if they may match."""
-    both = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-    facts = lines.select("id", *REF, *FACTS)
-    a = stored(_side(facts, "a").join(small(both), "a"), "met")
-    return stored(_side(facts, "b").join(small(a), "b").where(_may_match(percent)).select("a", "b").distinct(), "pairs")
+    return _pairs(x, y, percent, (still >= _overlap(F.col("n_a"), F.col("n_b"), percent)) & reach)
 
 
 def _matched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,36 +166,31 @@ def removed_lines(documents: DataFrame, percent: int) -> DataFrame:
     """doc, tid, line_no of every line that some earlier line matches."""
     lines = stored(_described(_tokens(_lines(documents), *REF), percent), "lines").where("n > 0")
     # Equal sets: all but the first line go.
-    with_head = lines.join(small(_heads(lines)), ["k1", "k2"], "left")
+    with_head = lines.join(small(_heads(lines)), SAME, "left")
     first = F.col("h_doc").isNull() | (F.struct(*REF) == F.struct("h_doc", "h_tid", "h_line"))
     exact = with_head.where(~first).select(*REF)
-    # Tokens that two prefixes share, in one of them where it would do for the smaller set.
-    prefixes = with_head.where(first).select("id", "doc", "n", F.posexplode("prefix").alias("place", "token"))
-    shared = prefixes.groupBy("token").agg(
-        F.count("*").alias("c"), F.min_by("id", "doc").alias("lo"), F.max_by("id", "doc").alias("hi"), F.max(F.col("place") < _short_size(F.col("n"), percent)).alias("short")
-    )
-    shared = stored(shared.where("c > 1 AND short").select("token", "c", "lo", "hi"), "shared")
-    two = shared.where("c = 2 AND lo <> hi").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
-    many = stored(shared.where("c > 2 OR lo = hi").select("token", (F.col("c") >= FREQUENT).alias("frequent"), F.col("lo").alias("b")), "many")
-    entries = stored(prefixes.select("id", "place", "token").join(small(many), "token"), "entries")
-    met = entries.where("id <> b").select(F.col("id").alias("a"), "b")
-    pairs = _ordered(two.unionByName(met).distinct(), lines, percent)
-    among = entries.where("frequent").select("id").distinct()
-    sets = _sets(documents, lines, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(among))
+    # Tokens that two prefixes share, in one of them where it would do for the smaller set; and the earliest document's line that has each.
+    prefixes = with_head.where(first).select("id", *FACTS, F.posexplode("prefix").alias("place", "token"))
+    shared = prefixes.groupBy("token").agg(F.count("*").alias("c"), F.min_by("id", "doc").alias("lead"), F.max(F.col("place") < _short_size(F.col("n"), percent)).alias("short"))
+    shared = stored(shared.where("c > 1 AND short").select("token", F.least("c", F.lit(FREQUENT)).cast("int").alias("c"), "lead"), "shared")
+    entries = stored(prefixes.join(small(shared), "token"), "entries")
+    leads, others = entries.where("id = lead"), entries.where("id <> lead")
+    pairs = _pairs(others.select("token", "id", *FACTS), leads.select("token", "id", *FACTS), percent)
+    among = stored(entries.where(F.col("c") >= FREQUENT).select("id", *FACTS).distinct(), "among")  # few beside all lines
+    sets = _sets(documents, entries, _ids(pairs).unionByName(among.select("id")))
     matched = stored(_matched(pairs, sets, percent), "matched")
-    # Lines without a match that share a token with several lines, not as its earliest, meet all of its lines.
-    open_ = stored(met.select(F.col("a").alias("id")).distinct().join(small(matched), "id", "left_anti"), "open")
+    # Lines without a match that share a token with several lines, not as its lead, meet all of its lines.
+    open_ = stored(others.where("c > 2").select("id").distinct().join(small(matched), "id", "left_anti"), "open")
     if open_.limit(1).count():
-        facts = stored(lines.select("id", *REF, *FACTS).join(small(stored(entries.select("id").distinct(), "members")), "id", "left_semi"), "facts")
-        rare = entries.where("NOT frequent").select("id", "place", "token").join(small(facts), "id")
-        rest = _meet(rare.join(small(open_), "id", "left_semi"), rare, percent)
-        order = stored(_rarest_first(sets.join(small(stored(among, "among")), "id", "left_semi"), percent), "order").join(small(facts), "id")
+        rare = entries.where((F.col("c") > 2) & (F.col("c") < FREQUENT)).select("token", "id", "place", "lead", *FACTS)
+        rest = _meet(rare.where("id <> lead").join(small(open_), "id", "left_semi").drop("lead"), rare.drop("lead"), percent)
+        # A document that rows repeat gives a line's set for each row; one counts.
+        once = sets.join(small(among.select("id")), "id", "left_semi").groupBy("id").agg(F.first("tokens").alias("tokens"))
+        order = stored(_rarest_first(stored(once, "once"), percent).join(among, "id"), "order")
         rest = stored(rest.unionByName(_meet(order.join(small(open_), "id", "left_semi"), order, percent)).distinct(), "pairs")
-        ids = rest.select(F.col("a").alias("id")).unionByName(rest.select(F.col("b").alias("id"))).distinct()
-        more = _sets(documents, lines, ids.join(sets.select("id"), "id", "left_anti"))
-        matched = matched.unionByName(_matched(rest, sets.unionByName(more), percent)).distinct()
-    found = small(stored(matched, "found"))
-    return exact.unionByName(lines.select("id", *REF).join(found, "id").select(*REF))
+        more = _sets(documents, entries, _ids(rest).join(sets.select("id"), "id", "left_anti"))
+        matched = stored(matched.unionByName(_matched(rest, sets.unionByName(more), percent)).distinct(), "found")
+    return exact.unionByName(entries.select("id", *REF).join(small(matched), "id", "left_semi").select(*REF).distinct())
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
