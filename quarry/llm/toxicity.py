@@ -210,7 +210,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: str, per_label: int
     # One row a drawn id; where ids repeat, so many rows and no more reach the driver.
     tried = tried.orderBy(F.xxhash64("n", "scores"), "label").limit(2 * per_label).toPandas()
     if len(tried):
-        y, n, scores = tried["label"].to_numpy(), tried["n"].to_numpy(), [x.tolist() for x in tried["scores"]]
+        y, n, scores = tried["label"].to_numpy(), tried["n"].to_numpy(), [list(x) for x in tried["scores"]]
         best = np.asarray([x[0] if x else 0.0 for x in scores])
         clean = y == 0
         spread = np.sum(np.stack(tried["bins"].to_numpy())[clean], axis=0) if clean.any() else np.zeros(256, int)
