@@ -21,19 +21,23 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-NULL = F.lit(None).cast("double")
+def null():
+    return F.lit(None).cast("double")
 
 
 def test_null_stays_null(spark):
-    assert one(spark, numeric.clip(NULL)) is None and one(spark, numeric.at_least(0, NULL)) is None
-    assert one(spark, capacity.predict_vram(F.lit(1.0), NULL, F.lit(2.0), F.lit(3.0), F.lit(4.0))) == 10  # no projector counts as none
-    assert one(spark, capacity.predict_vram(F.lit(1.0), F.lit(0.0), NULL, F.lit(3.0), F.lit(4.0))) is None
-    assert one(spark, quality.min_max(NULL, F.lit(0.0), F.lit(9.0))) is None and one(spark, quality.min_max(NULL, F.lit(1.0), F.lit(1.0))) is None
+    assert one(spark, numeric.clip(null())) is None and one(spark, numeric.at_least(0, null())) is None
+    assert one(spark, capacity.predict_vram(F.lit(1.0), null(), F.lit(2.0), F.lit(3.0), F.lit(4.0))) == 10  # no projector counts as none
+    assert one(spark, capacity.predict_vram(F.lit(1.0), F.lit(0.0), null(), F.lit(3.0), F.lit(4.0))) is None
+    assert one(spark, quality.min_max(null(), F.lit(0.0), F.lit(9.0))) is None and one(spark, quality.min_max(null(), F.lit(1.0), F.lit(1.0))) is None
     assert one(spark, capacity.prefill_tps(F.lit(10.0), F.lit(0.3), F.lit(1000.0))) == pytest.approx(1.5e9) and one(spark, capacity.prefill_tps(F.lit(0.0), F.lit(0.3), F.lit(1.0))) is None
 
 
 CATALOG = "ref string, family string, quant string, params long, layers long, weight_bytes long, ctx_max long, kv_per_token long, pushed_at date, q_file double, q_task double, signals array<string>, arch string"
-GPU = F.struct(F.lit(24e9).alias("memory"), F.lit(0.9).alias("usable"), F.lit(300.0).alias("bandwidth"), F.lit(3e-5).alias("per_layer"), F.lit(1.5e-3).alias("fixed"))
+
+
+def gpu():
+    return F.struct(F.lit(24e9).alias("memory"), F.lit(0.9).alias("usable"), F.lit(300.0).alias("bandwidth"), F.lit(3e-5).alias("per_layer"), F.lit(1.5e-3).alias("fixed"))
 
 
 def test_view_of_unscored_and_undated_rows(spark):
@@ -46,7 +50,7 @@ def test_view_of_unscored_and_undated_rows(spark):
         ("d", "h", "Q8_0", 8 * 10**9, 32, 40 * 10**9, 131072, 1000, day, 120.0, -5.0, [], "x"),
     ]
     df = spark.createDataFrame(rows, CATALOG)
-    got = {r["ref"]: r for r in catalog.view(df, GPU, catalog.FindQuery(as_of="2026-01-01")).collect()}
+    got = {r["ref"]: r for r in catalog.view(df, gpu(), catalog.FindQuery(as_of="2026-01-01")).collect()}
     prior = (math.log10(8e9) - 8) / 3 * 0.72 + 0.8 * 0.28
     aged = prior * math.exp(-math.log(2) * (365 / 365.25) / 1.1) * 0.45
     assert got["a"]["capability"] == 0.8 and got["a"]["match"] == pytest.approx(aged) and got["a"]["recency"] == pytest.approx(math.exp(-1))
@@ -57,9 +61,9 @@ def test_view_of_unscored_and_undated_rows(spark):
     assert got["a"]["raw_speed"] == pytest.approx(speed) == got["a"]["speed"]
     score = 0.8 * 50 + math.log10(speed + 1) / 2.4 * 14 + aged * 26 + 18 + math.exp(-1) * 12 + 3
     assert got["a"]["score"] == pytest.approx(score)
-    page = catalog.find_models(df, GPU, catalog.FindQuery(as_of="2026-01-01", fit="all", sort="capability")).collect()
+    page = catalog.find_models(df, gpu(), catalog.FindQuery(as_of="2026-01-01", fit="all", sort="capability")).collect()
     assert [(r["rank"], r["ref"]) for r in page] == [(1, "d"), (2, "a")]  # unknown sizes aren't chosen at first
-    assert [r["rank"] for r in catalog.find_models(df, GPU, catalog.FindQuery(mode="explore", fit="all", sort="name", limit=1, offset=1)).collect()] == [2]
+    assert [r["rank"] for r in catalog.find_models(df, gpu(), catalog.FindQuery(mode="explore", fit="all", sort="name", limit=1, offset=1)).collect()] == [2]
 
 
 def test_usecases(spark):
@@ -125,7 +129,7 @@ def test_readme_tables_become_eval_rows(spark):
 
 
 def test_ref_scores(spark):
-    e = spark.createDataFrame([("f:7b-it", "f", 7.0, "instruct", {"mmlu": 80.0}, "web"), ("g:1b-it", "g", 1.0, "unknown", {"mmlu": 20.0}, "web"), ("h:1b-it", "h", 1.0, "unknown", {}, "web")], "eval_id string, family string, size_b double, variant string, benchmarks map<string,double>, source string")
+    e = spark.createDataFrame([("f:7b-it", "f", 7.0, "instruct", {"mmlu_pro": 80.0}, "web"), ("g:1b-it", "g", 1.0, "unknown", {"mmlu_pro": 20.0}, "web"), ("h:1b-it", "h", 1.0, "unknown", {}, "web")], "eval_id string, family string, size_b double, variant string, benchmarks map<string,double>, source string")
     rows = spark.createDataFrame([("f:7b-it-q4", "f", "7b-it-q4", "Q4_K_M", 7_000_000_000, 8192), ("h:x", "h", "x", None, None, None)], "ref string, family string, tag string, quant string, params long, context_length long")
     got = {r["ref"]: r for r in evals.ref_scores(rows, e).collect()}
     assert (got["f:7b-it-q4"]["q_base"], got["f:7b-it-q4"]["q_file"], got["f:7b-it-q4"]["q_rec_partial"]) == (100.0, 90.0, pytest.approx(45 + 26 / 3, abs=2e-3))
