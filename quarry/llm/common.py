@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,11 +51,38 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as a table in the shared folder and read it: cuts lineage and survives lost executors."""
+    """Write df as a table in the shared folder and read it: cuts lineage and survives lost executors.
+
+    Its bytes as plain numbers (see sized) are counted while it is written.
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.sum(_values(df)).alias("values")).write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _sizes[out] = 8 * (seen.get.get("values") or 0)
+    return out
+
+
+_sizes: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
+def _values(df: DataFrame) -> Column:
+    """Values of 8 bytes that a row takes, two of them for the row itself; strings and bytes by their length."""
+    out = F.lit(2 + len(df.columns))
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            out = out + F.coalesce(F.size(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            out = out + F.coalesce(F.octet_length(f.name) / 8, F.lit(0.0)).cast("long")
+    return out.cast("long")
+
+
+def sized(df: DataFrame) -> int:
+    """Bytes of a table of numbers, strings and arrays of numbers: counted when it was stored, else now."""
+    if df not in _sizes:
+        _sizes[df] = 8 * (df.agg(F.sum(_values(df))).first()[0] or 0)
+    return _sizes[df]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -24,9 +24,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quarry.llm.common import stored
+from quarry.llm.common import sized, stored
 
 WORDS = 5
 #: Bytes up to which a stored table of fixed-width columns is broadcast; beyond, both sides are shuffled.
@@ -40,10 +39,8 @@ SAME = ["digest", "sketch", "n"]
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast a stored table of numbers and arrays of numbers if its bytes, counted at 8 a value and 16 a row, allow it."""
-    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    values = F.lit(2 + len(df.columns)) + sum((F.size(c) for c in arrays), F.lit(0))
-    return F.broadcast(df) if (df.agg(F.sum(8 * values)).first()[0] or 0) <= BROADCAST_BYTES else df
+    """Broadcast a stored table if its counted bytes allow it."""
+    return F.broadcast(df) if sized(df) <= BROADCAST_BYTES else df
 
 
 def _documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -95,13 +92,6 @@ def _described(tokens: DataFrame, percent: int) -> DataFrame:
     return tokens.select(F.monotonically_increasing_id().alias("id"), *REF, n.alias("n"), F.xxhash64("tokens").alias("digest"), _parity("tokens").alias("sketch"), prefix.alias("prefix"))
 
 
-def _heads(lines: DataFrame) -> DataFrame:
-    """SAME and the first line (h_doc, h_tid, h_line) of each group of equal sets. A large group is combined before the shuffle."""
-    groups = lines.groupBy(*SAME).agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c > 1").select(*SAME, "doc")
-    firsts = lines.join(small(stored(groups, "groups")), [*SAME, "doc"]).groupBy(*SAME, "doc").agg(F.min(F.struct("tid", "line_no")).alias("at"))
-    return stored(firsts.select(*SAME, F.col("doc").alias("h_doc"), F.col("at.tid").alias("h_tid"), F.col("at.line_no").alias("h_line")), "heads")
-
-
 def _sets(documents: DataFrame, entries: DataFrame, ids: DataFrame) -> DataFrame:
     """id and tokens of the lines in ids (repeats count once), from their texts."""
     refs = stored(entries.select("id", *REF).join(small(stored(ids.distinct(), "ids")), "id", "left_semi").distinct(), "refs")
@@ -165,17 +155,18 @@ def _rarest_first(sets: DataFrame, percent: int) -> DataFrame:
 def removed_lines(documents: DataFrame, percent: int) -> DataFrame:
     """doc, tid, line_no of every line that some earlier line matches."""
     lines = stored(_described(_tokens(_lines(documents), *REF), percent), "lines").where("n > 0")
-    # Equal sets: all but the first line go.
-    with_head = lines.join(small(_heads(lines)), SAME, "left")
-    first = F.col("h_doc").isNull() | (F.struct(*REF) == F.struct("h_doc", "h_tid", "h_line"))
+    # Equal sets: lines of later documents go. A large group is combined before the shuffle; equal lines of one document meet below.
+    heads = lines.groupBy(*SAME).agg(F.count("*").alias("c"), F.min("doc").alias("head")).where("c > 1").select(*SAME, "head")
+    with_head = lines.join(small(stored(heads, "heads")), SAME, "left")
+    first = F.col("head").isNull() | (F.col("doc") == F.col("head"))
     exact = with_head.where(~first).select(*REF)
     # Tokens that two prefixes share, in one of them where it would do for the smaller set; and the earliest document's line that has each.
     prefixes = with_head.where(first).select("id", *FACTS, F.posexplode("prefix").alias("place", "token"))
     shared = prefixes.groupBy("token").agg(F.count("*").alias("c"), F.min_by("id", "doc").alias("lead"), F.max(F.col("place") < _short_size(F.col("n"), percent)).alias("short"))
     shared = stored(shared.where("c > 1 AND short").select("token", F.least("c", F.lit(FREQUENT)).cast("int").alias("c"), "lead"), "shared")
     entries = stored(prefixes.join(small(shared), "token"), "entries")
-    leads, others = entries.where("id = lead"), entries.where("id <> lead")
-    pairs = _pairs(others.select("token", "id", *FACTS), leads.select("token", "id", *FACTS), percent)
+    leads, others = stored(entries.where("id = lead").select("token", "id", *FACTS), "leads"), entries.where("id <> lead")
+    pairs = _pairs(others.select("token", "id", *FACTS), small(leads), percent)
     among = stored(entries.where(F.col("c") >= FREQUENT).select("id", *FACTS).distinct(), "among")  # few beside all lines
     sets = _sets(documents, entries, _ids(pairs).unionByName(among.select("id")))
     matched = stored(_matched(pairs, sets, percent), "matched")
