@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.functions import capacity, text
-from quarry.operators import catalog, fitting, identity, joins, markdown, quality, stats
+from quarry.operators import catalog, evals, fitting, identity, joins, markdown, quality, stats
 from quarry.sources import files
 
 
@@ -148,10 +148,11 @@ def test_markdown_tables(spark):
 
 
 def test_suites(spark):
-    evals = spark.createDataFrame([("a", {"mmlu_pro": 50.0, "mteb": 10.0}), ("b", {"mmlu_pro": 100.0}), ("c", {"x": 1.0})], "id string, benchmarks map<string,double>")
-    got = {(r["id"], r["suite"]): r["score"] for r in quality.suite_scores(evals, "id", tables.TASK_SUITES, tables.TASK_REQUIRED).collect()}
+    rows = spark.createDataFrame([("a", {"mmlu_pro": 50.0, "mteb": 10.0}), ("b", {"mmlu_pro": 100.0}), ("c", {"x": 1.0})], "id string, benchmarks map<string,double>")
+    got = {(r["id"], r["suite"]): r["score"] for r in quality.suite_scores(rows, "id", tables.TASK_SUITES, tables.TASK_REQUIRED).collect()}
     assert got[("a", "chat")] == 0 and got[("b", "chat")] == 100 and got[("a", "embedding")] == 10 and ("b", "embedding") not in got and ("b", "vision") not in got
-    base = {r["id"]: r["q_base"] for r in quality.base_quality(evals, "id").collect()}
+    named = rows.select(F.col("id").alias("eval_id"), F.lit("f").alias("family"), F.lit(None).cast("double").alias("size_b"), F.lit("unknown").alias("variant"), F.lit("web").alias("source"), "benchmarks")
+    base = {r["eval_id"]: r["q_base"] for r in evals.base_scores(named).collect()}
     assert base == {"a": 0.0, "b": 100.0, "c": 50.0}
 
 
@@ -190,7 +191,7 @@ def header_bytes(meta, tensors):
         if kind == 9:
             inner, items = v
             return struct.pack("<IQ", inner, len(items)) + b"".join(value(inner, x) for x in items)
-        return struct.pack("<" + files.SCALARS[kind], v)
+        return struct.pack("<" + tables.HEADER_SCALARS[kind], v)
 
     out = b"GGUF" + struct.pack("<IQQ", 3, len(tensors), len(meta))
     out += b"".join(text_(k) + struct.pack("<I", kind) + value(kind, v) for k, kind, v in meta)
