@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from quarry.llm import queries
+from quarry.llm import decontaminate, queries
 from quarry.llm.common import stored, table
+from test_brute_force import naive_score  # pytest puts this folder on the path
+from test_documents import brute_components, brute_lines, crc, encode
 
 
 def test_stages(spark, testdata):
@@ -25,6 +27,46 @@ def test_stages(spark, testdata):
     assert corpus_pipeline.run(spark, d).count() == packed.count()
 
 
+def test_stages_match_plain_code(spark, testdata):
+    """Each stage on what the one before kept, against loops over all rows."""
+    from quarry.llm import quality
+
+    d = str(testdata / "sf0.001")
+    docs = table(spark, d, "documents").limit(120)
+    docs = stored(docs, "documents")
+    net = quality.fit_quality(docs, table(spark, d, "labels"), "crc32(cast(doc_id as string)) % 5 != 0")
+    want = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def run(name):
+        nonlocal docs
+        docs = stored(stages[name](spark, docs, d), name)
+        return {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+    scores = {i: naive_score(net, t) for i, t in want.items()}
+    got = run("quality")
+    sure = {i for i, x in scores.items() if abs(x - corpus_pipeline.KEEP_QUALITY) > 1e-3}
+    assert got.keys() & sure == {i for i in sure if scores[i] >= corpus_pipeline.KEEP_QUALITY}
+    want = {i: t for i, t in brute_lines(list(got.items())).items() if t.strip() or t == got[i]}
+    got = run("line_dedup")
+    assert got == want
+    reach = brute_components(list(got.items()), 5, 80)
+    want = {i: t for i, t in got.items() if reach[i][1] == i}
+    got = run("near_dedup")
+    assert got == want
+    items = [r["text"] for r in table(spark, d, "benchmark").collect()]
+    _, _, plain = decontaminate._joined([t.encode() for t in [*items, *got.values()]])
+    items, texts = plain[: len(items)], dict(zip(got, plain[len(items) :], strict=True))
+    held = {i for i, t in texts.items() if any(5 * decontaminate.least_distance(x, t) <= len(x) for x in items if x)}
+    want = {i: t for i, t in got.items() if i not in held}
+    got = run("decontaminate")
+    assert got == want
+    pieces = stages["packing"](spark, docs, d).collect()
+    for i, t in got.items():
+        ids, own = encode(t), sorted((r["start"], r["length"], r["ids_crc32"]) for r in pieces if r["doc_id"] == i)
+        assert own == [(a, n, crc(ids[a : a + n])) for a, n, _ in own] and sum(n for _, n, _ in own) == len(ids)
+
+
 def test_stages_take_empty_and_odd_documents(spark, testdata):
     d = str(testdata / "sf0.001")
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double, item_id long"
