@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from email.utils import parsedate_to_datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,13 +14,17 @@ STATE = "attempts long, status string, retry_at double"
 OUT = "repo string, attempts long, status string, retry_at double, accepted boolean"
 
 
-def delay(state: str, retry_after: str | None) -> float:
-    """Seconds until the next try."""
+def delay(state: str, retry_after: str | None, now: float) -> float:
+    """Seconds until the next try; a server's wish is a number of seconds or an HTTP date, as in identity.retry_seconds."""
     if state == "rate_limited":
         try:
             return max(float(tables.RETRY_FLOOR), float(retry_after))
         except (TypeError, ValueError):
             pass
+        try:
+            return max(float(tables.RETRY_FLOOR), parsedate_to_datetime(retry_after).timestamp() - now)
+        except (TypeError, ValueError, OverflowError):
+            pass
     return float(tables.RETRY_SECONDS[state])
 
 
@@ -37,7 +42,7 @@ def retry_states(outcomes: DataFrame) -> DataFrame:
         for r in rows.itertuples(index=False):
             if r.at < retry_at:
                 continue
-            attempts, status, retry_at, accepted = attempts + 1, r.state, r.at + delay(r.state, r.retry_after), True
+            attempts, status, retry_at, accepted = attempts + 1, r.state, r.at + delay(r.state, r.retry_after, r.at), True
         state.update((attempts, status, retry_at))
         yield pd.DataFrame({"repo": [key[0]], "attempts": [attempts], "status": [status], "retry_at": [retry_at], "accepted": [accepted]})
 
