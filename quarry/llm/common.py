@@ -61,9 +61,21 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.observe(seen, F.sum(_values(df)).alias("values")).write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _sizes[out] = 8 * (seen.get.get("values") or 0)
+    _paths[out] = path
     return out
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        folder = _paths.pop(df, None)
+        if folder:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _sizes: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 
 

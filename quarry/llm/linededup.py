@@ -1,7 +1,7 @@
 """Line deduplication as an exact set-similarity join, in DataFrame expressions alone.
 
-A line's tokens are its runs of five words; lines of fewer words are left
-alone. A line goes if any earlier line (by doc_id, then place) reaches the
+A line's tokens are its runs of five words; a line of fewer words is one token
+as a whole. A line goes if any earlier line (by doc_id, then place) reaches the
 Jaccard threshold. Two such sets share a token within their prefixes, whatever
 order of all tokens the prefixes follow, and that is used twice:
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import sized, stored
+from quarry.llm.common import release, sized, stored
 
 WORDS = 5
 #: Bytes up to which a stored table of fixed-width columns is broadcast; beyond, both sides are shuffled.
@@ -51,17 +51,21 @@ def _documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """A row for each line long enough for WORDS words: doc, tid, line_no, line."""
-    lines = documents.select("doc", "tid", F.posexplode(F.split(F.lower("text"), "\n")).alias("line_no", "line"))
-    return lines.where(F.length("line") >= 2 * WORDS - 1)
+    """A row for each line, in lower case and with plain spaces: doc, tid, line_no, line."""
+    lower = F.lower("text")
+    other = [F.contains(F.col("text"), F.lit(c)) for c in "\t\x0b\f\r"]
+    plain = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace(lower, r"[\t\x0B\f\r]", " ")).otherwise(lower)  # a plain character splits faster
+    lines = documents.select("doc", "tid", plain.alias("plain")).select("doc", "tid", F.posexplode(F.split("plain", "\n")).alias("line_no", "line"))
+    return lines.where(F.length("line") > 0)
 
 
 def _tokens(lines: DataFrame, *keys: str) -> DataFrame:
-    """tokens: sorted distinct hashes of the runs of WORDS words; none where a line has fewer words."""
-    line = F.when(F.col("line").rlike(r"[\t\x0B\f\r]"), F.regexp_replace("line", r"\s", " ")).otherwise(F.col("line"))  # a plain character splits faster
-    hashes = lines.select(*keys, F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)).alias("words"))
-    runs = F.transform(F.sequence(F.lit(0), F.size("words") - WORDS), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WORDS)]))
-    return hashes.select(*keys, F.when(F.size("words") >= WORDS, F.sort_array(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>")).alias("tokens"))
+    """tokens: sorted distinct hashes of the runs of WORDS words; of fewer words, one hash; without words, none."""
+    hashes = lines.select(*keys, F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)).alias("words"))
+    last = F.slice("words", F.lit(WORDS), F.greatest(F.size("words"), F.lit(0)))
+    runs = F.transform(last, lambda w, i: F.xxhash64(*[F.get("words", i + k if k else i) for k in range(WORDS - 1)], w))
+    few = F.when(F.size("words") > 0, F.array(F.xxhash64("words"))).otherwise(F.array().cast("array<bigint>"))
+    return hashes.select(*keys, F.when(F.size("words") >= WORDS, F.sort_array(F.array_distinct(runs))).otherwise(few).alias("tokens"))
 
 
 def _overlap(a: Column, b: Column, percent: int) -> Column:
@@ -152,19 +156,34 @@ def _rarest_first(sets: DataFrame, percent: int) -> DataFrame:
     return prefix.select("id", "alone", F.posexplode("prefix").alias("k", "x")).select("id", (F.col("alone") + F.col("k")).alias("place"), F.col("x.token").alias("token"))
 
 
+def _entries(first: DataFrame, prefixes: DataFrame, shared: DataFrame) -> DataFrame:
+    """Prefix tokens that lines share, with what pairs need. Where shared tokens are too many to broadcast, only ids and tokens are shuffled first."""
+    if sized(shared) <= BROADCAST_BYTES:
+        return prefixes.join(F.broadcast(shared), "token")
+    met = prefixes.select("id", "place", "token").join(shared, "token")
+    return met.join(first.select("id", *FACTS), "id")
+
+
 def removed_lines(documents: DataFrame, percent: int) -> DataFrame:
     """doc, tid, line_no of every line that some earlier line matches."""
-    lines = stored(_described(_tokens(_lines(documents), *REF), percent), "lines").where("n > 0")
-    # Equal sets: lines of later documents go. A large group is combined before the shuffle; equal lines of one document meet below.
-    heads = lines.groupBy(*SAME).agg(F.count("*").alias("c"), F.min("doc").alias("head")).where("c > 1").select(*SAME, "head")
-    with_head = lines.join(small(stored(heads, "heads")), SAME, "left")
-    first = F.col("head").isNull() | (F.col("doc") == F.col("head"))
-    exact = with_head.where(~first).select(*REF)
+    lines = stored(_described(_tokens(_lines(documents), *REF), percent).where("n > 0"), "lines")
+    # Equal sets: lines of later documents go, then the later ones of the first document that has the set. A large group is combined before the shuffle.
+    heads = stored(lines.groupBy(*SAME).agg(F.count("*").alias("c"), F.min("doc").alias("head")).where("c > 1").select(*SAME, "head"), "heads")
+    with_head = lines.join(small(heads), SAME, "left")
+    inside = stored(with_head.where("doc = head").select("id", *SAME, *REF), "inside")
+    begun = inside.groupBy(*SAME).agg(F.count("*").alias("c"), F.min(F.struct("tid", "line_no")).alias("begun")).where("c > 1").select(*SAME, "begun")
+    later = stored(inside.join(begun, SAME).where(F.struct("tid", "line_no") != F.col("begun")).select("id", *REF), "later")
+    exact = stored(with_head.where("doc <> head").select(*REF).unionByName(later.select(*REF)), "exact")
     # Tokens that two prefixes share, in one of them where it would do for the smaller set; and the earliest document's line that has each.
-    prefixes = with_head.where(first).select("id", *FACTS, F.posexplode("prefix").alias("place", "token"))
-    shared = prefixes.groupBy("token").agg(F.count("*").alias("c"), F.min_by("id", "doc").alias("lead"), F.max(F.col("place") < _short_size(F.col("n"), percent)).alias("short"))
-    shared = stored(shared.where("c > 1 AND short").select("token", F.least("c", F.lit(FREQUENT)).cast("int").alias("c"), "lead"), "shared")
-    entries = stored(prefixes.join(small(shared), "token"), "entries")
+    first = with_head.where("head IS NULL OR doc = head").join(small(later.select("id")), "id", "left_anti")
+    prefixes = first.select("id", *FACTS, F.posexplode("prefix").alias("place", "token"))
+    shared = prefixes.groupBy("token").agg(F.count("*").alias("c"), F.max(F.col("place") < _short_size(F.col("n"), percent)).alias("short"))
+    shared = stored(shared.where("c > 1 AND short").select("token", F.least("c", F.lit(FREQUENT)).cast("int").alias("c")), "shared")
+    entries = stored(_entries(first, prefixes, shared), "entries")
+    release(lines, heads, inside, later, shared)
+    lead = entries.groupBy("token").agg(F.min_by("id", F.struct(*REF)).alias("lead"))
+    entries, bare = stored(entries.join(small(stored(lead, "lead")), "token"), "entries"), entries
+    release(bare)
     leads, others = stored(entries.where("id = lead").select("token", "id", *FACTS), "leads"), entries.where("id <> lead")
     pairs = _pairs(others.select("token", "id", *FACTS), small(leads), percent)
     among = stored(entries.where(F.col("c") >= FREQUENT).select("id", *FACTS).distinct(), "among")  # few beside all lines
@@ -188,8 +207,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ())
     """Per document: doc_id, n_lines, n_removed, text and the columns to keep. The text is without the lines that earlier lines match.
 
     Lines end at line feeds; words are split at white space and compared in
-    lower case. Every row stays, if with an empty text; lines of fewer than
-    five words stay. A null text is empty: one empty line. Rows that repeat a
+    lower case. Every row stays, if with an empty text; a line of fewer than
+    five words goes if an earlier one has the same words, a line without words
+    stays. A null text is empty: one empty line. Rows that repeat a
     doc_id and a text are one document and are treated alike; rows that repeat
     a doc_id with other texts are ordered by a hash of the text. An empty table
     gives no rows; other columns are ignored.

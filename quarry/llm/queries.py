@@ -129,7 +129,7 @@ WITH lines AS (
 ), words AS (
   SELECT doc_id, x[1] AS line_no, x[2] AS line, list_filter(regexp_split_to_array(lower(x[2]), '\s+'), lambda w: w <> '') AS w FROM lines
 ), runs AS (
-  SELECT DISTINCT doc_id, line_no, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM words WHERE len(w) >= 5
+  SELECT DISTINCT doc_id, line_no, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS run FROM words WHERE len(w) > 0
 ), sized AS (
   SELECT *, count(*) OVER (PARTITION BY doc_id, line_no) AS n FROM runs
 ), gone AS (
@@ -232,7 +232,10 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN done d ON d.conv_i
 
 FIM_SQL = r"""
 WITH units AS (
-  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
 ), numbers AS (
   SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, CAST(i AS INT), 8) AS BIGINT)) AS x FROM units
 ), cuts AS (

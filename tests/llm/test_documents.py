@@ -222,7 +222,7 @@ def brute_lines(rows, percent=80):
         out = []
         for line in (t or "").split("\n"):
             w = line.lower().split()
-            s = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else None
+            s = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}) if w else None
             hit = s is not None and any(100 * len(s & o) >= percent * len(s | o) for o in seen)
             if s is not None:
                 seen.append(s)
