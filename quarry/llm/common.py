@@ -34,6 +34,11 @@ def keyed(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text"), *keep)
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """_row (all columns, so that no name of theirs clashes), _doc (doc_id, NO_ID for null) and _tid (a hash of the text)."""
+    return docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tid"))
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 

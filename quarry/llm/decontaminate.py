@@ -1,14 +1,17 @@
-"""Benchmark decontamination by CGK embeddings and bit-sampling LSH over walks through characters.
+"""Benchmark decontamination by CGK embeddings and bit-sampling LSH over item-sized windows.
 
 The embedding of Chakraborty, Goldenberg and Koucky (2016) walks over a string:
 step j emits the current character and advances by a random bit that depends on
 j and on the character. Two strings at a small edit distance soon walk in step
 again after each edit, so their embeddings differ in few places (Hamming
-distance). Sampling some places of a walk gives a key; keys of several walks
-with coins of their own find such pairs. Short walks begin at every word of
-items and documents; an item of a size class gets as many walks as find the
-target share of copies with edits up to the bound. Hits are verified by the
-exact edit distance between the item and the best-matching passage, in
+distance). Here a window is embedded in pieces that begin at its words, so that
+walks are in step again at every word that is left, and the pieces' distances
+add up. A key samples some places of the pieces of a few words in a row; keys
+are taken at every word of an item, hence over its whole length, and at every
+word of the documents. Many keys are drawn; those that text has often by chance
+are left out as far as edited copies of the items, the evenly spaced edits that
+are worst for it among them, still reach the target recall. Hits are verified
+by the exact edit distance between the item and the best-matching passage, in
 characters, over all text that a passage within the bound can reach.
 """
 
@@ -22,27 +25,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NO_ID, flat_bytes, slices, stored
+from quarry.llm.common import NO_ID, flat_bytes, marked, slices, stored
 from quarry.llm.words import ALNUM, word_spans
 
-#: Steps of a walk by size class (bytes of the item, down to a power of two); a walk covers about half as many bytes.
-STEPS = {1: 1, 2: 2, 4: 3, 8: 6, 16: 12, 32: 18, 64: 21, 128: 24}
+#: Steps of a piece (it covers about half as many bytes) and sampled places, walks to choose pieces from, and keys by words.
+STEPS, PLACES, WALKS, KEYS = 6, 2, 48, {4: 32, 3: 16}
+WORDS = max(KEYS)
+#: Steps of a walk that goes on from the first word, by size class (bytes of the item, down to a power of two): for items
+#: that the keys above don't find well enough, as those of one or two words.
+LONG_STEPS, LONG_KEYS = {1: 1, 2: 2, 4: 3, 8: 6, 16: 12, 32: 18, 64: 21, 128: 24}, 24
 #: Steps that are looked up at once, by as many bytes; walks that start together stay in the processor's cache.
 LEAP, STARTS = 3, 1 << 15
 #: Walks see a byte as one of 32 letters: a-z apart, others by their last bits. Equal texts walk alike all the same.
 LETTER = np.where(np.arange(256) == 32, 0, np.arange(256) & 31).astype(np.uint16)
-#: Share of edited copies at the bound that the keys of a size class find, the copies it is measured on, and most walks.
-TARGET, COPIES, MOST_KEYS = 0.995, 400, 24
-FILTER_BITS = 20
+#: Share of edited copies at the bound, of each kind of edits, that the keys of a size class find; copies of each kind.
+TARGET, COPIES = 0.96, 200
+#: Chances of a key in text from which the least is taken that reaches TARGET; an item keeps its rarest eighth in any case.
+CHANCES = (1e-7, 2e-7, 5e-7, 1e-6, 2e-6, 5e-6, 1e-5, 2e-5, 5e-5, 1e-4, 1e-3, 1.0)
+FILTER_BITS = 18
 #: Characters of an item compared at once, a bit each; candidates compared at once.
 BLOCK, AT_ONCE = 60, 1 << 18
 
 
 @dataclass
 class Key:
-    """One walk with its coins and sampled places, and the sorted keys of the items that use it."""
+    """The walks of its pieces, by their numbers, and the sorted keys of the items that use it."""
 
-    leaps: list[np.ndarray]  # by LEAP steps and the letters at hand: a number for what is emitted, its last two bits the advance
+    walks: tuple[int, ...]
     mask: np.ndarray  # 2^FILTER_BITS: whether some item key has these leading bits
     keys: np.ndarray
     owners: np.ndarray  # (item, characters of the item before the start)
@@ -50,9 +59,10 @@ class Key:
 
 @dataclass
 class Items:
-    ids: list[list[int]]  # by text: the items that have it
+    ids: list[list[int | None]]  # by text: the items that have it
     joined: list[str]
     codes: list[np.ndarray]  # by item: a number under 64 for each character
+    walks: list[list[np.ndarray]]  # each by LEAP steps and the letters at hand: a number for what is emitted, its last two bits the advance
     keys: list[Key]
 
 
@@ -62,7 +72,7 @@ def normalized(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.
     letters = ALNUM[raw]
     letters = letters[letters != 0]
     first = np.cumsum(size + 1) - size - 1
-    out = np.full(int(size.sum()) + len(size) + max(STEPS.values()) + 1, 32, np.uint8)
+    out = np.full(int(size.sum()) + len(size) + max(LONG_STEPS.values()) + 1, 32, np.uint8)
     out[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
     return out, first
 
@@ -106,23 +116,40 @@ def triples(flat: np.ndarray) -> np.ndarray:
 
 def walk(letters: np.ndarray, start: np.ndarray, leaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of what the walks from each start emit at the sampled places, and where the walks end. letters: see triples."""
-    at, h = start.astype(np.int64), np.zeros(len(start), np.uint32)
-    for leap in leaps:
-        v = leap.take(letters.take(at, mode="clip"))
-        at += v & np.uint32(3)
-        h += v
+    return walk_on(letters, start, letters.take(start, mode="clip"), leaps)
+
+
+def walk_on(letters: np.ndarray, start: np.ndarray, here: np.ndarray, leaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """walk, with the letters at the starts given."""
+    at, h = start, np.zeros(len(start), np.uint32)
+    for j, leap in enumerate(leaps):
+        v = leap.take(letters.take(at, mode="clip") if j else here)
+        at = at + (v & np.uint32(3))
+        h += v >> np.uint32(2)  # what unsampled places do to the way is no part of the key
         h *= np.uint32(0x9E3779B1)
+    return h, at
+
+
+def joined_pieces(pieces: list[np.ndarray]) -> np.ndarray:
+    """Keys from pieces: the first of one start, the second of the next start, and so on; of as many starts as have all."""
+    n = max(0, len(pieces[0]) - len(pieces) + 1)
+    h = pieces[0][:n].copy()
+    for j, piece in enumerate(pieces[1:], 1):
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA6B)
+        h += piece[j : j + n]
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
-    return h, at
+    h ^= h >> np.uint32(13)
+    return h
 
 
-def _random_walk(steps: int, k: int, seed: int) -> list[np.ndarray]:
-    """Coins and sampled places of a walk, composed to leaps."""
+def _random_walk(steps: int, k: int, seed: int, places: int = 0) -> list[np.ndarray]:
+    """Coins and sampled places of a walk, composed to leaps. Without a number of places, one in each two steps."""
     rng = np.random.default_rng((seed, steps, k))
     edges = np.linspace(0, steps, max(1, (steps + 1) // 2) + 1).astype(int)
     # One place in each stretch: neighbouring steps often emit the same character.
-    places = {int(rng.integers(a, b)) for a, b in zip(edges, edges[1:], strict=False)}
+    sampled = rng.choice(steps, places, replace=False).tolist() if places else [int(rng.integers(a, b)) for a, b in zip(edges, edges[1:], strict=False)]
     coins, names = rng.integers(0, 2, (steps, 32)), rng.integers(0, 1 << 32, (steps, 32), np.uint32)
     seen = np.arange(1 << 15)
     ahead = np.stack([seen >> 10, seen >> 5 & 31, seen & 31])
@@ -131,7 +158,7 @@ def _random_walk(steps: int, k: int, seed: int) -> list[np.ndarray]:
         at, h = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.uint32)
         for j in range(first, min(first + LEAP, steps)):
             letter = ahead[at, seen]
-            if j in places:
+            if j in sampled:
                 h = (h ^ names[j, letter]) * np.uint32(0x85EBCA6B)
             at += coins[j, letter]
         leaps.append(h & ~np.uint32(3) | at.astype(np.uint32))
@@ -147,74 +174,186 @@ def edited(text: str, edits: int, rng: np.random.Generator, alphabet: str) -> st
     return "".join(out)
 
 
-def _owned(flat: np.ndarray, edges: np.ndarray, leaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the walks that end within their text (or on the space after it), the text of each, and its start."""
-    start = _starts(flat, int(edges[-1]))
-    owner = np.searchsorted(edges, start, "right") - 1
-    h, at = walk(triples(flat), start, leaps)
-    inside = at <= edges[owner + 1]
-    return h[inside], owner[inside], start[inside]
+def evenly_edited(text: str, every: int, most: int, kind: int, rng: np.random.Generator, alphabet: str) -> str:
+    """A copy whose every so many characters one is replaced, put in or taken out (kind 0, 1, 2), from a random place on, most of them at most."""
+    first = int(rng.integers(0, every))
+    out = []
+    for i, c in enumerate(text):
+        hit = i % every == first and i // every < most
+        new = alphabet[int(rng.integers(0, len(alphabet)))] if hit and kind < 2 else ""
+        out.append(c + new if not hit or kind == 1 else new)
+    return "".join(out)
+
+
+def _copies(texts: list[str], percent: int, rng: np.random.Generator) -> list[tuple[int, int, str]]:
+    """(kind, text, copy): edits at the bound, at random, and evenly spaced at two densities and of three kinds."""
+    alphabet = "".join(sorted({c for text in texts for c in text}))
+    every = -(-100 // max(percent, 1))
+    out = []
+    for kind in range(7):
+        for i in rng.permutation(len(texts))[np.arange(COPIES) % len(texts)].tolist():
+            if kind == 6:
+                copy = edited(texts[i], len(texts[i]) * percent // 100, rng, alphabet)
+            else:
+                copy = evenly_edited(texts[i], every + kind // 3, len(texts[i]) * percent // 100, kind % 3, rng, alphabet)
+            out.append((kind, i, copy))
+    return out
 
 
-def build(rows: list[tuple[int, str]], percent: int = 20, seed: int = 5) -> Items:
+@dataclass
+class _Text:
+    """Texts one after the other, where walks begin in them and whose they are."""
+
+    flat: np.ndarray
+    edges: np.ndarray
+    letters: np.ndarray
+    start: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> "_Text":
+        flat, edges, _ = _joined([t.encode() for t in texts])
+        start = _starts(flat, int(edges[-1]))
+        return cls(flat, edges, triples(flat), start, np.searchsorted(edges, start, "right") - 1)
+
+    def keyed(self, walks: list[list[np.ndarray]], seen: dict[int, tuple[np.ndarray, np.ndarray]], names: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the first starts, and which of them lie within one text (or end on the space after it)."""
+        for w in names:
+            if w not in seen:
+                seen[w] = walk(self.letters, self.start, walks[w])
+        h = joined_pieces([seen[w][0] for w in names])
+        n = len(h)
+        last = len(names) - 1
+        inside = (self.owner[:n] == self.owner[last : last + n]) & (seen[names[-1]][1][last : last + n] <= self.edges[self.owner[:n] + 1])
+        return h, inside
+
+
+def _chances(seen: dict[int, tuple[np.ndarray, np.ndarray]], names: tuple[int, ...], n: int) -> np.ndarray:
+    """How often text has each key by chance: the product of the shares of words with the same pieces."""
+    out = np.zeros(n)
+    for j, w in enumerate(names):
+        values = seen[w][0]
+        _, at, count = np.unique(values, return_inverse=True, return_counts=True)
+        out += np.log(count / len(values))[at][j : j + n]
+    return np.exp(out)
+
+
+def _chosen(texts: list[str], walks: list[list[np.ndarray]], names: list[tuple[int, ...]], copies: list[tuple[int, int, str]], caught: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of names, keys, owners and characters before the start of the items that use it; caught is set for the copies that they find."""
+    mine, theirs = _Text.of(texts), _Text.of([c for _, _, c in copies])
+    of = np.asarray([i for _, i, _ in copies])
+    kind = np.asarray([k for k, _, _ in copies])
+    seen, others = {}, {}
+    parts, first = [], []
+    for key in names:
+        h, inside = mine.keyed(walks, seen, key)
+        at = np.flatnonzero(inside)
+        h, owner, chance = h[at], mine.owner[at], _chances(seen, key, len(inside))[at]
+        parts.append((h, owner, mine.start[at], chance))
+        # The least chance of a key of its item that a copy shares.
+        other, within = theirs.keyed(walks, others, key)
+        order = np.lexsort((chance, h, owner))
+        ids = owner[order].astype(np.uint64) << np.uint64(32) | h[order]
+        place = np.flatnonzero(within)
+        wanted = of[theirs.owner[place]].astype(np.uint64) << np.uint64(32) | other[place]
+        found = np.searchsorted(ids, wanted)
+        hit = found < len(ids)
+        hit[hit] = ids[found[hit]] == wanted[hit]
+        first.append((theirs.owner[place[hit]], chance[order][found[hit]]))
+    least = np.full(len(copies), np.inf)
+    for copy, chance in first:
+        np.minimum.at(least, copy, chance)
+    open_ = ~caught
+    limit = CHANCES[-1]
+    for limit in CHANCES:
+        if all((caught | (least <= limit))[kind == k].mean() >= TARGET for k in np.unique(kind)):
+            break
+    caught |= open_ & (least <= limit)
+    least_kept = np.zeros(len(texts))
+    every = np.concatenate([p[1] for p in parts])
+    chances = np.concatenate([p[3] for p in parts])
+    order = np.lexsort((chances, every))
+    count = np.bincount(every, minlength=len(texts))
+    begin = np.cumsum(count) - count
+    some = count > 0
+    least_kept[some] = chances[order][(begin + count // 8)[some]]
+    chars = np.cumsum((mine.flat & 0xC0) != 0x80)
+    out = []
+    for h, owner, start, chance in parts:
+        use = chance <= np.maximum(limit, least_kept[owner])
+        out.append((h[use], owner[use], (chars[start] - chars[mine.edges[owner]])[use]))
+    return out
+
+
+def build(rows: list[tuple[int | None, str]], percent: int = 20, seed: int = 5) -> Items:
     """The index of a block of items; items without words match nothing, items with equal words are one."""
     _, _, every = _joined([text.encode() for _, text in rows])
-    same: dict[str, list[int]] = {}
+    same: dict[str, list[int | None]] = {}
     for (i, _), text in zip(rows, every, strict=True):
         same.setdefault(text, []).append(i)
     joined = list(same)
     by_class: dict[int, list[int]] = {}
     for i, text in enumerate(joined):
         if text:
-            by_class.setdefault(min(max(STEPS), 1 << (len(text.encode()).bit_length() - 1)), []).append(i)
-    alphabet = "".join(sorted({c for text in joined for c in text}))
-    found: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+            by_class.setdefault(min(max(LONG_STEPS), 1 << (len(text.encode()).bit_length() - 1)), []).append(i)
+    walks = [_random_walk(STEPS, k, seed, PLACES) for k in range(WALKS)]
+    rng = np.random.default_rng(seed)
+    names = [tuple(rng.choice(WALKS, words, replace=False).tolist()) for words, n in KEYS.items() for _ in range(n)]
+    found: dict[tuple[int, ...], list[tuple[np.ndarray, np.ndarray]]] = {}
+    numbers: dict[tuple[int, int], int] = {}
     for size, members in sorted(by_class.items()):
-        rng = np.random.default_rng((seed, size))
-        flat, edges, _ = _joined([joined[i].encode() for i in members])
-        chars = np.cumsum((flat & 0xC0) != 0x80)
-        sample = rng.permutation(len(members))[np.arange(COPIES) % len(members)]
-        copies = [edited(joined[members[i]], len(joined[members[i]]) * percent // 100, rng, alphabet) for i in sample.tolist()]
-        copy_flat, copy_edges, _ = _joined([c.encode() for c in copies])
-        copy_start, copy_letters = _starts(copy_flat, int(copy_edges[-1])), triples(copy_flat)
-        copy = np.searchsorted(copy_edges, copy_start, "right") - 1
+        texts = [joined[i] for i in members]
+        copies = _copies(texts, percent, np.random.default_rng((seed, size)))
+        kind = np.asarray([k for k, _, _ in copies])
         caught = np.zeros(len(copies), bool)
-        for k in range(MOST_KEYS):
-            leaps = _random_walk(STEPS[size], k, seed)
-            h, owner, start = _owned(flat, edges, leaps)
-            offset = chars[start] - chars[edges[owner]]
-            found.setdefault((STEPS[size], k), []).append((h, np.stack([np.asarray(members)[owner], offset], axis=1)))
-            other, _ = walk(copy_letters, copy_start, leaps)
-            hit = np.isin(sample[copy].astype(np.uint64) << np.uint64(32) | other, owner.astype(np.uint64) << np.uint64(32) | h)
-            caught[copy[hit]] = True
-            if caught.mean() >= TARGET:
-                break
+        used = list(names)
+        parts = _chosen(texts, walks, names, copies, caught)
+        # Items of few words have no key above, or not enough of them.
+        starts = np.bincount(_Text.of(texts).owner, minlength=len(texts))
+        if starts.min() < 2 * WORDS or any(caught[kind == k].mean() < TARGET for k in np.unique(kind)):
+            long = []
+            for k in range(LONG_KEYS):
+                at = numbers.setdefault((LONG_STEPS[size], k), len(walks))
+                if at == len(walks):
+                    walks.append(_random_walk(LONG_STEPS[size], k, seed))
+                long.append((at,))
+            parts += _chosen(texts, walks, long, copies, caught)
+            used += long
+        for key, (h, owner, offset) in zip(used, parts, strict=True):
+            found.setdefault(key, []).append((h, np.stack([np.asarray(members)[owner], offset], axis=1)))
     keys = []
-    for (steps, k), parts in sorted(found.items()):
+    for name, parts in sorted(found.items()):
         h, owners = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        if not len(h):
+            continue
         order, mask = np.argsort(h, kind="stable"), np.zeros(1 << FILTER_BITS, bool)
         mask[h >> np.uint32(32 - FILTER_BITS)] = True
-        keys.append(Key(_random_walk(steps, k, seed), mask, h[order], owners[order]))
-    return Items(list(same.values()), joined, [_codes(np.frombuffer(text.encode(), np.uint8)) for text in joined], keys)
+        keys.append(Key(name, mask, h[order], owners[order]))
+    return Items(list(same.values()), joined, [_codes(np.frombuffer(text.encode(), np.uint8)) for text in joined], walks, keys)
 
 
 def _candidates(items: Items, flat: np.ndarray, length: int, edges: np.ndarray, percent: int) -> dict[int, list[tuple[int, int]]]:
-    """By document: (item, stretch of as many characters as the item may have edits, in which it would begin) for all shared keys."""
+    """By document: (item, stretch of as many characters as the item may have edits, in which it would begin) for the shared keys that may lead to a match."""
     start, letters = _starts(flat, length), triples(flat)
     chars = np.cumsum((flat & 0xC0) != 0x80)
     width = np.asarray([max(1, len(text) * percent // 100) for text in items.joined], np.int64)
     found = []
     for first in range(0, len(start), STARTS):
-        here = start[first : first + STARTS]
+        here = start[first : first + STARTS + WORDS - 1]
+        seen: dict[int, np.ndarray] = {}
+        at_starts = letters.take(here)
         for key in items.keys:
-            h, _ = walk(letters, here, key.leaps)
+            for w in key.walks:
+                if w not in seen:
+                    seen[w] = walk_on(letters, here, at_starts, items.walks[w])[0]
+            h = joined_pieces([seen[w] for w in key.walks])[:STARTS]
             at = np.flatnonzero(key.mask.take(h >> np.uint32(32 - FILTER_BITS)))
             low, high = np.searchsorted(key.keys, h[at], "left"), np.searchsorted(key.keys, h[at], "right")
             n = high - low
             p = here[np.repeat(at, n)]
             item, offset = key.owners[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)].T
             doc = np.searchsorted(edges, p, "right") - 1
-            found.append(np.stack([doc, item, (chars[p] - chars[edges[doc]] - offset) // width[item]], axis=1))
+            found.append(np.stack([doc, item, chars[p] - chars[edges[doc]] - offset], axis=1))
     out: dict[int, list[tuple[int, int]]] = {}
     if found:
         rows = np.concatenate(found)
@@ -223,9 +362,11 @@ def _candidates(items: Items, flat: np.ndarray, length: int, edges: np.ndarray,
         codes = _codes(flat)
         for a in range(0, len(rows), AT_ONCE):
             some = rows[a : a + AT_ONCE]
-            base = chars[edges[some[:, 0]]] - 1
-            for doc, item, place in some[_near(items, codes, some[:, 1], base + some[:, 2] * width[some[:, 1]], percent)].tolist():
-                out.setdefault(doc, []).append((item, place))
+            some = some[_near(items, codes, some[:, 1], chars[edges[some[:, 0]]] - 1 + some[:, 2], percent)]
+            some[:, 2] //= width[some[:, 1]]
+            for doc, item, place in np.unique(some, axis=0).tolist():
+                if (item, place) not in out.setdefault(doc, []):
+                    out[doc].append((item, place))
     return out
 
 
@@ -279,7 +420,7 @@ def _near(items: Items, codes: np.ndarray, item: np.ndarray, begin: np.ndarray,
         patterns = [items.codes[i][x:y] for i, x, y in zip(used.tolist(), a.tolist(), b.tolist(), strict=True)]
         k = edits[item[left]]
         low = begin[left] + a[pattern] - k
-        size = (b - a)[pattern] + 2 * k + np.maximum(1, k)
+        size = (b - a)[pattern] + 2 * k + 1
         size += np.minimum(low, 0)
         total[left] += least_distances(patterns, pattern, codes, np.maximum(low, 0), np.maximum(size, 0))
         left = left[total[left] <= k]
@@ -362,6 +503,7 @@ MATCHES = "doc_id long, tid long, item_id long, distance long, item_chars long,
 
 
 def _matches_of_block(docs: DataFrame, items: Items, percent: int, slice_bytes: int) -> DataFrame:
+    """The matches of one block, stored; its index is freed in driver and executors before the next one is built."""
     shipped = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +512,9 @@ def _matches_of_block(docs: DataFrame, items: Items, percent: int, slice_bytes:
                 yield _found(shipped.value, part, percent)
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text")).mapInArrow(run, MATCHES)
+    out = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text")).mapInArrow(run, MATCHES), "matches")
+    shipped.unpersist(blocking=True)
+    return out
 
 
 def _found(items: Items, part: pa.RecordBatch, percent: int) -> pa.RecordBatch:
@@ -400,10 +544,11 @@ def contaminated(
     A passage holds an item if the edit distance of their words, joined by
     spaces, is at most percent of the item's characters. Documents aren't
     shuffled; items are searched in blocks of about block_items and
-    block_bytes, so what a task holds stays bounded. Null or empty texts and
-    items without words match nothing; items with equal texts are found each;
-    repeated documents give a row each; empty tables give no rows; other
-    columns are ignored.
+    block_bytes, one after the other, so what a task and the driver hold stays
+    bounded. Null or empty texts and items without words match nothing; items
+    with equal texts are found each, and a null item_id stays null; of passages
+    at equal distance the first counts; repeated documents give a row each;
+    empty tables give no rows; other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
@@ -411,13 +556,18 @@ def contaminated(
     out = None
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        part = _matches_of_block(docs, build(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in rows), percent), percent, slice_bytes)
+        ordered = sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        part = _matches_of_block(docs, build(ordered, percent), percent, slice_bytes)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 20) -> DataFrame:
-    """The rows of docs whose own text holds no benchmark item; see contaminated. Other rows of the same doc_id stay. Columns are those of docs."""
+    """The rows of docs whose own text holds no benchmark item; see contaminated.
+
+    Other rows of the same doc_id stay; rows that repeat both stay or go alike.
+    Null and empty texts stay, and all rows do without items. Columns are those
+    of docs, whatever their names; an empty table gives no rows.
+    """
     hits = stored(contaminated(docs, benchmark, percent).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("tid").alias("_tid")).distinct(), "hits")
-    marked = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_tid": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return marked.join(hits, ["_doc", "_tid"], "left_anti").select(*docs.columns)
+    return marked(docs).join(hits, ["_doc", "_tid"], "left_anti").select("_row.*")

@@ -44,10 +44,10 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def _documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, doc (never null), tid (a hash of the text: rows with equal both are one document), text."""
+    """doc_id, doc (never null), tid (a hash of the text: rows with equal both are one document), text, kept (the columns to keep)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("tid"), text.alias("text"), *keep)
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("tid"), text.alias("text"), F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -216,14 +216,14 @@ def dedup_lines(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ())
     """
     documents = _documents(docs, keep)
     removed = stored(removed_lines(documents, percent).distinct().groupBy("doc", "tid").agg(F.collect_set("line_no").alias("gone")), "removed")
-    n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1  # most texts needn't be split
-    rows = documents.join(small(removed), ["doc", "tid"], "left").select("doc_id", "text", *keep, F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1  # most texts needn't be split
+    rows = documents.join(small(removed), ["doc", "tid"], "left").select("doc_id", "text", "kept", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     rows = rows.withColumn("lines", F.when(F.size("gone") > 0, F.split("text", "\n")))  # a column of its own: split once, not at each use
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     return rows.select(
         "doc_id",
         n_lines.cast("long").alias("n_lines"),
         F.size("gone").cast("long").alias("n_removed"),
-        F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")).alias("text"),
-        *keep,
+        F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")).alias("text"),
+        *[F.col("kept")[c].alias(c) for c in keep],
     )

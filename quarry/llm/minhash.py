@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NO_ID, flat_bytes, keyed, slices, stored, texts
+from quarry.llm.common import NO_ID, flat_bytes, keyed, marked, slices, stored, texts
 from quarry.llm.graph import components
 from quarry.llm.words import SPACED, mix, prefix_sums, shingle_hashes, span_hashes, word_spans
 
@@ -152,21 +152,19 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, band
 
     Groups are those of near_duplicates. Of a doc_id's rows with several texts
     in a group the one with the smallest hash stays; of equal rows one. Texts
-    without words stay. Columns are those of docs.
+    without words stay. Columns are those of docs, whatever their names.
     """
-    columns = docs.columns
-    marked = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_tid": F.xxhash64(F.coalesce("text", F.lit("")))})
     rows = stored(_components(keyed(docs), size, percent, bands).where("n_shingles > 0").select("doc_id", "tid", "component_id"), "components")
     heads = rows.where("doc_id = component_id").groupBy("component_id").agg(F.min("tid").alias("head"))
     same = rows.groupBy(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), "component_id").agg(F.count("*").alias("c"))
     judged = stored(same.join(heads, "component_id").select("_doc", "_tid", "c", ((F.col("_doc") == F.col("component_id")) & (F.col("_tid") == F.col("head"))).alias("first")), "judged")
     gone = judged.where("NOT first").select("_doc", "_tid")
     twice = judged.where("first AND c > 1").select("_doc", "_tid")
-    left = marked.join(gone, ["_doc", "_tid"], "left_anti")
+    left = marked(docs).join(gone, ["_doc", "_tid"], "left_anti")
     if twice.limit(1).count():
         one = left.join(twice, ["_doc", "_tid"], "left_semi").dropDuplicates(["_doc", "_tid"])
         left = left.join(twice, ["_doc", "_tid"], "left_anti").unionByName(one)
-    return left.select(*columns)
+    return left.select("_row.*")
 
 
 def _components(docs: DataFrame, size: int, percent: int, bands: int | None) -> DataFrame:

@@ -155,6 +155,49 @@ def test_decontamination_recall(kind):
     assert len(within) >= 75 and len(got) >= 0.9 * len(within)
 
 
+def _spaced(rng, text, every, kind):
+    first, out = rng.randrange(every), []
+    for i, c in enumerate(text):
+        if i % every != first or i // every >= len(text) * 20 // 100:
+            out.append(c)
+        elif kind != "gone":
+            out.append((c if kind == "put in" else "") + rng.choice("abcdefghijklmnopqrstuvwxyz"))
+    return "".join(out)
+
+
+@pytest.fixture(scope="module")
+def benchmark_items():
+    rng = random.Random(16)
+    vocabulary = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9))) for _ in range(1500)]
+    plain = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, plain(rng.choice((14, 25, 40)))) for k in range(150)]
+    return items, [plain(30) for _ in items], decontaminate.build(items)
+
+
+@pytest.mark.parametrize("every", [5, 6, 7, 8, 10])
+@pytest.mark.parametrize("kind", ["gone", "put in", "replaced"])
+def test_decontamination_recall_of_evenly_spaced_edits(benchmark_items, every, kind):
+    items, around, built = benchmark_items
+    rng = random.Random(every)
+    copies = [_spaced(rng, t, every, kind) for _, t in items]
+    texts = [f"{a} {c} {a}" for a, c in zip(around, copies, strict=True)]
+    within = {k for (k, t), c in zip(items, copies, strict=True) if decontaminate.least_distance(t, " ".join(c.split())) <= len(t) * 20 // 100}
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["doc_id", "tid", "text"])
+    got = {r["item_id"] for part in slices(batch, "text", 1 << 20) for r in decontaminate._found(built, part, 20).to_pylist() if r["doc_id"] == r["item_id"]}
+    assert len(within) >= 75 and len(got & within) >= 0.95 * len(within)
+
+
+def test_short_items_of_a_block_are_found():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 6, 9] * 15)] + [(None, "x" * 40 + "yz" * 30), (91, "日本語の文章は空白を使わない" * 3)]
+    built = decontaminate.build(items)
+    texts = [f"qq {t} qq" for _, t in items]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["doc_id", "tid", "text"])
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate._found(built, batch, 20).to_pylist()}
+    assert {(d, i) for d, (i, _) in enumerate(items)} <= got
+
+
 # ---- language: the posterior of each page from counts in plain code
 
 def test_language_posterior(spark):

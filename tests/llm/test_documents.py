@@ -216,6 +216,21 @@ def test_contaminated_rows_go_and_others_of_their_id_stay(spark):
     assert collections.Counter(map(tuple, got)) == {(1, "clean text"): 1, (None, "also clean"): 1, (2, None): 1}
 
 
+def test_columns_may_have_any_name(spark):
+    rng = random.Random(21)
+    item, other = prose(rng, 20), prose(rng, 30)
+    rows = [(1, item, 7, "a", 1), (2, other, 8, "b", 2), (3, other, 9, "c", 3), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc long, tid string, lines int").withColumnsRenamed({"tid": "_tid"})
+    assert {tuple(r) for r in decontaminate.drop_contaminated(docs, benchmark(spark, [(None, item)])).collect()} == {rows[1], rows[2], rows[3]}
+    assert {tuple(r) for r in minhash.drop_near_duplicates(docs).collect()} == {rows[0], rows[1], rows[3]}
+    named = docs.withColumnsRenamed({"_doc": "doc", "_tid": "tid"}).withColumn("gone", docs["lines"] + 1).withColumn("kept", docs["lines"])
+    keep = ("doc", "tid", "lines", "gone", "kept")
+    got = {r["doc_id"]: (r["text"], *[r[c] for c in keep]) for r in linededup.dedup_lines(named, keep=keep).collect()}
+    assert got == {1: (item, 7, "a", 1, 2, 1), 2: (other, 8, "b", 2, 3, 2), 3: ("", 9, "c", 3, 4, 3), None: ("", None, None, None, None, None)}
+    found = decontaminate.contaminated(docs, benchmark(spark, [(None, item)])).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in found] == [(1, None)]
+
+
 def brute_lines(rows, percent=80):
     lines, seen = {}, []
     for i, t in sorted(rows):
