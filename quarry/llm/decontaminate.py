@@ -29,7 +29,7 @@ from quarry.llm.common import NO_ID, flat_bytes, marked, slices, stored
 from quarry.llm.words import ALNUM, word_spans
 
 #: Steps of a piece (it covers about half as many bytes) and sampled places, walks to choose pieces from, and keys by words.
-STEPS, PLACES, WALKS, KEYS = 6, 2, 48, {4: 32, 3: 16}
+STEPS, PLACES, WALKS, KEYS = 6, 2, 48, {4: 40, 3: 8}
 WORDS = max(KEYS)
 #: Steps of a walk that goes on from the first word, by size class (bytes of the item, down to a power of two): for items
 #: that the keys above don't find well enough, as those of one or two words.
@@ -54,6 +54,7 @@ class Key:
     walks: tuple[int, ...]
     mask: np.ndarray  # 2^FILTER_BITS: whether some item key has these leading bits
     keys: np.ndarray
+    runs: np.ndarray  # how many keys equal it, at the first of equal keys
     owners: np.ndarray  # (item, characters of the item before the start)
 
 
@@ -328,7 +329,10 @@ def build(rows: list[tuple[int | None, str]], percent: int = 20, seed: int = 5)
             continue
         order, mask = np.argsort(h, kind="stable"), np.zeros(1 << FILTER_BITS, bool)
         mask[h >> np.uint32(32 - FILTER_BITS)] = True
-        keys.append(Key(name, mask, h[order], owners[order]))
+        _, first, count = np.unique(h[order], return_index=True, return_counts=True)
+        runs = np.zeros(len(h), np.int64)
+        runs[first] = count
+        keys.append(Key(name, mask, h[order], runs, owners[order]))
     return Items(list(same.values()), joined, [_codes(np.frombuffer(text.encode(), np.uint8)) for text in joined], walks, keys)
 
 
@@ -348,21 +352,24 @@ def _candidates(items: Items, flat: np.ndarray, length: int, edges: np.ndarray,
                     seen[w] = walk_on(letters, here, at_starts, items.walks[w])[0]
             h = joined_pieces([seen[w] for w in key.walks])[:STARTS]
             at = np.flatnonzero(key.mask.take(h >> np.uint32(32 - FILTER_BITS)))
-            low, high = np.searchsorted(key.keys, h[at], "left"), np.searchsorted(key.keys, h[at], "right")
-            n = high - low
+            h = h[at]
+            low = np.minimum(np.searchsorted(key.keys, h), len(key.keys) - 1)
+            same = key.keys[low] == h
+            at, low = at[same], low[same]
+            n = key.runs[low]
             p = here[np.repeat(at, n)]
             item, offset = key.owners[np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)].T
             doc = np.searchsorted(edges, p, "right") - 1
-            found.append(np.stack([doc, item, chars[p] - chars[edges[doc]] - offset], axis=1))
+            found.append(np.stack([doc, item, chars[p] - chars[edges[doc]] - offset, offset], axis=1))
     out: dict[int, list[tuple[int, int]]] = {}
     if found:
         rows = np.concatenate(found)
         rows = rows[np.lexsort(rows.T[::-1])]
-        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(axis=1))[: len(rows)]]
+        rows = rows[np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))[: len(rows)]]
         codes = _codes(flat)
         for a in range(0, len(rows), AT_ONCE):
             some = rows[a : a + AT_ONCE]
-            some = some[_near(items, codes, some[:, 1], chars[edges[some[:, 0]]] - 1 + some[:, 2], percent)]
+            some = some[_near(items, codes, some[:, 1], chars[edges[some[:, 0]]] - 1 + some[:, 2], some[:, 3], percent)][:, :3]
             some[:, 2] //= width[some[:, 1]]
             for doc, item, place in np.unique(some, axis=0).tolist():
                 if (item, place) not in out.setdefault(doc, []):
@@ -398,9 +405,10 @@ def least_distances(patterns: list[np.ndarray], pattern: np.ndarray, codes: np.n
     return out
 
 
-def _near(items: Items, codes: np.ndarray, item: np.ndarray, begin: np.ndarray, percent: int) -> np.ndarray:
+def _near(items: Items, codes: np.ndarray, item: np.ndarray, begin: np.ndarray, offset: np.ndarray, percent: int) -> np.ndarray:
     """Which candidates may be within the bound: the distances of an item's blocks, each where it can lie, add up to no more.
 
+    The block at offset, where the shared key lies, says least and comes last.
     Different characters may have equal codes and text beyond the document is
     compared too; both make the sum smaller only, so no match is lost.
     """
@@ -409,14 +417,18 @@ def _near(items: Items, codes: np.ndarray, item: np.ndarray, begin: np.ndarray,
     length = np.asarray([len(x) for x in items.codes], np.int64)
     edits, blocks = length * percent // 100, -(-length // BLOCK)
     done = []
+    most = int(blocks.max(initial=1))
+    hit = np.minimum(offset * blocks[item] // np.maximum(1, length[item]), blocks[item] - 1)
     for j in range(int(blocks[item].max(initial=0))):
         last = blocks[item[left]] <= j
         done.append(left[last])
         left = left[~last]
         if not len(left):
             break
-        used, pattern = np.unique(item[left], return_inverse=True)
-        a, b = length[used] * j // blocks[used], length[used] * (j + 1) // blocks[used]
+        here = (hit[left] + 1 + j) % blocks[item[left]]
+        used, pattern = np.unique(item[left] * most + here, return_inverse=True)
+        used, part = used // most, used % most
+        a, b = length[used] * part // blocks[used], length[used] * (part + 1) // blocks[used]
         patterns = [items.codes[i][x:y] for i, x, y in zip(used.tolist(), a.tolist(), b.tolist(), strict=True)]
         k = edits[item[left]]
         low = begin[left] + a[pattern] - k
