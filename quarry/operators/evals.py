@@ -9,6 +9,7 @@ from quarry import tables
 from quarry.functions.capacity import context_score, quant_factor
 from quarry.functions.numeric import falsy, round_half_up
 from quarry.functions.text import plain_number, slugify
+from quarry.operators.joins import neighbours
 from quarry.operators.markdown import benchmark_tables
 from quarry.operators.quality import bench_population, column_variant, min_max, resolved, suite_scores
 
@@ -83,18 +84,23 @@ def match_evals(rows: DataFrame, evals: DataFrame, keep: tuple[str, ...], limit:
     without a size are considered only where the family has none with one. Of
     equals, the one nearer by size, then a web source, then the first in order
     of size and id. Distances beyond the limit don't count. Catalog rows of
-    one family, size and variant are matched once.
+    one family, size and variant are matched once, and sizes are merged in
+    order (joins.neighbours), so rows meet at most two of each variant.
     """
-    sized = evals.groupBy("family").agg(F.bool_or(F.col("size_b").isNotNull()).alias("_sized"))
-    pool = evals.join(sized, "family").where("size_b IS NOT NULL OR NOT _sized").select(
-        F.col("family").alias("_f"), F.col("size_b").alias("_s"), F.coalesce("variant", F.lit("unknown")).alias("_v"), F.startswith(F.coalesce("source", F.lit("")), F.lit("web")).alias("_web"), F.struct(*keep).alias("_hit"), F.col("eval_id").alias("_id")
-    )
-    kinds = rows.select("family", "size", "variant").distinct()
+    unknown = F.lit("unknown")
+    pool = evals.select("family", F.col("size_b").cast("double").alias("_s"), F.coalesce("variant", unknown).alias("_v"), (~F.startswith(F.coalesce("source", F.lit("")), F.lit("web"))).alias("_other"), F.struct(*keep).alias("_hit"), F.col("eval_id").alias("_id"))
+    kinds = rows.select("family", F.col("size").cast("double").alias("size"), "variant").distinct()
+    near = neighbours(kinds.where("size IS NOT NULL"), pool, "family", "size", "_s", "_v", ["_other", "_id"])
+    hits = kinds.join(near.select(F.col("family").alias("_f"), F.col("size").alias("_size"), F.explode(F.array_compact(F.array("below", "above"))).alias("_row")), (F.col("family") == F.col("_f")) & (F.col("size") == F.col("_size"))).select("family", "size", "variant", "_row.*")
+    # Where sizes can't be told apart, the first row of each variant is as good as any: of those with a size, if the family has one.
+    first = pool.groupBy("family", "_v", F.col("_s").isNotNull().alias("_known")).agg(F.min_by(F.struct("_other", F.col("_s").alias("s"), F.col("_id").alias("id"), "_hit"), F.struct("_other", F.coalesce("_s", F.lit(0.0)), "_id")).alias("r"))
+    families = pool.groupBy(F.col("family").alias("_f")).agg(F.bool_or(F.col("_s").isNotNull()).alias("_sized"))
+    first = first.join(families, F.col("family") == F.col("_f")).where("_known = _sized").select(F.col("family").alias("_f"), "_sized", F.col("r.s").alias("_s"), "_v", F.col("r._other").alias("_other"), F.col("r._hit").alias("_hit"), F.col("r.id").alias("_id"))
+    flat = kinds.join(first, (F.col("family") == F.col("_f")) & (F.col("size").isNull() | ~F.col("_sized"))).select("family", "size", "variant", "_s", "_v", "_other", "_hit", "_id")
     away = F.coalesce(F.abs(F.col("_s") - F.col("size")), F.lit(5.0))
     off = F.when(F.col("_v") == F.col("variant"), 0.0).when((F.col("_v") == "unknown") | (F.col("variant") == "unknown"), 0.5).otherwise(2.0)
-    order = F.struct((away + off).alias("d"), away.alias("away"), (~F.col("_web")).alias("other"), F.coalesce("_s", F.lit(0.0)).alias("s"), F.col("_id").alias("id"))
-    pairs = kinds.join(pool, F.col("family") == F.col("_f"))
-    best = pairs.groupBy("family", "size", "variant").agg(F.min_by("_hit", order).alias("_hit"), F.min(order).alias("_order")).where(F.col("_order.d") <= limit)
+    order = F.struct((away + off).alias("d"), away.alias("away"), F.col("_other").alias("other"), F.coalesce("_s", F.lit(0.0)).alias("s"), F.col("_id").alias("id"))
+    best = hits.unionByName(flat).groupBy("family", "size", "variant").agg(F.min_by("_hit", order).alias("_hit"), F.min(order).alias("_order")).where(F.col("_order.d") <= limit)
     b = best.select(F.col("family").alias("_f"), F.col("size").alias("_s"), F.col("variant").alias("_v"), "_hit", F.col("_order.d").alias("distance"))
     same = (F.col("family") == F.col("_f")) & F.col("size").eqNullSafe(F.col("_s")) & (F.col("variant") == F.col("_v"))
     return rows.select("ref", "family", "size", "variant").join(b, same).select("ref", "_hit.*", "distance")

@@ -14,48 +14,46 @@ from pyspark.sql import functions as F
 from quarry.operators.stats import medians
 
 
-def _centred(df: DataFrame, by: Sequence[str], xs: Sequence[str], y: str) -> DataFrame:
-    means = df.groupBy(*by).agg(*[F.avg(c).alias(f"_m_{c}") for c in (*xs, y)])
-    joined = df.join(means, list(by)) if by else df.crossJoin(F.broadcast(means))
-    return joined.select("*", *[(F.col(c) - F.col(f"_m_{c}")).alias(f"_c_{c}") for c in (*xs, y)])
-
-
-def _plane(m: dict[str, Column]) -> tuple[Column, Column, Column]:
-    """b0, b1 and b2 from means (m1, m2, my) and centred moments (s11, s12, s22, s1y, s2y).
+def _plane(df: DataFrame) -> DataFrame:
+    """Adds b0, b1 and b2 to means (m1, m2, my) and centred moments (s11, s12, s22, s1y, s2y).
 
     Where the regressors don't span a plane, of all planes that fit best the
-    one with the smallest b0^2 + b1^2 + b2^2.
+    one with the smallest b0^2 + b1^2 + b2^2. Each part is a column, so it is
+    worked out once.
     """
-    m1, m2, my, s11, s12, s22, s1y, s2y = (m[k] for k in ("m1", "m2", "my", "s11", "s12", "s22", "s1y", "s2y"))
-    det = s11 * s22 - s12 * s12
-    full = det > 1e-12 * s11 * s22
-    f1, f2 = F.try_divide(s1y * s22 - s2y * s12, det), F.try_divide(s2y * s11 - s1y * s12, det)
+    m1, m2, my, s11, s12, s22, s1y, s2y = (F.col(k) for k in ("m1", "m2", "my", "s11", "s12", "s22", "s1y", "s2y"))
     # One direction (d1, d2) with the slope k along it, or none: the least solution of b0 + b1 m1 + b2 m2 = my and b1 d1 + b2 d2 = k.
-    line = (s11 > 0) | (s22 > 0)
-    d1, d2 = F.when(s11 > 0, 1.0).otherwise(0.0), F.when(s11 > 0, F.try_divide(s12, s11)).when(s22 > 0, 1.0).otherwise(0.0)
-    k = F.when(s11 > 0, F.try_divide(s1y, s11)).otherwise(F.coalesce(F.try_divide(s2y, s22), F.lit(0.0)))
-    p, q, r = 1 + m1 * m1 + m2 * m2, m1 * d1 + m2 * d2, d1 * d1 + d2 * d2
+    df = df.withColumns({
+        "_det": s11 * s22 - s12 * s12, "_d1": F.when(s11 > 0, 1.0).otherwise(0.0), "_d2": F.when(s11 > 0, F.try_divide(s12, s11)).when(s22 > 0, 1.0).otherwise(0.0),
+        "_k": F.when(s11 > 0, F.try_divide(s1y, s11)).otherwise(F.coalesce(F.try_divide(s2y, s22), F.lit(0.0))), "_p": 1 + m1 * m1 + m2 * m2,
+    })
+    det, d1, d2, k, p, q, r = (F.col(c) for c in ("_det", "_d1", "_d2", "_k", "_p", "_q", "_r"))
+    df = df.withColumns({"_q": m1 * d1 + m2 * d2, "_r": d1 * d1 + d2 * d2})
+    line, full = (s11 > 0) | (s22 > 0), det > 1e-12 * s11 * s22
     u, v = F.try_divide(my * r - k * q, p * r - q * q), F.try_divide(k * p - my * q, p * r - q * q)
-    u, v = F.when(line, u).otherwise(my / p), F.when(line, v).otherwise(F.lit(0.0))
-    least = (u, u * m1 + v * d1, u * m2 + v * d2)
-    whole = (my - f1 * m1 - f2 * m2, f1, f2)
-    return tuple(F.when(full, a).otherwise(b) for a, b in zip(whole, least, strict=True))
+    df = df.withColumns({
+        "_u": F.when(line, u).otherwise(my / p), "_v": F.when(line, v).otherwise(F.lit(0.0)),
+        "_f1": F.when(full, F.try_divide(s1y * s22 - s2y * s12, det)), "_f2": F.when(full, F.try_divide(s2y * s11 - s1y * s12, det)),
+    })
+    b1, b2 = F.coalesce("_f1", F.col("_u") * m1 + F.col("_v") * d1), F.coalesce("_f2", F.col("_u") * m2 + F.col("_v") * d2)
+    b0 = F.coalesce(my - F.col("_f1") * m1 - F.col("_f2") * m2, F.col("_u"))
+    return df.withColumns({"b0": b0, "b1": b1, "b2": b2}).drop("_det", "_d1", "_d2", "_k", "_p", "_q", "_r", "_u", "_v", "_f1", "_f2")
 
 
 def ols2(df: DataFrame, by: Sequence[str], x1: str, x2: str, y: str) -> DataFrame:
-    """y = b0 + b1 x1 + b2 x2 by group, with R2 (null where y is constant) and n; see _plane for regressors that span less than a plane."""
-    c = _centred(df.where(F.col(x1).isNotNull() & F.col(x2).isNotNull() & F.col(y).isNotNull()), by, [x1, x2], y)
-    s = {(p, q): F.sum(F.col(f"_c_{p}") * F.col(f"_c_{q}")) for p, q in ((x1, x1), (x1, x2), (x2, x2), (x1, y), (x2, y), (y, y))}
-    m = c.groupBy(*by).agg(
-        F.count("*").alias("n"), *[F.first(f"_m_{v}").alias(f"m_{v}") for v in (x1, x2, y)], *[v.alias(f"s{i}") for i, v in enumerate(s.values())]
-    ).where("n > 0")
-    names = ("s11", "s12", "s22", "s1y", "s2y", "syy")
-    moments = {k: F.col(f"s{i}") for i, k in enumerate(names)} | {"m1": F.col(f"m_{x1}"), "m2": F.col(f"m_{x2}"), "my": F.col(f"m_{y}")}
-    b0, b1, b2 = _plane(moments)
-    rest = moments["syy"] - 2 * (F.col("b1") * moments["s1y"] + F.col("b2") * moments["s2y"])
-    rest = rest + F.col("b1") * F.col("b1") * moments["s11"] + 2 * F.col("b1") * F.col("b2") * moments["s12"] + F.col("b2") * F.col("b2") * moments["s22"]
-    fitted = m.select("*", b0.alias("b0"), b1.alias("b1"), b2.alias("b2"))
-    return fitted.select(*by, "n", "b0", "b1", "b2", (1 - F.try_divide(rest, moments["syy"])).alias("r2"))
+    """y = b0 + b1 x1 + b2 x2 by group, with R2 (null where y is constant) and n; see _plane for regressors that span less than a plane.
+
+    One aggregation: variances and covariances are centred as they are merged.
+    Rows with a null among the three don't count; a null key is a group.
+    """
+    d = df.where(F.col(x1).isNotNull() & F.col(x2).isNotNull() & F.col(y).isNotNull()).select(*by, *[F.col(c).cast("double").alias(f"_{k}") for k, c in (("1", x1), ("2", x2), ("y", y))])
+    m = d.groupBy(*by).agg(
+        F.count("*").alias("n"), *[F.avg(f"_{k}").alias(f"m{k}") for k in "12y"], F.var_pop("_1").alias("s11"), F.covar_pop("_1", "_2").alias("s12"), F.var_pop("_2").alias("s22"),
+        F.covar_pop("_1", "_y").alias("s1y"), F.covar_pop("_2", "_y").alias("s2y"), F.var_pop("_y").alias("syy"),
+    ).where("n > 0")
+    b1, b2, s11, s12, s22, s1y, s2y, syy = (F.col(c) for c in ("b1", "b2", "s11", "s12", "s22", "s1y", "s2y", "syy"))
+    rest = syy - 2 * (b1 * s1y + b2 * s2y) + b1 * b1 * s11 + 2 * b1 * b2 * s12 + b2 * b2 * s22
+    return _plane(m).select(*by, "n", "b0", "b1", "b2", (1 - F.try_divide(rest, syy)).alias("r2"))
 
 
 def ols1(df: DataFrame, by: Sequence[str], x: str, y: Column) -> DataFrame:
@@ -105,8 +103,7 @@ def group_holdout2(df: DataFrame, group: str, x1: str, x2: str, y: str) -> DataF
     """For each group the plane fitted on all other groups; groups whose others have fewer than 3 rows go."""
     o = _others(df, group, [x1, x2], y)
     moments = {"m1": f"m_{x1}", "m2": f"m_{x2}", "my": f"m_{y}", "s11": f"c_{x1}_{x1}", "s12": f"c_{x1}_{x2}", "s22": f"c_{x2}_{x2}", "s1y": f"c_{x1}_{y}", "s2y": f"c_{x2}_{y}"}
-    b0, b1, b2 = _plane({k: F.col(v) for k, v in moments.items()})
-    return o.where("n_train >= 3").select(group, "n_train", b0.alias("b0"), b1.alias("b1"), b2.alias("b2"))
+    return _plane(o.where("n_train >= 3").select(group, "n_train", *[F.col(v).alias(k) for k, v in moments.items()])).select(group, "n_train", "b0", "b1", "b2")
 
 
 def forward_offsets(df: DataFrame, by: str, order: Sequence[str], residual: str) -> DataFrame:

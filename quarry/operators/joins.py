@@ -51,24 +51,102 @@ def precedence(df: DataFrame, sources: Sequence[tuple[str, DataFrame, str, str]]
     return df.drop(*[f"_{c}{i}" for c in "kv" for i in range(len(sources))])
 
 
-def longest_match(df: DataFrame, name: str, table: DataFrame, key: str, value: str, broadcast_names: int = 10_000) -> DataFrame:
-    """The entry of a table whose squeezed name equals, holds or is held by df's; equal first, then the longest.
+GRAM = 3
 
-    The table is a dictionary, broadcast up to so many names; with more, its
-    parts are paired by shuffle. Names without letters or digits match nothing.
+
+def _runs(c: str, k: int) -> Column:
+    """All runs of k characters of a text; a shorter text as a whole."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - k + 1)), lambda i: F.substring(F.col(c), i, F.lit(k)))
+
+
+def _holds(texts: DataFrame, c: str) -> DataFrame:
+    """Each text with its distinct parts of up to GRAM characters."""
+    parts = [_runs(c, k) for k in range(1, GRAM + 1)]
+    return texts.select(F.col(c).alias("whole"), F.explode(F.array_distinct(F.concat(*parts))).alias("gram"))
+
+
+def contained(parts: DataFrame, part: str, wholes: DataFrame, whole: str) -> DataFrame:
+    """Pairs (part, whole) of distinct texts where whole holds part, empty texts aside.
+
+    Each part looks for the whole texts that have its rarest run of GRAM
+    characters (its own text where it is shorter), by an equality join; only
+    those are compared. A part with a run that no whole text has goes at once.
     """
-    names = df.select(name).distinct()
-    meets = F.contains(F.col(name), F.col(key)) | F.contains(F.col(key), F.col(name))
-    entries = table.where(F.length(key) > 0)
-    pairs = names.where(F.length(name) > 0).join(F.broadcast(entries) if entries.limit(broadcast_names + 1).count() <= broadcast_names else entries, meets)
-    rank = F.struct((F.col(name) == F.col(key)).alias("same"), F.length(key).alias("length"), F.col(key).alias("key"))
-    best = pairs.groupBy(name).agg(F.max_by(F.col(value), rank).alias(value))
-    return df.join(best, name, "left")
+    index = _holds(wholes.where(F.length(whole) > 0).select(whole).distinct(), whole)
+    counts = index.groupBy("gram").agg(F.count("*").alias("c"))
+    runs = F.array_distinct(_runs(part, GRAM))
+    each = parts.where(F.length(part) > 0).select(F.col(part).alias("part")).distinct().withColumnRenamed("part", part).select(part, F.explode(runs).alias("gram"))
+    rarest = each.join(counts, "gram", "left").groupBy(F.col(part).alias("part")).agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram")).alias("r")).where("r.c > 0")
+    return rarest.select("part", F.col("r.gram").alias("gram")).join(index, "gram").where(F.contains("whole", "part")).select("part", "whole")
+
+
+def longest_match(df: DataFrame, name: str, table: DataFrame, key: str, value: str) -> DataFrame:
+    """The entry of a table whose squeezed name equals, holds or is held by df's; equal first, then the longest, then the last by name.
+
+    Both ways go through an index of short runs of characters (contained), so
+    neither names nor entries are paired with all others. Names without letters
+    or digits match nothing.
+    """
+    names, keys = df.select(F.col(name).alias("_name")), table.select(F.col(key).alias("_key"))
+    inside = contained(keys, "_key", names, "_name").select(F.col("whole").alias("_name"), F.col("part").alias("_key"))
+    around = contained(names, "_name", keys, "_key").select(F.col("part").alias("_name"), F.col("whole").alias("_key"))
+    pairs = inside.unionByName(around).join(table.select(F.col(key).alias("_key"), F.col(value).alias("_value")), "_key")
+    rank = F.struct((F.col("_name") == F.col("_key")).alias("same"), F.length("_key").alias("length"), F.col("_key").alias("key"))
+    best = pairs.groupBy("_name").agg(F.max_by("_value", rank).alias(value))
+    return df.join(best, F.col(name) == F.col("_name"), "left").drop("_name")
+
+
+def neighbours(left: DataFrame, right: DataFrame, block: str, x: str, y: str, kind: str, order: Sequence[str], cells: int = 64) -> DataFrame:
+    """For each block and x of left (no nulls) and each kind that right has in the block: below (y <= x) and above (y > x), the nearest rows of right, or null.
+
+    Rows without a block, kind or value don't count. Of right's rows of one y the first in order counts. Values are merged in
+    order, not paired: each block and kind is cut into cells by quantiles, a
+    cell sees its own values, and what lies beyond its edges is carried over
+    from the other cells' last and first rows.
+    """
+    rows = F.struct(*[c for c in right.columns if c != block])
+    best = right.where(F.col(y).isNotNull()).groupBy(F.col(block).alias("_b"), F.col(kind).alias("_k"), F.col(y).cast("double").alias("_at")).agg(F.min_by(rows, F.struct(*order)).alias("_row"))
+    cuts = best.groupBy("_b", "_k").agg(F.percentile_approx("_at", [i / cells for i in range(1, cells)]).alias("_cuts"))
+    asked = left.select(F.col(block).alias("_b"), F.col(x).cast("double").alias("_at")).distinct().join(cuts, "_b")
+    cell = F.size(F.filter("_cuts", lambda c: c < F.col("_at"))).alias("_cell")
+    held = best.join(cuts, ["_b", "_k"]).select("_b", "_k", "_at", cell, "_row")
+    edges = held.groupBy("_b", "_k", "_cell").agg(F.max_by("_row", "_at").alias("_last"), F.min_by("_row", "_at").alias("_first"))
+    # At most cells rows a block and kind.
+    grid = cuts.select("_b", "_k", F.explode(F.sequence(F.lit(0), F.lit(cells))).alias("_cell")).join(edges, ["_b", "_k", "_cell"], "left")
+    up = Window.partitionBy("_b", "_k").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("_b", "_k").orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = grid.select("_b", "_k", "_cell", F.last("_last", True).over(up).alias("_before"), F.last("_first", True).over(down).alias("_after"))
+    merged = held.withColumn("_asks", F.lit(False)).unionByName(asked.select("_b", "_k", "_at", cell, F.lit(None).cast(held.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_asks")))
+    own = Window.partitionBy("_b", "_k", "_cell")
+    low = F.last("_row", True).over(own.orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0))
+    high = F.last("_row", True).over(own.orderBy(F.desc("_at"), F.desc("_asks")).rowsBetween(Window.unboundedPreceding, 0))
+    seen = merged.select("_b", "_k", "_cell", "_at", "_asks", low.alias("_low"), high.alias("_high")).where("_asks")
+    return seen.join(carried, ["_b", "_k", "_cell"]).select(
+        F.col("_b").alias(block), F.col("_at").alias(x), F.col("_k").alias(kind), F.coalesce("_low", "_before").alias("below"), F.coalesce("_high", "_after").alias("above")
+    )
+
+
+def nearest_value(left: DataFrame, right: DataFrame, block: str, ident: str, x: str, y: str, kind: str, extra: Column, order: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Within a block, the row of right with the least |x - y| + extra (a column of right's kind), then |x - y|, kind and order; see neighbours.
+
+    ident, what keep names, and distance. Rows without a value, or of a block
+    that right has not, go. order must be total among rows of one kind and y.
+    """
+    near = neighbours(left.where(F.col(x).isNotNull()), right, block, x, y, kind, order)
+    hits = near.select(F.col(block).alias("_b"), F.col(x).alias("_x"), F.explode(F.array_compact(F.array("below", "above"))).alias("r")).select("_b", "_x", "r.*")
+    raw = F.abs(F.col("_x") - F.col(y))
+    rank = F.struct((raw + extra).alias("distance"), raw.alias("raw"), F.col(kind).alias("kind"), *order)
+    best = hits.groupBy("_b", "_x").agg(F.min_by(F.struct(*keep), rank).alias("_hit"), F.min(rank).alias("_rank"))
+    own = left.select(F.col(ident), F.col(block).alias("_b"), F.col(x).cast("double").alias("_x"))
+    return own.join(best, ["_b", "_x"]).select(ident, "_hit.*", F.col("_rank.distance").alias("distance"))
 
 
 def nearest(left: DataFrame, right: DataFrame, block: str, ident: str, penalty: Sequence[Column], keep: Sequence[str], cutoff: Column | None = None) -> DataFrame:
     """Within a block, the row of right with the least penalty tuple (its last part must be unique); cutoff filters after.
 
+    For penalties of any form, so a block's rows are compared with each other;
+    for distances of one value there is nearest_value.
+
     A row of right whose first penalty is null is no candidate. Rows of left
     that look alike to the penalties are compared once.
     """
@@ -88,15 +166,14 @@ def fan_out(rows: DataFrame, once: DataFrame, key: str) -> DataFrame:
 
 
 def main_rows(df: DataFrame, by: Sequence[str], main: Column, measures: dict[str, Column]) -> DataFrame:
-    """Aggregates over the main rows of each group, or over all its rows where it has no main one: both are taken in one pass, with n."""
-    inside = F.coalesce(main, F.lit(False))
-    counts = [F.count_if(inside).alias("_n_main"), F.count("*").alias("_n_all")]
-    both = [m.alias(f"_all_{k}") for k, m in measures.items()]
-    # The same aggregates over rows that are null unless they are main.
-    only = df.select(*by, *[F.when(inside, F.col(c)).alias(c) for c in df.columns if c not in by]).groupBy(*by).agg(*[m.alias(f"_main_{k}") for k, m in measures.items()])
-    every = df.groupBy(*by).agg(*counts, *both).join(only, list(by))
-    has = F.col("_n_main") > 0
-    return every.select(*by, F.when(has, F.col("_n_main")).otherwise(F.col("_n_all")).alias("n"), *[F.when(has, F.col(f"_main_{k}")).otherwise(F.col(f"_all_{k}")).alias(k) for k in measures])
+    """Aggregates over the main rows of each group, or over all its rows where it has no main one, with n; a null key is a group.
+
+    One shuffle: a main row counts as one of the group and as one of its main
+    rows, both are combined before it, and of the two results one is taken.
+    """
+    kinds = F.when(F.coalesce(main, F.lit(False)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    each = df.select("*", F.explode(kinds).alias("_main")).groupBy(*by, "_main").agg(F.count("*").alias("n"), *[m.alias(k) for k, m in measures.items()])
+    return each.groupBy(*by).agg(F.max_by(F.struct("n", *measures), "_main").alias("_row")).select(*by, "_row.*")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "place") -> DataFrame:

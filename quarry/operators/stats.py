@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.numeric import percent_of, round_even
 
@@ -17,33 +18,45 @@ def population(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(v).alias("mean"), std.alias("pop_std"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.count(v).alias("n"))
 
 
-def at_ranks(df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, Column], bins: int = 1024) -> DataFrame:
-    """Exact order statistics by group: one column for each rank (from 0, a column of _n, the group's number of values), and n.
+def at_ranks(df: DataFrame, by: Sequence[str], value: str, ranks: dict[str, Column], also: dict[str, Column] | None = None, grid: int = 256, accuracy: int = 4096) -> DataFrame:
+    """Exact order statistics by group: one column for each rank (from 0, a column of _n, the group's number of values), n, and also's aggregates.
 
-    No group is sorted as a whole: equal values are counted before the
-    shuffle, a histogram of so many bins finds the bin of each rank, and only
-    the values of that bin are put in order. Nulls don't count.
+    Two passes. The first counts and sketches each group; two quantiles of the
+    sketch, whose error is bounded by 1 / accuracy, bracket the ranks. In the
+    second, values below the bracket are counted, those above go, and only
+    those inside (some 1 / grid of the group), equal ones together, are put in
+    order. Null keys are groups like others; null values don't count, and a
+    group without others has no row (without by there is one, with n 0).
     """
-    keys = [*by, "_all"]
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")).withColumn("_all", F.lit(0))
-    facts = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    width = F.col("_high") - F.col("_low")
-    bin_ = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_low")) / width * bins))).otherwise(F.lit(0)).cast("int")
-    placed = counted.join(facts, keys).select(*keys, "_v", "_c", "_n", bin_.alias("_bin"))
-    heights = placed.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_h"), F.first("_n").alias("_n"))
-    run = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    heights = heights.withColumn("_before", F.coalesce(F.sum("_h").over(run), F.lit(0)))
-    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])).alias("_w")
-    bins_ = heights.select(*keys, "_bin", "_h", "_before", wanted).where("_w.rank >= _before AND _w.rank < _before + _h")
-    near = placed.select(*keys, "_bin", "_v", "_c").join(bins_, [*keys, "_bin"])
-    run = Window.partitionBy(*keys, "_bin", "_w").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    hit = near.withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(run), F.lit(0))).where("_w.rank >= _at AND _w.rank < _at + _c")
-    values = hit.groupBy(*keys).agg(*[F.max(F.when(F.col("_w.name") == k, F.col("_v"))).alias(k) for k in ranks])
-    return values.join(facts.select(*keys, F.col("_n").alias("n")), keys).drop("_all")
+    v = F.col(value).cast("double")
+    cuts = F.percentile_approx(v, [i / grid for i in range(grid + 1)], accuracy)
+    more = also or {}
+    facts = df.where(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"), cuts.alias("_q"), *[c.alias(k) for k, c in more.items()])
+    names = list(ranks)
+    facts = facts.select(*by, "_n", "_q", *more, *[r.cast("long").alias(k) for k, r in ranks.items()])
+    least, most = (F.least(*names), F.greatest(*names)) if len(names) > 1 else (F.col(names[0]), F.col(names[0]))
+    low = F.floor((least / F.col("_n") - 2 / accuracy) * grid).cast("int")
+    high = F.ceil(((most + 1) / F.col("_n") + 2 / accuracy) * grid).cast("int")
+    bounds = facts.select(
+        *[F.col(k).alias(f"_by{i}") for i, k in enumerate(by)], "_n", *more, *names, F.when(low > 0, F.get("_q", low)).alias("_low"), F.when(high < grid, F.get("_q", high)).alias("_high")
+    )
+    rows = df.where(v.isNotNull()).select(*by, v.alias("_v"))
+    same = F.lit(True)
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_by{i}"))
+    near = (rows.join(bounds, same) if by else rows.crossJoin(F.broadcast(bounds))).where("_high IS NULL OR _v <= _high")
+    inside = F.when(F.col("_low").isNull() | (F.col("_v") >= F.col("_low")), F.col("_v"))
+    counted = near.withColumn("_v", inside).groupBy(*by, "_v").agg(F.count("*").alias("_c"), *[F.first(c).alias(c) for c in ("_n", *more, *names)])
+    run = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_before", F.coalesce(F.sum("_c").over(run), F.lit(0)))
+    at = lambda k: F.max(F.when((F.col(k) >= F.col("_before")) & (F.col(k) < F.col("_before") + F.col("_c")), F.col("_v")))
+    return placed.groupBy(*by).agg(*[at(k).alias(f"_at_{k}") for k in names], F.first("_n").alias("_n"), *[F.first(c).alias(c) for c in more]).select(
+        *by, *[F.col(f"_at_{k}").alias(k) for k in names], F.coalesce("_n", F.lit(0)).alias("n"), *more
+    )
 
 
 def medians(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Exact median of each group, the mean of the middle pair for even numbers, and n."""
+    """Exact median of each group, the mean of the middle pair for even numbers, and n; a null key is a group."""
     n = F.col("_n")
     pair = at_ranks(df, by, value, {"_a": F.floor((n - 1) / 2), "_b": F.floor(n / 2)})
     return pair.select(*by, ((F.col("_a") + F.col("_b")) / 2).alias(out), "n")
@@ -51,11 +64,8 @@ def medians(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame
 
 def error_stats(df: DataFrame, by: Sequence[str], error: str) -> DataFrame:
     """max, p95 by the rounded index into the sorted values, mean and n; no group (or one, with n 0, without by) where there are no errors."""
-    p95 = at_ranks(df, by, error, {"p95_error": round_even(F.col("_n").cast("double") * 0.95 - 0.95)}).drop("n")
-    known = df.where(F.col(error).isNotNull())
-    rest = known.groupBy(*by).agg(F.max(error).alias("max_error"), F.avg(error).alias("mean_error"), F.count("*").alias("n"))
-    joined = rest.join(p95, list(by)) if by else rest.join(p95, F.lit(True), "left")
-    return joined.select(*by, "max_error", "p95_error", "mean_error", "n")
+    p95 = round_even(F.col("_n").cast("double") * 0.95 - 0.95)
+    return at_ranks(df, by, error, {"p95_error": p95}, {"max_error": F.max(error), "mean_error": F.avg(error)}).select(*by, "max_error", "p95_error", "mean_error", "n")
 
 
 def share(df: DataFrame, by: Sequence[str], condition: Column) -> DataFrame:
@@ -102,6 +112,39 @@ def crawl_summary(df: DataFrame, ok: Column, digest: str) -> DataFrame:
     )
 
 
+def members(df: DataFrame, by: str, fields: Sequence[str]) -> DataFrame:
+    """Distinct values of each field by group, as rows: by, field, value and its rows n.
+
+    One scan: each field is a grouping set, combined before the shuffle, so
+    neither a group nor a set lies in one task. Values are JSON with the keys
+    of structs and maps in order, whatever their type: equal contents are one
+    member, and the order of the text is the order of contents. Null values are
+    members without a value; a null group is a group.
+    """
+    each = df.select(F.struct(F.col(by).alias("by")).alias("_by"), *[F.struct(canonical(F.col(c), df.schema[c].dataType).alias("v")).alias(f"_f{i}") for i, c in enumerate(fields)])
+    sets = each.groupingSets([["_by", f"_f{i}"] for i in range(len(fields))], "_by", *[f"_f{i}" for i in range(len(fields))]).agg(F.count("*").alias("n"))
+    # A field that is no part of a set is null as a whole; a null value lies inside its struct.
+    which = F.coalesce(*[F.when(F.col(f"_f{i}").isNotNull(), F.lit(c)) for i, c in enumerate(fields)])
+    return sets.select(F.col("_by.by").alias(by), which.alias("field"), F.coalesce(*[F.col(f"_f{i}")["v"] for i in range(len(fields))]).alias("value"), "n")
+
+
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """JSON of a value with struct fields and map keys in order; null for null."""
+    return F.when(value.isNotNull(), F.regexp_extract(F.to_json(F.struct(_ordered(value, kind).alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1))
+
+
+def _ordered(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[_ordered(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _ordered(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        pairs = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _ordered(e["value"], kind.valueType).alias("value"))))
+        return F.map_from_entries(pairs)
+    return value
+
+
 def inventory(df: DataFrame, by: str, fields: dict[str, str]) -> DataFrame:
     """Sorted distinct values of each field by group, as joined strings, and the number of rows."""
     sets = [F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), "|").alias(out) for c, out in fields.items()]

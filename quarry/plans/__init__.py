@@ -10,7 +10,11 @@ def _gather(kind: str) -> dict:
 
     out: dict = {}
     for name in MODULES:
-        out |= getattr(import_module(f"quarry.plans.{name}"), kind)()
+        part = getattr(import_module(f"quarry.plans.{name}"), kind)()
+        twice = sorted(out.keys() & part.keys())
+        if twice:
+            raise ValueError(f"queries registered twice: {twice}")
+        out |= part
     return out
 
 

@@ -119,7 +119,7 @@ def family_copies(spark, d):
     return rows.select("c_custkey", family_copy(F.col("own"), F.concat(F.lit("row "), "c_name")).getField("description").alias("description"))
 
 
-@R.add("SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
+@R.add("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
 def largest_first(spark, d):
     """What a download would take first."""
-    return ops.largest_first(table(spark, d, "orders").where("o_totalprice > 100000"), "o_totalprice", "o_orderkey", 30).select("o_orderkey", "o_custkey")
+    return ops.largest_first(table(spark, d, "orders"), "o_totalprice", "o_orderkey", 30).select("o_orderkey", "o_custkey")

@@ -62,7 +62,8 @@ def clock_summary(spark, d):
 def run_medians(spark, d):
     x = table(spark, d, "lineitem").select("l_partkey", F.try_divide("l_extendedprice", "l_quantity").alias("p"), F.try_divide(F.col("l_discount"), F.nullif(F.col("l_tax"), F.lit(0.0))).alias("d"))
     n = x.groupBy("l_partkey").agg(F.count("*").alias("n"))
-    out = n.join(stats.medians(x, ["l_partkey"], "p", "prefill").drop("n"), "l_partkey", "left").join(stats.medians(x, ["l_partkey"], "d", "decode").drop("n"), "l_partkey", "left")
+    prefill, decode = (stats.medians(x, ["l_partkey"], c, o).select(F.col("l_partkey").alias(f"_{c}"), o) for c, o in (("p", "prefill"), ("d", "decode")))
+    out = n.join(prefill, F.col("l_partkey").eqNullSafe(F.col("_p")), "left").join(decode, F.col("l_partkey").eqNullSafe(F.col("_d")), "left")
     return out.select("l_partkey", r4("prefill").alias("prefill"), r4("decode").alias("decode"), "n")
 
 
@@ -73,6 +74,37 @@ def quant_factor_median(spark, d):
     return stats.medians(x, ["p_type"], "ratio", "factor").select("p_type", r4("factor").alias("factor"))
 
 
+NULL_KEYS = "x AS (SELECT CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS g, l_linenumber AS line, l_extendedprice / l_quantity AS v, l_quantity AS x1, l_discount AS x2, l_extendedprice AS y FROM lineitem)"
+
+
+def _null_keys(spark, d):
+    """One group's key is null."""
+    return table(spark, d, "lineitem").select(
+        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("g"), F.col("l_linenumber").alias("line"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"),
+        F.col("l_quantity").alias("x1"), F.col("l_discount").alias("x2"), F.col("l_extendedprice").alias("y"),
+    )
+
+
+@R.add(f"""WITH {NULL_KEYS}, r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM x)
+SELECT g, {s4('median(v)')} AS middle, {s4("max(v) FILTER (i = CAST(round_even(n * CAST(0.95 AS double) - CAST(0.95 AS double), 0) AS bigint))")} AS p95, {s4('max(v)')} AS most, count(*) AS n FROM r GROUP BY 1""")
+def null_key_ranks(spark, d):
+    x = _null_keys(spark, d)
+    errors = stats.error_stats(x, ["g"], "v").select("g", r4("p95_error").alias("p95"), r4("max_error").alias("most"), "n")
+    middle = stats.medians(x, ["g"], "v", "middle").select(F.col("g").alias("_g"), r4("middle").alias("middle"))
+    return errors.join(middle, F.col("g").eqNullSafe(F.col("_g"))).drop("_g")
+
+
+@R.add(f"""WITH {NULL_KEYS}, c AS (SELECT g, x1 - avg(x1) OVER w AS a, x2 - avg(x2) OVER w AS b, y - avg(y) OVER w AS v FROM x WINDOW w AS (PARTITION BY g)),
+m AS (SELECT g, count(*) AS n, sum(a*a) AS s11, sum(a*b) AS s12, sum(b*b) AS s22, sum(a*v) AS s1y, sum(b*v) AS s2y FROM c GROUP BY g),
+h AS (SELECT g, count(*) AS n_main, max(v) AS best FROM (SELECT *, max(CASE WHEN line > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY g) AS has FROM x) WHERE line > 6 OR has = 0 GROUP BY 1)
+SELECT m.g, n, {s4('(s1y*s22 - s2y*s12) / (s11*s22 - s12*s12)')} AS b1, n_main, {s4('best')} AS best FROM m JOIN h ON m.g IS NOT DISTINCT FROM h.g""")
+def null_key_fits(spark, d):
+    x = _null_keys(spark, d)
+    fit = fitting.ols2(x, ["g"], "x1", "x2", "y").select("g", "n", r4("b1").alias("b1"))
+    main = joins.main_rows(x, ["g"], F.col("line") > 6, {"best": F.max("v")}).select(F.col("g").alias("_g"), F.col("n").alias("n_main"), r4("best").alias("best"))
+    return fit.join(main, F.col("g").eqNullSafe(F.col("_g"))).drop("_g")
+
+
 @R.add("SELECT digest, coalesce(median(n_chars - CAST(500 AS double)), 0) AS offset, count(*) AS n FROM (SELECT CASE WHEN length(text) > 0 THEN sha256(text) END AS digest, n_chars FROM documents) WHERE digest IS NOT NULL GROUP BY 1")
 def digest_offsets(spark, d):
     """Texts that are null or empty have no digest."""
@@ -136,7 +168,7 @@ def forward_context(spark, d):
 
 @R.add("""SELECT l_returnflag AS g, count(*) >= 1000 AS enough, bool_and(l_quantity BETWEEN 1 AND 50) AS in_range, CASE WHEN l_returnflag = 'N' THEN NULL ELSE avg(l_discount) < 0.06 END AS accurate,
   count(*) FILTER (l_tax > 0.07) AS outliers FROM lineitem GROUP BY 1""")
-def gate_report(spark, d):
+def threshold_gates(spark, d):
     x = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("g"))
     return x.agg(
         (F.count("*") >= 1000).alias("enough"), F.bool_and(F.col("l_quantity").between(1, 50)).alias("in_range"), (F.avg("l_discount") < 0.06).alias("accurate"), F.count_if(F.col("l_tax") > 0.07).alias("outliers")

@@ -104,10 +104,9 @@ SELECT p_partkey, s_suppkey, floor(dist * 10000 + 0.5) / 10000 AS distance FROM
 def nearest_match(spark, d):
     x = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 25).alias("block"), F.col("p_size").cast("double").alias("x"))
     y = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("block"), (F.col("s_acctbal") / 200).alias("y"), (F.col("s_suppkey") % 3).alias("kind"))
-    raw = F.abs(F.col("x") - F.col("y"))
     off = F.when(F.col("kind") == 0, 0.0).when(F.col("kind") == 1, 0.5).otherwise(2.0)
-    hit = joins.nearest(x, y, "block", "p_partkey", [raw + off, raw, F.col("kind"), F.col("s_suppkey")], ["s_suppkey"], F.col("distance") <= 8)
-    return hit.withColumn("distance", r4("distance"))
+    hit = joins.nearest_value(x, y, "block", "p_partkey", "x", "y", "kind", off, ["s_suppkey"], ["s_suppkey"])
+    return hit.where("distance <= 8").withColumn("distance", r4("distance"))
 
 
 @R.add("""WITH a AS (SELECT c_nationkey AS k, CASE WHEN count(*) % 4 = 0 THEN NULL ELSE count(*) END AS v FROM customer WHERE c_nationkey < 20 GROUP BY 1),
@@ -129,19 +128,20 @@ def priority_union(spark, d):
     return joins.priority_union(parts, "k", "v")
 
 
-@R.add("""WITH a AS (SELECT source AS k, max(n_chars) FILTER (lang = 'en') AS en, max(n_chars) FILTER (lang = 'fr') AS fr, max(n_chars) FILTER (lang = 'de') AS de FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY 1),
-b AS (SELECT source AS k, max(n_chars) FILTER (lang = 'fr') AS fr, max(n_chars) FILTER (lang = 'es') AS es FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND lang IN ('fr', 'es') AND source <> 'src1' GROUP BY 1)
-SELECT coalesce(a.k, b.k) AS k, a.en, coalesce(b.fr, a.fr) AS fr, a.de, b.es, CASE WHEN b.k IS NULL THEN 'base' ELSE 'curated' END AS origin FROM a FULL JOIN b ON a.k = b.k""")
+@R.add("""WITH x AS (SELECT source AS k, lang, max(n_chars) AS v, max(CASE WHEN quality = 1 THEN n_chars END) AS w FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2),
+y AS (SELECT k, lang, coalesce(w, v) AS v, w IS NOT NULL AS good FROM x)
+SELECT k, max(v) FILTER (lang = 'en') AS en, max(v) FILTER (lang = 'fr') AS fr, max(v) FILTER (lang = 'de') AS de, max(v) FILTER (lang = 'es') AS es, CASE WHEN bool_or(good) THEN 'curated' ELSE 'base' END AS origin FROM y GROUP BY 1""")
 def merge_evals(spark, d):
-    docs = table(spark, d, "documents")
+    """The largest of all documents of a source and language, unless one of good quality says otherwise."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    by = docs.groupBy("source", "lang").agg(F.max("n_chars").cast("double").alias("v"), F.max(F.when(F.col("quality") == 1, F.col("n_chars"))).cast("double").alias("w"))
 
-    def maps(df):
-        by = df.groupBy("source", "lang").agg(F.max("n_chars").cast("double").alias("v"))
-        return by.groupBy(F.col("source").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("lang", "v"))).alias("items"))
+    def maps(value):
+        known = by.where(F.col(value).isNotNull())
+        return known.groupBy(F.col("source").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("lang", value))).alias("items"))
 
-    base = maps(docs.where("lang IN ('en', 'fr', 'de')")).withColumn("origin", F.lit("base"))
-    good = docs.join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").where("lang IN ('fr', 'es') AND source <> 'src1'")
-    out = joins.merge_maps(base, maps(good).withColumn("origin", F.lit("curated")), "k", "items", "origin")
+    base, good = maps("v").withColumn("origin", F.lit("base")), maps("w").withColumn("origin", F.lit("curated"))
+    out = joins.merge_maps(base, good, "k", "items", "origin")
     return out.select("k", *[F.element_at("items", x).cast("long").alias(x) for x in ("en", "fr", "de", "es")], "origin")
 
 
@@ -152,10 +152,10 @@ def ttl_cache_split(spark, d):
     return hits.select("event_id", F.lit("hit").alias("cache")).unionByName(misses.select("event_id", F.lit("miss").alias("cache")))
 
 
-@R.add("""WITH q AS (SELECT l_partkey AS k, count(DISTINCT l_suppkey) AS digests, list_sort(list(DISTINCT 'r' || CAST(l_suppkey % 40 AS varchar))) AS repos FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+@R.add("""WITH q AS (SELECT l_partkey AS k, count(DISTINCT l_suppkey) AS digests, list_sort(list(DISTINCT 'r' || CAST(l_suppkey % 40 AS varchar))) AS repos FROM lineitem GROUP BY 1),
 e AS (SELECT unnest(repos) AS repo, digests FROM q) SELECT repo, CAST(sum(digests) AS bigint) AS digests FROM e GROUP BY 1 ORDER BY digests DESC, repo LIMIT 25""")
 def fetch_plan(spark, d):
-    x = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey")
+    x = table(spark, d, "lineitem").groupBy("l_partkey")
     repo = F.concat(F.lit("r"), (F.col("l_suppkey") % 40).cast("string"))
     queue = x.agg(F.count_distinct("l_suppkey").alias("digests"), F.array_sort(F.collect_set(repo)).alias("repos")).withColumn("action", F.lit("fetch_cards"))
     return evidence.fetch_plan(queue, 25)
@@ -172,6 +172,16 @@ def inventory_sets(spark, d):
     return stats.inventory(table(spark, d, "documents").withColumn("kind", F.col("n_chars") % 7), "source", {"lang": "langs", "kind": "kinds"})
 
 
+@R.add("""WITH x AS (SELECT source, lang, CAST(n_chars % 7 AS varchar) AS kind, '{"a":' || CAST(n_chars % 3 AS varchar) || ',"b":"' || lang || '"}' AS pair FROM documents)
+SELECT source, CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(kind) = 0 THEN 'kind' ELSE 'pair' END AS field, CASE WHEN grouping(lang) = 0 THEN '"' || lang || '"' WHEN grouping(kind) = 0 THEN kind ELSE pair END AS value, count(*) AS n
+FROM x GROUP BY GROUPING SETS ((source, lang), (source, kind), (source, pair))""")
+def inventory_members(spark, d):
+    """Members of three sets a source, one of them of structs, as rows from one scan."""
+    n = F.col("n_chars")
+    docs = table(spark, d, "documents").select("source", "lang", (n % 7).alias("kind"), F.struct(F.col("lang").alias("b"), (n % 3).alias("a")).alias("pair"))
+    return stats.members(docs, "source", ["lang", "kind", "pair"])
+
+
 @R.add("""WITH x AS (SELECT source, doc_id // 1024 AS block, sha256(coalesce(text, '')) AS h, doc_id FROM documents), b AS (SELECT source, block, sha256(string_agg(h, '' ORDER BY doc_id, h)) AS h FROM x GROUP BY 1, 2)
 SELECT source, sha256(string_agg(h, '' ORDER BY block)) AS mark FROM b GROUP BY 1""")
 def evidence_fingerprint(spark, d):

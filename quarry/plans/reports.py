@@ -66,7 +66,7 @@ def holdout_planes(spark, d):
     return out.select("signature", "n_train", round_half_up(F.col("b0") / 1000, 1).alias("b0"), round_half_up(F.col("b1") / 100, 1).alias("b1"))
 
 
-DECODE = """x AS (SELECT s_suppkey % 30 AS g, CAST(l_quantity * 1000000 AS double) AS x1, CAST(l_linenumber AS double) AS x2, 1.0 / (l_extendedprice / 100) AS y FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount > 0.095),
+DECODE = """x AS (SELECT s_suppkey % 30 AS g, CAST(l_quantity * 1000000 AS double) AS x1, CAST(l_linenumber AS double) AS x2, 1.0 / (l_extendedprice / 100) AS y FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
 bw AS (SELECT s_suppkey AS g, CASE WHEN s_suppkey % 2 = 0 THEN CAST(40 AS double) + s_suppkey END AS bw FROM supplier WHERE s_suppkey < 30)"""
 
 
@@ -77,7 +77,7 @@ SELECT g, n, CASE WHEN held THEN 'anchored_to_measured_bw' WHEN n >= 4 THEN 'fre
 def decode_modes(spark, d):
     """Free fit, fit anchored to the measured bandwidth, or too few points."""
     s = table(spark, d, "supplier").select("s_suppkey")
-    x = table(spark, d, "lineitem").where("l_discount > 0.095").join(s, F.col("s_suppkey") == F.col("l_suppkey"))
+    x = table(spark, d, "lineitem").join(s, F.col("s_suppkey") == F.col("l_suppkey"))
     points = x.select((F.col("s_suppkey") % 30).alias("g"), (F.col("l_quantity") * 1000000).alias("W"), F.col("l_linenumber").alias("L"), (F.col("l_extendedprice") / 100).alias("decode_tps"))
     bw = s.where("s_suppkey < 30").select(F.col("s_suppkey").alias("g"), F.when(F.col("s_suppkey") % 2 == 0, 40.0 + F.col("s_suppkey")).alias("bw_measured_gbs"))
     out = vram.decode_fits(points, "g", bw)
@@ -204,25 +204,29 @@ def ingest_summary(spark, d):
 
 # ---- identity
 
-@R.add("""WITH x AS (SELECT page_id, 'f' || CAST(page_id % 3 AS varchar) AS family FROM pages)
-SELECT page_id, repo, excerpt FROM (
-  SELECT page_id, 'own/name' AS repo, 'go https://hub.example/own/name/tree now' AS excerpt FROM x
-  UNION ALL SELECT page_id, 'org/F1-7b', '/own/name/tree now org/F1-7b and docs/f1 a/readme.m' FROM x WHERE family = 'f1')""")
+@R.add(r"""WITH x AS (SELECT page_id, page_id % 3 = page_id % 2 AS named, regexp_extract(html, '<title>([^<]*)', 1) || ' go https://hub.example/o' || CAST(page_id % 9 AS varchar) || '/n' || CAST(length(html) % 7 AS varchar) || '/tree now org/F' || CAST(page_id % 2 AS varchar) || '-7b and docs/f1 a/readme.md' AS t FROM pages),
+k AS (SELECT page_id, t, regexp_extract(t, '(https://[^ ]+)', 1) AS token, regexp_extract(t, 'hub.example/(o[0-9]/n[0-9])', 1) AS repo FROM x UNION ALL SELECT page_id, t, regexp_extract(t, '(org/F[0-9]-7b)', 1), regexp_extract(t, '(org/F[0-9]-7b)', 1) FROM x WHERE named),
+p AS (SELECT *, strpos(t, token) - 1 AS pos, greatest(0, strpos(t, token) - 24) AS low FROM k)
+SELECT page_id, repo, substr(t, low + 1, pos + length(token) + 23 - low) AS excerpt FROM p""")
 def mentions(spark, d):
     """Links, and names that hold the family's, each with what stands around it; reserved owners and files go."""
-    pad = F.lit("go https://hub.example/own/name/tree now org/F1-7b and docs/f1 a/readme.md")
-    x = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("source"), F.concat(F.lit("f"), (F.col("page_id") % 3).cast("string")).alias("family"), pad.alias("t"), F.lit("page").alias("kind"))
+    s = lambda c: c.cast("string")
+    k = F.col("page_id")
+    said = F.concat(
+        F.regexp_extract("html", "<title>([^<]*)", 1), F.lit(" go https://hub.example/o"), s(k % 9), F.lit("/n"), s(F.length("html") % 7), F.lit("/tree now org/F"), s(k % 2), F.lit("-7b and docs/f1 a/readme.md")
+    )
+    x = table(spark, d, "pages").select(s(k).alias("source"), F.concat(F.lit("f"), s(k % 3)).alias("family"), said.alias("t"), F.lit("page").alias("kind"))
     out = identity.mentions(x, "family", "t", "source", "kind", host="hub.example", around=23)
-    cut = F.when(F.col("repo") == "own/name", F.substring("excerpt", 1, 40)).otherwise(F.substring(F.rtrim(F.col("excerpt")), 5, 60))
-    return out.select(F.col("source").cast("long").alias("page_id"), "repo", cut.alias("excerpt"))
+    return out.select(F.col("source").cast("long").alias("page_id"), "repo", "excerpt")
 
 
-@R.add("SELECT c_nationkey % 7 AS family, count(*) AS n, 1 AS n_keys FROM customer GROUP BY 1")
+@R.add("SELECT c_nationkey % 7 AS family, count(*) AS n, CAST(count(DISTINCT c_mktsegment || CAST(c_custkey % 4 AS varchar)) AS integer) AS n_keys FROM customer GROUP BY 1")
 def decision_keys(spark, d):
-    """Targets of one family and tag have one key, whatever the order and repeats of its candidates."""
-    targets = table(spark, d, "customer").select((F.col("c_nationkey") % 7).cast("string").alias("family"), F.lit("7b").alias("tag"))
+    """Targets of one family and tag have one key, whatever the order and repeats of its candidates; other tags have others."""
+    tag = F.concat(F.lower("c_mktsegment"), F.lit("-"), (F.col("c_custkey") % 4).cast("string"), F.lit("b"))
+    targets = table(spark, d, "customer").select((F.col("c_nationkey") % 7).cast("string").alias("family"), tag.alias("tag"))
     found = table(spark, d, "supplier").select((F.col("s_nationkey") % 7).cast("string").alias("family"), F.concat(F.lit("o/"), "s_name").alias("repo"), F.lit("s").alias("source"), F.lit("k").alias("kind"), F.lit("").alias("excerpt"))
-    cards = table(spark, d, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("o/"), "s_name").alias("repo"), F.col("s_name").alias("text"))
+    cards = table(spark, d, "supplier").select(F.concat(F.lit("o/"), "s_name").alias("repo"), F.when(F.col("s_acctbal") > 0, F.col("s_name")).alias("text"))
     keys = identity.decision_keys(targets, found, cards)
     return keys.groupBy("family").agg(F.count("*").alias("n"), F.count_distinct("decision_key").cast("int").alias("n_keys")).withColumn("family", F.col("family").cast("int"))
 
@@ -248,10 +252,11 @@ def search_plan(spark, d):
     return evidence.search_plan(queue, decisions)
 
 
-@R.add("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 120 WHEN 1 THEN 60 WHEN 2 THEN 300 ELSE 90 END * CAST(1 AS double) AS seconds FROM events""")
+@R.add("""SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN greatest(60, floor(epoch(date_trunc('second', ts))) - epoch(TIMESTAMP '2024-01-15 00:00:00')) WHEN 1 THEN greatest(60, floor(value)) ELSE 300 END AS double) AS seconds FROM events""")
 def retry_dates(spark, d):
-    """A server's wish as an HTTP date, one in the past, none, and seconds."""
+    """A server's wish as an HTTP date, before or after now, as seconds, as neither, and none."""
     k = F.col("event_id") % 4
-    wish = F.when(k == 0, "Wed, 31 Jan 2024 00:02:00 GMT").when(k == 1, "Tue, 30 Jan 2024 00:00:00 GMT").when(k == 2, "when it is done").otherwise("90")
-    now = F.unix_timestamp(F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    date = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+    wish = F.when(k == 0, date).when(k == 1, F.floor("value").cast("string")).when(k == 2, "when it is done")
+    now = F.unix_timestamp(F.lit("2024-01-15 00:00:00").cast("timestamp"))
     return table(spark, d, "events").select("event_id", identity.retry_seconds(F.lit("rate_limited"), wish, now).alias("seconds"))

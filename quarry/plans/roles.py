@@ -20,6 +20,8 @@ class Registry:
 
     def add(self, sql: str | None = None) -> Callable[[Query], Query]:
         def keep(f: Query) -> Query:
+            if f.__name__ in self.found:
+                raise ValueError(f"{f.__name__} is registered twice")
             self.found[f.__name__] = (f, sql)
             return f
 

@@ -65,12 +65,12 @@ def alias_canonicalize(spark, d):
 @R.add("""SELECT doc_id, TRY_CAST(nullif(regexp_extract(c, '(-?[0-9]+(?:\\.[0-9]+)?)', 1), '') AS double) AS value FROM (
   SELECT doc_id, CASE WHEN lower(trim(c)) IN ('', '-', '–', '—', 'n/a', 'na', 'none') THEN '' ELSE c END AS c FROM (
     SELECT doc_id, regexp_replace(regexp_replace(x, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*,]', '', 'g') AS c FROM (
-      SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '**' || CAST(n_chars * 1000 AS varchar) || ',5**' WHEN 1 THEN '[' || CAST(n_chars AS varchar) || '.25](http://x/7)' WHEN 2 THEN 'N/A' WHEN 3 THEN 'about -' || CAST(n_chars AS varchar) || ' pts' ELSE left(text, 20) END AS x FROM documents)))""".replace("\\\\", "\\"))
+      SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '**' || CAST(n_chars * 1000 AS varchar) || ',5**' WHEN 1 THEN '[' || CAST(n_chars AS varchar) || '.25](http://x/7)' WHEN 2 THEN 'N/A' WHEN 3 THEN 'about -' || CAST(n_chars AS varchar) || ' pts' ELSE text END AS x FROM documents)))""".replace("\\\\", "\\"))
 def parse_number(spark, d):
     k, n = F.col("doc_id") % 5, F.col("n_chars").cast("string")
     cell = (
         F.when(k == 0, F.concat(F.lit("**"), (F.col("n_chars") * 1000).cast("string"), F.lit(",5**"))).when(k == 1, F.concat(F.lit("["), n, F.lit(".25](http://x/7)")))
-        .when(k == 2, "N/A").when(k == 3, F.concat(F.lit("about -"), n, F.lit(" pts"))).otherwise(F.substring("text", 1, 20))
+        .when(k == 2, "N/A").when(k == 3, F.concat(F.lit("about -"), n, F.lit(" pts"))).otherwise(F.col("text"))
     )
     return table(spark, d, "documents").select("doc_id", text.parse_number(cell).alias("value"))
 
@@ -229,12 +229,12 @@ def minmax_norm(spark, d):
 
 
 EVALS = {"en": "mmlu", "fr": "gpqa", "de": "livecodebench", "es": "mteb"}
-EVALS_SQL = """e AS (SELECT source, lang, CAST(avg(n_chars) AS double) AS v FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1, 2),
+EVALS_SQL = """e AS (SELECT source, lang, CAST(avg(n_chars) AS double) AS v FROM documents GROUP BY 1, 2),
 p AS (SELECT lang, min(v) AS lo, max(v) AS hi FROM e GROUP BY 1)"""
 
 
 def _evals(spark, d):
-    docs = table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    docs = table(spark, d, "documents")
     names = F.create_map(*[F.lit(x) for kv in EVALS.items() for x in kv])
     by = docs.groupBy("source", "lang").agg(F.avg("n_chars").alias("v"))
     return by.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct(names[F.col("lang")], "v"))).alias("benchmarks"))
