@@ -109,11 +109,25 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[p.alias(f"p{i:02d}") for i, p in enumerate(parts)]), {"ignoreNullFields": "false"}), 256)
 
 
-def group_marks(df: DataFrame, by: str, order: str, mark: str, width: int = 1024) -> DataFrame:
-    """One SHA-256 a group over its rows' marks in order: first of each range of the order, then of the ranges, so no task has a group's rows as a whole."""
-    block = F.floor(F.col(order) / width).alias("_b")
-    ranges = df.groupBy(by, block).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, mark))), lambda x: x[mark]), ""), 256).alias("_h"))
-    return ranges.groupBy(by).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]), ""), 256).alias("mark"))
+def group_marks(df: DataFrame, by: str, order: str, mark: str, width: int = 4096) -> DataFrame:
+    """One SHA-256 a group over its rows' marks in order, as a tree of digests: of each range of the order, of ranges of ranges, and so on.
+
+    Each level takes width places of the order together, and the last one
+    leaves at most eight ranges of 64-bit numbers, so no array is longer than
+    width (times the rows of one place, if places repeat) however large a group
+    is. The tree depends on the order alone, not on partitions. A null group is
+    a group; rows without a place come first.
+    """
+    def digest(rows: DataFrame, *keys: str | Column) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct(F.col("_o").isNotNull().alias("known"), F.coalesce("_o", F.lit(0)).alias("o"), F.col("_h").alias("h"))))
+        return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("_h"))
+
+    rows = df.select(by, F.col(order).cast("long").alias("_o"), F.col(mark).alias("_h"))
+    levels = 0
+    while width ** (levels + 1) <= 1 << 60:
+        levels += 1
+        rows = digest(rows, by, F.floor(F.col("_o") / width).cast("long").alias("_next")).select(by, F.col("_next").alias("_o"), "_h")
+    return digest(rows, by).select(by, F.col("_h").alias("mark"))
 
 
 def decision_keys(targets: DataFrame, found: DataFrame, cards: DataFrame, version: str = "1") -> DataFrame:

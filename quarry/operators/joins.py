@@ -221,3 +221,22 @@ def merge_maps(base: DataFrame, override: DataFrame, key: str, items: str, sourc
     merged = F.map_zip_with(F.coalesce("_a", empty), F.coalesce("_b", empty), lambda k, x, y: F.coalesce(y, x))
     return a.join(b, key, "full_outer").select(key, merged.alias(items), F.coalesce("_sb", "_sa").alias(source))
 
+
+def within_budget(df: DataFrame, order: str, ident: str, cost: str, limit: float, cells: int = 256) -> DataFrame:
+    """The rows that a budget admits, in order (then ident): as long as the costs up to and with a row stay within limit; spent is their sum.
+
+    No task puts all rows in order: quantiles of order cut them into cells, the
+    cells' sums are added up, and only rows of cells that begin within the
+    budget are ordered, each cell on its own. Rows without order come last,
+    costs that are null or negative are 0, and equal idents are taken together.
+    """
+    rows = df.withColumns({"_o": F.col(order).cast("double"), "_cost": F.greatest(F.coalesce(F.col(cost).cast("double"), F.lit(0.0)), F.lit(0.0))})
+    cuts = rows.agg(F.percentile_approx("_o", [i / cells for i in range(1, cells)]).alias("_cuts"))
+    cell = F.when(F.col("_o").isNull(), cells).otherwise(F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col("_o"))))
+    placed = rows.crossJoin(F.broadcast(cuts)).withColumn("_cell", cell).drop("_cuts")
+    totals = placed.groupBy("_cell").agg(F.sum("_cost").alias("_total"))
+    run = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most cells + 1 rows
+    begun = totals.select("_cell", F.coalesce(F.sum("_total").over(run), F.lit(0.0)).alias("_before")).where(F.col("_before") <= limit)
+    own = Window.partitionBy("_cell").orderBy(F.asc_nulls_last("_o"), ident)
+    spent = F.col("_before") + F.sum("_cost").over(own)
+    return placed.join(F.broadcast(begun), "_cell").withColumn("spent", spent).where(F.col("spent") <= limit).drop("_o", "_cost", "_cell", "_before")

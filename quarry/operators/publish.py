@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry import tables
@@ -201,3 +203,53 @@ def export_identity(rows: DataFrame, artifacts: DataFrame, support: DataFrame, p
     upstream = upstream.select("digest", F.struct("repo", F.concat(F.lit(tables.REPO_SITE), "repo").alias("url"), confidence.alias("confidence"), "n_support").alias("upstream"))
     facts = artifacts.select("digest", "status", F.coalesce("n_matches", F.lit(0)).alias("exact_file_uploads"))
     return rows.join(once, "digest").where("_once").drop("_once").join(facts, "digest", "left").join(upstream, "digest", "left")
+
+
+def open_fields(df: DataFrame, key: str, record: str) -> DataFrame:
+    """The fields of JSON objects of any shape, as rows: key, name, kind and value (text; null for a null and for what isn't scalar).
+
+    kind is the field's type by variant (BIGINT, DECIMAL(2,1), OBJECT<...>,
+    ARRAY<...>, VOID and so on). Records that are null, not JSON or no objects
+    have no rows; a null key stays; repeated records give repeated rows.
+    """
+    v = F.try_parse_json(F.col(record))
+    objects = df.select(F.col(key).alias("_key"), v.alias("_v")).where(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")))
+    fields = objects.lateralJoin(objects.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    kind = F.schema_of_variant("value")
+    nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+    return fields.select(F.col("_key").alias(key), F.col("key").alias("name"), kind.alias("kind"), F.when(~nested, F.try_variant_get("value", "$", "string")).alias("value"))
+
+
+def scalar_fields(df: DataFrame, key: str, record: str) -> DataFrame:
+    """open_fields without what isn't scalar: texts, numbers, truth values and nulls stay."""
+    kind = F.col("kind")
+    return open_fields(df, key, record).where(~(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))))
+
+
+class GateFailed(ValueError):
+    """A table broke a gate, so it wasn't published."""
+
+
+def publish_gated(df: DataFrame, path: str, gates: dict[str, Column]) -> dict[str, bool]:
+    """Write df as Parquet to path if all gates hold; what they say is returned.
+
+    A gate is an aggregate that is true or false. All are observed while the
+    rows are written, to a folder beside path, so rows are read once; the
+    folder takes path's place only if no gate is false or null. Else it is
+    deleted, GateFailed names the gates, and what lay at path before stays.
+    """
+    spark = df.sparkSession
+    seen = Observation()
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *[F.coalesce(c, F.lit(False)).alias(k) for k, c in gates.items()]).write.parquet(staged)
+    found = {k: bool(seen.get[k]) for k in gates}
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    broken = sorted(k for k, ok in found.items() if not ok)
+    if broken:
+        files.delete(place(staged), True)
+        raise GateFailed(f"not published to {path}: {', '.join(broken)}")
+    files.delete(place(path), True)
+    if not files.rename(place(staged), place(path)):
+        raise OSError(f"{staged} can't be renamed to {path}")
+    return found

@@ -182,8 +182,17 @@ def inventory_members(spark, d):
     return stats.members(docs, "source", ["lang", "kind", "pair"])
 
 
-@R.add("""WITH x AS (SELECT source, doc_id // 1024 AS block, sha256(coalesce(text, '')) AS h, doc_id FROM documents), b AS (SELECT source, block, sha256(string_agg(h, '' ORDER BY doc_id, h)) AS h FROM x GROUP BY 1, 2)
-SELECT source, sha256(string_agg(h, '' ORDER BY block)) AS mark FROM b GROUP BY 1""")
+@R.add("SELECT o_orderkey, floor(spent + 0.5) AS spent FROM (SELECT o_orderkey, sum(CAST(o_totalprice AS double)) OVER (ORDER BY o_orderdate, o_orderkey) AS spent FROM orders) WHERE spent <= 50000000")
+def request_budget(spark, d):
+    """The oldest orders that a budget of all customers together admits."""
+    x = table(spark, d, "orders").select("o_orderkey", F.unix_date(F.col("o_orderdate").cast("date")).alias("day"), "o_totalprice")
+    return joins.within_budget(x, "day", "o_orderkey", "o_totalprice", 50_000_000).select("o_orderkey", F.floor(F.col("spent") + 0.5).cast("double").alias("spent"))
+
+
+LEVELS = ", ".join(f"l{k} AS (SELECT source, o // 4096 AS o, sha256(string_agg(h, '' ORDER BY o, h)) AS h FROM l{k - 1} GROUP BY 1, 2)" for k in range(1, 6))
+
+
+@R.add(f"WITH l0 AS (SELECT source, doc_id AS o, sha256(coalesce(text, '')) AS h FROM documents), {LEVELS} SELECT source, sha256(string_agg(h, '' ORDER BY o)) AS mark FROM l5 GROUP BY 1")
 def evidence_fingerprint(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    return identity.group_marks(docs, "source", "doc_id", "h", 1024)
+    return identity.group_marks(docs, "source", "doc_id", "h")

@@ -152,6 +152,21 @@ def memory_model_guard(spark, d):
     return out.select(F.col("n").alias("k"), "b0", "b_tensor")
 
 
+@R.add("""WITH x AS (SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey % 2 = 0 END AS ok FROM supplier)
+SELECT s_suppkey, 'name' AS name, s_name AS value FROM x UNION ALL SELECT s_suppkey, 'nation', CAST(s_nationkey AS varchar) FROM x UNION ALL SELECT s_suppkey, 'ok', CAST(ok AS varchar) FROM x WHERE s_suppkey % 4 > 0
+UNION ALL SELECT s_suppkey, 'ratio', CAST(s_nationkey AS varchar) || '.5' FROM x""")
+def scalar_projection(spark, d):
+    """Open JSON maps: objects and arrays go, whatever their names; a null is a scalar."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    s = lambda c: c.cast("string")
+    ok = F.when(k % 3 == 0, s(n % 2 == 0)).otherwise("null")
+    record = F.concat(
+        F.lit('{"name":"'), F.col("s_name"), F.lit('","nation":'), s(n), F.when(k % 4 > 0, F.concat(F.lit(',"ok":'), ok)).otherwise(""), F.lit(',"ratio":'), s(n), F.lit(".5"),
+        F.lit(',"shape":{"layers":'), s(k), F.lit('},"tags":["'), F.col("s_name"), F.lit('"]}'),
+    )
+    return publish.scalar_fields(table(spark, d, "supplier").select(k, record.alias("record")), "s_suppkey", "record").select("s_suppkey", "name", "value")
+
+
 @R.add("SELECT n_name AS model, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'd ' || n_name END AS description, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE 'r' END AS readme FROM nation WHERE n_nationkey % 6 > 0 AND n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 0)")
 def library_compact(spark, d):
     k = F.col("n_nationkey")

@@ -102,8 +102,8 @@ class _Bytes:
         return self.take(tables.HEADER_SCALARS[kind])
 
 
-def decode_header(data: bytes) -> dict:
-    """Version, metadata (JSON by key; long arrays by their length), tensors and where their data starts."""
+def decode_header(data: bytes, tensors: bool = True) -> dict:
+    """Version, metadata (JSON by key; long arrays by their length), and, if wanted, tensors and where their data starts."""
     if data[:4] != b"GGUF":
         raise ValueError("not a header of this format")
     r = _Bytes(data)
@@ -113,12 +113,13 @@ def decode_header(data: bytes) -> dict:
     for _ in range(n_meta):
         key = r.text()
         meta[key] = r.value(r.take("I"), key.endswith(tables.KEEP_ENDINGS))
-    tensors = []
-    for _ in range(n_tensors):
+    found = []
+    for _ in range(n_tensors if tensors else 0):
         name, n = r.text(), r.take("I")
-        tensors.append({"name": name, "dims": [r.take("Q") for _ in range(n)], "kind": r.take("I"), "offset": r.take("Q")})
+        found.append({"name": name, "dims": [r.take("Q") for _ in range(n)], "kind": r.take("I"), "offset": r.take("Q")})
     align = int(meta.get("general.alignment") or 32)
-    return {"version": version, "metadata": {k: json.dumps(v) for k, v in meta.items()}, "tensors": tensors, "data_start": -(-r.at // align) * align}
+    known = {"tensors": found, "data_start": -(-r.at // align) * align} if tensors else {"tensors": None, "data_start": None}
+    return {"version": version, "metadata": {k: json.dumps(v) for k, v in meta.items()}} | known
 
 
 HEADER = "path string, length long, version int, metadata map<string,string>, tensors array<struct<name:string,dims:array<long>,kind:int,offset:long>>, data_start long, error string"
