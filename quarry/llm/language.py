@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import slices, stored, texts
 
 GRAM, BITS = 4, 16
-MOST_LANGS = 200
+#: A model has 2^BITS scores of four bytes for each language and is held by each worker: 256 MB for so many.
+MOST_LANGS = 1000
 #: Overlapping grams repeat their evidence, so the text's log-likelihood is divided by the gram length.
 TEMPER = 1.0 / GRAM
 OPENS = re.compile(r"<(?:(!--)|(script|style|noscript|template)\b)?", re.I)
@@ -144,9 +145,10 @@ def _read(pages: DataFrame, model: Model, slice_bytes: int = 1 << 22) -> DataFra
     return pages.select(F.col("page_id").cast("long").alias("page_id"), *blank).mapInArrow(run, "page_id long, url string, declared string, text_log array<double>")
 
 
-def _votes(df: DataFrame, key: str, n: int, prefix: str) -> DataFrame:
-    """Votes by language of each value of key."""
-    return df.groupBy(key).agg(*[F.sum(F.when(F.col("vote") == i, 1).otherwise(0)).alias(f"{prefix}{i}") for i in range(n)])
+def _votes(df: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Of each value of key: the votes by language (a map of at most as many entries as there are languages), and all of them."""
+    counts = df.groupBy(key, "vote").agg(F.count("*").alias("c"))
+    return counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("vote", "c"))).alias(f"{prefix}_votes"), F.sum("c").alias(f"{prefix}_sum"))
 
 
 def identify(pages: DataFrame, model: Model, strength: float = 5.0) -> DataFrame:
@@ -155,8 +157,10 @@ def identify(pages: DataFrame, model: Model, strength: float = 5.0) -> DataFrame
     A page without url or html, or with a host, suffix or declaration that no
     other page has, falls back to the evidence it does have, at last to the
     shares of the languages over all pages. Repeated rows are pages of their
-    own. Without known languages lang is null. An empty table gives no rows;
-    other columns are ignored.
+    own; a null page_id stays. Of languages that are equally probable the
+    first by name counts. Without known languages lang is null. An empty table
+    gives no rows; other columns are ignored. Languages are elements of arrays,
+    so the plan is as long for many of them as for few.
     """
     n = len(model.langs)
     if not n:
@@ -173,32 +177,26 @@ def identify(pages: DataFrame, model: Model, strength: float = 5.0) -> DataFrame
         (F.array_position("text_log", F.array_max("text_log")) - 1).cast("int").alias("vote"),
     )
     read = stored(read, "pages")
-    total = read.agg(*[F.coalesce(F.sum(F.when(F.col("vote") == i, 1).otherwise(0)), F.lit(0)).alias(f"t{i}") for i in range(n)]).first()
-    votes = [total[f"t{i}"] for i in range(n)]
-    overall = [(v + 1) / (sum(votes) + n) for v in votes]
-    df = read
+    counted = {r["vote"]: r["c"] for r in read.groupBy("vote").agg(F.count("*").alias("c")).collect()}  # a row a language
+    votes = [counted.get(i, 0) for i in range(n)]
+    every = sum(votes)
+    df = read.withColumns({"t_votes": F.array(*[F.lit(float(v)) for v in votes]), "overall": F.array(*[F.lit((v + 1) / (every + n)) for v in votes])})
     for key, prefix in (("host", "h"), ("domain", "d"), ("suffix", "s"), ("declared", "m"), ("path", "p")):
         # Joins, not broadcasts by hand: there may be as many hosts as pages, and Spark splits a hot one.
-        df = df.join(_votes(read, key, n, prefix), key, "left")
+        df = df.join(_votes(read, key, prefix), key, "left")
 
-    def own(i: int) -> Column:
-        return F.when(F.col("vote") == i, 1).otherwise(0)
-
-    def others(prefix: str, i: int) -> Column:
-        return F.col(f"{prefix}{i}") - own(i)
-
-    logs = []
-    for i in range(n):
-        sums = {p: sum((F.col(f"{p}{j}") for j in range(n)), F.lit(0)) - 1 for p in "hd"}
-        domain = (others("d", i) + strength * overall[i]) / (sums["d"] + strength)
-        prior = (others("h", i) + strength * domain) / (sums["h"] + strength)
-        log = F.log(prior) + F.element_at("text_log", i + 1)
+    def log_posterior(log: Column, i: Column) -> Column:
+        own = F.when(F.col("vote") == i, 1).otherwise(0)
+        others = lambda p: F.coalesce(F.try_element_at(f"{p}_votes", i), F.lit(0)) - own
+        domain = (others("d") + strength * F.get("overall", i)) / (F.col("d_sum") - 1 + strength)
+        out = F.log((others("h") + strength * domain) / (F.col("h_sum") - 1 + strength)) + log
         for p in "smp":
             # Likelihood of this suffix, declaration or path code in pages of the language, smoothed by its share of all pages.
-            share = (sum((F.col(f"{p}{j}") for j in range(n)), F.lit(0)) - 1 + strength / n) / (sum(votes) + strength)
-            log = log + F.log((others(p, i) + strength * share) / (max(0, votes[i]) + strength))
-        logs.append(log)
-    post = df.withColumn("post", F.array(*logs)).withColumn("top", F.array_max("post"))
+            share = (F.col(f"{p}_sum") - 1 + strength / n) / (every + strength)
+            out = out + F.log((others(p) + strength * share) / (F.get("t_votes", i) + strength))
+        return out
+
+    post = df.withColumn("post", F.transform("text_log", log_posterior)).withColumn("top", F.array_max("post"))
     weight = F.aggregate(F.transform("post", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
     names = F.array(*map(F.lit, model.langs))
     return post.select(

@@ -23,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import flat_bytes, slices, texts
+from quarry.llm.common import flat_bytes, slices, stored, texts
 from quarry.llm.words import prefix_sums, span_hashes, word_spans
 
 WORD_BITS, STEM_BITS, STEM_BYTES = 18, 16, 4
 ALPHA, DRIFT = 2.0, 1.0
-#: Best passages of a text that calibration looks at.
-TRIED = 64
 EULER = 0.5772156649
 
 
@@ -162,7 +160,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: str, per_label: int
     fold = (F.pmod(F.hash(F.col("doc_id"), F.lit("fold")), F.lit(3)) == 0).alias("calibrates")
     # At most 2 * per_label rows of a few numbers, whatever the input.
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]).distinct().select("doc_id", "label", fold))
-    sample = texts(docs).join(chosen, "doc_id").select("label", "calibrates", "text")
+    sample = stored(texts(docs).join(chosen, "doc_id").select("label", "calibrates", "text"), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, stems = np.zeros((2, 1 << WORD_BITS), np.int64), np.zeros((2, 1 << STEM_BITS), np.int64)
@@ -197,28 +195,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: str, per_label: int
                 parts = np.split(score, np.cumsum(n)[:-1])
                 # Of each text, how its scores spread: enough to solve for the rate over all of them.
                 bins = [np.bincount(np.clip(np.round((s + 16) * 8), 0, 255).astype(int), minlength=256).astype(np.int32) for s in parts]
-                flat = np.concatenate(bins)
+                best = [max((s for _, _, s in f), default=0.0) for f in found]
                 yield pa.record_batch(
                     [
-                        part.column("label"), pa.array(n.astype(np.int64)), pa.array([sorted((s for _, _, s in f), reverse=True)[:TRIED] for f in found], pa.list_(pa.float64())),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 256), pa.array(flat)),
+                        part.column("label"), pa.array(n.astype(np.int64)), pa.array(best, pa.float64()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * 256), pa.array(np.concatenate(bins))),
                     ],
-                    names=["label", "n", "scores", "bins"],
+                    names=["label", "n", "best", "bins"],
                 )
 
-    tried = sample.where("calibrates").select("label", "text").mapInArrow(trial, "label int, n long, scores array<double>, bins array<int>")
     # One row a drawn id; where ids repeat, so many rows and no more reach the driver.
-    tried = tried.orderBy(F.xxhash64("n", "scores"), "label").limit(2 * per_label).toPandas()
+    held = sample.where("calibrates").orderBy(F.xxhash64("text"), "label").limit(2 * per_label).select("label", "text")
+    tried = held.mapInArrow(trial, "label int, n long, best double, bins array<int>").toPandas()
     if len(tried):
-        y, n, scores = tried["label"].to_numpy(), tried["n"].to_numpy(), [list(x) for x in tried["scores"]]
-        best = np.asarray([x[0] if x else 0.0 for x in scores])
-        clean = y == 0
+        clean, n = tried["label"].to_numpy() == 0, tried["n"].to_numpy()
         spread = np.sum(np.stack(tried["bins"].to_numpy())[clean], axis=0) if clean.any() else np.zeros(256, int)
         model.rate = solve_rate(np.repeat(np.arange(256) / 8 - 16, np.ceil(spread * min(1, 1e6 / max(1, spread.sum()))).astype(int)))
         if clean.any():
             # The mean of a Gumbel maximum is (log(K n) + Euler's constant) / lambda.
-            model.size = float(np.exp(np.clip(np.mean(model.rate * best[clean] - np.log(np.maximum(n[clean], 1))) - EULER, -20, 5)))
-        model.slope, model.intercept = _logistic(evidence(model, n, scores), y)
+            model.size = float(np.exp(np.clip(np.mean(model.rate * tried["best"].to_numpy()[clean] - np.log(np.maximum(n[clean], 1))) - EULER, -20, 5)))
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The evidence that scores are made of, by all passages of a text, with the rate and size of above."""
+            for batch in batches:
+                for part in slices(batch, "text", 1 << 20):
+                    n, found, _ = _best(model, *flat_bytes(part.column("text")))
+                    x = evidence(model, n, [[s for _, _, s in f] for f in found])
+                    yield pa.record_batch([part.column("label"), pa.array(x, pa.float64())], names=["label", "x"])
+
+        rows = held.mapInArrow(told, "label int, x double").toPandas()
+        model.slope, model.intercept = _logistic(rows["x"].to_numpy(), rows["label"].to_numpy())
         model.slope = max(model.slope, 1e-3)
     return model
 

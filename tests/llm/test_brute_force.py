@@ -237,6 +237,19 @@ def test_language_posterior(spark):
         assert got[i]["probability"] == pytest.approx(1 / sum(math.exp(x - post[best]) for x in post), rel=1e-3)
 
 
+def test_many_languages_plan_and_fit(spark):
+    """As many as 200: what each says about itself, in a plan that doesn't grow with their number."""
+    rng = random.Random(9)
+    langs = [f"l{i:03d}" for i in range(200)]
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for k in langs}
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words[k], k=25)), k) for i, k in enumerate(langs * 2)], "doc_id long, text string, lang string")
+    model = language.fit_languages(docs)
+    pages = spark.createDataFrame([(i, None, f"<p>{' '.join(rng.choices(words[k], k=15))}</p>") for i, k in enumerate(langs)], "page_id long, url string, html string")
+    out = language.identify(pages, model)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+    assert sum(langs[r["page_id"]] == r["lang"] for r in out.collect()) >= 195
+
+
 # ---- media: images of three components, broken bytes
 
 class Bits:
