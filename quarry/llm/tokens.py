@@ -52,6 +52,10 @@ class PieceEncoder:
         self.before: dict[str, bytes] = {}
         self.often: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Remember no pieces."""
+        self.now, self.before, self.often = {}, {}, {}
+
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
         if path not in _encoders:
@@ -116,11 +120,18 @@ class PieceEncoder:
 def encoded(
     batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = 1 << 20
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of batches of (doc_id, text) with the ids of each text, the end id included."""
+    """Slices of batches of (doc_id, text) with the ids of each text, the end id included.
+
+    What a task remembers goes with it: workers are used again by other stages,
+    which need their memory.
+    """
     encoder, end = PieceEncoder.of(path), np.asarray([END_ID], "<u4").tobytes()
-    for batch in batches:
-        for part in slices(batch, "text", slice_bytes):
-            yield part, [ids + end for ids in encoder.encode(part.column("text").to_pylist())]
+    try:
+        for batch in batches:
+            for part in slices(batch, "text", slice_bytes):
+                yield part, [ids + end for ids in encoder.encode(part.column("text").to_pylist())]
+    finally:
+        encoder.forget()
 
 
 def write_token_files(
