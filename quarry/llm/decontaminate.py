@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NO_ID, flat_bytes, marked, slices, stored
+from quarry.llm.common import NO_ID, flat_bytes, marked, slices, stored, tidy
 from quarry.llm.words import ALNUM, word_spans
 
 #: Steps of a piece (it covers about half as many bytes) and sampled places, walks to choose pieces from, and keys by words.
@@ -524,7 +524,7 @@ def _matches_of_block(docs: DataFrame, items: Items, percent: int, slice_bytes:
                 yield _found(shipped.value, part, percent)
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text")).mapInArrow(run, MATCHES), "matches")
+    out = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), text.alias("text")).mapInArrow(tidy(run), MATCHES), "matches")
     shipped.unpersist(blocking=True)
     return out
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NO_ID, flat_bytes, keyed, marked, slices, stored, texts
+from quarry.llm.common import NO_ID, flat_bytes, keyed, marked, slices, stored, texts, tidy
 from quarry.llm.graph import components
 from quarry.llm.words import SPACED, mix, prefix_sums, shingle_hashes, span_hashes, word_spans
 
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int = ROWS, seed: i
                     names=["doc_id", "tid", "n_shingles", "digest", "bands", "sketch"],
                 )
 
-    return docs.select("doc_id", "tid", "text").mapInArrow(run, "doc_id long, tid long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "tid", "text").mapInArrow(tidy(run), "doc_id long, tid long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def _needed_sets(docs: DataFrame, nodes: DataFrame, size: int, slice_bytes: int = 1 << 20) -> DataFrame:
@@ -111,7 +111,7 @@ def _needed_sets(docs: DataFrame, nodes: DataFrame, size: int, slice_bytes: int
                     [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "digest", "shingles"]
                 )
 
-    scanned = texts(docs).withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SKIP_BITS))).mapInArrow(run, "node long, digest binary, shingles array<long>")
+    scanned = texts(docs).withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SKIP_BITS))).mapInArrow(tidy(run), "node long, digest binary, shingles array<long>")
     # Repeated rows have the same set; one is enough.
     return scanned.join(nodes.select("node", "digest"), ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]).select("node", "shingles")
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, texts
+from quarry.llm.common import stored, texts, tidy
 from quarry.llm.tokens import default_tokenizer, encoded
 
 CAPACITY = 1024
@@ -138,7 +138,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY)
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "shard", "local_rank"],
             )
 
-    return texts(docs).mapInArrow(run, PIECES)
+    return texts(docs).mapInArrow(tidy(run), PIECES)
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -168,7 +168,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = pieces.join(before, ["length", "shard"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("local_rank") + F.col("before")).alias("rank")
     )
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import flat_bytes, slices, texts
+from quarry.llm.common import flat_bytes, slices, texts, tidy
 
 GROUP, TAPS, EMBED, FILTERS, HIDDEN = 4, 4, 8, 24, 8
 BLOCK = 16  # groups: 64 bytes
@@ -231,7 +231,7 @@ def score_quality(docs: DataFrame, net: Net, slice_bytes: int = 1 << 19) -> Data
                 found = long_score(net, raw, slice_bytes) if len(raw) > slice_bytes else scores(net, raw, offsets)
                 yield pa.record_batch([part.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, score double")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_quality(docs: DataFrame, net: Net, threshold: float, slice_bytes: int = 1 << 19) -> DataFrame:
@@ -252,7 +252,7 @@ def keep_quality(docs: DataFrame, net: Net, threshold: float, slice_bytes: int =
                 found[part.column("row").to_numpy()] = long_score(net, raw, slice_bytes) if len(raw) > slice_bytes else scores(net, raw, offsets)
             yield batch.filter(pa.array(found >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def long_score(net: Net, raw: np.ndarray, piece_bytes: int) -> np.ndarray:

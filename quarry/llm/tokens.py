@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shuffle_partitions, slices, texts, work_path
+from quarry.llm.common import shuffle_partitions, slices, texts, tidy, work_path
 
 END_ID = 2
 #: Pieces whose ids a worker remembers, those met lately and those met again, and characters of the longest ones, so that
@@ -178,7 +178,7 @@ def write_token_files(
         texts(docs)
         .repartitionByRange(n, "doc_id")
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(run, "doc_id long, shard int, start long, n_tokens long, tokens array<int>")
+        .mapInArrow(tidy(run), "doc_id long, shard int, start long, n_tokens long, tokens array<int>")
         .write.option("compression", "zstd")
         .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
         .option("parquet.writer.version", "PARQUET_2_0" if encoding == "delta" else "PARQUET_1_0")
@@ -214,7 +214,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                 names=["doc_id", "shard", "start", "n_tokens", "ids_crc32"],
             )
 
-    rows = files.select("doc_id", "shard", "start", "tokens").mapInArrow(checks, "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
+    rows = files.select("doc_id", "shard", "start", "tokens").mapInArrow(tidy(checks), "doc_id long, shard int, start long, n_tokens long, ids_crc32 long")
     # One row for each shard, hence for each write task: a few bytes for every 100 MB of input.
     return rows.join(F.broadcast(token_index(files)), "shard").select(
         "doc_id", (F.col("start") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32"
