@@ -11,6 +11,7 @@ the library as a whole.
 from __future__ import annotations
 
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -20,12 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shuffle_partitions, slices, texts, tidy, work_path
+from quarry.llm.common import give_back, shuffle_partitions, slices, texts, tidy, work_path
 
 END_ID = 2
 #: Pieces whose ids a worker remembers, those met lately and those met again, and characters of the longest ones, so that
 #: they take a bounded number of bytes; others are encoded anew, with the same ids.
 RECENT_PIECES, OFTEN_PIECES, PIECE_CHARS = 150_000, 450_000, 32
+IDLE = 3.0
 _RUNS = re.compile(r"\s\s")
 _encoders: dict[str, "PieceEncoder"] = {}
 
@@ -48,13 +50,23 @@ class PieceEncoder:
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.begins[i] = token[:1] in ("\u0120", "\u010a")
+        self.uses = 0
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.often: dict[str, bytes] = {}
 
-    def forget(self) -> None:
-        """Remember no pieces."""
-        self.now, self.before, self.often = {}, {}, {}
+    def rest(self) -> None:
+        """Forget all pieces unless they are used again within IDLE seconds: workers live on in other stages, which need the memory."""
+        uses = self.uses
+
+        def forget() -> None:
+            if self.uses == uses:
+                self.now, self.before, self.often = {}, {}, {}
+                give_back()
+
+        timer = threading.Timer(IDLE, forget)
+        timer.daemon = True
+        timer.start()
 
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
@@ -122,16 +134,17 @@ def encoded(
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches of (doc_id, text) with the ids of each text, the end id included.
 
-    What a task remembers goes with it: workers are used again by other stages,
-    which need their memory.
+    The next task of the stage finds what this one remembers; a worker that
+    has no such task for a while forgets it (see rest).
     """
     encoder, end = PieceEncoder.of(path), np.asarray([END_ID], "<u4").tobytes()
+    encoder.uses += 1
     try:
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):
                 yield part, [ids + end for ids in encoder.encode(part.column("text").to_pylist())]
     finally:
-        encoder.forget()
+        encoder.rest()
 
 
 def write_token_files(
