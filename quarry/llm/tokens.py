@@ -2,8 +2,9 @@
 
 Byte-level BPE splits a text at every single space or line feed between two
 non-space characters before it merges, so the ids of such a piece don't depend
-on its surroundings. Natural text repeats its pieces, hence each worker keeps
-the library's ids by piece and asks the library for new pieces only. A text
+on its surroundings. Natural text repeats its pieces, hence numpy groups the
+equal pieces of many texts (compared in full, not by hash alone), and each
+worker keeps the library's ids by piece and asks the library for new ones only. A text
 with runs of white space, or with the string of a special token, is given to
 the library as a whole.
 """
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 from quarry.llm.common import give_back, shuffle_partitions, slices, texts, tidy, work_path
 
 END_ID = 2
-#: Pieces whose ids a worker remembers, those met lately and those met again, and characters of the longest ones, so that
-#: they take a bounded number of bytes; others are encoded anew, with the same ids.
-RECENT_PIECES, OFTEN_PIECES, PIECE_CHARS = 150_000, 450_000, 32
+#: Pieces whose ids a worker remembers, those met lately (twice as many at most) and those met again, and bytes of the
+#: longest ones, so that they take a bounded number of bytes; others are encoded anew, with the same ids.
+RECENT_PIECES, OFTEN_PIECES, PIECE_BYTES = 300_000, 700_000, 32
+#: Pieces that numpy handles at a time, so that memory doesn't grow with a text.
+BLOCK = 1 << 19
 IDLE = 3.0
 _RUNS = re.compile(r"\s\s")
 _encoders: dict[str, "PieceEncoder"] = {}
@@ -51,9 +54,9 @@ class PieceEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.begins[i] = token[:1] in ("\u0120", "\u010a")
         self.uses = 0
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.often: dict[str, bytes] = {}
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.often: dict[bytes, bytes] = {}
 
     def rest(self) -> None:
         """Forget all pieces unless they are used again within IDLE seconds: workers live on in other stages, which need the memory."""
@@ -77,60 +80,91 @@ class PieceEncoder:
     def _whole(self, strings: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
         """ids of pieces from one call: their places in the ids of the joined string show by their first tokens."""
-        sources = [p if p[:1] == "\n" else " " + p for p in pieces]
-        ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(sources)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.asarray(self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
         starts = np.flatnonzero(self.begins[ids])
-        if len(starts) != len(sources) or (len(starts) and starts[0]):
-            return self._whole(sources)
+        if len(starts) != len(pieces) or (len(starts) and starts[0]):
+            return self._whole([p.decode() for p in pieces])
         raw, ends = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
         return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """ids of pieces that now lacks; what comes back from the generation before is kept for good. Long pieces aren't kept."""
-        found = {p: self.before[p] for p in new if p in self.before}
-        if len(self.often) < OFTEN_PIECES:
-            self.often.update(found)
-        fresh = [p for p in new if p not in found]
-        if fresh:
-            found.update(zip(fresh, self._pieces(fresh), strict=True))
-        if len(self.now) + len(found) > len(self.often) + RECENT_PIECES:
-            self.before, self.now = self.now, self.often.copy()
-        self.now.update((p, ids) for p, ids in found.items() if len(p) <= PIECE_CHARS)
-        return found
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
+        """ids of distinct pieces. A piece met in a second call is kept for good as long as there is room; long ones aren't kept."""
+        often, now, before = self.often, self.now, self.before
+        known = list(map(often.get, pieces))
+        new = []
+        for i in [i for i, ids in enumerate(known) if ids is None]:
+            p = pieces[i]
+            ids = now.pop(p, None) or before.pop(p, None)
+            if ids is None:
+                new.append(i)
+            else:
+                (often if len(often) < OFTEN_PIECES else now)[p] = known[i] = ids
+        if new:
+            for i, ids in zip(new, self._pieces([pieces[i] for i in new]), strict=True):
+                known[i] = ids
+                if len(pieces[i]) <= PIECE_BYTES:
+                    now[pieces[i]] = ids
+        if len(now) > RECENT_PIECES:
+            self.before, self.now = now, {}
+        return known
+
+    def _block(self, text: bytes, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the pieces text[at : at + sizes], one after the other, and their number by piece. Each distinct piece is looked up once."""
+        raw = np.frombuffer(text, np.uint8)
+        words = np.lib.stride_tricks.sliding_window_view(raw, PIECE_BYTES)[at]
+        words *= np.arange(PIECE_BYTES) < sizes[:, None]
+        keys = words.view(np.uint64)
+        mixed = sizes.astype(np.uint64)
+        for j in range(keys.shape[1]):
+            mixed = (mixed ^ keys[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        long = np.flatnonzero(sizes > PIECE_BYTES).tolist()
+        for i in long:
+            mixed[i] = hash(text[at[i] : at[i] + sizes[i]]) & (1 << 64) - 1
+        _, first, which = np.unique(mixed, return_index=True, return_inverse=True)
+        like = first[which]
+        pieces = [text[a:b] for a, b in zip(at[first].tolist(), (at + sizes)[first].tolist(), strict=True)]
+        same = np.array_equal(sizes[like], sizes) and np.array_equal(keys[like], keys)
+        if not same or any(pieces[which[i]] != text[at[i] : at[i] + sizes[i]] for i in long):
+            # Different pieces of one hash: no grouping.
+            pieces = [text[a:b] for a, b in zip(at.tolist(), (at + sizes).tolist(), strict=True)]
+            which = np.arange(len(at))
+        known = self._known(pieces) if same else self._whole([p.decode() for p in pieces])
+        counts = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts, each = (np.cumsum(counts) - counts)[which], counts[which]
+        ends = np.cumsum(each)
+        places = np.repeat(starts - (ends - each), each) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(known), "<u4")[places], each
+
+    def _plain(self, rows: list[bytes]) -> list[bytes]:
+        """ids of texts without runs of white space. A piece begins with its space or line feed; a line feed goes before each text, and its id again."""
+        if not rows:
+            return []
+        text = b"\n" + b"\n".join(rows) + bytes(PIECE_BYTES)
+        raw = np.frombuffer(text, np.uint8)
+        at = np.flatnonzero((raw == 32) | (raw == 10))
+        sizes = np.diff(at, append=len(raw) - PIECE_BYTES)
+        blocks = [self._block(text, at[k : k + BLOCK], sizes[k : k + BLOCK]) for k in range(0, len(at), BLOCK)]
+        ids = np.concatenate([b[0] for b in blocks]).tobytes()
+        ends = np.append(0, np.cumsum(np.concatenate([b[1] for b in blocks])))
+        texts_at = np.cumsum([0] + [len(r) + 1 for r in rows])
+        bounds = (4 * ends[np.searchsorted(at, texts_at)]).tolist()
+        return [ids[a + 4 : b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        rows: list[tuple[list[str], list[bytes | None], bool] | None] = []
-        missing: set[str] = set()
-        get = self.now.get
-        for text in batch:
-            if _RUNS.search(text) or text[:1].isspace() or text[-1:].isspace() or any(t in text for t in self.special):
-                rows.append(None)
-                continue
-            # A line feed before the text makes its first piece one like any other; its token goes again below.
-            parts = ("\n" + text).replace("\n", " \n").split(" ")
-            del parts[0]
-            known = list(map(get, parts))
-            lack = [p for p, ids in zip(parts, known, strict=True) if ids is None]
-            missing.update(lack)
-            rows.append((parts, known, bool(lack)))
-        learnt = self._learn(missing)
-        whole = iter(self._whole([t for t, row in zip(batch, rows, strict=True) if row is None]))
-        out = []
-        for row in rows:
-            if row is None:
-                out.append(next(whole))
-                continue
-            parts, known, lacks = row
-            if lacks:
-                known = [learnt[p] if ids is None else ids for p, ids in zip(parts, known, strict=True)]
-            out.append(b"".join(known)[4:])
-        return out
+        def plain(text: str) -> bool:
+            return not (not text or _RUNS.search(text) or text[0].isspace() or text[-1].isspace() or any(t in text for t in self.special))
+
+        kinds = [plain(t) for t in batch]
+        pieces = iter(self._plain([t.encode() for t, k in zip(batch, kinds, strict=True) if k]))
+        whole = iter(self._whole([t for t, k in zip(batch, kinds, strict=True) if not k]))
+        return [next(pieces if k else whole) for k in kinds]
 
 
 def encoded(
-    batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = 1 << 20
+    batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = 4 << 20
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches of (doc_id, text) with the ids of each text, the end id included.
 

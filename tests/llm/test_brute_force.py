@@ -352,10 +352,29 @@ def test_special_strings_and_long_pieces():
     texts = ["a <|endoftext|> b", "x" * 500 + " y", "日本" * 300, "a <|endoftext|>", "plain words here", "a\nb c"]
     for _ in range(2):
         assert encoder.encode(texts) == [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert all(len(p) <= tokens.PIECE_CHARS for p in encoder.now)
+    assert all(len(p) <= tokens.PIECE_BYTES for p in encoder.now)
 
 
 def test_hidden_parts_of_pages():
     assert language.visible_text("a<script>x</script>b<!-- c -->d<p>e") == "a b d e"
     assert language.visible_text("a<script>b <style>c</style> < d") == "a b < d"
     assert language.visible_text("<script>" * 50_000) == ""
+
+
+@pytest.mark.parametrize("block", [1 << 19, 7])
+@pytest.mark.parametrize("collide", [False, True])
+def test_pieces_of_odd_texts_have_the_librarys_ids(block, collide, monkeypatch):
+    """Zero bytes at ends, long pieces, runs of white space, blocks of few pieces, and hashes that all collide."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "BLOCK", block)
+    if collide:
+        monkeypatch.setattr(np, "unique", lambda a, **_: (a[:1], np.zeros(1, np.int64), np.zeros(len(a), np.int64)))
+    bits = ["a", "b", "\u00e9", " ", " ", "\n", "\t", "\0", "ab\0", "\u3000", "\U0001f600", "don't", "x" * 40, "x" * 39 + "y", "<|endoftext|>", "12", "!", "\r"]
+    draw = random.Random(3)
+    texts = ["".join(draw.choices(bits, k=draw.randint(0, 30))) for _ in range(600)] + ["", "\n", " ", "a b", "ab\0 ab ab\0\0 ab"]
+    plain = Tokenizer.from_file(tokens.default_tokenizer())
+    want = [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder = tokens.PieceEncoder(tokens.default_tokenizer())
+    got = [ids for k in range(0, len(texts), 40) for ids in encoder.encode(texts[k : k + 40])]
+    assert got == want
