@@ -70,7 +70,7 @@ def anchored(df: DataFrame, by: Sequence[str], fixed: Column, x: str, y: str) ->
 
 
 def _others(df: DataFrame, group: str, xs: Sequence[str], y: str) -> DataFrame:
-    """By group, the moments of all other groups' rows: n, means, and moments centred on those means.
+    """By group, its own n and the moments of all other groups' rows: n_train, means, and moments centred on those means.
 
     One pass over the data; a group's moments, centred on the means of all
     rows, are taken from the total, and then moved to the others' own means.
@@ -89,7 +89,7 @@ def _others(df: DataFrame, group: str, xs: Sequence[str], y: str) -> DataFrame:
     left = {k: F.col(f"t_{k}") - F.col(k) for k in sums}
     mean = {v: F.try_divide(left[f"s_{v}"], n) for v in names}
     centred = [(left[f"s_{a}_{b}"] - mean[a] * left[f"s_{b}"]).alias(f"c_{a}_{b}") for a, b in products]
-    return r.select(group, n.alias("n_train"), *[(mean[v] + F.col(f"g_{v}")).alias(f"m_{v}") for v in names], *centred)
+    return r.select(group, "n", n.alias("n_train"), *[(mean[v] + F.col(f"g_{v}")).alias(f"m_{v}") for v in names], *centred)
 
 
 def group_holdout(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
@@ -100,10 +100,10 @@ def group_holdout(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
 
 def group_holdout2(df: DataFrame, group: str, x1: str, x2: str, y: str) -> DataFrame:
-    """For each group the plane fitted on all other groups; groups whose others have fewer than 3 rows go."""
+    """For each group of n rows the plane fitted on all other groups; groups whose others have fewer than 3 rows go."""
     o = _others(df, group, [x1, x2], y)
     moments = {"m1": f"m_{x1}", "m2": f"m_{x2}", "my": f"m_{y}", "s11": f"c_{x1}_{x1}", "s12": f"c_{x1}_{x2}", "s22": f"c_{x2}_{x2}", "s1y": f"c_{x1}_{y}", "s2y": f"c_{x2}_{y}"}
-    return _plane(o.where("n_train >= 3").select(group, "n_train", *[F.col(v).alias(k) for k, v in moments.items()])).select(group, "n_train", "b0", "b1", "b2")
+    return _plane(o.where("n_train >= 3").select(group, "n", "n_train", *[F.col(v).alias(k) for k, v in moments.items()])).select(group, "n_train", "b0", "b1", "b2", "n")
 
 
 def forward_offsets(df: DataFrame, by: str, order: Sequence[str], residual: str) -> DataFrame:

@@ -9,7 +9,7 @@ from quarry import tables
 from quarry.functions import capacity
 from quarry.functions.numeric import falsy, round_even
 from quarry.operators import fitting
-from quarry.operators.stats import error_stats, medians
+from quarry.operators.stats import LARGE, by_size, error_stats, medians
 
 
 def structural_signature(df: DataFrame) -> Column:
@@ -69,10 +69,11 @@ def train_errors(points: DataFrame, coeffs: DataFrame) -> DataFrame:
     return both.select(*points.columns, relative_error(_line()).alias("_global"), relative_error(F.coalesce("offset", _line())).alias("_digest"))
 
 
-def holdout_errors(points: DataFrame) -> DataFrame:
+def holdout_errors(points: DataFrame, large: int = LARGE) -> DataFrame:
     """Relative errors of points by a baseline fitted on all other structures; none with fewer than two structures."""
-    fits = fitting.group_holdout2(points, "signature", "tensor_count", "output_tensor_bytes", "residual")
-    return points.join(fits, "signature").select("digest", "ctx", "signature", relative_error(_line()).alias("error"))
+    fits = fitting.group_holdout2(points, "signature", "tensor_count", "output_tensor_bytes", "residual").withColumnRenamed("signature", "_signature")
+    many, rest = by_size(points, fits, F.col("signature") == F.col("_signature"), "n", large)
+    return many.unionByName(rest).select("digest", "ctx", "signature", relative_error(_line()).alias("error"))
 
 
 def forward_errors(points: DataFrame) -> DataFrame:
@@ -86,16 +87,14 @@ def fit_report(points: DataFrame) -> DataFrame:
     """Rows (part, max_error, p95_error, mean_error, n) of a memory fit: train_global, train_digest, forward_context, grouped_holdout. No points, no errors."""
     p = memory_points(points)
     train = train_errors(p, fit_baseline(p))
-    parts = {
-        "train_global": train.select(F.col("_global").alias("error")), "train_digest": train.select(F.col("_digest").alias("error")),
-        "forward_context": forward_errors(p).select("error"), "grouped_holdout": holdout_errors(p).select("error"),
-    }
-    every = None
-    for name, errors in parts.items():
-        one = errors.withColumn("part", F.lit(name))
-        every = one if every is None else every.unionByName(one)
-    names = points.sparkSession.createDataFrame([(k,) for k in parts], "part string")
-    return names.join(error_stats(every, ["part"], "error"), "part", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    part = lambda name, error: F.struct(F.lit(name).alias("part"), F.col(error).alias("error"))
+    every = (
+        train.select(F.inline(F.array(part("train_global", "_global"), part("train_digest", "_digest"))))
+        .unionByName(forward_errors(p).select(F.lit("forward_context").alias("part"), "error"))
+        .unionByName(holdout_errors(p).select(F.lit("grouped_holdout").alias("part"), "error"))
+    )
+    names = points.sparkSession.createDataFrame([(k,) for k in ("train_global", "train_digest", "forward_context", "grouped_holdout")], "part string")
+    return names.join(error_stats(every, ["part"], "error", few=True), "part", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def model_errors(points: DataFrame, arch: str, limit: float = 0.05) -> DataFrame:

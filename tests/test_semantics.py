@@ -208,6 +208,23 @@ def test_memory_fit_report(spark):
     assert {r["n"] for r in vram.fit_report(df.limit(0)).collect()} == {0} and vram.fit_baseline(vram.memory_points(df.limit(0))).first()["mode"] == "default"
 
 
+def test_large_groups_are_not_brought_into_one_task(spark):
+    """Groups beyond the limit are joined with their facts where their rows lie, others by shuffles; both are exact."""
+    rng = np.random.default_rng(9)
+    values = {"a": rng.normal(0, 1, 900), "b": np.repeat([3.0, 4.0], [400, 1]), "c": rng.normal(5, 1, 30), None: rng.normal(7, 1, 501), "d": np.asarray([2.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, v double").repartition(5)
+    for large in (0, 100, 1 << 20):
+        got = {r["k"]: r for r in stats.error_stats(df, ["k"], "v", large=large).collect()}
+        assert {k: (r["n"], r["p95_error"], r["max_error"]) for k, r in got.items()} == {k: (len(v), np.sort(v)[round(len(v) * 0.95 - 0.95)], v.max()) for k, v in values.items()}
+        assert {r["k"]: r["m"] for r in stats.medians(df, ["k"], "v", "m", large=large).collect()} == pytest.approx({k: np.median(v) for k, v in values.items()})
+    points = spark.createDataFrame([(f"d{i % 7}", f"s{i % 3}" if i % 5 else "rare", 2048 * (1 + i % 4), 10**9 + 10**6 * int(x), 4e8, None, 50.0, None, None, None, 32, 30, None, None, None, 100.0 + i % 11, 1e8 + i * i) for i, x in enumerate(rng.integers(0, 99, 80))], POINT)
+    p = vram.memory_points(points)
+    few, all_shuffled = (sorted(tuple(r) for r in vram.holdout_errors(p, large=n).collect()) for n in (18, 1 << 20))
+    assert few == all_shuffled and len(few) == 80
+    # The parts of a report are four: rows aren't shuffled to them.
+    assert "SortMergeJoin [coalesce(part" not in vram.fit_report(points)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_order_statistics_are_exact(spark):
     rng = np.random.default_rng(4)
     values = {"a": rng.normal(0, 1, 1000), "b": np.repeat([1.0, 2.0, 9.0], [500, 499, 1]), "c": np.asarray([5.0]), "d": np.asarray([1.0, 1e9, 1e9 + 1, -1e9])}
