@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.functions.numeric import at_least, lookup
 from quarry.functions.text import clean_repo, features, squeeze
+from quarry.operators.stats import LARGE, by_size
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -40,24 +43,50 @@ def reasons(family: Column, tag: Column, name: Column, card: Column) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(name_)) for c, name_ in rules]))
 
 
-def resolve(checks: DataFrame, keys: tuple[str, ...] = ("family", "tag"), repo: str = "repo", why: str = "reasons") -> DataFrame:
-    """likely, ambiguous or unresolved by target, and the repository where it is likely. One row for each candidate comes in.
-
-    A target without a mode can't choose a bare repository while others that
-    differ only by their mode stand beside it.
-    """
+def tally(checks: DataFrame, keys: Sequence[str] = ("family", "tag"), repo: str = "repo", why: str = "reasons") -> DataFrame:
+    """By target, what its candidates come to: variants, accepted, pending and first. One row for each candidate comes in."""
     soft = F.array(F.lit("variant_unspecified"), F.lit("model_card_unavailable"))
     named = F.array_contains(why, "variant_unspecified") & (F.size(F.array_except(why, soft)) == 0)
-    groups = checks.groupBy(*keys).agg(
+    return checks.groupBy(*keys).agg(
         F.bool_or(named).alias("variants"),
         F.count_if(F.size(why) == 0).alias("accepted"),
         F.count_if(F.col(why) == F.array(F.lit("model_card_unavailable"))).alias("pending"),
         F.min(F.when(F.size(why) == 0, F.col(repo))).alias("first"),
     )
+
+
+def merge(tallies: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tallies of one target together. Rows are dealt by target first: a least text is found by sorting, and so no task sorts all that it has read."""
+    return tallies.select(*keys, "variants", "accepted", "pending", "first").repartition(*keys).groupBy(*keys).agg(
+        F.bool_or("variants").alias("variants"), F.sum("accepted").alias("accepted"), F.sum("pending").alias("pending"), F.min("first").alias("first")
+    )
+
+
+def settle(tallies: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """likely, ambiguous or unresolved by target, and the repository where it is likely.
+
+    A target without a mode can't choose a bare repository while others that
+    differ only by their mode stand beside it.
+    """
     accepted = F.when(F.col("variants"), 0).otherwise(F.col("accepted"))
     pending = F.when(F.col("variants"), 0).otherwise(F.col("pending"))
     status = F.when(accepted + pending > 1, "ambiguous").when(accepted == 1, "likely").otherwise("unresolved")
-    return groups.select(*keys, status.alias("status"), F.when(status == "likely", F.col("first")).alias("repo"))
+    return tallies.select(*keys, status.alias("status"), F.when(status == "likely", F.col("first")).alias("repo"))
+
+
+def resolve(checks: DataFrame, keys: Sequence[str] = ("family", "tag"), repo: str = "repo", why: str = "reasons") -> DataFrame:
+    """tally and settle: one row a target."""
+    return settle(tally(checks, keys, repo, why), keys)
+
+
+def of_each(targets: DataFrame, kinds: DataFrame, keys: Sequence[str], size: str = "n", large: int = LARGE) -> DataFrame:
+    """Targets with what was worked out once for their kind, which has size targets; null keys are kinds too. Targets of no kind go."""
+    told = kinds.withColumnsRenamed({k: f"_kind_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_kind_{k}"))
+    many, rest = by_size(targets, told, same, size, large)
+    return many.unionByName(rest).drop(*[f"_kind_{k}" for k in keys])
 
 
 def _no_file(repo: Column) -> Column:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import tables
+from quarry import plans, tables
 from quarry.functions import capacity, numeric, text
 from quarry.operators import catalog, evals, evidence, fitting, identity, joins, publish, quality, stats, vram
 from quarry.sources import files, manifests
@@ -237,6 +237,39 @@ def test_order_statistics_are_exact(spark):
     assert stats.error_stats(df, [], "v").first()["p95_error"] == every[round(0.95 * (len(every) - 1))]
 
 
+# ---- identity
+
+@pytest.fixture
+def customers(spark, tmp_path):
+    """A folder whose customers repeat keys and have null nations, null segments and a null key."""
+    rows = [(i % 40, None if i % 11 == 0 else i % 25, (None, "AUTO", "Build", "auto")[i % 4 if i % 3 else 1]) for i in range(90)] + [(None, 3, "AUTO"), (-3, 4, "AUTO")]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").repartition(2).write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(i,) for i in range(25)], "n_nationkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    return str(tmp_path)
+
+
+def pairwise(spark, d):
+    """Reasons of each pair of a customer and a nation by themselves."""
+    pairs = spark.read.parquet(f"{d}/customer.parquet").join(spark.read.parquet(f"{d}/nation.parquet"), F.expr("n_nationkey % 5 = c_nationkey % 5"))
+    pairs = pairs.withColumn("family", F.lower("c_mktsegment")).selectExpr(
+        "c_custkey", "n_nationkey", "family", "CASE c_custkey % 4 WHEN 0 THEN '7b' WHEN 1 THEN '7b-instruct' WHEN 2 THEN 'latest' ELSE 'v2' END AS tag",
+        "CASE n_nationkey % 5 WHEN 0 THEN family || '-7b' WHEN 1 THEN family || '-7b-instruct' WHEN 2 THEN 'other-7b-gguf' WHEN 3 THEN family || '-v2-chat' ELSE family || '-13b' END AS name", "if(n_nationkey % 7 = 0, '', 'card') AS card",
+    )
+    return pairs.withColumn("reasons", identity.reasons(F.col("family"), F.col("tag"), F.col("name"), F.col("card")))
+
+
+def in_order(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_statuses_of_repeated_and_null_targets(spark, customers):
+    """One row a customer is dealt by key before least texts are sorted; repeated keys are one target."""
+    got = plans.queries()["resolve_status"](spark, customers)
+    assert "REPARTITION_BY_COL" in got._jdf.queryExecution().executedPlan().toString()
+    named = pairwise(spark, customers).withColumn("repo", F.expr("name || '@' || lpad(cast(n_nationkey AS string), 2, '0')"))
+    assert in_order(got) == in_order(identity.resolve(named, ("c_custkey",)))
+
+
 # ---- publication
 
 def test_guards(spark):
