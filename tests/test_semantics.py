@@ -270,6 +270,19 @@ def test_statuses_of_repeated_and_null_targets(spark, customers):
     assert in_order(got) == in_order(identity.resolve(named, ("c_custkey",)))
 
 
+def test_reasons_are_worked_out_once_a_kind(spark, customers):
+    """Whether a kind's customers are many (its facts broadcast) or few, each pair has the reasons that it has by itself."""
+    got = plans.queries()["constraint_eval"](spark, customers)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract_all") > plan.index("Join")  # below the join with customers
+    want = pairwise(spark, customers)
+    assert in_order(got) == in_order(want.select("c_custkey", "n_nationkey", F.array_join("reasons", ",").alias("why")))
+    targets = want.select("c_custkey", "family", "tag", "card")
+    kinds = targets.groupBy("family", "tag").agg(F.count("*").alias("n"), F.min("card").alias("least"))
+    of = [in_order(identity.of_each(targets, kinds, ("family", "tag"), large=large)) for large in (0, 60, 1 << 20)]
+    assert of[0] == of[1] == of[2] and len(of[0]) == want.count()
+
+
 # ---- publication
 
 def test_guards(spark):
