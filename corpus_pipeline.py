@@ -3,7 +3,8 @@
 Each stage is a function (spark, docs, sf_dir) -> DataFrame that works on what
 the stage before it kept; all but the last return the columns of documents.
 run() writes each stage's rows as Parquet in the shared folder and reads them
-again for the next.
+again for the next. Stages that run Python bound the session's Arrow batches by
+bytes: executors whose heaps have grown in earlier stages have little room.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, linededup, minhash, packing, quality
-from quarry.llm.common import stored, table
+from quarry.llm.common import bounded_batches, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents below this probability of label 1 are rejected.
@@ -30,6 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     text; a null or empty text has the score of an empty one; texts of any
     length are scored as a whole; without rows there are none.
     """
+    bounded_batches(spark)
     net = quality.fit_quality(docs, table(spark, sf_dir, "labels"), "crc32(cast(doc_id as string)) % 5 != 0")
     return quality.keep_quality(_columns(docs), net, KEEP_QUALITY)
 
@@ -54,6 +56,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id's several texts in one group, and of equal rows, one stays; a null
     doc_id counts as one id below all others. Without rows there are none.
     """
+    bounded_batches(spark)
     return minhash.drop_near_duplicates(_columns(docs))
 
 
@@ -64,6 +67,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     texts hold nothing; equal rows are treated alike. Without rows there are
     none, and without items all stay.
     """
+    bounded_batches(spark)
     return decontaminate.drop_contaminated(_columns(docs), table(spark, sf_dir, "benchmark"))
 
 
@@ -74,6 +78,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     documents of their own; texts of any length are cut; without rows there
     are none.
     """
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

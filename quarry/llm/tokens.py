@@ -30,6 +30,9 @@ END_ID = 2
 RECENT_PIECES, OFTEN_PIECES, PIECE_BYTES = 300_000, 700_000, 32
 #: Pieces that numpy handles at a time, so that memory doesn't grow with a text.
 BLOCK = 1 << 19
+MASKED = 1 << 15
+#: New pieces in one call of the library, which takes some hundred bytes for each of its characters.
+CALL = 1 << 13
 IDLE = 3.0
 _RUNS = re.compile(r"\s\s")
 _encoders: dict[str, "PieceEncoder"] = {}
@@ -54,6 +57,7 @@ class PieceEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.begins[i] = token[:1] in ("\u0120", "\u010a")
         self.uses = 0
+        self.recent_pieces, self.often_pieces = RECENT_PIECES, OFTEN_PIECES
         self.now: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.often: dict[bytes, bytes] = {}
@@ -100,13 +104,15 @@ class PieceEncoder:
             if ids is None:
                 new.append(i)
             else:
-                (often if len(often) < OFTEN_PIECES else now)[p] = known[i] = ids
+                (often if len(often) < self.often_pieces else now)[p] = known[i] = ids
         if new:
-            for i, ids in zip(new, self._pieces([pieces[i] for i in new]), strict=True):
+            wanted = [pieces[i] for i in new]
+            found = [ids for k in range(0, len(new), CALL) for ids in self._pieces(wanted[k : k + CALL])]
+            for i, ids in zip(new, found, strict=True):
                 known[i] = ids
                 if len(pieces[i]) <= PIECE_BYTES:
                     now[pieces[i]] = ids
-        if len(now) > RECENT_PIECES:
+        if len(now) > self.recent_pieces:
             self.before, self.now = now, {}
         return known
 
@@ -114,7 +120,8 @@ class PieceEncoder:
         """ids of the pieces text[at : at + sizes], one after the other, and their number by piece. Each distinct piece is looked up once."""
         raw = np.frombuffer(text, np.uint8)
         words = np.lib.stride_tricks.sliding_window_view(raw, PIECE_BYTES)[at]
-        words *= np.arange(PIECE_BYTES) < sizes[:, None]
+        for k in range(0, len(at), MASKED):
+            words[k : k + MASKED] *= np.arange(PIECE_BYTES) < sizes[k : k + MASKED, None]
         keys = words.view(np.uint64)
         mixed = sizes.astype(np.uint64)
         for j in range(keys.shape[1]):
@@ -126,7 +133,7 @@ class PieceEncoder:
         _, first, which = np.unique(mixed, return_index=True, return_inverse=True)
         like = first[which]
         pieces = [text[a:b] for a, b in zip(at[first].tolist(), (at + sizes)[first].tolist(), strict=True)]
-        same = np.array_equal(sizes[like], sizes) and np.array_equal(keys[like], keys)
+        same = np.array_equal(sizes[like], sizes) and all(np.array_equal(k[like], k) for k in keys.T)
         if not same or any(pieces[which[i]] != text[at[i] : at[i] + sizes[i]] for i in long):
             # Different pieces of one hash: no grouping.
             pieces = [text[a:b] for a, b in zip(at.tolist(), (at + sizes).tolist(), strict=True)]
@@ -164,15 +171,16 @@ class PieceEncoder:
 
 
 def encoded(
-    batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = 4 << 20
+    batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = 4 << 20, recent: int = RECENT_PIECES, often: int = OFTEN_PIECES
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches of (doc_id, text) with the ids of each text, the end id included.
 
-    The next task of the stage finds what this one remembers; a worker that
+    recent and often bound the pieces that are remembered. The next task of the stage finds what this one remembers; a worker that
     has no such task for a while forgets it (see rest).
     """
     encoder, end = PieceEncoder.of(path), np.asarray([END_ID], "<u4").tobytes()
     encoder.uses += 1
+    encoder.recent_pieces, encoder.often_pieces = recent, often
     try:
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):

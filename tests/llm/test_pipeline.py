@@ -80,3 +80,43 @@ def test_stages_take_empty_and_odd_documents(spark, testdata):
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_stages_bound_arrow_batches_by_bytes(spark, testdata):
+    """Long texts come in batches of a bounded size to the packing stage's workers, not 10,000 rows at a time."""
+    from pyspark.sql import functions as F
+
+    from quarry.llm import common
+
+    key, before = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    sizes = spark.range(60, numPartitions=1).select(F.repeat(F.lit("word "), 100_000).alias("text"))
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    try:
+        docs = table(spark, str(testdata / "sf0.001"), "documents").limit(5)
+        assert dict(corpus_pipeline.STAGES)["packing"](spark, docs, str(testdata / "sf0.001")).count() >= 5
+        rows = sizes.mapInArrow(count, "n long, bytes long").collect()
+        assert sum(r["n"] for r in rows) == 60 and max(r["bytes"] for r in rows) < 2 * common.BATCH_BYTES
+        spark.conf.set(key, 1 << 20)
+        common.bounded_batches(spark)
+        assert int(spark.conf.get(key)) == 1 << 20
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_packing_asks_for_few_pieces_at_a_time(monkeypatch):
+    """Many new pieces go to the library in calls of a bounded size, with the ids of one call over all."""
+    from quarry.llm import tokens
+
+    encoder = tokens.PieceEncoder(tokens.default_tokenizer())
+    calls = []
+    plain = encoder._pieces
+    monkeypatch.setattr(encoder, "_pieces", lambda pieces: calls.append(len(pieces)) or plain(pieces))
+    text = " ".join(f"w{i:x}z" for i in range(3 * tokens.CALL))
+    assert encoder.encode([text]) == encoder._whole([text])
+    assert sum(calls) == 3 * tokens.CALL and max(calls) <= tokens.CALL
