@@ -25,9 +25,8 @@ from quarry.llm.common import give_back, stored, texts, tidy
 from quarry.llm.tokens import default_tokenizer, encoded
 
 CAPACITY = 1024
-#: Bytes of texts that a worker encodes at a time, and pieces whose ids it remembers (see tokens): fewer than elsewhere,
-#: as the pipeline's last stage meets executors whose heaps have grown.
-SLICE_BYTES, RECENT, OFTEN = 1 << 20, 100_000, 200_000
+#: Bytes of texts that a worker encodes at a time: fewer than elsewhere, as the pipeline's last stage meets executors whose heaps have grown.
+SLICE_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int, local_rank long"
 
 
@@ -119,7 +118,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for part, ids in encoded(batches, path, SLICE_BYTES, RECENT, OFTEN):
+        for part, ids in encoded(batches, path, SLICE_BYTES):
             total = np.asarray([len(x) // 4 for x in ids], np.int64)
             n = -(-total // capacity)
             row = np.repeat(np.arange(len(ids)), n)

@@ -2,15 +2,18 @@
 
 Byte-level BPE splits a text at every single space or line feed between two
 non-space characters before it merges, so the ids of such a piece don't depend
-on its surroundings. Natural text repeats its pieces, hence numpy groups the
-equal pieces of many texts (compared in full, not by hash alone), and each
-worker keeps the library's ids by piece and asks the library for new ones only. A text
+on its surroundings. Its pattern also ends a run of letters at a mark such as a
+comma or a full stop, so a piece is cut there too. Natural text repeats its
+pieces: each worker keeps the library's ids by piece in a table of fixed size,
+which numpy reads for many pieces at once (compared in full, not by hash
+alone), and asks the library for the others, each distinct one once. A text
 with runs of white space, or with the string of a special token, is given to
 the library as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import threading
 import zlib
@@ -25,9 +28,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import give_back, shuffle_partitions, slices, texts, tidy, work_path
 
 END_ID = 2
-#: Pieces whose ids a worker remembers, those met lately (twice as many at most) and those met again, and bytes of the
-#: longest ones, so that they take a bounded number of bytes; others are encoded anew, with the same ids.
-RECENT_PIECES, OFTEN_PIECES, PIECE_BYTES = 300_000, 700_000, 32
+#: A worker's table of remembered pieces: rows (a power of two), bytes of the longest piece and ids of the longest row, so that it
+#: takes some 52 MB at most. Of pieces that fall on one row the last one stays; others are encoded anew, with the same ids.
+ROWS, PIECE_BYTES, PIECE_IDS = 1 << 20, 32, 8
 #: Pieces that numpy handles at a time, so that memory doesn't grow with a text.
 BLOCK = 1 << 19
 MASKED = 1 << 15
@@ -35,6 +38,15 @@ MASKED = 1 << 15
 CALL = 1 << 13
 IDLE = 3.0
 _RUNS = re.compile(r"\s\s")
+_OPEN, _MARKS = b" \n", bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)  # an apostrophe may go on with letters
+#: A space or a line feed and letters up to U+027F; such words as the model has them, which stands printable characters for bytes.
+_WORD = re.compile(rb"[ \n](?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc9][\x80-\xbf])+")
+_SHOWN = [c for c in range(256) if 33 <= c < 127 or 161 <= c < 256 and c != 173]
+_SHOWS = {c: chr(c) for c in _SHOWN} | {c: chr(256 + k) for k, c in enumerate(c for c in range(256) if c not in _SHOWN)}
+_LETTERS = "".join(_SHOWS[c] for c in range(256) if chr(c).isalpha() and c < 128 or 0x80 <= c <= 0xBF or 0xC3 <= c <= 0xC9)
+_ACROSS = re.compile(f"[{_LETTERS}\u0120\u010a]*(?:[{_LETTERS}][\u0120\u010a]|\u010a[{_LETTERS}])[{_LETTERS}\u0120\u010a]*")
+#: By byte: 1 for a letter, 2 for a mark that no pattern joins to a letter before it, 4 for what a piece may begin with.
+_KIND = np.asarray([1 if chr(c).isalpha() and c < 128 else 2 if c in _MARKS else 4 if c in _OPEN else 0 for c in range(256)], np.uint8)
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -44,6 +56,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Table:
+    """ids by piece. A row has a piece's bytes as four numbers, its size (0: none) and its ids."""
+
+    def __init__(self, rows: int, highest: int) -> None:
+        self.keys = np.zeros((rows, PIECE_BYTES // 8), np.uint64)
+        self.sizes, self.counts = np.zeros(rows, np.uint8), np.zeros(rows, np.uint8)
+        self.ids = np.zeros((rows, PIECE_IDS), np.uint16 if highest < 1 << 16 else np.uint32)
+
+    def rows(self, mixed: np.ndarray) -> np.ndarray:
+        return (mixed & np.uint64(len(self.sizes) - 1)).astype(np.int64)
+
+    def has(self, rows: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return (self.sizes[rows] == sizes) & (self.keys[rows] == keys).all(axis=1)
+
+    def read(self, rows: np.ndarray) -> np.ndarray:
+        """ids of these rows, one after the other."""
+        return self.ids[rows][np.arange(PIECE_IDS) < self.counts[rows][:, None]]
+
+    def put(self, rows: np.ndarray, keys: np.ndarray, sizes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Pieces and their ids, one after the other; those that are too long are left out."""
+        fit = (sizes <= PIECE_BYTES) & (counts <= PIECE_IDS)
+        wide = np.zeros((int(fit.sum()), PIECE_IDS), self.ids.dtype)
+        wide[np.arange(PIECE_IDS) < counts[fit][:, None]] = ids[np.repeat(fit, counts)]
+        order = np.argsort(rows[fit], kind="stable")
+        at = rows[fit][order]
+        last = np.append(at[1:] != at[:-1], True)[: len(at)]
+        at, one = at[last], order[last]
+        self.keys[at], self.ids[at] = keys[fit][one], wide[one]
+        self.sizes[at], self.counts[at] = sizes[fit][one], counts[fit][one]
+
+
 class PieceEncoder:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -53,14 +96,25 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Ids whose token begins with a space or a line feed, as only the first token of a piece does.
-        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
+        vocabulary = self.tokenizer.get_vocab()
+        self.highest = max(vocabulary.values())
+        self.begins = np.zeros(self.highest + 1, bool)
+        for token, i in vocabulary.items():
             self.begins[i] = token[:1] in ("\u0120", "\u010a")
+        with open(path, encoding="utf-8") as f:
+            splits = json.load(f).get("pre_tokenizer") or {}
+        self.cuts = splits.get("type") == "ByteLevel" and splits.get("use_regex", True)
+        # No token of such words goes on from a letter to a space, so the model merges words in a row as it does each alone.
+        joins = self.cuts and not self.tokenizer.normalizer and not any(map(_ACROSS.fullmatch, vocabulary))
+        self.model = Tokenizer(self.tokenizer.model) if joins else None
         self.uses = 0
-        self.recent_pieces, self.often_pieces = RECENT_PIECES, OFTEN_PIECES
-        self.now: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-        self.often: dict[bytes, bytes] = {}
+        self.table: Table | None = None
+
+    @property
+    def now(self) -> list[bytes]:
+        """The pieces that are remembered."""
+        t = self.table
+        return [] if t is None else [t.keys[i].tobytes()[: t.sizes[i]] for i in np.flatnonzero(t.sizes)]
 
     def rest(self) -> None:
         """Forget all pieces unless they are used again within IDLE seconds: workers live on in other stages, which need the memory."""
@@ -68,7 +122,7 @@ class PieceEncoder:
 
         def forget() -> None:
             if self.uses == uses:
-                self.now, self.before, self.often = {}, {}, {}
+                self.table = None
                 give_back()
 
         timer = threading.Timer(IDLE, forget)
@@ -84,66 +138,75 @@ class PieceEncoder:
     def _whole(self, strings: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """ids of pieces from one call: their places in the ids of the joined string show by their first tokens."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast([b"".join(pieces).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _joined(self, tokenizer, text: str, n: int) -> list[bytes] | None:
+        """ids of n pieces from one call for all: their places in its ids show by their first tokens. None if they don't."""
+        ids = np.asarray(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         starts = np.flatnonzero(self.begins[ids])
-        if len(starts) != len(pieces) or (len(starts) and starts[0]):
-            return self._whole([p.decode() for p in pieces])
+        if len(starts) != n or (n and starts[0]):
+            return None
         raw, ends = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
         return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
-    def _known(self, pieces: list[bytes]) -> list[bytes]:
-        """ids of distinct pieces. A piece met in a second call is kept for good as long as there is room; long ones aren't kept."""
-        often, now, before = self.often, self.now, self.before
-        known = list(map(often.get, pieces))
-        new = []
-        for i in [i for i, ids in enumerate(known) if ids is None]:
-            p = pieces[i]
-            ids = now.pop(p, None) or before.pop(p, None)
-            if ids is None:
-                new.append(i)
-            else:
-                (often if len(often) < self.often_pieces else now)[p] = known[i] = ids
-        if new:
-            wanted = [pieces[i] for i in new]
-            found = [ids for k in range(0, len(new), CALL) for ids in self._pieces(wanted[k : k + CALL])]
-            for i, ids in zip(new, found, strict=True):
-                known[i] = ids
-                if len(pieces[i]) <= PIECE_BYTES:
-                    now[pieces[i]] = ids
-        if len(now) > self.recent_pieces:
-            self.before, self.now = now, {}
-        return known
-
-    def _block(self, text: bytes, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ids of the pieces text[at : at + sizes], one after the other, and their number by piece. Each distinct piece is looked up once."""
-        raw = np.frombuffer(text, np.uint8)
-        words = np.lib.stride_tricks.sliding_window_view(raw, PIECE_BYTES)[at]
-        for k in range(0, len(at), MASKED):
-            words[k : k + MASKED] *= np.arange(PIECE_BYTES) < sizes[k : k + MASKED, None]
-        keys = words.view(np.uint64)
-        mixed = sizes.astype(np.uint64)
-        for j in range(keys.shape[1]):
-            mixed = (mixed ^ keys[:, j]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-        long = np.flatnonzero(sizes > PIECE_BYTES).tolist()
-        for i in long:
-            mixed[i] = hash(text[at[i] : at[i] + sizes[i]]) & (1 << 64) - 1
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """ids of pieces. A space and letters (or letters after a line feed) are one match of the pattern, so the library's model is given them without it."""
+        kinds = [0 if _WORD.fullmatch(p) else 1 if p[0] in _OPEN else 2 for p in pieces]
+        words, opened, rest = ([p for p, k in zip(pieces, kinds, strict=True) if k == x] for x in range(3))
+        found = [], [], self._whole([p.decode() for p in rest])
+        for k, (some, tokenizer) in enumerate(((words, self.model), (opened, self.tokenizer))):
+            if some:
+                text = b"".join(some)
+                ids = tokenizer and self._joined(tokenizer, text.decode() if k else text.decode("latin-1").translate(_SHOWS), len(some))
+                found[k].extend(ids or self._whole([p.decode() for p in some]))
+        if len(words) == len(pieces) or len(opened) == len(pieces):
+            return found[0] or found[1]
+        each = [iter(x) for x in found]
+        return [next(each[k]) for k in kinds]
+
+    def _new(self, text: bytes, at: np.ndarray, sizes: np.ndarray, keys: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of pieces that the table lacks, one after the other, and their number by piece. Each distinct piece is encoded once."""
         _, first, which = np.unique(mixed, return_index=True, return_inverse=True)
         like = first[which]
+        long = np.flatnonzero(sizes > PIECE_BYTES).tolist()
         pieces = [text[a:b] for a, b in zip(at[first].tolist(), (at + sizes)[first].tolist(), strict=True)]
         same = np.array_equal(sizes[like], sizes) and all(np.array_equal(k[like], k) for k in keys.T)
         if not same or any(pieces[which[i]] != text[at[i] : at[i] + sizes[i]] for i in long):
             # Different pieces of one hash: no grouping.
-            pieces = [text[a:b] for a, b in zip(at.tolist(), (at + sizes).tolist(), strict=True)]
-            which = np.arange(len(at))
-        known = self._known(pieces) if same else self._whole([p.decode() for p in pieces])
-        counts = np.fromiter(map(len, known), np.int64, len(known)) // 4
+            found = self._whole([text[a:b].decode() for a, b in zip(at.tolist(), (at + sizes).tolist(), strict=True)])
+            return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        found = [ids for k in range(0, len(pieces), CALL) for ids in self._pieces(pieces[k : k + CALL])]
+        ids, counts = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.table.put(self.table.rows(mixed[first]), keys[first], sizes[first], counts, ids)
         starts, each = (np.cumsum(counts) - counts)[which], counts[which]
         ends = np.cumsum(each)
-        places = np.repeat(starts - (ends - each), each) + np.arange(ends[-1])
-        return np.frombuffer(b"".join(known), "<u4")[places], each
+        return ids[np.repeat(starts - (ends - each), each) + np.arange(ends[-1])], each
+
+    def _block(self, text: bytes, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the pieces text[at : at + sizes], one after the other, and their number by piece."""
+        if self.table is None:
+            self.table = Table(ROWS, self.highest)
+        raw, table = np.frombuffer(text, np.uint8), self.table
+        words = np.lib.stride_tricks.sliding_window_view(raw, PIECE_BYTES)[at]
+        keys, mixed = words.view(np.uint64), sizes.astype(np.uint64)
+        rows, known = np.empty(len(at), np.int64), np.empty(len(at), bool)
+        for k in range(0, len(at), MASKED):
+            part = slice(k, k + MASKED)
+            words[part] *= np.arange(PIECE_BYTES) < sizes[part, None]
+            m = mixed[part]
+            for j in range(keys.shape[1]):
+                m = (m ^ keys[part, j]) * np.uint64(0x9E3779B97F4A7C15)
+                m ^= m >> np.uint64(29)
+            mixed[part], rows[part] = m, table.rows(m)
+            known[part] = table.has(rows[part], keys[part], sizes[part])
+        for i in np.flatnonzero(sizes > PIECE_BYTES).tolist():
+            mixed[i] = hash(text[at[i] : at[i] + sizes[i]]) & (1 << 64) - 1
+        each = table.counts[rows].astype(np.int64)
+        old, new = table.read(rows[known]), np.flatnonzero(~known)
+        if not len(new):
+            return old.astype("<u4"), each
+        ids, each[new] = self._new(text, at[new], sizes[new], keys[new], mixed[new])
+        out, from_table = np.empty(int(each.sum()), "<u4"), np.repeat(known, each)
+        out[from_table], out[~from_table] = old, ids
+        return out, each
 
     def _plain(self, rows: list[bytes]) -> list[bytes]:
         """ids of texts without runs of white space. A piece begins with its space or line feed; a line feed goes before each text, and its id again."""
@@ -151,7 +214,11 @@ class PieceEncoder:
             return []
         text = b"\n" + b"\n".join(rows) + bytes(PIECE_BYTES)
         raw = np.frombuffer(text, np.uint8)
-        at = np.flatnonzero((raw == 32) | (raw == 10))
+        kind = _KIND[raw]
+        begins = kind == 4
+        if self.cuts:
+            begins[1:] |= (kind[1:] == 2) & (kind[:-1] == 1)
+        at = np.flatnonzero(begins)
         sizes = np.diff(at, append=len(raw) - PIECE_BYTES)
         blocks = [self._block(text, at[k : k + BLOCK], sizes[k : k + BLOCK]) for k in range(0, len(at), BLOCK)]
         ids = np.concatenate([b[0] for b in blocks]).tobytes()
@@ -171,16 +238,15 @@ class PieceEncoder:
 
 
 def encoded(
-    batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = 4 << 20, recent: int = RECENT_PIECES, often: int = OFTEN_PIECES
+    batches: Iterator[pa.RecordBatch], path: str, slice_bytes: int = 4 << 20
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches of (doc_id, text) with the ids of each text, the end id included.
 
-    recent and often bound the pieces that are remembered. The next task of the stage finds what this one remembers; a worker that
+    The next task of the stage finds what this one remembers; a worker that
     has no such task for a while forgets it (see rest).
     """
     encoder, end = PieceEncoder.of(path), np.asarray([END_ID], "<u4").tobytes()
     encoder.uses += 1
-    encoder.recent_pieces, encoder.often_pieces = recent, often
     try:
         for batch in batches:
             for part in slices(batch, "text", slice_bytes):

@@ -120,3 +120,24 @@ def test_packing_asks_for_few_pieces_at_a_time(monkeypatch):
     text = " ".join(f"w{i:x}z" for i in range(3 * tokens.CALL))
     assert encoder.encode([text]) == encoder._whole([text])
     assert sum(calls) == 3 * tokens.CALL and max(calls) <= tokens.CALL
+
+
+def test_words_are_encoded_once_whatever_mark_follows(monkeypatch):
+    """The library is asked for a word once, not once with each mark behind it, by its model alone, and a full table keeps its size and the ids."""
+    import itertools
+
+    from quarry.llm import tokens
+
+    names = ["".join(x) for x in itertools.product("bdfg", "aeio", "lmnr", "aeio")] + ["\u00e9t\u00e9x", "na\u00efve", "stra\u00dfe"]
+    text = "x " + " ".join(f"{w}{m}" for m in [".", ",", "!", ";***", "", "'s.", "\u2014,", "\u00a0."] for w in names) + "\nOne\ntwo.\nthr\u00e9e"
+    encoder = tokens.PieceEncoder(tokens.default_tokenizer())
+    asked, plain = [], encoder._pieces
+    monkeypatch.setattr(encoder, "_pieces", lambda pieces: asked.extend(pieces) or plain(pieces))
+    assert encoder.encode([text]) == encoder._whole([text])
+    assert sum(p.strip() in (b"bala", b"bala.", b"bala,", b"bala!", b"bala;***") for p in asked) == 1 and len(asked) == len(set(asked))
+    assert encoder.model is not None and encoder._joined(encoder.model, "\u0120bala\u0120dale", 2) == encoder._whole([" bala", " dale"])
+    monkeypatch.setattr(tokens, "ROWS", 16)
+    small = tokens.PieceEncoder(tokens.default_tokenizer())
+    for _ in range(3):
+        assert small.encode([text, text[5:]]) == small._whole([text, text[5:]])
+    assert 0 < len(small.now) <= 16 == len(small.table.sizes)
