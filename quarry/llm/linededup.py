@@ -50,20 +50,26 @@ def _documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("doc"), F.xxhash64(text).alias("tid"), text.alias("text"), F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"))
 
 
+def _plain(line: str) -> Column:
+    """A line in lower case and with plain spaces: a plain character splits faster. By line, as only ASCII is put in lower case fast."""
+    lower = F.lower(line)
+    other = [F.contains(F.col(line), F.lit(c)) for c in "\t\x0b\f\r"]
+    return F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace(lower, r"[\t\x0B\f\r]", " ")).otherwise(lower)
+
+
 def _lines(documents: DataFrame) -> DataFrame:
-    """A row for each line, in lower case and with plain spaces: doc, tid, line_no, line."""
-    lower = F.lower("text")
-    other = [F.contains(F.col("text"), F.lit(c)) for c in "\t\x0b\f\r"]
-    plain = F.when(other[0] | other[1] | other[2] | other[3], F.regexp_replace(lower, r"[\t\x0B\f\r]", " ")).otherwise(lower)  # a plain character splits faster
-    lines = documents.select("doc", "tid", plain.alias("plain")).select("doc", "tid", F.posexplode(F.split("plain", "\n")).alias("line_no", "line"))
-    return lines.where(F.length("line") > 0)
+    """A row for each line: doc, tid, line_no, line (see _plain)."""
+    lines = documents.select("doc", "tid", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).where(F.octet_length("raw") > 0)
+    return lines.select("doc", "tid", "line_no", _plain("raw").alias("line"))
 
 
 def _tokens(lines: DataFrame, *keys: str) -> DataFrame:
     """tokens: sorted distinct hashes of the runs of WORDS words; of fewer words, one hash; without words, none."""
     hashes = lines.select(*keys, F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)).alias("words"))
-    last = F.slice("words", F.lit(WORDS), F.greatest(F.size("words"), F.lit(0)))
-    runs = F.transform(last, lambda w, i: F.xxhash64(*[F.get("words", i + k if k else i) for k in range(WORDS - 1)], w))
+    # words as a lambda's variable is one array for a whole line; as a column it would be looked up in its row for each run and word.
+    last = lambda words: F.slice(words, F.lit(WORDS), F.greatest(F.size(words), F.lit(0)))
+    run = lambda words: lambda w, i: F.xxhash64(*[F.get(words, i + k if k else i) for k in range(WORDS - 1)], w)
+    runs = F.get(F.transform(F.array("words"), lambda words: F.transform(last(words), run(words))), F.lit(0))
     few = F.when(F.size("words") > 0, F.array(F.xxhash64("words"))).otherwise(F.array().cast("array<bigint>"))
     return hashes.select(*keys, F.when(F.size("words") >= WORDS, F.sort_array(F.array_distinct(runs))).otherwise(few).alias("tokens"))
 
@@ -85,7 +91,7 @@ def _short_size(n: Column, percent: int) -> Column:
 
 def _parity(tokens: str) -> Column:
     """A number whose bits are the parities of the tokens that fall on them: two sets differ in at least as many tokens as bits."""
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(t))  # noqa: E731  (a shift takes the hash's lowest six bits)
     return F.aggregate(tokens, F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(bit(t)))
 
 
@@ -99,8 +105,10 @@ def _described(tokens: DataFrame, percent: int) -> DataFrame:
 def _sets(documents: DataFrame, entries: DataFrame, ids: DataFrame) -> DataFrame:
     """id and tokens of the lines in ids (repeats count once), from their texts."""
     refs = stored(entries.select("id", *REF).join(small(stored(ids.distinct(), "ids")), "id", "left_semi").distinct(), "refs")
-    of = small(stored(refs.select("doc", "tid").distinct(), "docs"))
-    wanted = _lines(documents.join(of, ["doc", "tid"], "left_semi")).join(small(refs), REF)
+    # A document's lines by their numbers, so that its other lines are neither put in lower case nor rows.
+    of = stored(refs.groupBy("doc", "tid").agg(F.collect_list(F.struct("line_no", "id")).alias("at")), "docs")
+    lines = documents.join(small(of), ["doc", "tid"]).select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
+    wanted = lines.select(F.col("at.id").alias("id"), F.get("lines", F.col("at.line_no")).alias("raw")).select("id", _plain("raw").alias("line"))
     return stored(_tokens(wanted, "id").select("id", "tokens"), "sets")
 
 

@@ -247,6 +247,19 @@ def brute_lines(rows, percent=80):
     return lines
 
 
+def test_wanted_lines_alone_are_put_in_lower_case_again(spark, monkeypatch):
+    """All lines are made once; those that are verified come from their documents by number, with capitals, accents and tabs as in the first pass."""
+    rng = random.Random(8)
+    base = prose(rng, 40)
+    near = base.replace(" ", "\t", 3).upper() + " \u00c9T\u00c9"
+    rows = [(0, f"\n{base} \u00e9t\u00e9\n\n{prose(rng, 30)}"), (1, f"{prose(rng, 30)}\n{near}\nkept \u03a3\u0391\u03a3"), (2, f"{near} more\nx"), (3, None), (-1, near)]
+    calls, plain = [], linededup._lines
+    monkeypatch.setattr(linededup, "_lines", lambda d: calls.append(1) or plain(d))
+    got = linededup.dedup_lines(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == brute_lines(rows)
+    assert len(calls) == 1
+
+
 def test_line_dedup_matches_brute_force(spark):
     rng = random.Random(3)
     pool = [prose(rng, rng.randint(1, 70)) for _ in range(25)]
