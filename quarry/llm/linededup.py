@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import release, sized, stored
+from quarry.llm import common
+from quarry.llm.common import release, sized
 
 WORDS = 5
 #: Bytes up to which a stored table of fixed-width columns is broadcast; beyond, both sides are shuffled.
@@ -38,6 +39,11 @@ FACTS = [*REF, "n", "sketch"]
 SAME = ["digest", "sketch", "n"]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """common.stored for tables that are hashes for the most part: they hardly get smaller, so they are written the fastest way."""
+    return common.stored(df, name, "snappy", dictionary=False)
+
+
 def small(df: DataFrame) -> DataFrame:
     """Broadcast a stored table if its counted bytes allow it."""
     return F.broadcast(df) if sized(df) <= BROADCAST_BYTES else df
@@ -64,14 +70,21 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def _tokens(lines: DataFrame, *keys: str) -> DataFrame:
-    """tokens: sorted distinct hashes of the runs of WORDS words; of fewer words, one hash; without words, none."""
-    hashes = lines.select(*keys, F.transform(F.array_remove(F.split("line", " "), ""), lambda w: F.xxhash64(w)).alias("words"))
-    # words as a lambda's variable is one array for a whole line; as a column it would be looked up in its row for each run and word.
-    last = lambda words: F.slice(words, F.lit(WORDS), F.greatest(F.size(words), F.lit(0)))
-    run = lambda words: lambda w, i: F.xxhash64(*[F.get(words, i + k if k else i) for k in range(WORDS - 1)], w)
-    runs = F.get(F.transform(F.array("words"), lambda words: F.transform(last(words), run(words))), F.lit(0))
-    few = F.when(F.size("words") > 0, F.array(F.xxhash64("words"))).otherwise(F.array().cast("array<bigint>"))
-    return hashes.select(*keys, F.when(F.size("words") >= WORDS, F.sort_array(F.array_distinct(runs))).otherwise(few).alias("tokens"))
+    """tokens: sorted distinct hashes of the runs of WORDS words; of fewer words, one hash; without words, none.
+
+    Two passes: a hash of three words, then one of two such hashes that share
+    their middle word. At a line's end both take what words there are, so a
+    short line's first hash is that of all its words. The arrays are lambdas'
+    variables of one expression: in a row they would be read number by number.
+    """
+    words = F.array_remove(F.split("line", " "), "")
+    three = lambda words: lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
+    five = lambda threes: lambda t, i: F.xxhash64(t, F.get(threes, i + 2))
+    threes = F.transform(F.array(words), lambda words: F.transform(words, three(words)))
+    runs = F.get(F.transform(threes, lambda threes: F.transform(threes, five(threes))), F.lit(0))
+    n = F.size("runs")
+    whole = F.sort_array(F.array_distinct(F.slice("runs", F.lit(1), F.greatest(n - (WORDS - 1), F.lit(0)))))
+    return lines.select(*keys, runs.alias("runs")).select(*keys, F.when(n >= WORDS, whole).otherwise(F.slice("runs", F.lit(1), F.least(n, F.lit(1)))).alias("tokens"))
 
 
 def _overlap(a: Column, b: Column, percent: int) -> Column:

@@ -9,7 +9,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, linededup, media, minhash, packing, quality, tokens, toxicity
 
@@ -260,6 +262,34 @@ def test_wanted_lines_alone_are_put_in_lower_case_again(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_runs_are_hashed_in_one_expression(spark):
+    """Sets share just what their runs of five words (or all words of shorter lines) share, and no array of words passes through a row."""
+    rng = random.Random(21)
+    pool = ["a", "b", "ab", "ba", "c"]
+    lines = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 9))) for _ in range(150)]
+    lines += ["a", "a a", "a a a", "a a a a", "a a a a a", "a a a a a a", " a  b ", "a b", "ab", "   ", "a b c ab", "a b c ab ba", "x a b c ab ba", "a b x ab ba"]
+    tokens = linededup._tokens(spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "id long, line string"), "id")
+    got = {r["id"]: r["tokens"] for r in tokens.collect()}
+    assert all(t == sorted(set(t)) for t in got.values())
+    words = [t.split() for t in lines]
+    want = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for w in words]
+    name = {run: token for i, runs in enumerate(want) if len(runs) == 1 for run, token in zip(runs, got[i], strict=True)}
+    assert len(set(name.values())) == len(name)
+    for i, runs in enumerate(want):
+        assert len(got[i]) == len(runs) and {name[r] for r in runs if r in name} <= set(got[i])
+        for j in range(i):
+            assert len(set(got[i]) & set(got[j])) == len(runs & want[j])
+    assert "AS words" not in tokens._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_of_hashes_have_no_dictionaries(spark):
+    table = linededup.stored(spark.range(1000).select(F.xxhash64(F.col("id") % 10).alias("token"), F.array(F.xxhash64(F.col("id") % 10)).alias("tokens")), "hashes")
+    for name in table.inputFiles():
+        about = pyarrow.parquet.ParquetFile(name.removeprefix("file://")).metadata.row_group(0)
+        assert not any(about.column(k).has_dictionary_page for k in range(about.num_columns))
+    assert table.where(F.get("tokens", F.lit(0)) == F.col("token")).count() == 1000
+
+
 def test_line_dedup_matches_brute_force(spark):
     rng = random.Random(3)
     pool = [prose(rng, rng.randint(1, 70)) for _ in range(25)]
